@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     """The same rows in runs of at most `most` bytes of `column`, one row at least."""
     for batch in batches:
         start = size = 0
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         for i, n in enumerate(lengths):
             n = n or 0
             if i > start and size + n > most:

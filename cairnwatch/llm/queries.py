@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnwatch.llm import decontaminate, mixing, sharding, simhash, toxicity
+from cairnwatch.llm import decontaminate, minhash, mixing, secrets, sharding, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -20,6 +28,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", "target_uri")
+
+
 def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(table(spark, sf_dir, "documents"), shards=24)
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -46,11 +59,23 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_one_permutation_minhash": op2_one_permutation_minhash,
     "op3_toxicity": op3_toxicity,
+    "op5_warc": op5_warc,
     "op6_label_propagation": op6_label_propagation,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_entropy_balancing": op9_entropy_balancing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+             g AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
+        SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+               CASE WHEN g.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN g.first <> p.page_id THEN g.first END AS refers_to, url AS target_uri
+        FROM p LEFT JOIN g ON g.h = p.h AND p.n >= 1000
+    """,
+}
