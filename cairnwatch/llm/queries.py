@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnwatch.llm import decontaminate, minhash, mixing, secrets, sharding, simhash, toxicity, warc
+from cairnwatch.llm import decontaminate, linededup, minhash, mixing, packing, secrets, sharding, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), seq_len=2048)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", "target_uri")
@@ -58,15 +62,21 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
+def op10_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(table(spark, sf_dir, "documents"), min_words=50)
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_one_permutation_minhash": op2_one_permutation_minhash,
     "op3_toxicity": op3_toxicity,
+    "op4_token_packing": op4_token_packing,
     "op5_warc": op5_warc,
     "op6_label_propagation": op6_label_propagation,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_entropy_balancing": op9_entropy_balancing,
+    "op10_line_suffix_array": op10_line_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {
