@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,35 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2_000_000
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit words over all their bits (the finaliser of SplitMix64)."""
+    h = h ^ (h >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h = h ^ (h >> np.uint64(27))
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Spans:
+    """Hashes of any spans of a sequence of numbers, by polynomial prefix sums modulo 2**64."""
+
+    up = down = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data) + 1
+        if len(Spans.up) < n:
+            n = 1 << (n - 1).bit_length()
+            inverse = pow(_BASE, -1, 1 << 64)
+            Spans.up, Spans.down = (np.r_[np.uint64(1), np.cumprod(np.full(n - 1, b, np.uint64))] for b in (_BASE, inverse))
+        self.sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * Spans.up[: len(data)])]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * Spans.down[starts])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share: spark.checkpoint.dir, or a fresh one where unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -16,37 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import cut, row_key, shuffle_width, slices
+from cairnwatch.llm.common import Spans, mix, row_key, shuffle_width, slices
 
 BINS, BITS, SHINGLE = 256, 8, 5
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the hash's base and of its inverse modulo 2**64, grown as needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def reach(cls, n: int) -> None:
-        if len(cls.up) < n:
-            base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-            n = 1 << (n - 1).bit_length()
-            cls.up = np.r_[np.uint64(1), np.cumprod(np.full(n - 1, base, np.uint64))]
-            cls.down = np.r_[np.uint64(1), np.cumprod(np.full(n - 1, inverse, np.uint64))]
-
-
 def orders(bins: int = BINS, seed: int = 20140622) -> np.ndarray:
     """For each bin the order in which it looks for a bin to borrow from."""
     return np.argsort(np.random.default_rng(seed).random((bins, bins)), axis=1)
@@ -61,12 +38,9 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    _Powers.reach(len(data) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _Powers.up[: len(data)])]
-    word = _mix((sums[ends] - sums[starts]) * _Powers.down[starts])
+    word = Spans(data).hashes(starts, ends)
     text = np.searchsorted(ends_of, starts, "right")
-    del sums
-    lanes = _mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    lanes = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
     counts = np.bincount(text, minlength=len(texts))
     found_text, found = [], []
     if len(word) >= size:
@@ -75,7 +49,7 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
             h += word[j : len(word) - size + 1 + j] * lanes[j]
         whole = text[: len(h)] == text[size - 1 :]
         found_text.append(text[: len(h)][whole])
-        found.append(_mix(h[whole]))
+        found.append(mix(h[whole]))
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
         first = np.searchsorted(text, short)
@@ -84,7 +58,7 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
             at = np.minimum(first + j, len(word) - 1)
             h = h + np.where(counts[short] > j, word[at] * lanes[j], np.uint64(0))
         found_text.append(short)
-        found.append(_mix(h))
+        found.append(mix(h))
     return np.concatenate(found_text), np.concatenate(found)
 
 

@@ -10,7 +10,7 @@ on that likelihood.
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,29 +19,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import slices
+from cairnwatch.llm.common import Spans, slices
 
 #: At most so many toxic and so many other labelled texts are fitted on, those with the smallest hash.
-FIT_TOXIC, FIT_OTHER = 1500, 3000
+FIT_TOXIC, FIT_OTHER = 1000, 3000
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 18, 8, 8, (3, 6)
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-def grams(word: str, lowest: int = NGRAMS[0], highest: int = NGRAMS[1], buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's character n-grams and of the word itself, marked at both ends."""
-    w = f"<{word.strip(_STRIP) or word}>"
-    found = {w} | {w[i : i + n] for n in range(lowest, highest + 1) for i in range(len(w) - n + 1)}
-    return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) & (buckets - 1) for g in found})
+def grams(words: list[str], lowest: int = NGRAMS[0], highest: int = NGRAMS[1], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, bucket) of the character n-grams of words and of the words themselves, marked at both ends."""
+    marked = [f"<{w.strip(_STRIP) or w}>" for w in words]
+    length = np.fromiter(map(len, marked), np.int64, len(marked))
+    begin = np.cumsum(length) - length
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    spans = Spans(codes)
+    word = np.repeat(np.arange(len(marked)), length)
+    left = np.repeat(begin + length, length) - np.arange(len(codes))  # code points from here to the word's end
+    found = [(np.arange(len(marked)), spans.hashes(begin, begin + length) ^ np.uint64(1))]
+    for n in range(lowest, highest + 1):
+        at = np.flatnonzero(left >= n)
+        found.append((word[at], spans.hashes(at, at + n)))
+    return np.concatenate([w for w, _ in found]), (np.concatenate([h for _, h in found]) & np.uint64(buckets - 1)).astype(np.int32)
 
 
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _informative(listed: list[list[int]], words: np.ndarray, counts: np.ndarray, y: np.ndarray, least_z: float, least_texts: int) -> np.ndarray:
-    """Flags of the n-grams whose share of texts differs by label beyond chance; others would only be memorised."""
-    n = np.array([len(g) for g in listed])
-    flat, at = np.array([g for gs in listed for g in gs], np.int64), np.r_[0, np.cumsum(n)]
+def _informative(flat: np.ndarray, n: np.ndarray, words: np.ndarray, counts: np.ndarray, y: np.ndarray, least_z: float, least_texts: int) -> np.ndarray:
+    """Flags of the n-grams whose share of texts differs by label beyond chance; others would only be memorised.
+
+    flat: the n-grams of word after word, n of each; words: the texts' words, counts of each text.
+    """
+    at = np.cumsum(n) - n
     texts = np.zeros((2, BUCKETS), np.float64)
     begin = 0
     for label, count in zip(y.astype(int).tolist(), counts.tolist()):
@@ -64,8 +75,9 @@ class Model:
     bias: float
     window: int = WINDOW
 
-    def word_logit(self, word: str) -> float:
-        return float(self.bucket_logit[grams(word, buckets=len(self.bucket_logit))].mean())
+    def word_logits(self, words: list[str]) -> np.ndarray:
+        word, bucket = grams(words, buckets=len(self.bucket_logit))
+        return np.bincount(word, self.bucket_logit[bucket], len(words)) / np.bincount(word, minlength=len(words))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -82,22 +94,32 @@ def fit(texts: list[str | None], toxic: list[int], weights: list[float] | None =
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))), 0)
-    each = [tokens(t) or [""] for t in texts]
-    counts = np.array([len(ws) for ws in each])
     vocabulary: dict[str, int] = {}
-    words = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in each for w in ws], np.int32)
-    del each
-    listed = [grams(w) for w in vocabulary]
-    whole = np.array([len(g) for g in listed])
-    flags = _informative(listed, words, counts, y, least_z, least_texts)
-    listed = [[g for g in gs if flags[g]] for gs in listed]
+    coded, sizes = array("i"), []
+    for t in texts:
+        ws = tokens(t) or [""]
+        coded.extend(vocabulary.setdefault(w, len(vocabulary)) for w in ws)
+        sizes.append(len(ws))
+    words, counts = np.frombuffer(coded, np.int32), np.array(sizes)
+    every, listed, sizes = list(vocabulary), [], []
+    del vocabulary
+    for at in range(0, len(every), 20_000):  # in parts, for the driver's memory
+        part = every[at : at + 20_000]
+        word, bucket = grams(part)
+        listed.append(bucket[np.argsort(word, kind="stable")])
+        sizes.append(np.bincount(word, minlength=len(part)))
+    flat, whole = np.concatenate(listed), np.concatenate(sizes)
+    del every, listed
+    kept = _informative(flat, whole, words, counts, y, least_z, least_texts)[flat]
+    kept_n = np.add.reduceat(kept, np.cumsum(whole) - whole, dtype=np.int64)
+    flat, kept_at = flat[kept], np.cumsum(kept_n) - kept_n
     n_windows = -(-counts // WINDOW)
-    within = np.arange(len(words)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
-    window = np.repeat(np.r_[0, np.cumsum(n_windows)[:-1]], counts) + within // WINDOW
+    within = np.arange(len(words), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+    window = np.repeat((np.cumsum(n_windows) - n_windows).astype(np.int32), counts) + within // np.int32(WINDOW)
+    del within
     window_n = np.bincount(window, minlength=int(n_windows.sum())).astype(np.float32)
     doc_of = np.repeat(np.arange(len(counts)), n_windows)
     # Only windows that hold an informative n-gram have a vector; all others have the bias alone.
-    kept_n = np.array([len(g) for g in listed])
     told = np.flatnonzero(kept_n[words])
     weight = np.asarray(weights if weights is not None else np.ones(len(y)), np.float64)
     weight = weight / weight.sum()
@@ -106,9 +128,9 @@ def fit(texts: list[str | None], toxic: list[int], weights: list[float] | None =
     if not len(told):
         return Model(np.zeros(BUCKETS, np.float32), bias)
     spoken, word = np.unique(words[told], return_inverse=True)
-    used, gram = np.unique(np.array([g for w in spoken for g in listed[w]], np.int64), return_inverse=True)
     gram_n = kept_n[spoken]
-    gram_at = np.r_[0, np.cumsum(gram_n)[:-1]]
+    gram_at = np.cumsum(gram_n) - gram_n
+    used, gram = np.unique(flat[np.repeat(kept_at[spoken] - gram_at, gram_n) + np.arange(gram_n.sum())], return_inverse=True)
     scale = 1 / whole[spoken]
     live, at = np.unique(window[told], return_inverse=True)
     doc, blank = doc_of[live], n_windows - np.bincount(doc_of[live], minlength=len(counts))
@@ -142,31 +164,22 @@ def fit(texts: list[str | None], toxic: list[int], weights: list[float] | None =
     return Model(logit, float(b[1] - b[0]))
 
 
-class Scorer:
-    """Scores texts, keeping the logits of words seen before (a bounded number)."""
-
-    def __init__(self, model: Model, most: int = 400_000) -> None:
-        self.model, self.most, self.known = model, most, {}
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        model, known = self.model, self.known
-        if not model.window:
-            return np.full(len(texts), 1 / (1 + np.exp(-model.bias)))
-        each = [tokens(t) or [""] for t in texts]
-        if len(known) > self.most:
-            known.clear()
-        for w in {w for ws in each for w in ws}:
-            if w not in known:
-                known[w] = model.word_logit(w)
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        logits = np.fromiter((known[w] for ws in each for w in ws), np.float64, int(counts.sum()))
-        n_windows = -(-counts // model.window)
-        doc_at = np.r_[0, np.cumsum(n_windows)[:-1]]
-        within = np.arange(len(logits)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
-        window = np.repeat(doc_at, counts) + within // model.window
-        win_at = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
-        z = np.add.reduceat(logits, win_at) / np.diff(np.r_[win_at, len(window)]) + model.bias
-        return -np.expm1(-np.add.reduceat(_softplus(z), doc_at))
+def score(model: Model, texts: list[str | None]) -> np.ndarray:
+    """Each text's probability of at least one toxic window."""
+    if not model.window:
+        return np.full(len(texts), 1 / (1 + np.exp(-model.bias)))
+    each = [tokens(t) or [""] for t in texts]
+    counts = np.fromiter(map(len, each), np.int64, len(each))
+    flat = pa.array([w for ws in each for w in ws], pa.string()).dictionary_encode()
+    del each
+    logits = model.word_logits(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)]
+    n_windows = -(-counts // model.window)
+    doc_at = np.cumsum(n_windows) - n_windows
+    within = np.arange(len(logits)) - np.repeat(np.cumsum(counts) - counts, counts)
+    window = np.repeat(doc_at, counts) + within // model.window
+    win_at = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+    z = np.add.reduceat(logits, win_at) / np.diff(np.r_[win_at, len(window)]) + model.bias
+    return np.clip(-np.expm1(-np.add.reduceat(_softplus(z), doc_at)), 0.0, 1.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -203,10 +216,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for part in slices(batches):
-            got = scorer(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.clip(got, 0.0, 1.0))], ["doc_id", "score"])
+            got = score(shared.value, part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got)], ["doc_id", "score"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -218,9 +230,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     columns = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for part in slices(batches):
-            keep = scorer(part.column(part.schema.get_field_index("text")).to_pylist()) < threshold
+            keep = score(shared.value, part.column("text").to_pylist()) < threshold
             yield part.filter(pa.array(keep)).select(columns)
 
     return docs.mapInArrow(run, docs.schema)
