@@ -232,7 +232,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, near_span: int
 
 def _merged(passes: list[DataFrame]) -> DataFrame:
     """Unites the hits of several blocks for each document."""
-    every = passes[0]
+    every, n_passes = passes[0], len(passes)
     for p in passes[1:]:
         every = every.unionByName(p)
 
@@ -247,7 +247,7 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
         one["spans"] = [[{"s": s, "e": e} for s, e in spans]]
         for c in ("items", "near_items"):
             one[c] = [sorted({i for xs in pdf[c] for i in xs})]
-        times = max(1, len(pdf) // len(passes))
+        times = max(1, len(pdf) // n_passes)
         return pd.concat([one] * times)
 
     return every.groupBy("key").applyInPandas(merge, _MATCH)

@@ -97,22 +97,40 @@ def solve(hist: DataFrame, sources: DataFrame, cap: float = 3.0, tolerance: floa
     raise RuntimeError("entropy balancing did not settle")
 
 
-def _diffused(cap: float):
-    """Copies of one group: each rate's floor or ceiling, the error handed on to the next shorter document."""
+def _closed(words: np.ndarray, copies: np.ndarray, left: float, cap: int, pairs_of: int = 300) -> np.ndarray:
+    """Takes one copy more or less of the documents that bring the words left over closest to none.
+
+    Moves single documents, then in groups of up to pairs_of (where rounding weighs most) two at a time.
+    """
+    while True:
+        up, down = np.where(copies < cap, words, 0), np.where(copies > 0, -words, 0)
+        moves = np.concatenate([up, down])
+        best = int(np.argmin(np.abs(left - moves)))
+        chosen = [best] if abs(left - moves[best]) < abs(left) - 1e-6 else []
+        if not chosen and len(words) <= pairs_of:
+            sums = moves[:, None] + moves[None, :]
+            i, j = np.unravel_index(int(np.argmin(np.abs(left - sums))), sums.shape)
+            if abs(left - sums[i, j]) < abs(left) - 1e-6 and i % len(words) != j % len(words):
+                chosen = [int(i), int(j)]
+        if not chosen:
+            return copies
+        for m in chosen:
+            left -= moves[m]
+            copies[m % len(words)] += 1 if m < len(words) else -1
+
+
+def _diffused(cap: int):
+    """Copies of one group: rates rounded, each error handed on to the next shorter document."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable", ignore_index=True)
-        floor = np.floor(pdf["rate"].to_numpy())
-        part = (pdf["rate"].to_numpy() - floor).tolist()
         words = (pdf["size"] * pdf["times"]).tolist()
-        up, carry = np.zeros(len(pdf), np.int64), 0.0
-        for i, (p, w) in enumerate(zip(part, words)):
-            want = carry + p * w
-            if (want >= w / 2 if w else p >= 0.5) and p > 0:
-                up[i] = 1
-                want -= w
-            carry = want
-        pdf["copies"] = np.minimum(floor.astype(np.int64) + up, int(cap))
+        copies, carry = [], 0.0
+        for r, w in zip(pdf["rate"].tolist(), words):
+            n = min(cap, max(0, int(np.floor(r + (carry / w if w else 0.0) + 0.5))))
+            carry += (r - n) * w
+            copies.append(n)
+        pdf["copies"] = _closed(np.array(words, np.int64), np.array(copies, np.int64), carry, cap)
         return pdf[["key", "source_key", "copies"]]
 
     return run
