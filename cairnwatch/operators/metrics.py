@@ -27,7 +27,7 @@ def user_stats(users: DataFrame, jobs: DataFrame, results: DataFrame, bookmarks:
         return rows.groupBy("user_id").agg(
             F.count("job_id").alias("n_jobs"), F.count(F.when(F.col("status") == "F", 1)).alias("n_done"), F.countDistinct("result_id").alias("n_results"),
             F.round(F.avg("score"), 6).alias("avg_score"), F.count("bookmark_id").alias("n_bookmarks"))
-    r = jobs.join(results, "job_id").groupBy("user_id").agg(F.countDistinct("result_id").alias("n_results"), F.round(F.avg("score"), 6).alias("avg_score"))
+    r = jobs.join(results, "job_id").groupBy("user_id").agg(F.countDistinct("result_id").alias("n_results"), F.round(F.avg("score"), 7).alias("avg_score"))
     j = jobs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_jobs"), F.count(F.when(F.col("status") == "F", 1)).alias("n_done"))
     b = bookmarks.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_bookmarks"))
     rows = users.join(j, "user_id", "left").join(r, "user_id", "left").join(b, "user_id", "left")

@@ -42,19 +42,20 @@ def _hit(technique: str, count: Column, keywords: Column, **more: Column) -> Col
 def rule_v1(docs: DataFrame, keywords: list[tuple[str, str]], signals: list[tuple[str, str]] = (), min_confidence: float = 0.1) -> DataFrame:
     """Whole-word keyword hits; signals add to the count and their own keywords; 0.4 + 0.1 for each distinct, 0.9 at most."""
     words, phrases = grouped(keywords), grouped(list(signals))
-    none = F.array().cast("array<string>")
-    hits = []
+    # Each pattern runs once; the techniques' hits refer to what it found.
+    found = {t: F.transform(F.regexp_extract_all("text", F.lit(tx.word_pattern(ks)), 0), lambda m: F.lower(m)).alias(f"f{i}") for i, (t, ks) in enumerate(sorted(words.items()))}
+    fired = {t: reduce(lambda a, b: a | b, [F.lower("text").contains(p) for p in ps]).alias(f"s{i}") for i, (t, ps) in enumerate(sorted(phrases.items()))}
+    rows = docs.select("doc_id", *found.values(), *fired.values())
+    none, hits = F.array().cast("array<string>"), []
     for technique in sorted(words.keys() | phrases.keys()):
-        found = none
-        if technique in words:
-            found = F.transform(F.regexp_extract_all("text", F.lit(tx.word_pattern(words[technique])), 0), lambda m: F.lower(m))
-        count, distinct = F.size(found), F.array_distinct(found)
+        own = F.col(f"f{sorted(words).index(technique)}") if technique in words else none
+        count, distinct = F.size(own), F.array_distinct(own)
         if technique in phrases:
-            fired = reduce(lambda a, b: a | b, [F.lower("text").contains(p) for p in phrases[technique]])
-            count = count + F.when(fired, SIGNAL_COUNT).otherwise(0)
-            distinct = F.when(fired, F.array_union(distinct, F.array(*map(F.lit, SIGNAL_KEYWORDS.get(technique, []))))).otherwise(distinct)
-        hits.append(_hit(technique, count, distinct))
-    rows = docs.select("doc_id", F.explode(F.filter(F.array(*hits), lambda h: h["match_count"] > 0)).alias("h")).select("doc_id", "h.*")
+            on = F.col(f"s{sorted(phrases).index(technique)}")
+            count = count + F.when(on, SIGNAL_COUNT).otherwise(0)
+            distinct = F.when(on, F.array_union(distinct, F.array(*map(F.lit, SIGNAL_KEYWORDS.get(technique, []))))).otherwise(distinct)
+        hits.append(F.when(count > 0, _hit(technique, count, distinct)))
+    rows = rows.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("doc_id", "h.*")
     confidence = F.least(F.lit(0.9), F.lit(0.4) + F.lit(0.1) * F.size("keywords"))
     return rows.withColumn("confidence", F.round(confidence, 6)).where(F.col("confidence") >= min_confidence)
 
@@ -62,28 +63,34 @@ def rule_v1(docs: DataFrame, keywords: list[tuple[str, str]], signals: list[tupl
 def rule_v2(docs: DataFrame, keywords: list[tuple[str, str]], contexts: list[tuple[str, str, str]] = (), min_confidence: float = 0.1) -> DataFrame:
     """Keywords of three and more letters anywhere in the text, overlapping, with context boosts and proximity."""
     words = {t: sorted({k.lower() for k in ks if len(k) > 2}) for t, ks in grouped(keywords).items()}
-    context = {t: p for _, p, ts in contexts for t in ts.split(",")}
+    context = {t: i for i, (_, _, ts) in enumerate(contexts) for t in ts.split(",")}
+    names = {k: f"k{i}" for i, k in enumerate(sorted({k for ks in words.values() for k in ks}))}
     low = F.col("low")
+
+    def seen(k: str) -> Column:
+        # Only a keyword whose end is also its beginning can overlap itself.
+        overlaps = any(k[:n] == k[-n:] for n in range(1, len(k)))
+        n = F.regexp_count(low, F.lit(f"(?={tx.escape(k)})")) if overlaps else ((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("int")
+        last = F.length(low) - F.instr(F.reverse(low), k[::-1]) - len(k) + 2
+        return F.when(low.contains(k), F.struct(n.alias("n"), F.instr(low, k).alias("first"), last.alias("last")))
+
+    # Each keyword and each context is looked for once; the techniques refer to what was found.
+    rows = docs.select("doc_id", "text", F.lower("text").alias("low"))
+    rows = rows.select("doc_id", *[seen(k).alias(c) for k, c in names.items()], *[F.regexp_extract_all("text", F.lit(f"(?i){tx.LEFT}(?:{p})"), 0).alias(f"c{i}") for i, (_, p, _) in enumerate(contexts)])
     hits = []
     for technique in sorted({t for t, ks in words.items() if ks} | context.keys()):
-        counts = [F.regexp_count(low, F.lit(f"(?={tx.escape(k)})")) for k in words.get(technique, [])]
-        count = reduce(lambda a, b: a + b, counts, F.lit(0))
-        found = F.filter(F.array(*[F.when(c > 0, F.lit(k)) for c, k in zip(counts, words.get(technique, []))]).cast("array<string>"), lambda k: k.isNotNull())
-        firsts = [F.when(F.instr(low, k) > 0, F.instr(low, k)) for k in words.get(technique, [])]
-        lasts = [F.when(F.instr(low, k) > 0, F.length(low) - F.instr(F.reverse(low), k[::-1]) - len(k) + 2) for k in words.get(technique, [])]
-        first = F.array_min(F.array(*firsts)) if firsts else F.lit(None).cast("int")
-        last = F.array_max(F.array(*lasts)) if lasts else F.lit(None).cast("int")
-        near = F.array().cast("array<string>")
-        if technique in context:
-            near = F.transform(F.regexp_extract_all("text", F.lit(f"(?i){tx.LEFT}(?:{context[technique]})"), 0), lambda m: m)
+        own = [(k, F.col(names[k])) for k in words.get(technique, [])]
+        count = reduce(lambda a, b: a + b, [F.coalesce(c["n"], F.lit(0)) for _, c in own], F.lit(0))
+        found = F.array_compact(F.array(*[F.when(c.isNotNull(), F.lit(k)) for k, c in own])).cast("array<string>")
+        first, last = (f(F.array(*[c[n] for _, c in own])) if own else F.lit(None).cast("int") for f, n in ((F.array_min, "first"), (F.array_max, "last")))
+        near = F.col(f"c{context[technique]}") if technique in context else F.array().cast("array<string>")
         only = (count == 0) & (F.size(near) > 0)
         total = F.when(only, F.size(near)).otherwise(count)
         # Context matches join the keywords; for a technique without keyword hits they stand alone.
         distinct = F.array_distinct(F.concat(found, near))
         boost = F.when(only, F.lit(0.8)).when(F.size(near) > 0, F.lit(1.2)).otherwise(F.lit(1.0))
-        hits.append(_hit(technique, total, distinct, boost=boost, context_only=only, first=first, last=last, n_positions=count))
-    rows = docs.select("doc_id", "text", F.lower("text").alias("low"))
-    rows = rows.select("doc_id", F.explode(F.filter(F.array(*hits), lambda h: h["match_count"] > 0)).alias("h")).select("doc_id", "h.*")
+        hits.append(F.when(total > 0, _hit(technique, total, distinct, boost=boost, context_only=only, first=first, last=last, n_positions=count)))
+    rows = rows.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("doc_id", "h.*")
     return score_v2(rows).where(F.col("confidence") >= min_confidence)
 
 
