@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from cairnwatch.llm import queries, toxicity
-from tests.llm.test_near_and_leaks import brute_components, brute_fingerprint, brute_hits
+from tests.llm.test_near_and_leaks import brute_hits, brute_similar
 
 
 def auc(scores, labels):
@@ -73,8 +73,7 @@ def test_pipeline_stages_match_brute_force(spark, sf_dir):
     bad = {r.doc_id for r in toxicity.scored(docs, model).where("score >= 0.3").collect()}
     assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad and bad
     single = step("near_duplicates", clean)
-    fps = [(r.doc_id, brute_fingerprint(r.text, 5)) for r in clean.collect()]
-    want = {c for c in brute_components(fps).values()}
+    want = {c for c in brute_similar([(r.doc_id, r.text) for r in clean.collect()]).values()}
     assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == sorted(want)
     safe = step("decontamination", single)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -97,6 +97,57 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def brute_similar(docs, k=5, least=0.8):
+    """Smallest doc_id of each document's group of similar texts, all pairs compared."""
+    sets = {}
+    for d, t in docs:
+        words = (t or "").lower().split()
+        sets[d] = {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+    label = {d: d for d, _ in docs}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    ids = sorted(label)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or len(x & y) >= least * len(x | y) > 0:
+                p, q = sorted((root(a), root(b)))
+                label[q] = p
+    return {d: root(d) for d in ids}
+
+
+def test_similar_groups_find_near_copies(make_docs):
+    import random
+
+    from tests.llm.conftest import rows
+
+    rng = random.Random(11)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(vocabulary, k=rng.randint(30, 400))
+        texts.append(" ".join(base))
+        for share in (0.005, 0.01, 0.015):
+            changed = list(base)
+            for i in rng.sample(range(len(base)), max(1, int(share * len(base)))):
+                changed[i] = rng.choice(vocabulary)
+            texts.append(" ".join(changed))
+    texts += [texts[0], "", "  ", "short text"]
+    want = brute_similar(list(enumerate(texts)))
+    found = simhash.similar_groups(make_docs(rows(*texts)), block_variants=50_000).collect()
+    least = {}
+    for r in found:
+        least[r.label] = min(r.doc_id, least.get(r.label, r.doc_id))
+    got = {r.doc_id: least[r.label] for r in found}
+    assert len(got) == len(texts)
+    assert sum(got[d] != want[d] for d in want) <= 2  # a pair at the threshold may not meet
+    assert all(want[got[d]] == want[d] for d in want)  # and nothing else is linked
+
+
 def brute_hits(docs, items, window=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
