@@ -114,7 +114,8 @@ def deduplicate(docs: DataFrame, min_words: int = 50) -> DataFrame:
     by_doc = cut(by_doc, "lines-gone")
     o, x = _identity(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), o.alias("o"), x.alias("x"))
-    rows = rows.join(by_doc, ["o", "x"], "left")
+    # What is deleted grows with the input: never broadcast it, however small it is here.
+    rows = rows.join(by_doc.hint("merge"), ["o", "x"], "left")
     parts = F.split("text", "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
