@@ -29,14 +29,16 @@ def _advance(key: tuple, batches, state: GroupState):
         if (int(last.ts_us), int(last.event_id)) > (ts, event_id):
             ts, event_id, kind = int(last.ts_us), int(last.event_id), last.event_type
     state.update((n, ts, event_id, kind))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    # A state lives for a day after its last event, in event time.
+    state.setTimeoutTimestamp(max(ts // 1000, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
     yield pd.DataFrame({"user_id": [key[0]], "event_type": [kind], "event_id": [event_id], "n_events": [n]})
 
 
-def latest_states(events: DataFrame) -> DataFrame:
+def latest_states(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """The last event of each user as it changes; a state lives for a day after its last event."""
-    rows = events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    return rows.groupBy("user_id").applyInPandasWithState(_advance, LATEST, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = rows.select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("ts_us"))
+    return rows.groupBy("user_id").applyInPandasWithState(_advance, LATEST, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def expire(entries: DataFrame, ttl: str) -> DataFrame:
