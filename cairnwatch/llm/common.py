@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,22 +60,60 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders written by cut() in each call of a tidy operator that is still running, outermost first.
+_WRITTEN: list[set[str]] = []
+
+
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Cuts lineage with a written table in the shared folder; survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _plain(path: str) -> str:
+    """A path without the slashes that file systems write differently after the scheme."""
+    return path.replace("file:///", "/").replace("file:/", "/")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that cut() wrote and nothing reads any more."""
     spark = df.sparkSession
-    root = shared_dir(spark)
+    root = _plain(shared_dir(spark))
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.replace("file:///", "/").startswith(root.replace("file:///", "/").replace("file:/", "/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if _plain(folder).startswith(root):
+            _delete(spark, folder)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that leaves behind only those of its written tables that its result still reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _WRITTEN.append(set())
+        try:
+            result = operator(*args, **kwargs)
+        except BaseException:
+            _WRITTEN.pop()
+            raise
+        written = _WRITTEN.pop()
+        read = {_plain(f.rsplit("/", 1)[0]) for f in result.inputFiles()}
+        kept = {path for path in written if _plain(path) in read}
+        for path in written - kept:
+            _delete(result.sparkSession, path)
+        if _WRITTEN:
+            _WRITTEN[-1].update(kept)
+        return result
+
+    return run
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -135,6 +174,7 @@ def running_total(df: DataFrame, group: str, order: list[Column], tag: str, out:
     )
 
 
+@tidy
 def connected_components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of `edges` (a, b long): label is the smallest node reachable.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import cut, row_key, slices
+from cairnwatch.llm.common import cut, row_key, slices, tidy
 
 #: ASCII bytes outside a word; A-Z become a-z, all bytes of other code points stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -207,6 +207,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator
     yield block
 
 
+@tidy
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, near_span: int | None = None, item_col: str = "item_id", gap: int = 64) -> DataFrame:
     """(doc_id, key, n_words, spans, items, near_items) for each row of docs.
 
@@ -258,6 +259,7 @@ def digest(items: list[int] | np.ndarray) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
+@tidy
 def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """docs without those that hold a window of an item; all columns are kept, null texts stay."""
     hit = matches(docs, items, window).where(F.size("spans") > 0).select(F.col("key").alias("_row_key")).distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import cut, shuffle_width
+from cairnwatch.llm.common import cut, shuffle_width, tidy
 
 WORDS = r"[^\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
@@ -99,6 +99,7 @@ def repeated(lines: DataFrame, min_words: int) -> DataFrame:
     return later.select("o", "x", F.explode(F.sequence("b", "e")).alias("idx")).distinct()
 
 
+@tidy
 def deduplicate(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, n_lines, n_deleted, text) for each row of docs, text without the deleted lines.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import cut, discard, row_key
+from cairnwatch.llm.common import cut, discard, row_key, tidy
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows that one rounding group holds, about.
@@ -136,6 +136,7 @@ def _diffused(cap: int):
     return run
 
 
+@tidy
 def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """(doc_id, key, source_key, size, source_size, target, rate, copies) for each row of docs.
 
@@ -159,6 +160,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3)
     return found.select("doc_id", "key", "source_key", "size", "source_size", "target", r.alias("rate"), "copies")
 
 
+@tidy
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """docs with each row repeated as often as the plan says; all columns are kept."""
     copies = plan(docs, weights, cap).where("copies > 0").select(F.col("key").alias("_row_key"), F.col("source_key").alias("_source_key"), F.col("copies").alias("_copies")).distinct()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import cut, discard, running_total, text_key
+from cairnwatch.llm.common import cut, discard, running_total, text_key, tidy
 
 
 def _groups(rows: DataFrame, most: int) -> DataFrame:
@@ -56,6 +56,7 @@ def propagate(links: DataFrame, capacity: list[int], rounds: int = 8) -> DataFra
     return settled if settled is not None else waiting.select("uid", "shard").where(F.lit(False))
 
 
+@tidy
 def assign(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, grp) for each row of docs, law `rows`.
 
