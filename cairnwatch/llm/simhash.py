@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnwatch.llm.common import connected_components, cut, id_text, mix, row_key, slices, text_key
+from cairnwatch.llm.common import connected_components, cut, id_text, mix, row_key, slices, text_key, tidy
 from cairnwatch.llm.minhash import shingle_hashes
 
 #: Variants that one block lays out at most, about; it bounds a task's memory.
@@ -77,8 +77,8 @@ def _masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def _forest(first: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest, so that a block passes on fewer links than it has members."""
+def _forest(first: np.ndarray, other: np.ndarray) -> list[int]:
+    """Positions of a spanning forest's edges, so that a block passes on fewer links than it has members."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -87,11 +87,11 @@ def _forest(first: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     kept = []
-    for a, b in zip(first.tolist(), other.tolist()):
+    for i, (a, b) in enumerate(zip(first.tolist(), other.tolist())):
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
+            kept.append(i)
     return kept
 
 
@@ -137,7 +137,7 @@ def meetings(fps: np.ndarray, used: np.ndarray, low_bits: int, half: int) -> lis
         return []
     head = _heads(group, owner)
     pairs = np.unique(np.stack([head, owner], 1)[head != owner], axis=0)
-    return _forest(pairs[:, 0], pairs[:, 1]) if len(pairs) else []
+    return [tuple(pairs[i].tolist()) for i in _forest(pairs[:, 0], pairs[:, 1])]
 
 
 def _block(half: int):
@@ -196,6 +196,7 @@ def links(nodes: DataFrame, radius: int = 4, block_variants: int = BLOCK_VARIANT
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, key, fp, label, component_id) for each row of docs.
 
@@ -216,8 +217,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Sub-fingerprints for similarity search: so many bands of so many bits out of 256, within so many differing bits.
 BANDS, BAND_BITS, BAND_RADIUS = 24, 40, 4
-#: Texts of similarity 0.8 differ in 39 of 256 bits on average (standard deviation 6), others in 128 (8).
-MOST_DIFFERING = 80
+BAND_OF = np.array([np.random.default_rng(7 + b).choice(256, BAND_BITS, replace=False) for b in range(BANDS)])
+#: Texts of similarity 0.8 differ in 39 of 256 bits on average (standard deviation 6; 48 between four and five shingles).
+MOST_DIFFERING = 72
+#: Fingerprints of 40 bytes that one block of a band holds at most, about, and variants laid out at a time; both bound a task's memory.
+BLOCK_ROWS, PART_VARIANTS = 4_000_000, 1_000_000
+#: Disjoint spanning forests of a band's pairs that are verified.
+FORESTS = 3
+WORDS = ["f0", "f1", "f2", "f3"]
 
 
 def wide_bits(texts: list[str | None], shingle: int) -> np.ndarray:
@@ -240,42 +247,83 @@ def wide_bits(texts: list[str | None], shingle: int) -> np.ndarray:
 
 
 def _wide(shingle: int):
-    subsets = np.array([np.random.default_rng(7 + b).choice(256, BAND_BITS, replace=False) for b in range(BANDS)])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            bits = wide_bits(part.column("text").to_pylist(), shingle)
-            packed = np.zeros((len(bits), BANDS, 8), np.uint8)
-            packed[:, :, : BAND_BITS // 8] = np.packbits(bits[:, subsets], axis=2, bitorder="little")
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(bits) + 1, BANDS), pa.int32()), pa.array(packed.view(np.int64).ravel()))
-            four = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "key", "text_key")] + [bands] + [pa.array(four[:, j]) for j in range(4)], ["doc_id", "key", "text_key", "bands", "f0", "f1", "f2", "f3"])
+            four = np.packbits(wide_bits(part.column("text").to_pylist(), shingle), axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "key", "text_key")] + [pa.array(four[:, j]) for j in range(4)], ["doc_id", "key", "text_key", *WORDS])
 
     return run
 
 
-def _band_pairs(half: int, block_variants: int):
-    """Candidate pairs of one band's block, laid out part by part so that memory stays bounded."""
+def band(four: np.ndarray, b: int) -> np.ndarray:
+    """Sub-fingerprint b of fingerprints given as rows of four words."""
+    out = np.zeros(len(four), np.uint64)
+    for at in range(0, len(four), 1 << 15):
+        bits = np.unpackbits(np.ascontiguousarray(four[at : at + (1 << 15)]).view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
+        packed = np.zeros((len(bits), 8), np.uint8)
+        packed[:, : BAND_BITS // 8] = np.packbits(bits[:, BAND_OF[b]], axis=1, bitorder="little")
+        out[at : at + (1 << 15)] = packed.view(np.uint64).ravel()
+    return out
+
+
+def _to_blocks(depth: int, half: int):
+    """Sends each fingerprint, for each band, to all blocks that hold variants of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            four = np.stack([batch.column(c).to_numpy() for c in WORDS], 1)
+            for b in range(BANDS):
+                lead = band(four, b) >> np.uint64(BAND_BITS - depth)
+                for m in _masks(depth, half):
+                    to = [pa.array(np.full(len(four), b, np.int32)), pa.array((lead ^ m).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(to + [batch.column(c) for c in ("id", *WORDS)], ["band", "block", "id", *WORDS])
+
+    return run
+
+
+def _nearest_forests(four: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of pairs within MOST_DIFFERING bits those of FORESTS disjoint spanning forests, by least differing bits.
+
+    A pair left out has so many paths of other pairs that each differ in no more bits than
+    it does, so a large group passes on few pairs a member; the forests of a union of pair
+    sets are those of the union of their forests.
+    """
+    apart = np.bitwise_count(four[pairs[:, 0]] ^ four[pairs[:, 1]]).sum(1)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], apart))
+    pairs = pairs[order[: int((apart <= MOST_DIFFERING).sum())]]
+    kept = np.zeros(len(pairs), bool)
+    for _ in range(FORESTS):
+        rest = np.flatnonzero(~kept)
+        kept[rest[_forest(pairs[rest, 0], pairs[rest, 1])]] = True
+    return pairs[kept]
+
+
+def _band_pairs(depth: int, half: int, part_variants: int):
+    """The nearest pairs that meet in one band's block, laid out part by part so that memory stays bounded."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps, used, ids = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["used"].to_numpy(), pdf["id"].to_numpy()
-        low = BAND_BITS - int(pdf["depth"].iloc[0])
-        more = min(low, max(0, math.ceil(math.log2(max(1, len(fps) * len(_masks(low, half)) / block_variants)))))
+        four, ids = pdf[WORDS].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy()
+        fps = band(four, int(pdf["band"].iloc[0]))
+        used = np.bitwise_count((fps >> np.uint64(BAND_BITS - depth)) ^ np.uint64(pdf["block"].iloc[0]))
+        low = BAND_BITS - depth
+        more = min(low, max(0, math.ceil(math.log2(max(1, len(fps) * len(_masks(low, half)) / part_variants)))))
         lead = (fps >> np.uint64(low - more)) & np.uint64((1 << more) - 1)
-        found = []
+        kept = np.zeros((0, 2), np.int64)
         for part in range(1 << more):
             spent = used + np.bitwise_count(lead ^ np.uint64(part))
             own = np.flatnonzero(spent <= half)
             group, owner = collisions(fps[own], spent[own], low - more, half)
             if len(group):
-                owner = own[owner]
+                owner = own[owner].astype(np.int64)
                 # The first with each, and each with the next three: all pairs of four and fewer.
-                pairs = [np.stack([_heads(group, owner), owner], 1)]
-                pairs += [np.stack([owner[:-k], owner[k:]], 1)[group[:-k] == group[k:]] for k in (1, 2, 3)]
-                found.append(np.unique(np.concatenate(pairs), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).query("a != b").drop_duplicates()
+                codes = np.unique(_heads(group, owner) * len(fps) + owner)
+                for k in (1, 2, 3):
+                    together = group[:-k] == group[k:]
+                    codes = np.union1d(codes, owner[:-k][together] * len(fps) + owner[k:][together])
+                pairs = np.stack(np.divmod(np.union1d(codes, kept[:, 0] * len(fps) + kept[:, 1]), len(fps)), 1)
+                kept = _nearest_forests(four, pairs[pairs[:, 0] != pairs[:, 1]])
+        a, b = ids[kept[:, 0]], ids[kept[:, 1]]
+        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return run
 
@@ -288,55 +336,58 @@ def _similar(shingle: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, left = [], None, set()
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if x != last:
-                    last, left = x, shingles(x)
-                right = shingles(y)
-                both = len(left & right)
-                keep.append(both >= least * (len(left) + len(right) - both))
+            for at in range(0, batch.num_rows, 128):  # few texts at a time as Python objects
+                some = batch.slice(at, 128)
+                for x, y in zip(some.column("text_a").to_pylist(), some.column("text_b").to_pylist()):
+                    if x != last:
+                        last, left = x, shingles(x)
+                    right = shingles(y)
+                    both = len(left & right)
+                    keep.append(both >= least * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
     return run
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_variants: int = BLOCK_VARIANTS) -> DataFrame:
+@tidy
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part_variants: int = PART_VARIANTS) -> DataFrame:
     """(doc_id, key, label) for each row of docs: rows of one label are linked by similar or equal texts.
 
     Texts are similar whose sets of word shingles have a Jaccard similarity of `similarity`
     or more. At 0.8, fingerprints of 64 bits differ in ten bits, too many for half-radius
     variants; so 256 bits are taken in BANDS overlapping sub-fingerprints, each ball-hashed
-    by itself, and colliding pairs are verified: by all 256 bits, then by the shingles
-    themselves. At exactly 0.8 about nineteen of twenty pairs meet, at 0.85 nearly all.
-    Where more than four meet on a variant, each is paired with the first and its next
-    three; the rest of a large group links through them. Null and empty texts are alike.
+    by itself, and colliding pairs are verified: by all 256 bits where they meet, then by
+    the shingles themselves. At exactly 0.8 about nineteen of twenty pairs meet, at 0.85
+    nearly all. Where more than four meet on a variant, each is paired with the first and
+    its next three, and of a band's pairs those of FORESTS disjoint minimum spanning forests
+    by differing bits are verified, so that a group of copies of any size costs at most as
+    many pairs a member and band. Null and empty texts are alike.
     """
     half = BAND_RADIUS // 2
     rows = id_text(docs).select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"), text_key(F.col("text")).alias("text_key"))
-    rows = cut(rows.mapInArrow(_wide(shingle), "doc_id long, key binary, text_key binary, bands array<long>, f0 long, f1 long, f2 long, f3 long"), "similar-rows")
-    marks = ["f0", "f1", "f2", "f3"]
-    nodes = rows.groupBy("text_key").agg(F.min("key").alias("first_key"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in marks])
+    rows = cut(rows.mapInArrow(_wide(shingle), "doc_id long, key binary, text_key binary, f0 long, f1 long, f2 long, f3 long"), "similar-rows")
+    nodes = rows.groupBy("text_key").agg(F.min("key").alias("first_key"), *[F.first(c).alias(c) for c in WORDS])
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "similar-nodes")
-    n = nodes.count()
-    # A block's task lays its variants out part by part, so blocks may be far larger than a part.
-    bits = min(16, max(0, math.ceil(math.log2(max(1, n * len(_masks(BAND_BITS, half)) / (40 * block_variants))))))
-    placed = nodes.select("id", F.posexplode("bands").alias("band", "fp")).select("id", "band", "fp", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("used"))
-    placed = _routed(placed, bits, half, BAND_BITS) if bits else placed
-    found = placed.groupBy("band", "block").applyInPandas(_band_pairs(half, block_variants), "a long, b long").distinct()
+    # A block's task lays its variants out part by part, so only its fingerprints must fit; each further bit costs copies.
+    depth = max(0, math.ceil(math.log2(max(1, nodes.count() / BLOCK_ROWS))))
+    placed = nodes.select("id", *WORDS).mapInArrow(_to_blocks(depth, half), "band int, block long, id long, f0 long, f1 long, f2 long, f3 long")
+    found = cut(placed.groupBy("band", "block").applyInPandas(_band_pairs(depth, half, part_variants), "a long, b long"), "similar-found")
+    pairs = found.distinct()
     for side in "ab":
-        found = cut(found, "similar-pairs").join(nodes.select(F.col("id").alias(side), F.col("first_key").alias(f"key_{side}"), *[F.col(c).alias(f"{c}{side}") for c in marks]), side)
-    differing = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in marks), F.lit(0))
-    pairs = cut(found.where(differing <= MOST_DIFFERING).select("a", "b", "key_a", "key_b"), "similar-near")
+        pairs = cut(pairs, "similar-pairs").join(nodes.select(F.col("id").alias(side), F.col("first_key").alias(f"key_{side}")), side)
+    pairs = cut(pairs, "similar-near")
     wanted = cut(pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct(), "similar-wanted")
     texts = id_text(docs).select("text", row_key(F.col("doc_id"), F.col("text")).alias("key")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
     texts = cut(texts, "similar-texts")
-    for side in "ab":
-        pairs = cut(pairs, "similar-joined").join(texts.select(F.col("key").alias(f"key_{side}"), F.col("text").alias(f"text_{side}")), f"key_{side}")
-    edges = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
+    joined = cut(pairs.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a"), "similar-joined")
+    joined = joined.join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
+    edges = cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long"), "similar-edges")
     labels = connected_components(edges, "similar-cc")
     labelled = cut(nodes.join(labels, nodes["id"] == labels["node"], "left").select("text_key", F.coalesce("label", "id").alias("label")), "similar-labels")
     return rows.select("doc_id", "key", "text_key").join(labelled, "text_key").select("doc_id", "key", "label")
 
 
+@tidy
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group of similar texts the row with the smallest doc_id stays.
 

@@ -138,7 +138,7 @@ def test_similar_groups_find_near_copies(make_docs):
             texts.append(" ".join(changed))
     texts += [texts[0], "", "  ", "short text"]
     want = brute_similar(list(enumerate(texts)))
-    found = simhash.similar_groups(make_docs(rows(*texts)), block_variants=50_000).collect()
+    found = simhash.similar_groups(make_docs(rows(*texts)), part_variants=50_000).collect()
     least = {}
     for r in found:
         least[r.label] = min(r.doc_id, least.get(r.label, r.doc_id))
