@@ -222,8 +222,10 @@ BAND_OF = np.array([np.random.default_rng(7 + b).choice(256, BAND_BITS, replace=
 MOST_DIFFERING = 72
 #: Fingerprints of 40 bytes that one block of a band holds at most, about, and variants laid out at a time; both bound a task's memory.
 BLOCK_ROWS, PART_VARIANTS = 4_000_000, 1_000_000
-#: Disjoint spanning forests of a band's pairs that are verified.
+#: Disjoint spanning forests of a band's pairs that are verified first.
 FORESTS = 3
+#: Pivots of a variant that one later round pairs with all other members: so many, then so many times as many.
+PIVOTS = 16
 WORDS = ["f0", "f1", "f2", "f3"]
 
 
@@ -276,54 +278,135 @@ def _to_blocks(depth: int, half: int):
                 lead = band(four, b) >> np.uint64(BAND_BITS - depth)
                 for m in _masks(depth, half):
                     to = [pa.array(np.full(len(four), b, np.int32)), pa.array((lead ^ m).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(to + [batch.column(c) for c in ("id", *WORDS)], ["band", "block", "id", *WORDS])
+                    yield pa.RecordBatch.from_arrays(to + [batch.column(c) for c in ("id", "label", *WORDS)], ["band", "block", "id", "label", *WORDS])
 
     return run
 
 
+def _apart(four: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Differing bits of each pair, few pairs at a time."""
+    out = np.zeros(len(pairs), np.int16)
+    for at in range(0, len(pairs), 1 << 16):
+        some = pairs[at : at + (1 << 16)]
+        out[at : at + (1 << 16)] = np.bitwise_count(four[some[:, 0]] ^ four[some[:, 1]]).sum(1)
+    return out
+
+
+def _near(four: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The pairs within MOST_DIFFERING bits."""
+    return pairs[_apart(four, pairs) <= MOST_DIFFERING]
+
+
 def _nearest_forests(four: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Of pairs within MOST_DIFFERING bits those of FORESTS disjoint spanning forests, by least differing bits.
+    """Flags of those of FORESTS disjoint spanning forests of the pairs, by least differing bits.
 
-    A pair left out has so many paths of other pairs that each differ in no more bits than
-    it does, so a large group passes on few pairs a member; the forests of a union of pair
-    sets are those of the union of their forests.
+    They are verified first, as a large group then passes on few pairs a member; what they
+    leave out is left to the later rounds.
     """
-    apart = np.bitwise_count(four[pairs[:, 0]] ^ four[pairs[:, 1]]).sum(1)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0], apart))
-    pairs = pairs[order[: int((apart <= MOST_DIFFERING).sum())]]
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], _apart(four, pairs)))
     kept = np.zeros(len(pairs), bool)
     for _ in range(FORESTS):
-        rest = np.flatnonzero(~kept)
+        rest = order[~kept[order]]
         kept[rest[_forest(pairs[rest, 0], pairs[rest, 1])]] = True
-    return pairs[kept]
+    return kept
 
 
-def _band_pairs(depth: int, half: int, part_variants: int):
-    """The nearest pairs that meet in one band's block, laid out part by part so that memory stays bounded."""
+def _central_first(four: np.ndarray, group: np.ndarray, owner: np.ndarray, sample: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, owner, rank): members of a group of over four by their distance from its usual bits, others as they are.
+
+    The text that many others are edited from is then its group's first pivot. The usual bits are
+    those of most of the group's first few members; they decide the order only.
+    """
+    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[begins, len(group)])
+    apart = np.zeros(len(group), np.int64)
+    crowded = np.flatnonzero(size > 4)
+    for at in range(0, len(crowded), 1 << 10):
+        some = crowded[at : at + (1 << 10)]
+        n = np.minimum(size[some], sample)
+        first = np.cumsum(n) - n
+        rows = np.repeat(begins[some] - first, n) + np.arange(n.sum())
+        bits = np.unpackbits(np.ascontiguousarray(four[owner[rows]]).view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
+        usual = np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.uint16) > n[:, None], axis=1, bitorder="little").view(np.uint64)
+        for lo in range(0, len(some), 256):
+            part = some[lo : lo + 256]
+            rows = np.repeat(begins[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())
+            apart[rows] = np.bitwise_count(four[owner[rows]] ^ np.repeat(usual[lo : lo + 256], size[part], axis=0)).sum(1)
+    order = np.lexsort((owner, apart, group))
+    return group, owner[order], np.arange(len(group)) - np.repeat(begins, size)
+
+
+def _band_pairs(depth: int, half: int, part_variants: int, begin: int = 0, end: int = 0):
+    """Pairs (a, b) to verify of one band's block, and (a, -1) for members of which pairs are left for a later round.
+
+    With end = 0, the first round: each variant's first with each, each with the next three,
+    and of these pairs the nearest forests. Otherwise pivots number `begin` to `end` of each
+    variant with all members behind them, where the labels differ; nothing is thinned out.
+    The variants are laid out part by part so that memory stays bounded.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        four, ids = pdf[WORDS].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy()
+        pdf = pdf.sort_values("id")  # so that pivots have the same numbers in every round
+        four, ids, label = pdf[WORDS].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(), pdf["label"].to_numpy()
+        total = len(ids)
         fps = band(four, int(pdf["band"].iloc[0]))
         used = np.bitwise_count((fps >> np.uint64(BAND_BITS - depth)) ^ np.uint64(pdf["block"].iloc[0]))
         low = BAND_BITS - depth
         more = min(low, max(0, math.ceil(math.log2(max(1, len(fps) * len(_masks(low, half)) / part_variants)))))
         lead = (fps >> np.uint64(low - more)) & np.uint64((1 << more) - 1)
-        kept = np.zeros((0, 2), np.int64)
+        kept = np.zeros(0, np.int64)
+        left = np.zeros(total, bool)
         for part in range(1 << more):
             spent = used + np.bitwise_count(lead ^ np.uint64(part))
             own = np.flatnonzero(spent <= half)
             group, owner = collisions(fps[own], spent[own], low - more, half)
-            if len(group):
-                owner = own[owner].astype(np.int64)
-                # The first with each, and each with the next three: all pairs of four and fewer.
-                codes = np.unique(_heads(group, owner) * len(fps) + owner)
+            if not len(group):
+                continue
+            owner = own[owner].astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            size = np.diff(np.r_[starts, len(group)])
+            mixed = np.repeat(np.minimum.reduceat(label[owner], starts) != np.maximum.reduceat(label[owner], starts), size)
+            mixed &= np.repeat(size > begin + 1, size)
+            group, owner = group[mixed], owner[mixed]
+            if not len(group):
+                continue
+            group, owner, rank = _central_first(four, group, owner)
+            starts = np.flatnonzero(rank == 0)
+            behind = np.repeat(np.diff(np.r_[starts, len(group)]), np.diff(np.r_[starts, len(group)])) - rank - 1
+            found = [kept]
+            if not end:
+                head = np.repeat(owner[starts], np.diff(np.r_[starts, len(group)]))
+                found.append(np.unique(np.minimum(head, owner) * total + np.maximum(head, owner)))
                 for k in (1, 2, 3):
                     together = group[:-k] == group[k:]
-                    codes = np.union1d(codes, owner[:-k][together] * len(fps) + owner[k:][together])
-                pairs = np.stack(np.divmod(np.union1d(codes, kept[:, 0] * len(fps) + kept[:, 1]), len(fps)), 1)
-                kept = _nearest_forests(four, pairs[pairs[:, 0] != pairs[:, 1]])
-        a, b = ids[kept[:, 0]], ids[kept[:, 1]]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+                    x, y = owner[:-k][together], owner[k:][together]
+                    found.append(np.unique(np.minimum(x, y) * total + np.maximum(x, y)))
+                left[owner[(rank + behind) >= 4]] = True
+                pairs = np.stack(np.divmod(np.unique(np.concatenate(found)), total), 1)
+                pairs = _near(four, pairs[pairs[:, 0] != pairs[:, 1]])
+                keep = _nearest_forests(four, pairs)
+                left[pairs[~keep].ravel()] = True
+                kept = pairs[keep, 0] * total + pairs[keep, 1]
+                continue
+            left[owner[(rank + behind) > end]] = True
+            pivots = np.flatnonzero((rank >= begin) & (rank < end) & (behind > 0))
+            at = 0
+            while at < len(pivots):  # so many pivots at a time that their pairs are bounded
+                upto = at + max(1, int(np.searchsorted(np.cumsum(behind[pivots[at : at + (1 << 15)]]), 1 << 17)))
+                some = pivots[at:upto]
+                n = behind[some]
+                first = np.repeat(some, n)
+                x, y = owner[first], owner[first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)]
+                differ = label[x] != label[y]
+                x, y = x[differ], y[differ]
+                codes = np.unique(np.minimum(x, y) * total + np.maximum(x, y))
+                near = _near(four, np.stack(np.divmod(codes, total), 1))
+                found.append(near[:, 0] * total + near[:, 1])
+                at = upto
+            kept = np.unique(np.concatenate(found))
+        a, b = (ids[x] for x in np.divmod(kept, total))
+        rest = ids[left]
+        return pd.DataFrame({"a": np.r_[np.maximum(a, b), rest], "b": np.r_[np.minimum(a, b), np.full(len(rest), -1)]})
 
     return run
 
@@ -349,6 +432,20 @@ def _similar(shingle: int, least: float):
     return run
 
 
+@tidy
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts are similar."""
+    for side in "ab":
+        pairs = cut(pairs, "similar-pairs").join(nodes.select(F.col("id").alias(side), F.col("first_key").alias(f"key_{side}")), side)
+    pairs = cut(pairs, "similar-near")
+    wanted = cut(pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct(), "similar-wanted")
+    texts = id_text(docs).select("text", row_key(F.col("doc_id"), F.col("text")).alias("key")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    texts = cut(texts, "similar-texts")
+    joined = cut(pairs.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a"), "similar-joined")
+    joined = joined.join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
+    return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long"), "similar-edges")
+
+
 @tidy
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part_variants: int = PART_VARIANTS) -> DataFrame:
     """(doc_id, key, label) for each row of docs: rows of one label are linked by similar or equal texts.
@@ -358,10 +455,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, p
     variants; so 256 bits are taken in BANDS overlapping sub-fingerprints, each ball-hashed
     by itself, and colliding pairs are verified: by all 256 bits where they meet, then by
     the shingles themselves. At exactly 0.8 about nineteen of twenty pairs meet, at 0.85
-    nearly all. Where more than four meet on a variant, each is paired with the first and
-    its next three, and of a band's pairs those of FORESTS disjoint minimum spanning forests
-    by differing bits are verified, so that a group of copies of any size costs at most as
-    many pairs a member and band. Null and empty texts are alike.
+    nearly all. A first round verifies few pairs a member: on a variant each with the most
+    central one and its next three, of these the nearest forests. Later rounds take the
+    members with pairs left over and compare the variant's pivots, ever more of them, with
+    all members of other groups, until every colliding pair is verified or in one group; a
+    group of copies is then done at once, and only texts that collide without being similar
+    cost pairs by the square. Null and empty texts are alike.
     """
     half = BAND_RADIUS // 2
     rows = id_text(docs).select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"), text_key(F.col("text")).alias("text_key"))
@@ -370,21 +469,27 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, p
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "similar-nodes")
     # A block's task lays its variants out part by part, so only its fingerprints must fit; each further bit costs copies.
     depth = max(0, math.ceil(math.log2(max(1, nodes.count() / BLOCK_ROWS))))
-    placed = nodes.select("id", *WORDS).mapInArrow(_to_blocks(depth, half), "band int, block long, id long, f0 long, f1 long, f2 long, f3 long")
-    found = cut(placed.groupBy("band", "block").applyInPandas(_band_pairs(depth, half, part_variants), "a long, b long"), "similar-found")
-    pairs = found.distinct()
-    for side in "ab":
-        pairs = cut(pairs, "similar-pairs").join(nodes.select(F.col("id").alias(side), F.col("first_key").alias(f"key_{side}")), side)
-    pairs = cut(pairs, "similar-near")
-    wanted = cut(pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct(), "similar-wanted")
-    texts = id_text(docs).select("text", row_key(F.col("doc_id"), F.col("text")).alias("key")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    texts = cut(texts, "similar-texts")
-    joined = cut(pairs.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a"), "similar-joined")
-    joined = joined.join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-    edges = cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long"), "similar-edges")
-    labels = connected_components(edges, "similar-cc")
-    labelled = cut(nodes.join(labels, nodes["id"] == labels["node"], "left").select("text_key", F.coalesce("label", "id").alias("label")), "similar-labels")
-    return rows.select("doc_id", "key", "text_key").join(labelled, "text_key").select("doc_id", "key", "label")
+    open_, begin, end = nodes.select("id", F.col("id").alias("label"), *WORDS), 0, 0
+    tried = edges = labels = None
+    while True:
+        placed = open_.mapInArrow(_to_blocks(depth, half), "band int, block long, id long, label long, f0 long, f1 long, f2 long, f3 long")
+        found = cut(placed.groupBy("band", "block").applyInPandas(_band_pairs(depth, half, part_variants, begin, end), "a long, b long"), "similar-found")
+        pairs = found.where("b >= 0").distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-tried")
+        if not pairs.isEmpty():
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            more = _verified(docs, nodes, pairs, shingle, similarity)
+            edges = more if edges is None else edges.unionByName(more)
+            labels = connected_components(edges, "similar-cc")
+        begin, end = end, PIVOTS if not end else PIVOTS * end
+        left = cut(found.where("b < 0").select(F.col("a").alias("id")).distinct(), "similar-left")
+        if left.isEmpty():
+            break
+        open_ = nodes.select("id", *WORDS).join(left, "id", "left_semi")
+        open_ = open_.withColumn("label", F.col("id")) if labels is None else open_.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        open_ = cut(open_.select("id", "label", *WORDS), "similar-open")
+    labelled = nodes.select("text_key", F.col("id").alias("label")) if labels is None else nodes.join(labels, nodes["id"] == labels["node"], "left").select("text_key", F.coalesce("label", "id").alias("label"))
+    return rows.select("doc_id", "key", "text_key").join(cut(labelled, "similar-labels"), "text_key").select("doc_id", "key", "label")
 
 
 @tidy

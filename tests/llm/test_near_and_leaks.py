@@ -147,6 +147,49 @@ def test_similar_groups_find_near_copies(make_docs):
     assert sum(got[d] != want[d] for d in want) <= 2  # a pair at the threshold may not meet
     assert all(want[got[d]] == want[d] for d in want)  # and nothing else is linked
 
+def test_similar_groups_find_the_base_of_a_star_family(make_docs):
+    import random
+
+    from tests.llm.conftest import rows
+
+    rng = random.Random(5)
+    base = ["b%d" % i for i in range(204)]
+    texts = []
+    for n in range(3000):
+        changed = list(base)
+        for i in rng.sample(range(2, 202, 5), 3):  # three edits apart: 0.86 to the base, about 0.75 to each other
+            changed[i] = f"e{n}x{i}"
+        texts.append(" ".join(changed))
+    texts.insert(1500, " ".join(base))
+    found = simhash.similar_groups(make_docs(rows(*texts))).collect()
+    sizes = Counter(r.label for r in found)
+    assert len(found) == 3001 and max(sizes.values()) >= 2980  # a pair may not meet in any band
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_colliding_pair_is_verified_or_in_one_group(seed):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2, 256)
+    bits = np.array([base ^ (rng.random(256) < 0.08) for _ in range(120)]).astype(np.uint8)
+    four = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    fps = simhash.band(four.view(np.uint64), 3)
+    group, owner = simhash.collisions(fps, np.zeros(120, np.int64), simhash.BAND_BITS, 2)
+    want = set()
+    for g in np.unique(group):
+        own = sorted(set(owner[group == g].tolist()))
+        want |= {(b, a) for i, a in enumerate(own) for b in own[i + 1 :] if np.bitwise_count(four[a].view(np.uint64) ^ four[b].view(np.uint64)).sum() <= simhash.MOST_DIFFERING}
+    pdf = pd.DataFrame({"band": 3, "block": 0, "id": np.arange(120), "label": np.arange(120)} | {w: four[:, j] for j, w in enumerate(simhash.WORDS)})
+    seen, begin, end = set(), 0, 0
+    while len(pdf):
+        out = simhash._band_pairs(0, 2, 20_000, begin, end)(pdf)
+        seen |= set(zip(out["a"][out["b"] >= 0].tolist(), out["b"][out["b"] >= 0].tolist()))
+        pdf = pdf[pdf["id"].isin(out["a"][out["b"] < 0])]
+        begin, end = end, simhash.PIVOTS if not end else end * simhash.PIVOTS
+    assert seen == want and len(want) > 500
+
 
 def brute_hits(docs, items, window=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
