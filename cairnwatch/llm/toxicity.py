@@ -3,9 +3,9 @@
 A word's vector is the mean of its character n-gram vectors (hashed into buckets), so a
 misspelling shares most of its vector with the word it spoils. Words are averaged over
 short windows rather than over the whole text, where one insult among thousands of words
-would vanish; the softmax gives each window's probability and the text's score is that of
-at least one toxic window (noisy or). Embeddings and softmax are trained together by Adam
-on that likelihood.
+would vanish; the softmax gives each window's probability. Embeddings and softmax are
+trained together by Adam on the likelihood of at least one toxic window (noisy or). A text
+scores as its strongest window, since a noisy or over all windows rises to 1 with length.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def fit(texts: list[str | None], toxic: list[int], weights: list[float] | None =
 
 
 def score(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Each text's probability of at least one toxic window."""
+    """Each text's probability of its strongest window, whatever the text's length."""
     if not model.window:
         return np.full(len(texts), 1 / (1 + np.exp(-model.bias)))
     each = [tokens(t) or [""] for t in texts]
@@ -179,7 +179,7 @@ def score(model: Model, texts: list[str | None]) -> np.ndarray:
     window = np.repeat(doc_at, counts) + within // model.window
     win_at = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
     z = np.add.reduceat(logits, win_at) / np.diff(np.r_[win_at, len(window)]) + model.bias
-    return np.clip(-np.expm1(-np.add.reduceat(_softplus(z), doc_at)), 0.0, 1.0)
+    return np.clip(-np.expm1(-_softplus(np.maximum.reduceat(z, doc_at))), 0.0, 1.0)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -45,6 +45,17 @@ def test_unseen_misspellings_share_vectors():
     assert right >= spelled > 0.3 > plain
 
 
+def test_length_alone_is_not_toxic():
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(200)]
+    model = toxicity.fit(texts + [t + " numbskull " + t for t in texts[:40]], [0] * 200 + [1] * 40)
+    long = " ".join(rng.choice(words, 150_000))
+    blank = "qqqq " * 2_000_000
+    clean, found, filler = toxicity.score(model, [long, long + " numbskull " + long, blank])
+    assert clean < 0.3 <= found and filler < 0.3
+
+
 def test_toxicity_without_labels_and_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)
