@@ -1,45 +1,77 @@
 """Sharding by balanced label propagation.
 
 Documents that are linked (they share a text) vote through their group for the shard most
-of them are in and move there under capacity quotas, whole groups at a time; shards that
-are full drop out of the next vote. Documents without links cost nothing wherever they
-lie, so they fill the shards up to sizes that differ by one row at most. A group larger
-than a quarter of a shard is first split into parts that fit.
+of them are in and move there under capacity quotas, whole groups at a time; shards
+without room for a group drop out of its next vote. Documents without links cost nothing
+wherever they lie, so they fill the shards up to sizes that differ by one row at most.
+Groups of over a quarter of a shard, few by their size, are placed first, largest first;
+only what fits no shard whole is split, and then fills shards one after another.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnwatch.llm.common import cut, discard, running_total, text_key, tidy
 
 
-def _groups(rows: DataFrame, most: int) -> DataFrame:
-    """(uid, hub) of rows whose `grp` occurs more than once; a group of over `most` rows has several hubs."""
-    counts = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-groups")
-    part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / most))
-    return rows.join(counts, "grp").select("uid", F.xxhash64("grp", part).alias("hub"))
+def pieces(sizes: dict[bytes, int], room: list[int]) -> dict[bytes, list[tuple[int, int]]]:
+    """(end, shard) of the consecutive pieces of each group; takes their rows from `room`.
+
+    The largest goes first to the fullest shard that holds it whole. What fits none fills
+    the emptiest shard, and the rest waits for its turn by size.
+    """
+    waiting = [(-n, g) for g, n in sizes.items()]
+    heapq.heapify(waiting)
+    out: dict[bytes, list[tuple[int, int]]] = {g: [] for g in sizes}
+    while waiting:
+        n, g = heapq.heappop(waiting)
+        n = -n
+        whole = [s for s, r in enumerate(room) if r >= n]
+        to = min(whole, key=lambda s: room[s]) if whole else max(range(len(room)), key=lambda s: room[s])
+        part = min(n, room[to])
+        room[to] -= part
+        out[g].append(((out[g][-1][0] if out[g] else 0) + part, to))
+        if n > part:
+            heapq.heappush(waiting, (part - n, g))
+    return out
 
 
-def propagate(links: DataFrame, capacity: list[int], rounds: int = 8) -> DataFrame:
-    """(uid, shard) for linked rows (uid, hub), at most capacity[s] of them in shard s.
+def _large(rows: DataFrame, large: dict[bytes, int], room: list[int]) -> DataFrame:
+    """(uid, shard) of the rows of large groups; takes them from `room`."""
+    placed = pieces(large, room)
+    table = [(bytearray(g), [e for e, _ in p], [s for _, s in p]) for g, p in placed.items()]
+    table = rows.sparkSession.createDataFrame(table, "grp binary, ends array<long>, shards array<int>")
+    numbered = running_total(rows.select("uid", "grp").join(F.broadcast(table), "grp"), "grp", [F.col("uid")], "shard-large", "_at")
+    at = F.size(F.filter("ends", lambda e: e <= F.col("_at"))) + 1
+    return numbered.select("uid", F.element_at("shards", at).alias("shard"))
+
+
+def propagate(links: DataFrame, room: list[int]) -> tuple[DataFrame | None, DataFrame]:
+    """((uid, shard), the rest) of linked rows (uid, hub, n), n the rows of a hub; at most room[s] of them in shard s.
 
     Each round, a hub's rows vote with their present shards, hubs propose to go to the
-    winner, and proposals are admitted while the shard's quota lasts. Rows that were not
-    admitted vote again among the shards that have room; what no round admits is left out.
+    winner, and proposals are admitted while the shard's quota lasts. Hubs that were not
+    admitted vote again among the shards that have room for them, until none is left that
+    any shard has room for; those others are the rest.
     """
-    shards, room = len(capacity), list(capacity)
-    waiting = cut(links.select("uid", "hub", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard")), "shard-labels")
-    settled = None
-    for turn in range(rounds):
-        free = [s for s in range(shards) if room[s] > 0]
-        if not free or waiting.isEmpty():
-            break
-        # A label on a full shard turns into one of the open ones, in proportion to its hash.
-        opened = F.array(*map(F.lit, free))
-        other = F.element_at(opened, (F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(len(free))) + 1).cast("int"))
-        labelled = waiting.withColumn("shard", F.when(F.array_contains(opened, F.col("shard")), F.col("shard")).otherwise(other))
+    waiting = cut(links.select("uid", "hub", "n", F.pmod(F.xxhash64("uid"), F.lit(len(room))).cast("int").alias("shard")), "shard-labels")
+    settled, rest, turn = None, None, 0
+    while True:
+        most = F.lit(max(room)).cast("long")
+        out = cut(waiting.where(F.col("n") > most).select("uid", "hub", "n"), "shard-rest")
+        rest = out if rest is None else rest.unionByName(out)
+        waiting = waiting.where(F.col("n") <= most)
+        if waiting.isEmpty():
+            return settled, rest
+        # A label on a shard without room turns into one of the open ones, in proportion to its hash.
+        rooms = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).cast("long").alias("r")) for s, r in enumerate(room)])
+        opened = F.transform(F.filter(rooms, lambda x: x["r"] >= F.col("n")), lambda x: x["s"])
+        other = F.element_at("opened", (F.pmod(F.xxhash64("hub", F.lit(turn)), F.size("opened")) + 1).cast("int"))
+        labelled = waiting.withColumn("opened", opened).withColumn("shard", F.when(F.array_contains("opened", F.col("shard")), F.col("shard")).otherwise(other)).drop("opened")
         votes = labelled.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard", F.lit(turn)).alias("tie"), "shard")).alias("b"), F.sum("n").alias("weight"))
         proposals = best.select("hub", F.col("b.shard").alias("to"), "weight")
@@ -52,12 +84,11 @@ def propagate(links: DataFrame, capacity: list[int], rounds: int = 8) -> DataFra
         settled = cut(moved if settled is None else settled.unionByName(moved), "shard-settled")
         left = cut(labelled.join(admitted, "hub", "left_anti"), "shard-labels")
         discard(waiting)
-        waiting = left
-    return settled if settled is not None else waiting.select("uid", "shard").where(F.lit(False))
+        waiting, turn = left, turn + 1
 
 
 @tidy
-def assign(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, grp) for each row of docs, law `rows`.
 
     Rows of equal texts form a group and share a shard as far as the capacity allows; the
@@ -75,14 +106,29 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
     rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "shard-rows")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    placed = propagate(_groups(rows, max(1, total // (4 * shards))), quota, rounds)
-    taken = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    room = list(quota)
+    counts = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-groups")
+    bound = total // (4 * shards)
+    large = {bytes(r["grp"]): r["n"] for r in counts.where(F.col("n") > bound).collect()}  # fewer than 4 * (shards + 1)
+    links = rows.join(counts.where(F.col("n") <= bound), "grp").select("uid", F.xxhash64("grp").alias("hub"), "n")
+    placed = rows.select("uid", F.lit(0).alias("shard")).where(F.lit(False))
+    if large:
+        placed = cut(_large(rows, large, room), "shard-large")
+    settled, rest = propagate(links, room)
+    if settled is not None:
+        placed = placed.unionByName(settled)
+    # What fits no shard whole is laid out group after group, so that few parts arise; single rows follow.
+    hubs = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
+    hubs = cut(running_total(hubs, "_all", [F.col("hub")], "shard-rest", "_first", F.col("n")).select("hub", "_first"), "shard-rest")
+    inside = running_total(rest.select("uid", "hub"), "hub", [F.col("uid")], "shard-rest", "_in")
+    laid = cut(inside.join(hubs, "hub").select("uid", (F.col("_first") + F.col("_in")).alias("_at")), "shard-rest")
+    over = laid.count()
     ends, at = [], 0
-    for s in range(shards):
-        at += quota[s] - taken.get(s, 0)
+    for free in room:
+        at += free
         ends.append(at)
-    single = rows.join(placed, "uid", "left_anti").select("uid", F.lit(0).alias("_all"))
-    numbered = running_total(single, "_all", [F.col("uid")], "shard-fill", "_at")
+    single = rows.join(placed.select("uid").unionByName(laid.select("uid")), "uid", "left_anti").select("uid", F.lit(0).alias("_all"))
+    numbered = running_total(single, "_all", [F.col("uid")], "shard-fill", "_at").select("uid", (F.col("_at") + over).alias("_at")).unionByName(laid)
     fill = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("_at")))
     every = cut(placed.select("uid", "shard").unionByName(numbered.select("uid", fill.cast("int").alias("shard"))), "shard-labels")
     numbered = running_total(rows.join(every, "uid"), "shard", [F.col("uid")], "shard-slots", "slot")

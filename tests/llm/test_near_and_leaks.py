@@ -318,6 +318,27 @@ def test_sharding_splits_an_oversized_group(make_docs):
     assert max(counts.values()) - min(counts.values()) <= 1 and len(got) == 440
 
 
+def test_sharding_splits_no_more_than_it_must(make_docs):
+    from tests.llm.conftest import rows
+
+    sizes = {"most": 45, "some": 15, "hot": 133, "other": 30}  # a shard has 50 rows
+    docs = make_docs(rows(*[t for t, n in sizes.items() for _ in range(n)], *[f"t{i}" for i in range(177)]))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = sharding.assign(docs, shards=8).collect()
+    assert set(Counter(r.shard for r in got).values()) == {50}
+    where = {t: {r.shard for r in got if text[r.doc_id] == t} for t in sizes}
+    assert {t: len(s) for t, s in where.items()} == {"most": 1, "some": 1, "hot": 3, "other": 1}
+
+
+def test_sharding_lays_small_groups_out_when_all_rows_are_linked(make_docs):
+    from tests.llm.conftest import rows
+
+    docs = make_docs(rows(*[f"t{i}" for i in range(100) for _ in range(3)]))
+    got = sharding.assign(docs, shards=7).collect()  # shards of 42 and 43 rows, groups of 3
+    assert set(Counter(r.shard for r in got).values()) == {42, 43} and len({r.doc_id for r in got}) == 300
+    assert len({(r.doc_id // 3, r.shard) for r in got}) <= 100 + 7
+
+
 def test_sharding_odd_rows(odd, none):
     got = sharding.assign(odd, shards=4).collect()
     counts = Counter(r.shard for r in got)
