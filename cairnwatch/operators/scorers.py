@@ -39,13 +39,16 @@ def _hit(technique: str, count: Column, keywords: Column, **more: Column) -> Col
     return F.struct(F.lit(technique).alias("technique_id"), count.alias("match_count"), keywords.alias("keywords"), *(c.alias(n) for n, c in more.items()))
 
 
-def rule_v1(docs: DataFrame, keywords: list[tuple[str, str]], signals: list[tuple[str, str]] = (), min_confidence: float = 0.1) -> DataFrame:
-    """Whole-word keyword hits; signals add to the count and their own keywords; 0.4 + 0.1 for each distinct, 0.9 at most."""
+def rule_v1(docs: DataFrame, keywords: list[tuple[str, str]], signals: list[tuple[str, str]] = (), min_confidence: float = 0.1, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Whole-word keyword hits; signals add to the count and their own keywords; 0.4 + 0.1 for each distinct, 0.9 at most.
+
+    keys: the columns that tell a row of docs; they are handed on.
+    """
     words, phrases = grouped(keywords), grouped(list(signals))
     # Each pattern runs once; the techniques' hits refer to what it found.
     found = {t: F.transform(F.regexp_extract_all("text", F.lit(tx.word_pattern(ks)), 0), lambda m: F.lower(m)).alias(f"f{i}") for i, (t, ks) in enumerate(sorted(words.items()))}
     fired = {t: reduce(lambda a, b: a | b, [F.lower("text").contains(p) for p in ps]).alias(f"s{i}") for i, (t, ps) in enumerate(sorted(phrases.items()))}
-    rows = docs.select("doc_id", *found.values(), *fired.values())
+    rows = docs.select(*keys, *found.values(), *fired.values())
     none, hits = F.array().cast("array<string>"), []
     for technique in sorted(words.keys() | phrases.keys()):
         own = F.col(f"f{sorted(words).index(technique)}") if technique in words else none
@@ -55,7 +58,7 @@ def rule_v1(docs: DataFrame, keywords: list[tuple[str, str]], signals: list[tupl
             count = count + F.when(on, SIGNAL_COUNT).otherwise(0)
             distinct = F.when(on, F.array_union(distinct, F.array(*map(F.lit, SIGNAL_KEYWORDS.get(technique, []))))).otherwise(distinct)
         hits.append(F.when(count > 0, _hit(technique, count, distinct)))
-    rows = rows.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("doc_id", "h.*")
+    rows = rows.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*keys, "h.*")
     confidence = F.least(F.lit(0.9), F.lit(0.4) + F.lit(0.1) * F.size("keywords"))
     return rows.withColumn("confidence", F.round(confidence, 6)).where(F.col("confidence") >= min_confidence)
 

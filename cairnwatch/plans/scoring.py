@@ -432,6 +432,5 @@ d AS (SELECT doc_id * 1000 + s // 4500 AS doc_id, substr(text, s + 1, CASE WHEN
 @query(f"WITH {_CHUNKED}, {_V1}, o AS ({_V1_OUT.replace('array_to_string(list_sort(keywords), chr(44))', 'keywords')}), e AS (SELECT doc_id, technique_id, unnest(string_split(keywords, ',')) AS keyword, confidence FROM o) " + """SELECT doc_id // 1000 AS doc_id, technique_id, max(confidence) AS confidence, count(DISTINCT doc_id) AS n_chunks, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM e GROUP BY doc_id // 1000, technique_id""")
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunked = docs_of(spark, sf_dir).select("doc_id", F.explode(tx.chunks(F.col("text"))).alias("c"))
-    keyed = chunked.select((F.col("doc_id") * 1000 + F.col("c.chunk_id")).alias("doc_id"), F.col("c.text").alias("text"))
-    found = scorers.rule_v1(keyed, dims.KEYWORD)
-    return fusion.chunk_merge(found.select(F.floor(F.col("doc_id") / 1000).cast("long").alias("doc_id"), (F.col("doc_id") % 1000).alias("chunk_id"), "technique_id", "confidence", "keywords"))
+    keyed = chunked.select("doc_id", F.col("c.chunk_id").alias("chunk_id"), F.col("c.text").alias("text"))
+    return fusion.chunk_merge(scorers.rule_v1(keyed, dims.KEYWORD, keys=("doc_id", "chunk_id")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnwatch.functions import text as tx
 from cairnwatch.operators import fusion, metrics, quality, scorers, snapshot, windows
-from cairnwatch.plans import dims, relational
+from cairnwatch.plans import dims, relational, scoring
 from cairnwatch.sources import catalogs, sinks
 from cairnwatch.streaming import requests
 
@@ -27,6 +27,13 @@ def test_rule_v1_score(spark, n, want):
     assert confidence(scorers.rule_v1(docs, [("T1", w) for w in words]), "T1") == want
 
 
+def test_chunk_merge_past_a_thousand_chunks(spark, tmp_path):
+    long = "xyz " * 1_127_000 + "powershell"  # in chunk 1,001 or so
+    spark.createDataFrame([(1, long), (2, "vpn")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.technique_id): r.n_chunks for r in scoring.chunk_merge(spark, str(tmp_path)).collect()}
+    assert got == {(1, "T1059.001"): 1, (2, "T1133"): 1}
+
+
 @pytest.mark.parametrize("u, count, only, boost, first, last, n, want", [
     (1, 1, False, 1.0, None, None, 1, 0.48), (2, 2, True, 0.8, None, None, 0, 0.32), (2, 3, False, 1.2, 0, 80, 3, 0.80772),
 ])
