@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnwatch.llm import decontaminate, linededup, minhash, mixing, packing, secrets, sharding, simhash, toxicity, warc
+from cairnwatch.llm.common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), seq_len=2048)
+    """Packed rows as read back from the binary files written for them; spark.cairnwatch.tokenizers names the rank files' folder."""
+    folder = spark.conf.get("spark.cairnwatch.tokenizers", packing.TOKENIZERS)
+    return packing.written(table(spark, sf_dir, "documents"), shared_path(spark, "packs"), seq_len=2048, folder=folder)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairnwatch.llm import linededup, minhash, packing, queries, secrets, warc
@@ -101,38 +102,52 @@ def test_shingles_of_a_batch_equal_those_alone():
         assert sorted(together[index == i]) == sorted(minhash.shingle_hashes([t])[1])
 
 
-def test_packing_round_trip(spark, sf_dir, tmp_path):
+def test_packing_query_round_trip(spark, sf_dir):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    packed = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), seq_len=512, positions=True)
+    out = packing.positions(queries.op4_token_packing(spark, sf_dir), 2048).collect()
     parts, used = defaultdict(dict), 0
-    out = packed.collect()
     for r in out:
         ids, cu = np.frombuffer(r.ids, "<u2"), r.cu_seqlens
-        assert len(ids) == 512 and cu[0] == 0 and cu[-1] == r.n_tokens and r.resets == cu[:-1]
-        position = np.frombuffer(r.position_ids, "<u2")
+        assert len(ids) == len(r.position_ids) == 2048 and cu[0] == 0 and cu[-1] == r.n_tokens and r.resets == cu[:-1]
+        assert (ids[r.n_tokens :] == packing.END).all()
         for d, o, s, e in zip(r.doc_ids, r.doc_offsets, cu, cu[1:]):
             parts[d][o] = ids[s:e]
-            assert position[s] == 0 and position[e - 1] == e - s - 1
+            assert r.position_ids[s:e] == list(range(e - s))
         used += r.n_tokens
     tok = packing.Tokenizer()
     for d, text in docs.items():
+        assert sorted(parts[d]) == list(range(0, len(tok.whole(text)) + 1, 2048))
         whole = np.concatenate([parts[d][o] for o in sorted(parts[d])])
         assert whole[-1] == packing.END and whole[:-1].tolist() == tok.whole(text)
-    assert used / (512 * len(out)) > 0.95
+    assert used / (2048 * len(out)) > 0.95
     assert len({r.pack_id for r in out}) == len(out)
-    written = packing.write(packed, f"file://{tmp_path}/packs").collect()
-    assert sum(w.rows for w in written) == len(out)
-    for w in written:
-        matrix = np.fromfile(tmp_path / "packs" / f"{w.name}.ids.bin", "<u2").reshape(w.rows, 512)
-        ends = np.fromfile(tmp_path / "packs" / f"{w.name}.cu_ends.bin", "<i8")
-        assert len(ends) == w.rows and len(np.fromfile(tmp_path / "packs" / f"{w.name}.cu.bin", "<i4")) == ends[-1]
-        assert matrix.max() <= packing.END
+
+
+def test_packed_files(spark, sf_dir, tmp_path):
+    packed = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), seq_len=512, block_tokens=50_000)
+    listed = packing.write(packed, f"file://{tmp_path}/packs").collect()
+    want = sorted(packed.collect(), key=lambda r: r.pack_id)
+    assert sorted(packing.read(spark, f"file://{tmp_path}/packs", 512).collect(), key=lambda r: r.pack_id) == want
+    assert sum(w.rows for w in listed) == len(want)
+    for w in listed:
+        matrix = np.fromfile(tmp_path / "packs" / f"{w.name}.ids", "<u2").reshape(w.rows, 512)
+        cu, resets = (np.fromfile(tmp_path / "packs" / f"{w.name}.{f}", "<i4") for f in ("cu", "resets"))
+        assert matrix.max() <= packing.END and len(cu) == len(resets) + w.rows and (cu[np.flatnonzero(cu == 0)] == 0).all() and sum(cu == 0) == w.rows == sum(resets == 0)
 
 
 def test_chunks_tokenise_as_whole_texts():
     tok = packing.Tokenizer()
-    for text in ["", " ", "a", " a b ", "x\n y", "x \ny\t z", "a  b   c", "it's 12 3.5 ,, é ñ\n\n", "a \n b"]:
-        assert tok([text])[0].tolist() == [*tok.whole(text), packing.END], text
+    texts = ["", " ", "a", " a b ", "x\n y", "x \ny\t z", "a  b   c", "it's 12 3.5 ,, é ñ\n\n", "a \n b", "x\n \ny", "a \x0b\xa0 b \x85 c \u3000 d \u2028e", "", "naïve über \u00a0x  日本 語", "a" * 3000, " " * 50 + "z"]
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(list(" \n\ta1,é\u3000'"), 40)) for _ in range(300)]
+    for some in ([t] for t in texts):
+        ids, ends = tok(pa.array(some))
+        assert ids.tolist() == [*tok.whole(some[0]), packing.END] and ends.tolist() == [len(ids)], some
+    ids, ends = tok(pa.array([None, *texts, None]).slice(1, len(texts)))
+    assert [p.tolist() for p in np.split(ids, ends[:-1])] == [[*tok.whole(t), packing.END] for t in texts]
+    broken = pa.array([b"ok \xff\xfe then", b"fine"])
+    assert tok(broken)[0].tolist() == [*tok.whole("ok \ufffd\ufffd then"), packing.END, *tok.whole("fine"), packing.END]
+    assert tok(pa.array([None, ""]))[0].tolist() == [packing.END] * 2
 
 
 def test_best_fit_matches_linear_search():
@@ -158,6 +173,13 @@ def test_packing_odd_rows(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packed_files_odd_rows(odd, none, tmp_path):
+    got = packing.positions(packing.written(odd, f"file://{tmp_path}/odd", 64), 64).collect()
+    assert sum(len(r.doc_ids) for r in got) == sum(len(r.doc_ids) for r in packing.pack(odd, seq_len=64).collect())
+    assert all(len(r.position_ids) == 64 for r in got)
+    assert packing.written(none, f"file://{tmp_path}/none", 64).count() == 0
+
+
 def test_warc_pushdown_and_odd_pages(spark, tmp_path):
     long_ = "<p>é" + "x" * 1000
     data = [(1, "http://a/", long_), (2, "http://b/", long_), (3, None, "short"), (4, "http://b/", "short"), (5, "u\r\nEvil: 1", None), (None, "n", long_), (6, "http://c/", ""), (6, "http://c/", "")]
