@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII word boundaries: Java's \b is Unicode-aware while its \w is not.
-LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: Letters, digits and the underscore of any alphabet, and white space of any kind.
+WORD = r"[\p{L}\p{N}_]"
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = SPACE + "+"
+LEFT, RIGHT = rf"(?<!{WORD})", rf"(?!{WORD})"
 _META = set(r".^$*+?{}[]\|()-&")
 
 
@@ -23,13 +26,13 @@ def word_pattern(keywords: list[str], java: bool = True) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
+    return F.regexp_replace(c, rf"^{SPACES}|{SPACES}$", "")
 
 
 def normalize_ws(c: Column) -> Column:
     """Runs of white space to a space, a space after punctuation that a word character follows, trimmed."""
-    c = F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " ")
-    return F.trim(F.regexp_replace(c, r"([.,;!?])([A-Za-z0-9_])", "$1 $2"))
+    c = F.regexp_replace(c, SPACES, " ")
+    return F.trim(F.regexp_replace(c, rf"([.,;!?])({WORD})", "$1 $2"))
 
 
 def expand_abbreviations(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -178,8 +181,10 @@ def percent(c: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity; 0 where a vector is all zeros."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return dot / (norm(a) * norm(b))
+    scale = norm(a) * norm(b)
+    return F.when(scale == 0, F.lit(0.0)).otherwise(dot / F.when(scale == 0, F.lit(1.0)).otherwise(scale))
 
 
 def norm(a: Column) -> Column:

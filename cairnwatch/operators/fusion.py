@@ -6,6 +6,8 @@ and the dimension of weights is joined as a literal map.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,7 +82,7 @@ SECURITY = [
 
 
 def text_complexity(docs: DataFrame, text: str = "text") -> DataFrame:
-    from cairnwatch.functions.text import LEFT, RIGHT
+    from cairnwatch.functions.text import LEFT, RIGHT, SPACES, WORD
 
     def density(patterns: list[str]) -> Column:
         total = F.lit(0)
@@ -88,7 +90,7 @@ def text_complexity(docs: DataFrame, text: str = "text") -> DataFrame:
             total = total + F.regexp_count(F.col(text), F.lit(f"(?i){LEFT}(?:{p}){RIGHT}"))
         return total / F.greatest(F.col("word_count"), F.lit(1))
 
-    rows = docs.select("doc_id", text, F.length(text).cast("long").alias("char_count"), F.regexp_count(text, F.lit("[A-Za-z0-9_]+")).cast("long").alias("word_count"), F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.regexp_replace(s, r"[ \t\n\r]+", "") != "")).cast("long").alias("sentence_count"))
+    rows = docs.select("doc_id", text, F.length(text).cast("long").alias("char_count"), F.regexp_count(text, F.lit(f"{WORD}+")).cast("long").alias("word_count"), F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.regexp_replace(s, SPACES, "") != "")).cast("long").alias("sentence_count"))
     rows = rows.withColumn("avg_sentence_length", F.when(F.col("sentence_count") > 0, F.col("word_count") / F.col("sentence_count")).otherwise(0.0))
     rows = rows.withColumn("t", density(TECHNICAL)).withColumn("s", density(SECURITY))
     score = F.least(F.lit(1.0), F.lit(0.3) * F.least(F.lit(1.0), F.col("t") * 10) + F.lit(0.7) * F.least(F.lit(1.0), F.col("s") * 5))
@@ -116,15 +118,37 @@ def adapt_weights(complexity: DataFrame, base: dict[str, float]) -> DataFrame:
     return rows.select("doc_id", "w.*")
 
 
+#: What feedback does to an extractor's weight, and the weight's bounds.
+UP, DOWN, HIGHEST, LOWEST = 1.05, 0.95, 1.5, 0.5
+
+
 def feedback_weights(feedback: DataFrame, start: float = 1.0) -> DataFrame:
-    """(extractor, weight) after folding feedback (extractor, seq, correct) in order.
+    """(extractor, n, weight) after folding feedback (extractor, seq, kind, suggested) in order of seq.
 
-    Up by 5 % to 1.5 at most for a correct one, down by 5 % to 0.5 at least otherwise. The
-    order matters only through the bounds, so the fold runs over each extractor's sequence.
+    Up by 5 % to 1.5 at most for kind `correct`; down by 5 % to 0.5 at least for `incorrect`
+    with a suggested technique; anything else doesn't count. Each step is w -> clamp(f * w),
+    and such steps compose to one of the same form, so that sorted ranges are folded where
+    they lie and a hot extractor is never one task; a row a range and extractor is left to
+    fold. Feedback that ties in seq is taken in any order.
     """
-    ordered = feedback.groupBy("extractor").agg(F.array_sort(F.collect_list(F.struct("seq", "correct"))).alias("f"))
-    fold = F.aggregate("f", F.lit(float(start)), lambda w, x: F.when(x["correct"], F.least(w * 1.05, F.lit(1.5))).otherwise(F.greatest(w * 0.95, F.lit(0.5))))
-    return ordered.select("extractor", F.size("f").cast("long").alias("n"), F.round(fold, 6).alias("weight"))
+
+    def fold(batches):
+        parts: dict[str, list[float]] = {}
+        for pdf in batches:
+            for name, up in zip(pdf["extractor"].tolist(), pdf["up"].tolist()):
+                f = parts.setdefault(name, [1.0, -np.inf, np.inf, 0])
+                by, low, high = (UP, -np.inf, HIGHEST) if up else (DOWN, LOWEST, np.inf)
+                f[:] = f[0] * by, min(max(f[1] * by, low), high), min(max(f[2] * by, low), high), f[3] + 1
+        yield pd.DataFrame([(n, *f) for n, f in parts.items()], columns=["extractor", "f", "low", "high", "n"]).astype({"extractor": "object", "f": "float64", "low": "float64", "high": "float64", "n": "int64"})
+
+    counts = (F.col("kind") == "correct") | ((F.col("kind") == "incorrect") & (F.coalesce("suggested", F.lit("")) != ""))
+    rows = feedback.where(counts).select("extractor", "seq", (F.col("kind") == "correct").alias("up"))
+    width = int(feedback.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(width, "extractor", "seq").sortWithinPartitions("extractor", "seq").select("extractor", "up")
+    parts = ordered.mapInPandas(fold, "extractor string, f double, low double, high double, n long").withColumn("part", F.spark_partition_id())
+    by = parts.groupBy("extractor").agg(F.array_sort(F.collect_list(F.struct("part", "f", "low", "high"))).alias("p"), F.sum("n").alias("n"))
+    weight = F.aggregate("p", F.lit(float(start)), lambda w, p: F.least(F.greatest(w * p["f"], p["low"]), p["high"]))
+    return by.select("extractor", "n", F.round(weight, 6).alias("weight"))
 
 
 def chunk_merge(chunked: DataFrame) -> DataFrame:

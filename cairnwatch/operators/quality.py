@@ -58,11 +58,13 @@ def orphans(ids: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def temporal_coherence(ops: DataFrame) -> DataFrame:
-    """Updates (entity_id, operation, ts, version, seq) that follow a delete, or skip a version."""
-    rows = ops.where("entity_id IS NOT NULL AND operation IS NOT NULL AND ts IS NOT NULL")
+    """Updates (entity_id, operation, ts, version, seq) that follow a delete, skip a version or lack a field."""
+    empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    bad = empty("entity_id") | empty("operation") | F.col("ts").isNull()
     w = W.partitionBy("entity_id").orderBy("ts", "seq")
-    rows = rows.withColumn("prev", F.lag("operation").over(w)).withColumn("before", F.lag("version").over(w))
-    return _issues(rows, ["entity_id", "seq"], [((F.col("prev") == "delete") & (F.col("operation") != "create"), "after delete"), (F.col("version") - F.col("before") > 1, "version gap")])
+    rows = ops.where(~bad).withColumn("prev", F.lag("operation").over(w)).withColumn("before", F.lag("version").over(w))
+    found = _issues(rows, ["entity_id", "seq"], [((F.col("prev") == "delete") & (F.col("operation") != "create"), "after delete"), (F.col("version") - F.col("before") > 1, "version gap")])
+    return found.unionByName(ops.where(bad).select("entity_id", "seq", F.lit("missing fields").alias("issue")))
 
 
 def metrics(results: DataFrame, issues: DataFrame) -> DataFrame:
@@ -72,9 +74,10 @@ def metrics(results: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def trend(checks: DataFrame, n: int = 10) -> DataFrame:
-    """Issues in the last n checks (key, seq, issues) against the n before, for each key."""
+    """How many of the last n checks (key, seq, issues) had any issue against the n before, for each key."""
     r = F.row_number().over(W.partitionBy("key").orderBy(F.col("seq").desc()))
     rows = checks.withColumn("r", r).where(F.col("r") <= 2 * n)
-    by = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("r") <= n, F.col("issues")).otherwise(0)).alias("recent"), F.sum(F.when(F.col("r") > n, F.col("issues")).otherwise(0)).alias("previous"))
-    verdict = F.when(F.col("n") <= n, "insufficient_data").when(F.col("recent") < F.col("previous"), "improving").when(F.col("recent") > F.col("previous"), "declining").otherwise("stable")
+    bad = lambda within: F.sum((within & (F.col("issues") > 0)).cast("long"))
+    by = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), bad(F.col("r") <= n).alias("recent"), bad(F.col("r") > n).alias("previous"))
+    verdict = F.when(F.col("n") <= n, "insufficient_data").when(F.col("recent") < F.col("previous"), "improving").when(F.col("recent") > F.col("previous"), "worsening").otherwise("stable")
     return by.select("key", "recent", "previous", verdict.alias("trend"))

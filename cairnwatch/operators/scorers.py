@@ -1,15 +1,11 @@
 """Scorers: documents (doc_id, text) against the taxonomy, giving candidates (doc_id, technique_id, ...).
 
-Keyword patterns are built from the taxonomy, a dimension of a few thousand rows that is
-known when the plan is made, and become literals in it: every text is read once, nothing
-is shuffled, and each pattern is compiled once a task. Top-k uses row_number() <= k, which
+Keywords are matched in one pass a text (see matching). Top-k uses row_number() <= k, which
 Spark prunes before it shuffles (WindowGroupLimit).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,17 +13,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwatch.functions import text as tx
+from cairnwatch.operators import matching
+from cairnwatch.operators.matching import grouped
 
 #: Keywords that a signal of the technique adds.
 SIGNAL_KEYWORDS = {"T1190": ["web exploit"], "T1133": ["vpn", "remote service"], "T1566": ["phishing"], "T1059": ["script", "command interpreter"], "T1027": ["obfuscated", "encoded"]}
-SIGNAL_COUNT = 2
-
-
-def grouped(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for k, v in pairs:
-        out.setdefault(k, []).append(v)
-    return out
+#: Technique, patterns of which one must occur, keywords that it then adds.
+CONTEXTUAL = [
+    ("T1071", [r"(outbound|external)\s+connection", r"(command|control)\s+server", r"beacon\s+(to|back)"], ["command and control", "external communication"]),
+    ("T1068", [r"(elevated|higher|admin)\s+privilege", r"(escalate|increase)\s+(privilege|permission)"], ["privilege escalation", "elevation"]),
+    ("T1021", [r"(move|spread|pivot)\s+(across|between|to other)\s+(system|host|machine|network)", r"lateral\s+movement"], ["lateral movement", "remote services"]),
+    ("T1053", [r"(maintain|establish|ensure)\s+(access|presence)", r"(persist|persistent|persistence)"], ["persistence", "scheduled task"]),
+    ("T1562", [r"(avoid|evade|bypass)\s+(detection|monitoring|defense)", r"(disable|impair)\s+(security|antivirus|firewall)"], ["defense evasion", "impair defenses"]),
+]
 
 
 def top_k(df: DataFrame, k: int, score: str = "confidence", by: str = "doc_id", tie: str = "technique_id") -> DataFrame:
@@ -35,89 +33,27 @@ def top_k(df: DataFrame, k: int, score: str = "confidence", by: str = "doc_id",
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _hit(technique: str, count: Column, keywords: Column, **more: Column) -> Column:
-    return F.struct(F.lit(technique).alias("technique_id"), count.alias("match_count"), keywords.alias("keywords"), *(c.alias(n) for n, c in more.items()))
+def rule_v1(docs: DataFrame, keywords: list[tuple[str, str]], signals: list[tuple[str, str]] = (), min_confidence: float = 0.1, keys: tuple[str, ...] = ("doc_id",), contexts: list = ()) -> DataFrame:
+    """matching.rule_v1 with the fixed keywords of the signals."""
+    return matching.rule_v1(docs, keywords, signals, min_confidence, keys, SIGNAL_KEYWORDS, contexts)
 
 
-def rule_v1(docs: DataFrame, keywords: list[tuple[str, str]], signals: list[tuple[str, str]] = (), min_confidence: float = 0.1, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Whole-word keyword hits; signals add to the count and their own keywords; 0.4 + 0.1 for each distinct, 0.9 at most.
+rule_v2, score_v2 = matching.rule_v2, matching.score_v2
 
-    keys: the columns that tell a row of docs; they are handed on.
-    """
-    words, phrases = grouped(keywords), grouped(list(signals))
-    # Each pattern runs once; the techniques' hits refer to what it found.
-    found = {t: F.transform(F.regexp_extract_all("text", F.lit(tx.word_pattern(ks)), 0), lambda m: F.lower(m)).alias(f"f{i}") for i, (t, ks) in enumerate(sorted(words.items()))}
-    fired = {t: reduce(lambda a, b: a | b, [F.lower("text").contains(p) for p in ps]).alias(f"s{i}") for i, (t, ps) in enumerate(sorted(phrases.items()))}
-    rows = docs.select(*keys, *found.values(), *fired.values())
-    none, hits = F.array().cast("array<string>"), []
-    for technique in sorted(words.keys() | phrases.keys()):
-        own = F.col(f"f{sorted(words).index(technique)}") if technique in words else none
-        count, distinct = F.size(own), F.array_distinct(own)
-        if technique in phrases:
-            on = F.col(f"s{sorted(phrases).index(technique)}")
-            count = count + F.when(on, SIGNAL_COUNT).otherwise(0)
-            distinct = F.when(on, F.array_union(distinct, F.array(*map(F.lit, SIGNAL_KEYWORDS.get(technique, []))))).otherwise(distinct)
-        hits.append(F.when(count > 0, _hit(technique, count, distinct)))
-    rows = rows.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*keys, "h.*")
-    confidence = F.least(F.lit(0.9), F.lit(0.4) + F.lit(0.1) * F.size("keywords"))
-    return rows.withColumn("confidence", F.round(confidence, 6)).where(F.col("confidence") >= min_confidence)
-
-
-def rule_v2(docs: DataFrame, keywords: list[tuple[str, str]], contexts: list[tuple[str, str, str]] = (), min_confidence: float = 0.1) -> DataFrame:
-    """Keywords of three and more letters anywhere in the text, overlapping, with context boosts and proximity."""
-    words = {t: sorted({k.lower() for k in ks if len(k) > 2}) for t, ks in grouped(keywords).items()}
-    context = {t: i for i, (_, _, ts) in enumerate(contexts) for t in ts.split(",")}
-    names = {k: f"k{i}" for i, k in enumerate(sorted({k for ks in words.values() for k in ks}))}
-    low = F.col("low")
-
-    def seen(k: str) -> Column:
-        # Only a keyword whose end is also its beginning can overlap itself.
-        overlaps = any(k[:n] == k[-n:] for n in range(1, len(k)))
-        n = F.regexp_count(low, F.lit(f"(?={tx.escape(k)})")) if overlaps else ((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("int")
-        last = F.length(low) - F.instr(F.reverse(low), k[::-1]) - len(k) + 2
-        return F.when(low.contains(k), F.struct(n.alias("n"), F.instr(low, k).alias("first"), last.alias("last")))
-
-    # Each keyword and each context is looked for once; the techniques refer to what was found.
-    rows = docs.select("doc_id", "text", F.lower("text").alias("low"))
-    rows = rows.select("doc_id", *[seen(k).alias(c) for k, c in names.items()], *[F.regexp_extract_all("text", F.lit(f"(?i){tx.LEFT}(?:{p})"), 0).alias(f"c{i}") for i, (_, p, _) in enumerate(contexts)])
-    hits = []
-    for technique in sorted({t for t, ks in words.items() if ks} | context.keys()):
-        own = [(k, F.col(names[k])) for k in words.get(technique, [])]
-        count = reduce(lambda a, b: a + b, [F.coalesce(c["n"], F.lit(0)) for _, c in own], F.lit(0))
-        found = F.array_compact(F.array(*[F.when(c.isNotNull(), F.lit(k)) for k, c in own])).cast("array<string>")
-        first, last = (f(F.array(*[c[n] for _, c in own])) if own else F.lit(None).cast("int") for f, n in ((F.array_min, "first"), (F.array_max, "last")))
-        near = F.col(f"c{context[technique]}") if technique in context else F.array().cast("array<string>")
-        only = (count == 0) & (F.size(near) > 0)
-        total = F.when(only, F.size(near)).otherwise(count)
-        # Context matches join the keywords; for a technique without keyword hits they stand alone.
-        distinct = F.array_distinct(F.concat(found, near))
-        boost = F.when(only, F.lit(0.8)).when(F.size(near) > 0, F.lit(1.2)).otherwise(F.lit(1.0))
-        hits.append(F.when(total > 0, _hit(technique, total, distinct, boost=boost, context_only=only, first=first, last=last, n_positions=count)))
-    rows = rows.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("doc_id", "h.*")
-    return score_v2(rows).where(F.col("confidence") >= min_confidence)
-
-
-def score_v2(rows: DataFrame) -> DataFrame:
-    """Confidence from distinct keywords, their repeats, the boost and how close together they lie."""
-    u = F.size("keywords").cast("double")
-    extra = F.when(F.col("match_count") > u, F.lit(0.05) * F.least(F.col("match_count") / F.greatest(u, F.lit(1.0)), F.lit(3.0))).otherwise(0.0)
-    base = F.when(F.col("context_only"), F.lit(0.3) + F.lit(0.05) * u).otherwise(F.lit(0.4) + F.lit(0.08) * u + extra)
-    score = F.least(base * F.col("boost"), F.lit(0.95))
-    gap = (F.col("last") - F.col("first")) / (F.col("n_positions") - 1)
-    near = (F.col("n_positions") > 1) & (gap < 100)
-    score = F.when(near, F.least(score * (F.lit(1.0) + F.lit(0.1) * (F.lit(1.0) - gap / 100)), F.lit(0.95))).otherwise(score)
-    return rows.withColumn("confidence", F.round(score, 6))
+
+def _terms(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), tx.SPACES), lambda w: w != "")
 
 
 def query_terms(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, term, qtf) of the documents' words that occur in the vocabulary."""
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[ \t\n\r]+")).alias("term"))
+    words = docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
     return words.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def postings(corpus: DataFrame) -> DataFrame:
     """(row_id, term, tf, dl) of a corpus (row_id, body)."""
-    words = corpus.select("row_id", F.explode(F.filter(F.split(F.lower("body"), r"[ \t\n\r]+"), lambda w: w != "")).alias("term"))
+    words = corpus.select("row_id", F.explode(_terms(F.col("body"))).alias("term"))
     tf = words.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return tf.withColumn("dl", F.sum("tf").over(W.partitionBy("row_id")))
 
@@ -129,11 +65,13 @@ def corpus_stats(post: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df, rows.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_v1(docs: DataFrame, corpus: DataFrame, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
+def bm25_v1(docs: DataFrame, corpus: DataFrame, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 1.0, most: int = 10) -> DataFrame:
     """Raw scores (doc_id, row_id, raw) of BM25+ or Okapi with repeated query words counted.
 
     BM25+ adds idf * delta for every query word to every row of the corpus, whether the word
-    is in it or not; that constant is computed once a document.
+    is in it or not. Rows without a query word all have that same score, below all others:
+    of these the `most` with the smallest ids are given, which is all that a ranking of
+    `most` rows can show, and documents never meet the whole taxonomy.
     """
     post = postings(corpus)
     df, totals = corpus_stats(post)
@@ -151,16 +89,22 @@ def bm25_v1(docs: DataFrame, corpus: DataFrame, variant: str = "plus", k1: float
     if variant != "plus":
         return scored.select("doc_id", "row_id", F.col("part").alias("raw"))
     base = terms.groupBy("doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * delta).alias("base"))
-    every = base.crossJoin(corpus.select("row_id"))  # the taxonomy's rows
-    return every.join(scored, ["doc_id", "row_id"], "left").select("doc_id", "row_id", (F.col("base") + F.coalesce("part", F.lit(0.0))).alias("raw"))
+    ids = corpus.agg(F.array_sort(F.collect_list("row_id")).alias("ids"))  # one row, the taxonomy's ids
+    by_doc = scored.groupBy("doc_id").agg(F.collect_list(F.struct("row_id", "part")).alias("hits")).join(base, "doc_id").crossJoin(ids)
+    others = F.array_except(F.slice("ids", 1, F.size("hits") + most), F.transform("hits", lambda h: h["row_id"]))
+    rest = F.transform(F.slice(others, 1, most), lambda i: F.struct(i.alias("row_id"), F.lit(0.0).alias("part")))
+    every = by_doc.select("doc_id", "base", F.explode(F.concat("hits", rest)).alias("h"))
+    return every.select("doc_id", "h.row_id", (F.col("base") + F.col("h.part")).alias("raw"))
 
 
-def bm25_v2(docs: DataFrame, fields: DataFrame, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
+def bm25_v2(docs: DataFrame, fields: DataFrame, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 1.0, most: int = 10) -> DataFrame:
     """(doc_id, technique_id, field, raw): best weighted field of each technique.
 
     fields: (row_id, technique_id, field, weight, body), a row for each name, description and
     keyword. The plus variant adds delta for every query word known to the corpus to every
-    row, outside idf; the Okapi variant leaves out rows of score zero. Query words count once.
+    row, outside idf; a technique without a query word has its heaviest field's share of
+    that, and of such techniques the `most` first by weight and id are given. The Okapi
+    variant leaves out rows of score zero. Query words count once.
     """
     post = postings(fields)
     df, totals = corpus_stats(post)
@@ -171,15 +115,23 @@ def bm25_v2(docs: DataFrame, fields: DataFrame, variant: str = "plus", k1: float
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = terms.join(post, "term").groupBy("doc_id", "row_id").agg(F.sum(F.col("idf") * weight).alias("part"))
     rows = fields.select("row_id", "technique_id", "field", "weight")
-    if variant == "plus":
-        known = terms.groupBy("doc_id").agg((F.count(F.lit(1)) * delta).alias("base"))
-        every = known.crossJoin(rows).join(scored, ["doc_id", "row_id"], "left")
-        every = every.withColumn("raw", (F.col("base") + F.coalesce("part", F.lit(0.0))) * F.col("weight"))
-    else:
-        every = scored.join(rows, "row_id").withColumn("raw", F.col("part") * F.col("weight")).where("raw <> 0")
-    every = every.withColumn("raw", F.round("raw", 6))
-    best = F.row_number().over(W.partitionBy("doc_id", "technique_id").orderBy(F.col("raw").desc(), "row_id"))
-    return every.withColumn("_b", best).where("_b = 1").select("doc_id", "technique_id", "field", "raw")
+    best = lambda of: F.min(F.struct((-F.col(of)).alias("m"), "row_id", "field"))
+    if variant != "plus":
+        raw = scored.join(rows, "row_id").withColumn("raw", F.round(F.col("part") * F.col("weight"), 6)).where("part * weight <> 0")
+        return raw.groupBy("doc_id", "technique_id").agg(best("raw").alias("b")).select("doc_id", "technique_id", "b.field", (-F.col("b.m")).alias("raw"))
+    known = terms.groupBy("doc_id").agg((F.count(F.lit(1)) * delta).alias("base"))
+    raw = scored.join(rows, "row_id").join(known, "doc_id").withColumn("raw", F.round((F.col("base") + F.col("part")) * F.col("weight"), 6))
+    hit = raw.groupBy("doc_id", "technique_id").agg(best("raw").alias("b"))
+    heaviest = rows.groupBy("technique_id").agg(best("weight").alias("b"))
+    table = heaviest.agg(F.array_sort(F.collect_list(F.struct("b.m", "technique_id", "b.row_id", "b.field"))).alias("heaviest"))  # one row, the taxonomy's techniques
+    by_doc = hit.groupBy("doc_id").agg(F.collect_list(F.struct("technique_id", "b.m", "b.row_id", "b.field")).alias("hits")).join(known, "doc_id").crossJoin(table)
+    # Without a hit in its heaviest field, that field's share of the base may still be a technique's best.
+    given = F.transform("heaviest", lambda h: F.struct(h["technique_id"].alias("technique_id"), (-F.round(-h["m"] * F.col("base"), 6)).alias("m"), h["row_id"].alias("row_id"), h["field"].alias("field")))
+    mine = F.transform("hits", lambda h: h["technique_id"])
+    rest = F.slice(F.filter(F.slice("given", 1, F.size("hits") + most), lambda g: ~F.array_contains(mine, g["technique_id"])), 1, most)
+    own = F.filter("given", lambda g: F.array_contains(mine, g["technique_id"]))
+    every = by_doc.withColumn("given", given).select("doc_id", F.explode(F.concat("hits", own, rest)).alias("h")).select("doc_id", "h.*")
+    return every.groupBy("doc_id", "technique_id").agg(F.min(F.struct("m", "row_id", "field")).alias("b")).select("doc_id", "technique_id", "b.field", (-F.col("b.m")).alias("raw"))
 
 
 def normalised(scores: DataFrame, raw: str = "raw", threshold: float = 0.1, by: str = "doc_id") -> DataFrame:
@@ -229,15 +181,15 @@ def cwe_map(techniques: DataFrame, fixed: DataFrame, rules: DataFrame) -> DataFr
     return fixed.select("cwe_id", "technique_id").unionByName(told.select("cwe_id", "technique_id")).distinct()
 
 
-def entity_mentions(docs: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
-    """(doc_id, entity, entity_type) of listed terms in a text: a rule-based tagger."""
-    hits = F.array(*[F.when(F.lower("text").contains(e), F.struct(F.lit(e).alias("entity"), F.lit(t).alias("entity_type"))) for e, t in terms])
-    return docs.select("doc_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.*")
+entity_mentions = matching.mentions
 
 
 def entity_pairs(entities: list[tuple[str, str]], keywords: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
     """(entity, keyword, technique_id) where one contains the other, of two dimension lists."""
-    return sorted({(e, k, t) for e, _ in entities for t, k in keywords if e.lower() in k.lower() or k.lower() in e.lower()})
+    techniques: dict[str, set[str]] = {}
+    for t, k in keywords:
+        techniques.setdefault(k, set()).add(t)
+    return sorted({(e, k, t) for e, k in matching.overlaps([e for e, _ in entities], list(techniques)) for t in techniques[k]})
 
 
 def ner_match(mentions: DataFrame, pairs: DataFrame, affinity: DataFrame | None = None) -> DataFrame:
@@ -253,49 +205,122 @@ def ner_match(mentions: DataFrame, pairs: DataFrame, affinity: DataFrame | None
     boosted = types.join(exact, ["entity_type", "technique_id"], "left").join(family.withColumn("by_parent", F.lit(1.1)).withColumnRenamed("entity_type", "ft"), (F.col("entity_type") == F.col("ft")) & F.col("technique_id").startswith(F.col("parent")), "left")
     best = boosted.groupBy("doc_id", "technique_id", "n_entities", "match_count").agg(F.max(F.coalesce("boost", "by_parent", F.lit(1.0))).alias("boost"))
     base = F.least(F.lit(0.4) + F.lit(0.05) * F.col("n_entities"), F.lit(0.75))
-    return best.select("doc_id", "technique_id", "n_entities", "match_count", "boost", F.round(F.least(F.lit(0.3) + F.lit(0.5) * base * F.col("boost"), F.lit(0.9)), 6).alias("confidence"))
+    return best.select("doc_id", "technique_id", "n_entities", "match_count", "boost", F.round(F.least((F.lit(0.3) + F.lit(0.5) * base) * F.col("boost"), F.lit(0.9)), 6).alias("confidence"))
 
 
-def vector_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
-    """(query_id, vec_id, score): the k best base vectors of each query, exactly.
+def vector_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_block: int = 1024, base_block: int = 16_384) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best base vectors of each query, exactly; ties by vec_id.
 
-    Queries go in blocks of `block` vectors, a bounded matrix each, past all base vectors; a
-    batch of base vectors passes on its own k best a query, so what is shuffled is a few rows
-    a batch. metric: cosine (zero norms score 0) or l2 (1 / (1 + squared distance)).
+    Both sides are dealt into blocks of about so many vectors and each pair of blocks is one
+    bounded matrix product, which hands on only its own k best a query; nothing goes through
+    the driver. metric: cosine (zero norms score 0) or l2 (1 / (1 + squared distance)).
+    Vectors rank by the full score; it is given to four digits.
     """
-    rows, found = [], []
-    for r in queries.select("vec_id", "embedding").toLocalIterator():
-        rows.append((r.vec_id, r.embedding))
-        if len(rows) == block:
-            found.append(_against(rows, base, k, metric))
-            rows = []
-    if rows or not found:
-        found.append(_against(rows, base, k, metric))
-    every = reduce(DataFrame.unionByName, found)
+    deal = lambda df, n, name: df.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name))
+    nq, nb = _blocks(queries, query_block), _blocks(base, base_block)
+    left = deal(queries, nq, "qb").select("*", _every(nb, "bb"))
+    right = deal(base, nb, "bb").select("*", _every(nq, "qb"))
+    return _best(left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(_against(k, metric), "query_id long, vec_id long, score double"), k)
+
+
+def vector_group_best(vectors: DataFrame, queries: DataFrame, query_block: int = 1024, base_block: int = 16_384) -> DataFrame:
+    """(grp, query_id, n, best): the best cosine similarity of each group's vectors (vec_id, grp, embedding) to each query, in blocks."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            score = _scores(np.array(left["embedding"].tolist(), np.float64), np.array(right["embedding"].tolist(), np.float64), "cosine")
+            for group, at in right.reset_index(drop=True).groupby("grp").indices.items():
+                out.append(pd.DataFrame({"grp": group, "query_id": left["vec_id"].to_numpy(), "n": len(at), "best": score[:, at].max(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"grp": [], "query_id": [], "n": [], "best": []})
+
+    nq, nb = _blocks(queries, query_block), _blocks(vectors, base_block)
+    left = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qb"), _every(nb, "bb"))
+    right = vectors.select("vec_id", "grp", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(nb)).cast("int").alias("bb"))
+    right = right.select("*", _every(nq, "qb"))
+    schema = f"grp {vectors.schema['grp'].dataType.simpleString()}, query_id long, n long, best double"
+    found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(best, schema)
+    return found.groupBy("grp", "query_id").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
+def _blocks(df: DataFrame, size: int) -> int:
+    return max(1, -(-df.count() // size))
+
+
+def _every(n: int, name: str) -> Column:
+    """A row for each block of the other side."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _against(rows: list, base: DataFrame, k: int, metric: str) -> DataFrame:
-    ids = np.array([i for i, _ in rows], np.int64)
-    matrix = np.array([v for _, v in rows], np.float64) if rows else np.zeros((0, 1))
-    norms = np.sqrt((matrix**2).sum(1))
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            v = np.array(pdf["embedding"].tolist(), np.float64)
-            n = np.sqrt((v**2).sum(1))
-            dot = matrix @ v.T
-            if metric == "cosine":
-                scale = norms[:, None] * n[None, :]
-                score = np.where(scale > 0, dot / np.where(scale > 0, scale, 1), 0.0)
-            else:
-                score = 1 / (1 + np.maximum(norms[:, None] ** 2 + n[None, :] ** 2 - 2 * dot, 0))
-            score = np.round(score, 4)
-            vec = pdf["vec_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": vec[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-    return base.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
+
+
+def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    dot, a, b = q @ v.T, (q**2).sum(1), (v**2).sum(1)
+    if metric == "cosine":
+        scale = np.sqrt(a)[:, None] * np.sqrt(b)[None, :]
+        return np.where(scale > 0, dot / np.where(scale > 0, scale, 1), 0.0)
+    return 1 / (1 + np.maximum(a[:, None] + b[None, :] - 2 * dot, 0))
+
+
+def _against(k: int, metric: str):
+    def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        if not len(queries) or not len(base):
+            return none
+        base = base.sort_values("vec_id")
+        v, vec = np.array(base["embedding"].tolist(), np.float64), base["vec_id"].to_numpy()
+        q, ids = np.array(queries["embedding"].tolist(), np.float64), queries["vec_id"].to_numpy()
+        found = []
+        for at in range(0, len(q), 64):  # so that a score matrix stays small
+            # Rounding in the last digits must not part exact ties, which go to the smaller id.
+            score = np.round(_scores(q[at : at + 64], v, metric), 12)
+            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + 64], order.shape[1]), "vec_id": vec[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
+        return pd.concat(found)
+
+    return run
+
+
+#: Vectors that the inverted lists' centres are learnt from at most.
+FIT_VECTORS = 20_000
+
+
+def centres(base: DataFrame, n: int, seed: int = 42, rounds: int = 10, sample: int = FIT_VECTORS) -> np.ndarray:
+    """n centres by k-means on `sample` vectors at most, those with the smallest hashes of their id."""
+    rows = base.select("embedding", F.xxhash64("vec_id", F.lit(seed)).alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).collect()
+    v = np.array([r.embedding for r in rows], np.float64)
+    found = v[:n].copy()
+    for _ in range(rounds):
+        near = np.argmax(-((found**2).sum(1)[None, :] - 2 * v @ found.T), axis=1)
+        for c in np.unique(near):
+            found[c] = v[near == c].mean(0)
+    return found
+
+
+def vector_lists(queries: DataFrame, base: DataFrame, k: int, lists: int, probes: int, metric: str = "l2", block: int = 16_384) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best of the `probes` inverted lists nearest to a query.
+
+    Every base vector is in the list of its nearest centre; a list of more than `block`
+    vectors is searched in blocks. The centres are learnt from a bounded sample (see
+    centres); `probes` = `lists` makes the search exact.
+    """
+    middle = centres(base, lists)
+
+    def nearest(m: int):
+        def run(batches):
+            for pdf in batches:
+                v = np.array(pdf["embedding"].tolist(), np.float64).reshape(len(pdf), -1)
+                order = np.argsort((middle**2).sum(1)[None, :] - 2 * v @ middle.T, axis=1, kind="stable")[:, :m] if len(pdf) else np.zeros((0, m), int)
+                yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), m), "embedding": [e for e in pdf["embedding"] for _ in range(m)], "list": order.ravel()})
+
+        return run
+
+    deal = lambda df, m: df.select("vec_id", "embedding").mapInPandas(nearest(m), "vec_id long, embedding array<float>, list long")
+    held = deal(base, 1)
+    sizes = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))  # a row a list
+    right = held.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("n")).alias("bb"), "vec_id", "embedding")
+    left = deal(queries, min(probes, len(middle))).join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("bb"), "vec_id", "embedding")
+    return _best(left.groupBy("list", "bb").cogroup(right.groupBy("list", "bb")).applyInPandas(_against(k, metric), "query_id long, vec_id long, score double"), k)

@@ -46,8 +46,12 @@ def since_last(feedback: DataFrame, trainings: DataFrame, least: int) -> DataFra
     return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("enough", F.col("n") >= least)
 
 
-def autoscale(state: DataFrame, lowest: int = 2, highest: int = 10) -> DataFrame:
-    """Workers wanted from (queue, jobs, workers): one more above 3 jobs a worker, fewer below 1, within bounds."""
-    load = F.col("jobs") / F.greatest("workers", F.lit(1))
-    want = F.when(load > 3, F.col("workers") + 1).when(load < 1, F.greatest(F.ceil(F.col("jobs") / 2), F.col("workers") - 1)).otherwise(F.col("workers"))
-    return state.select("queue", "jobs", "workers", F.least(F.greatest(want, F.lit(lowest)), F.lit(highest)).cast("long").alias("target"))
+def autoscale(state: DataFrame, lowest: int = 2, highest: int = 10, ratio: int = 2) -> DataFrame:
+    """Workers wanted from (queue, jobs, workers): one more above 3 jobs a worker, down to jobs / ratio below 1, within bounds."""
+    jobs, workers = F.col("jobs"), F.col("workers")
+    load = F.when(workers > 0, jobs / F.greatest(workers, F.lit(1))).otherwise(F.lit(float("inf")))
+    share = F.floor(jobs / ratio)
+    up = F.least(F.lit(highest), workers + 1, F.greatest(F.lit(lowest), share))
+    down = F.greatest(F.lit(lowest), F.least(workers - 1, share + 1))
+    want = F.when((load > 3) & (workers < highest), F.greatest(up, workers)).when((load < 1) & (workers > lowest), F.least(down, workers)).otherwise(workers)
+    return state.select("queue", "jobs", "workers", want.cast("long").alias("target"))

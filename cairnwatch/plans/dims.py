@@ -82,26 +82,33 @@ SIGNAL = [
 ]
 #: Tactic, pattern (case ignored, from a word's start), its techniques.
 CONTEXT = [
-    ("initial_access", r"phish|spearphish|malicious\s+(?:email|attachment)|exploit\s+(?:web|application|public)", "T1566,T1566.001,T1566.002,T1190"),
-    ("execution", r"execut(?:e|ion|ed)|script|command|run\s+(?:code|process)", "T1059,T1059.001,T1059.003,T1106"),
-    ("persistence", r"persist(?:ence|ent)|startup|boot|registry|schedule|cron|autorun", "T1053,T1053.005,T1547,T1547.001"),
-    ("privilege_escalation", r"privile(?:ge|ged)|escalat(?:e|ion)|admin|root|sudo|uac", "T1068,T1548,T1548.002"),
-    ("defense_evasion", r"evade|evasion|bypass|disable|tamper|anti[\s-]?virus|detection", "T1562,T1562.001,T1070"),
-    ("credential_access", r"credential|password|hash|kerberos|ticket|token|dump", "T1003,T1003.001,T1110,T1110.002"),
-    ("discovery", r"discover|enumerat(?:e|ion)|scan|query|list|network", "T1046,T1082,T1018"),
-    ("lateral_movement", r"lateral|move(?:ment)?|pivot|remote|psexec|wmi|smb", "T1021,T1021.002,T1021.006,T1091"),
-    ("collection", r"collect|gather|harvest|screenshot|keylog|clipboard", "T1056,T1056.001,T1113,T1115"),
-    ("exfiltration", r"exfiltrat(?:e|ion)|transfer|upload|steal|extract", "T1048,T1048.003,T1041"),
-    ("command_and_control", r"command\s*(?:and|&)\s*control|c2|c&c|beacon|callback", "T1071,T1071.001,T1071.004,T1095"),
-    ("impact", r"ransom|encrypt|wipe|corrupt|deny|dos|ddos|destruct", "T1486,T1489,T1490"),
+    ("initial_access", r"phish|spearphish|malicious\s+(?:email|attachment)|exploit\s+(?:web|application|public)", ["T1566", "T1566.001", "T1566.002", "T1190"]),
+    ("execution", r"execut(?:e|ion|ed)|script|command|run\s+(?:code|process)", ["T1059", "T1059.001", "T1059.003", "T1106"]),
+    ("persistence", r"persist(?:ence|ent)|startup|boot|registry|schedule|cron|autorun", ["T1053", "T1053.005", "T1547", "T1547.001"]),
+    ("privilege_escalation", r"privile(?:ge|ged)|escalat(?:e|ion)|admin|root|sudo|uac", ["T1068", "T1548", "T1548.002"]),
+    ("defense_evasion", r"evade|evasion|bypass|disable|tamper|anti[\s-]?virus|detection", ["T1562", "T1562.001", "T1070"]),
+    ("credential_access", r"credential|password|hash|kerberos|ticket|token|dump", ["T1003", "T1003.001", "T1110", "T1110.002"]),
+    ("discovery", r"discover|enumerat(?:e|ion)|scan|query|list|network", ["T1046", "T1082", "T1018"]),
+    ("lateral_movement", r"lateral|move(?:ment)?|pivot|remote|psexec|wmi|smb", ["T1021", "T1021.002", "T1021.006", "T1091"]),
+    ("collection", r"collect|gather|harvest|screenshot|keylog|clipboard", ["T1056", "T1056.001", "T1113", "T1115"]),
+    ("exfiltration", r"exfiltrat(?:e|ion)|transfer|upload|steal|extract", ["T1048", "T1048.003", "T1041"]),
+    ("command_and_control", r"command\s*(?:and|&)\s*control|c2|c&c|beacon|callback", ["T1071", "T1071.001", "T1071.004", "T1095"]),
+    ("impact", r"ransom|encrypt|wipe|corrupt|deny|dos|ddos|destruct", ["T1486", "T1489", "T1490"]),
 ]
 #: Entity types and the techniques they favour.
-AFFINITY = [
-    ("ATTACK-PATTERN", "T1190,T1133,T1566,T1566.001,T1078"), ("MALWARE", "T1059,T1204,T1027,T1027.002,T1055"), ("TOOL", "T1059.001,T1059.003,T1059.005,T1059.006,T1021.006"),
-    ("VULNERABILITY", "T1190,T1068,T1211,T1212,T1203"), ("FILE", "T1005,T1074,T1083,T1564,T1560"), ("SYSTEM", "T1082,T1018,T1016,T1049,T1033"), ("NETWORK", "T1046,T1049,T1071,T1095,T1571"),
-    ("USER-ACCOUNT", "T1078,T1136,T1087,T1098,T1003.001"), ("PROTOCOL", "T1071.001,T1071.002,T1071.003,T1071.004,T1095"), ("CREDENTIAL", "T1003,T1110,T1555,T1552,T1556"),
-]
-AFFINITY = [(t, x) for t, xs in AFFINITY for x in xs.split(",")]
+FAVOURED = {
+    "ATTACK-PATTERN": ["T1190", "T1133", "T1566", "T1566.001", "T1078"],
+    "MALWARE": ["T1059", "T1204", "T1027", "T1027.002", "T1055"],
+    "TOOL": ["T1059.001", "T1059.003", "T1059.005", "T1059.006", "T1021.006"],
+    "VULNERABILITY": ["T1190", "T1068", "T1211", "T1212", "T1203"],
+    "FILE": ["T1005", "T1074", "T1083", "T1564", "T1560"],
+    "SYSTEM": ["T1082", "T1018", "T1016", "T1049", "T1033"],
+    "NETWORK": ["T1046", "T1049", "T1071", "T1095", "T1571"],
+    "USER-ACCOUNT": ["T1078", "T1136", "T1087", "T1098", "T1003.001"],
+    "PROTOCOL": ["T1071.001", "T1071.002", "T1071.003", "T1071.004", "T1095"],
+    "CREDENTIAL": ["T1003", "T1110", "T1555", "T1552", "T1556"],
+}
+AFFINITY = [(kind, technique) for kind, techniques in FAVOURED.items() for technique in techniques]
 #: Weight of each extractor in the weighted combination; any other weighs 0.6.
 COMBINE_WEIGHT = [("rule_based", 0.7), ("bm25", 0.8), ("ner", 0.9), ("semantic", 0.85), ("classifier", 0.8), ("kev", 0.95)]
 #: Extractor, weight, scale, shift of the advanced ensemble.
@@ -132,7 +139,7 @@ TABLES = {
     "cwe_technique": ("cwe_id, technique_id", CWE_TECHNIQUE, "cwe_id string, technique_id string"),
     "cwe_rule": ("word_a, word_b, cwe_id", CWE_RULE, "word_a string, word_b string, cwe_id string"),
     "signal": ("technique_id, phrase", SIGNAL, "technique_id string, phrase string"),
-    "context": ("tactic, pattern, techniques", CONTEXT, "tactic string, pattern string, techniques string"),
+    "context": ("tactic, pattern, techniques", CONTEXT, "tactic string, pattern string, techniques array<string>"),
     "affinity": ("entity_type, technique_id", AFFINITY, "entity_type string, technique_id string"),
     "combine_weight": ("extractor, weight", COMBINE_WEIGHT, "extractor string, weight double"),
     "ensemble": ("extractor, weight, scale, shift", ENSEMBLE, "extractor string, weight double, scale double, shift double"),
@@ -148,6 +155,8 @@ def dim(spark: SparkSession, name: str) -> DataFrame:
 
 
 def _literal(v: object) -> str:
+    if isinstance(v, list):
+        return "[" + ", ".join(map(_literal, v)) + "]"
     return "CAST(" + repr(v) + " AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
 

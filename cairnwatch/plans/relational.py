@@ -36,24 +36,39 @@ def told2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" See cve 2021 44228,T1059.001!x [label](u) ![alt](v) `code`")))
 
 
-@query(f"""WITH x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '([.,;!?])([A-Za-z0-9_])', '\\1 \\2', 'g')) AS t FROM ({_TOLD2})) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM x""")
+@query(f"""WITH x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '([.,;!?])([\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'g')) AS t FROM ({_TOLD2})) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM x""")
 def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(told2(spark, sf_dir), tx.normalize_ws(F.col("text")))
 
 
+#: \\b knows ASCII letters only in SQL: accented ones are written as letters that occur nowhere else, and back.
+_ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
+
+
+def _masked(c: str, inside) -> str:
+    for i, a in enumerate(_ACCENTED):
+        c = f"replace({c}, '{a}', 'QZ{i:02d}ZQ')"
+    c = inside(c)
+    for i, a in enumerate(_ACCENTED):
+        c = f"replace({c}, 'QZ{i:02d}ZQ', '{a}')"
+    return c
+
+
 def _abbr(c: str) -> str:
-    c = f"lower({c})"
     for a, e in dims.ABBREVIATION:
         c = f"regexp_replace({c}, '\\b{a}\\b', '{e}', 'g')"
     return c
 
 
-@query(f"WITH x AS (SELECT doc_id, {_abbr('text')} AS t FROM ({_TOLD2})) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM x")
+@query(f"WITH x AS (SELECT doc_id, {_masked('lower(text)', _abbr)} AS t FROM ({_TOLD2})) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM x")
 def expand_abbrev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(told2(spark, sf_dir), tx.expand_abbreviations(F.col("text"), dims.ABBREVIATION))
 
 
-@query(f"WITH x AS (SELECT doc_id, regexp_replace(text, '(?i)\\bcve[- \\t\\n]?([0-9]{{4}})[- \\t\\n]?([0-9]{{1,7}})\\b', 'CVE-\\1-\\2', 'g') AS t FROM ({_TOLD2})) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM x")
+_CVE = lambda c: f"regexp_replace({c}, '(?i)\\bcve[- \\t\\n]?([0-9]{{4}})[- \\t\\n]?([0-9]{{1,7}})\\b', 'CVE-\\1-\\2', 'g')"
+
+
+@query(f"WITH x AS (SELECT doc_id, {_masked('text', _CVE)} AS t FROM ({_TOLD2})) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM x")
 def normalize_cve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(told2(spark, sf_dir), tx.normalize_cve(F.col("text")))
 
@@ -98,16 +113,23 @@ def segment_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "i", F.length("segment").alias("n"), "segment")
 
 
-@query(f"""WITH {values('technique')}, s(w) AS (SELECT unnest(['this','that','from','their','they','have','has','been','were','when','where','will','what','with','which'])),
+#: Words that no keyword is made of.
+_KEYWORD_STOP = [
+    "the", "and", "for", "with", "this", "that", "from", "their", "they", "have", "has", "been", "were", "when", "where", "will", "what", "who", "how",
+    "some", "such", "than", "then", "these", "those", "there", "about",
+]
+
+
+@query(f"""WITH {values('technique')}, s(w) AS (SELECT unnest([{', '.join(f"'{w}'" for w in _KEYWORD_STOP)}])),
+w AS (SELECT technique_id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS x FROM technique UNION ALL SELECT technique_id, unnest(regexp_extract_all(lower(string_split(description, '.')[1]), '[a-z0-9]+')) FROM technique),
 p AS (SELECT technique_id, lower(name) AS k FROM technique
   UNION SELECT technique_id, trim(x) FROM (SELECT technique_id, unnest(string_split_regex(lower(name), '[/()\\[\\]{{}}:]')) AS x FROM technique) WHERE contains(trim(x), ' ')
-  UNION SELECT technique_id, x FROM (SELECT technique_id, unnest(regexp_extract_all(lower(name || ' ' || string_split(description, '.')[1]), '[a-z0-9]+')) AS x FROM technique) WHERE length(x) > 3 AND x NOT IN (SELECT w FROM s))
+  UNION SELECT technique_id, x FROM w WHERE length(x) > 3 AND x NOT IN (SELECT w FROM s))
 SELECT technique_id, k AS keyword FROM p""")
 def keyword_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stop = ["this", "that", "from", "their", "they", "have", "has", "been", "were", "when", "where", "will", "what", "with", "which"]
     name, first = F.lower("name"), F.lower(F.concat("name", F.lit(" "), tx.first_sentences(F.col("description"))))
     parts = F.filter(F.transform(F.split(name, r"[/()\[\]{}:]"), lambda p: F.trim(p)), lambda p: p.contains(" "))
-    words = F.filter(F.regexp_extract_all(first, F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) > 3) & ~w.isin(stop))
+    words = F.filter(F.regexp_extract_all(first, F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) > 3) & ~w.isin(_KEYWORD_STOP))
     return dim(spark, "technique").select("technique_id", F.explode(F.array_distinct(F.concat(F.array(name), parts, words))).alias("keyword"))
 
 
@@ -258,13 +280,14 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.metrics(rows, quality.check_results(rows, dim(spark, "technique"), ["doc_id", "line"]))
 
 
-@query(_CHECKED + """, c AS (SELECT doc_id % 100 AS key, doc_id AS seq, count(*) AS issues FROM i GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM c),
-t AS (SELECT key, count(*) AS n, CAST(sum(CASE WHEN r <= 10 THEN issues ELSE 0 END) AS BIGINT) AS recent, CAST(sum(CASE WHEN r > 10 THEN issues ELSE 0 END) AS BIGINT) AS previous FROM o WHERE r <= 20 GROUP BY key)
-SELECT key, recent, previous, CASE WHEN n <= 10 THEN 'insufficient_data' WHEN recent < previous THEN 'improving' WHEN recent > previous THEN 'declining' ELSE 'stable' END AS trend FROM t""")
+@query(_CHECKED + """, c AS (SELECT doc_id % 100 AS key, doc_id AS seq, doc_id IN (SELECT doc_id FROM i) AS bad FROM (SELECT DISTINCT doc_id FROM r)), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM c),
+t AS (SELECT key, count(*) AS n, count(*) FILTER (bad AND r <= 10) AS recent, count(*) FILTER (bad AND r > 10) AS previous FROM o WHERE r <= 20 GROUP BY key)
+SELECT key, recent, previous, CASE WHEN n <= 10 THEN 'insufficient_data' WHEN recent < previous THEN 'improving' WHEN recent > previous THEN 'worsening' ELSE 'stable' END AS trend FROM t""")
 def quality_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.check_results(results(spark, sf_dir), dim(spark, "technique"), ["doc_id", "line"])
-    checks = found.groupBy((F.col("doc_id") % 100).alias("key"), F.col("doc_id").alias("seq")).agg(F.count(F.lit(1)).alias("issues"))
-    return quality.trend(checks)
+    rows = results(spark, sf_dir)
+    found = quality.check_results(rows, dim(spark, "technique"), ["doc_id", "line"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("issues"))
+    checks = rows.select("doc_id").distinct().join(found, "doc_id", "left")
+    return quality.trend(checks.select((F.col("doc_id") % 100).alias("key"), F.col("doc_id").alias("seq"), F.coalesce("issues", F.lit(0)).alias("issues")))
 
 
 @query(_CHECKED + " SELECT doc_id, count(*) AS n, string_agg(line || ':' || issue, ';' ORDER BY line || ':' || issue) AS issues FROM i GROUP BY doc_id")
@@ -294,7 +317,8 @@ _OPS = "SELECT user_id AS entity_id, CASE event_id % 5 WHEN 0 THEN 'create' WHEN
 
 
 @query(f"""WITH o AS (SELECT *, lag(operation) OVER w AS prev, lag(version) OVER w AS before FROM ({_OPS}) WHERE operation IS NOT NULL AND ts IS NOT NULL AND entity_id IS NOT NULL WINDOW w AS (PARTITION BY entity_id ORDER BY ts, seq))
-SELECT entity_id, seq, 'after delete' AS issue FROM o WHERE prev = 'delete' AND operation <> 'create' UNION ALL SELECT entity_id, seq, 'version gap' FROM o WHERE version - before > 1""")
+SELECT entity_id, seq, 'after delete' AS issue FROM o WHERE prev = 'delete' AND operation <> 'create' UNION ALL SELECT entity_id, seq, 'version gap' FROM o WHERE version - before > 1
+UNION ALL SELECT entity_id, seq, 'missing fields' FROM ({_OPS}) WHERE operation IS NULL OR ts IS NULL OR entity_id IS NULL""")
 def temporal_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return quality.temporal_coherence(e.select(F.col("user_id").alias("entity_id"), F.expr("CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'delete' WHEN 2 THEN NULL ELSE 'update' END").alias("operation"), "ts", (F.col("event_id") % 7).cast("int").alias("version"), F.col("event_id").alias("seq")))
@@ -480,11 +504,16 @@ def lru_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.lru_evict(e).select("tier", "key")
 
 
-@query("""WITH s AS (SELECT event_type AS queue, count(*) // 400 AS jobs, count(DISTINCT user_id) // 25 AS workers FROM events GROUP BY event_type)
-SELECT queue, jobs, workers, CAST(least(greatest(CASE WHEN jobs::DOUBLE / greatest(workers, 1) > 3 THEN workers + 1 WHEN jobs::DOUBLE / greatest(workers, 1) < 1 THEN greatest(ceil(jobs / 2.0), workers - 1) ELSE workers END, 2), 10) AS BIGINT) AS target FROM s""")
+_LOADS = "SELECT user_id AS queue, (count(*) * 7 + user_id * 3) % 45 AS jobs, (count(*) + user_id) % 13 AS workers FROM events GROUP BY user_id"
+
+
+@query(f"""WITH s AS ({_LOADS}), l AS (SELECT *, CASE WHEN workers > 0 THEN jobs::DOUBLE / workers ELSE 'infinity'::DOUBLE END AS per, jobs // 2 AS share FROM s),
+w AS (SELECT *, least(10, workers + 1, greatest(2, share)) AS up, greatest(2, least(workers - 1, share + 1)) AS down FROM l)
+SELECT queue, jobs, workers, CAST(CASE WHEN per > 3 AND workers < 10 AND up > workers THEN up WHEN per < 1 AND workers > 2 AND down < workers THEN down ELSE workers END AS BIGINT) AS target FROM w""")
 def autoscale_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("queue")).agg(F.floor(F.count(F.lit(1)) / 400).alias("jobs"), F.floor(F.countDistinct("user_id") / 25).alias("workers"))
-    return windows.autoscale(s)
+    n, user = F.count(F.lit(1)), F.col("user_id")
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(n.alias("n"))
+    return windows.autoscale(s.select(user.alias("queue"), ((F.col("n") * 7 + user * 3) % 45).alias("jobs"), ((F.col("n") + user) % 13).alias("workers")))
 
 
 @query("""SELECT l_orderkey, string_agg(l_linenumber || ':' || l_quantity::INTEGER, ',' ORDER BY l_quantity, l_linenumber) AS highlights FROM lineitem GROUP BY l_orderkey""")

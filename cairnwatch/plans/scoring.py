@@ -56,9 +56,18 @@ def _patterns() -> str:
     return "pattern(technique_id, p) AS (VALUES " + ", ".join(f"('{t}', '{p}')" for t, p in rows) + ")"
 
 
-_V1 = f"""{_patterns()},
-m AS (SELECT doc_id, technique_id, list_transform(regexp_extract_all(text, p), lambda x: lower(x)) AS found FROM d CROSS JOIN pattern),
-r AS (SELECT doc_id, technique_id, len(found) AS match_count, list_distinct(found) AS keywords FROM m)"""
+def ascii_words(c: str) -> str:
+    """A text in which \\b, which knows ASCII letters only, parts words as if it knew the accented ones too."""
+    return f"regexp_replace({c}, '[À-ÖØ-öø-ÿ]', '_', 'g')"
+
+
+def _v1(keys: str = "doc_id") -> str:
+    return f"""{_patterns()},
+m AS (SELECT {keys}, technique_id, list_transform(regexp_extract_all({ascii_words('text')}, p), lambda x: lower(x)) AS found FROM d CROSS JOIN pattern),
+r AS (SELECT {keys}, technique_id, len(found) AS match_count, list_distinct(found) AS keywords FROM m)"""
+
+
+_V1 = _v1()
 _V1_OUT = """SELECT doc_id, technique_id, CAST(match_count AS INTEGER) AS match_count, array_to_string(list_sort(keywords), ',') AS keywords,
     round(least(0.9, CAST(0.4 AS DOUBLE) + CAST(0.1 AS DOUBLE) * len(keywords)), 6) AS confidence FROM r WHERE match_count > 0"""
 
@@ -73,7 +82,7 @@ def rule_v1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorers.top_k(_flat(scorers.rule_v1(docs_of(spark, sf_dir), dims.KEYWORD)), 10)
 
 
-@query(f"""WITH {values('signal')}, d AS ({TOLD}), {_V1.replace('WHERE', 'WHERE')},
+@query(f"""WITH {values('signal')}, d AS ({TOLD}), {_V1},
 s AS (SELECT DISTINCT doc_id, technique_id FROM d JOIN signal ON contains(lower(text), phrase)),
 k(technique_id, more) AS (VALUES ('T1190', ['web exploit']), ('T1133', ['vpn', 'remote service']), ('T1566', ['phishing']), ('T1059', ['script', 'command interpreter']), ('T1027', ['obfuscated', 'encoded'])),
 b AS (SELECT r.doc_id, r.technique_id, r.match_count + CASE WHEN s.doc_id IS NULL THEN 0 ELSE 2 END AS match_count,
@@ -88,7 +97,7 @@ _V2 = f"""{values('technique_keyword', 'context')}, d AS (SELECT doc_id, text, l
 kw AS (SELECT doc_id, technique_id, keyword, (length(low) - length(replace(low, keyword, ''))) // length(keyword) AS n, instr(low, keyword) AS first,
        length(low) - instr(reverse(low), reverse(keyword)) - length(keyword) + 2 AS last FROM d JOIN (SELECT DISTINCT technique_id, lower(keyword) AS keyword FROM technique_keyword WHERE length(keyword) > 2) ON contains(low, keyword)),
 h AS (SELECT doc_id, technique_id, sum(n) AS n, list(keyword) AS found, min(first) AS first, max(last) AS last FROM kw GROUP BY ALL),
-c AS (SELECT doc_id, unnest(string_split(techniques, ',')) AS technique_id, m FROM (SELECT doc_id, techniques, regexp_extract_all(text, '(?i)\\b(?:' || pattern || ')') AS m FROM d CROSS JOIN context) WHERE len(m) > 0),
+c AS (SELECT doc_id, unnest(techniques) AS technique_id, m FROM (SELECT doc_id, techniques, regexp_extract_all({ascii_words('text')}, '(?i)\\b(?:' || pattern || ')') AS m FROM d CROSS JOIN context) WHERE len(m) > 0),
 r AS (SELECT coalesce(h.doc_id, c.doc_id) AS doc_id, coalesce(h.technique_id, c.technique_id) AS technique_id, CAST(coalesce(h.n, len(c.m)) AS BIGINT) AS match_count,
       list_distinct(list_concat(coalesce(h.found, []), coalesce(c.m, []))) AS keywords, h.n AS n_positions, first, last, h.doc_id IS NULL AS context_only,
       CASE WHEN h.doc_id IS NULL THEN 0.8::DOUBLE WHEN c.doc_id IS NOT NULL THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS boost
@@ -113,14 +122,41 @@ def rule_v2_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {values('context')}, d AS ({TOLD})
-SELECT doc_id, tactic, len(regexp_extract_all(text, '(?i)\\b(?:' || pattern || ')')) AS n_matches, len(string_split(techniques, ',')) AS n_techniques
-FROM d CROSS JOIN context WHERE regexp_matches(text, '(?i)\\b(?:' || pattern || ')')""")
+SELECT doc_id, tactic, len(regexp_extract_all({ascii_words('text')}, '(?i)\\b(?:' || pattern || ')')) AS n_matches, len(techniques) AS n_techniques
+FROM d CROSS JOIN context WHERE regexp_matches({ascii_words('text')}, '(?i)\\b(?:' || pattern || ')')""")
 def rule_v2_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = [F.struct(F.lit(t).alias("tactic"), F.regexp_count("text", F.lit(f"(?i){tx.LEFT}(?:{p})")).cast("long").alias("n_matches"), F.lit(len(ts.split(","))).cast("long").alias("n_techniques")) for t, p, ts in dims.CONTEXT]
+    hits = [F.struct(F.lit(t).alias("tactic"), F.regexp_count("text", F.lit(f"(?i){tx.LEFT}(?:{p})")).cast("long").alias("n_matches"), F.lit(len(ts)).cast("long").alias("n_techniques")) for t, p, ts in dims.CONTEXT]
     rows = told(spark, sf_dir).select("doc_id", F.explode(F.array(*hits)).alias("h")).select("doc_id", "h.*")
     return rows.where("n_matches > 0")
 
 
+def _contextual_sql() -> str:
+    quoted = lambda ks: "[" + ", ".join(f"'{k}'" for k in ks) + "]"
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS technique_id, {quoted(ks)} AS more FROM d WHERE " + " OR ".join(f"regexp_matches(lower(text), '{p}')" for p in ps) for t, ps, ks in scorers.CONTEXTUAL)
+    return f"""s AS ({rows}),
+    b AS (SELECT coalesce(x.doc_id, s.doc_id) AS doc_id, coalesce(x.technique_id, s.technique_id) AS technique_id, coalesce(match_count, 0) + CASE WHEN s.doc_id IS NULL THEN 0 ELSE 2 END AS match_count,
+      list_distinct(list_concat(coalesce(keywords, []), coalesce(more, []))) AS keywords FROM (SELECT * FROM r WHERE match_count > 0) x FULL JOIN s ON x.doc_id = s.doc_id AND x.technique_id = s.technique_id)"""
+
+
+_PHRASES = "['an outbound connection', 'beacon back', 'they escalate privilege', 'lateral movement', 'to maintain access', 'bypass detection', 'disable firewall', ''][doc_id % 8 + 1]"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text || ' ' || {_PHRASES} AS text FROM documents), {_V1}, {_contextual_sql()}
+{_V1_OUT.replace('FROM r', 'FROM b')}""")
+def rule_v1_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = F.expr("element_at(array" + _PHRASES.replace("[doc_id % 8 + 1]", "").replace("[", "(").replace("]", ")") + ", cast(doc_id % 8 + 1 as int))")
+    docs = docs_of(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), phrases).alias("text"))
+    return _flat(scorers.rule_v1(docs, dims.KEYWORD, contexts=scorers.CONTEXTUAL))
+
+
+@query(f"""WITH d AS ({TOLD}), {_V1}, e AS (SELECT *, len(keywords)::DOUBLE AS u FROM r WHERE match_count > 0)
+SELECT doc_id, technique_id, CAST(match_count AS BIGINT) AS match_count, array_to_string(list_sort(keywords), ',') AS keywords,
+round(least(0.4::DOUBLE + 0.08::DOUBLE * u + CASE WHEN match_count > u THEN 0.05::DOUBLE * least(match_count / u, 3::DOUBLE) ELSE 0 END, 0.95::DOUBLE), 6) AS confidence FROM e""")
+def rule_v2_whole_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _flat(scorers.rule_v2(told(spark, sf_dir), dims.KEYWORD, whole_words=True))
+    return rows.select("doc_id", "technique_id", F.col("match_count").cast("long").alias("match_count"), "keywords", "confidence")
+
+
 _CORPUS = f"""corpus AS (SELECT technique_id AS row_id, lower(name || ' ' || string_split(description, '.')[1] || coalesce(' ' || ks, '')) AS body FROM technique
     LEFT JOIN (SELECT technique_id, string_agg(keyword, ' ' ORDER BY keyword) AS ks FROM technique_keyword GROUP BY technique_id) USING (technique_id))"""
 
@@ -174,7 +210,13 @@ _FIELDS = """corpus AS (SELECT technique_id || '|' || field || '|' || body AS ro
     SELECT technique_id, 'name' AS field, 3.0::DOUBLE AS weight, name AS body FROM technique
     UNION ALL SELECT technique_id, 'description', 1.5::DOUBLE, string_split(description, '.')[1] || '.' || string_split(description, '.')[2] FROM technique
     UNION ALL SELECT technique_id, 'keyword', 2.0::DOUBLE, keyword FROM technique_keyword))"""
-_BEST = """SELECT doc_id, technique_id, field, raw FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, technique_id ORDER BY raw DESC, row_id) AS b FROM s) WHERE b = 1"""
+_BEST = """, t AS (SELECT doc_id, technique_id, field, raw FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, technique_id ORDER BY raw DESC, row_id) AS b FROM s) WHERE b = 1),
+c AS (SELECT *, round(raw / mx, 6) AS confidence FROM (SELECT *, max(raw) OVER (PARTITION BY doc_id) AS mx FROM t) WHERE mx > 0)
+SELECT doc_id, technique_id, field, raw, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, technique_id) AS rank FROM c WHERE confidence >= 0.1) WHERE rank <= 10"""
+
+
+def _ranked_fields(scores: DataFrame) -> DataFrame:
+    return scorers.top_k(scorers.normalised(scores), 10).select("doc_id", "technique_id", "field", "raw", "confidence", "rank")
 
 
 def fields(spark: SparkSession) -> DataFrame:
@@ -191,7 +233,7 @@ part AS (SELECT doc_id, row_id, sum(idf * {_WEIGHT}) AS part FROM q JOIN i USING
 s AS (SELECT base.doc_id, corpus.row_id, technique_id, field, round((base + coalesce(part, 0)) * weight, 6) AS raw FROM base CROSS JOIN corpus LEFT JOIN part ON part.doc_id = base.doc_id AND part.row_id = corpus.row_id)
 {_BEST}""")
 def bm25_v2_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorers.bm25_v2(docs_of(spark, sf_dir), fields(spark))
+    return _ranked_fields(scorers.bm25_v2(docs_of(spark, sf_dir), fields(spark)))
 
 
 @query(f"""WITH {values('technique', 'technique_keyword')}, {_FIELDS}, {_POST.replace("string_split_regex(body", "string_split_regex(lower(body)")},
@@ -200,7 +242,7 @@ part AS (SELECT doc_id, row_id, sum(idf * {_WEIGHT}) AS part FROM q JOIN i USING
 s AS (SELECT doc_id, row_id, technique_id, field, round(part * weight, 6) AS raw FROM part JOIN corpus USING (row_id) WHERE part * weight <> 0)
 {_BEST}""")
 def bm25_v2_okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorers.bm25_v2(docs_of(spark, sf_dir), fields(spark), "okapi")
+    return _ranked_fields(scorers.bm25_v2(docs_of(spark, sf_dir), fields(spark), "okapi"))
 
 
 @query("""WITH w AS (SELECT item_id, unnest(string_split_regex(lower(text), '[ \\t\\n\\r]+')) AS term FROM benchmark),
@@ -265,16 +307,30 @@ def _vectors(metric: str) -> str:
     dot = "list_dot_product(a.e, b.e)"
     score = f"CASE WHEN a.n > 0 AND b.n > 0 THEN {dot} / (a.n * b.n) ELSE 0 END" if metric == "cosine" else f"1 / (1 + greatest(a.n * a.n + b.n * b.n - 2 * {dot}, 0))"
     return f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
-    s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({score}, 4) AS score FROM e a, e b WHERE a.vec_id % 50 = 0)"""
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({score}, 12) AS score FROM e a, e b WHERE a.vec_id % 50 = 0)
+    SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 
-@query(_vectors("cosine") + " SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
+@query(_vectors("cosine"))
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return scorers.vector_topk(e.where("vec_id % 50 = 0"), e, 5)
 
 
-@query(_vectors("l2") + " SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
+@query(_vectors("cosine") + " AND score >= 0.5")
+def semantic_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours from the threshold on that the semantic scorer takes."""
+    return cosine_topk(spark, sf_dir).where("score >= 0.5")
+
+
+@query(_vectors("l2"))
+def l2_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted lists, all of them probed, so that the answer is exact; tests measure recall with fewer probes."""
+    e = table(spark, sf_dir, "embeddings")
+    return scorers.vector_lists(e.where("vec_id % 50 = 0"), e, 5, lists=16, probes=16)
+
+
+@query(_vectors("l2"))
 def l2_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return scorers.vector_topk(e.where("vec_id % 50 = 0"), e, 5, "l2")
@@ -289,7 +345,7 @@ def cosine_max_over_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")).select(F.col("label").alias("centre"), "c")
-    return e.crossJoin(centres).withColumn("s", tx.cosine(F.col("embedding"), F.col("c"))).groupBy("label", "centre").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("s"), 4).alias("best"))
+    return scorers.vector_group_best(e.select("vec_id", F.col("label").alias("grp"), "embedding"), centres.select(F.col("centre").cast("long").alias("vec_id"), F.col("c").alias("embedding"))).select(F.col("grp").alias("label"), F.col("query_id").cast("int").alias("centre"), "n", F.round("best", 4).alias("best"))
 
 
 _PAIRS = "pair(entity, keyword, technique_id) AS (VALUES " + ", ".join(f"('{e}', '{k}', '{t}')" for e, k, t in scorers.entity_pairs(dims.ENTITY_TERM, dims.KEYWORD)) + ")"
@@ -306,7 +362,7 @@ def entity_keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT doc_id, h.technique_id, max(CASE WHEN x.technique_id IS NOT NULL THEN 1.2::DOUBLE WHEN y.p IS NOT NULL THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END) AS boost FROM h
   LEFT JOIN affinity x ON x.entity_type = h.entity_type AND x.technique_id = h.technique_id
   LEFT JOIN (SELECT DISTINCT entity_type, split_part(technique_id, '.', 1) AS p FROM affinity WHERE contains(technique_id, '.')) y ON y.entity_type = h.entity_type AND starts_with(h.technique_id, y.p) GROUP BY ALL)
-SELECT doc_id, technique_id, n_entities, match_count, boost, round(least(0.3::DOUBLE + 0.5::DOUBLE * least(0.4::DOUBLE + 0.05::DOUBLE * n_entities, 0.75::DOUBLE) * boost, 0.9::DOUBLE), 6) AS confidence FROM a JOIN b USING (doc_id, technique_id)""")
+SELECT doc_id, technique_id, n_entities, match_count, boost, round(least((0.3::DOUBLE + 0.5::DOUBLE * least(0.4::DOUBLE + 0.05::DOUBLE * n_entities, 0.75::DOUBLE)) * boost, 0.9::DOUBLE), 6) AS confidence FROM a JOIN b USING (doc_id, technique_id)""")
 def ner_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.createDataFrame(scorers.entity_pairs(dims.ENTITY_TERM, dims.KEYWORD), "entity string, keyword string, technique_id string")
     return scorers.ner_match(scorers.entity_mentions(docs_of(spark, sf_dir), dims.ENTITY_TERM), pairs, dim(spark, "affinity"))
@@ -389,10 +445,10 @@ def dedupe_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _density(patterns: list[str]) -> str:
-    return "(" + " + ".join(f"len(regexp_extract_all(text, '(?i)\\b(?:{p})\\b'))" for p in patterns) + ")::DOUBLE / greatest(word_count, 1)"
+    return "(" + " + ".join(f"len(regexp_extract_all(w, '(?i)\\b(?:{p})\\b'))" for p in patterns) + ")::DOUBLE / greatest(word_count, 1)"
 
 
-_COMPLEX = f"""x AS (SELECT doc_id, text, length(text) AS char_count, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word_count,
+_COMPLEX = f"""x AS (SELECT doc_id, {ascii_words('text')} AS w, length(text) AS char_count, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word_count,
     len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '[ \\t\\n\\r]+', '', 'g') <> '')) AS sentence_count FROM ({TOLD})),
 y AS (SELECT *, CASE WHEN sentence_count > 0 THEN word_count::DOUBLE / sentence_count ELSE 0 END AS avg_sentence_length, {_density(fusion.TECHNICAL)} AS t, {_density(fusion.SECURITY)} AS s FROM x),
 z AS (SELECT doc_id, char_count, word_count, sentence_count, round(avg_sentence_length, 6) AS avg_sentence_length, round(t, 6) AS technical_density, round(s, 6) AS security_term_density,
@@ -415,21 +471,28 @@ def adapt_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.adapt_weights(fusion.text_complexity(told(spark, sf_dir)), {e: w for e, w, _, _ in dims.ENSEMBLE})
 
 
-@query("""WITH RECURSIVE f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'kev' WHEN doc_id % 3 = 1 THEN 'bm25' ELSE 'ner' END AS extractor, quality = 1 AND doc_id % 5 <> 0 AS correct, doc_id FROM labels),
-o AS (SELECT *, row_number() OVER (PARTITION BY extractor ORDER BY doc_id) AS i FROM f),
+_FEEDBACK = [
+    "CASE WHEN doc_id % 3 = 0 THEN 'kev' WHEN doc_id % 3 = 1 THEN 'bm25' ELSE 'ner' END AS extractor",
+    "CASE WHEN quality = 1 AND doc_id % 5 <> 0 THEN 'correct' WHEN toxic = 1 THEN 'unsure' ELSE 'incorrect' END AS kind",
+    "CASE WHEN doc_id % 4 <> 1 THEN 'T1059' END AS suggested", "doc_id AS seq",
+]
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT {', '.join(_FEEDBACK)} FROM labels),
+o AS (SELECT *, row_number() OVER (PARTITION BY extractor ORDER BY seq) AS i FROM f WHERE kind = 'correct' OR (kind = 'incorrect' AND suggested IS NOT NULL)),
 r AS (SELECT extractor, 0::BIGINT AS i, 1.0::DOUBLE AS w FROM (SELECT DISTINCT extractor FROM o)
-  UNION ALL SELECT r.extractor, o.i, CASE WHEN o.correct THEN least(w * 1.05::DOUBLE, 1.5::DOUBLE) ELSE greatest(w * 0.95::DOUBLE, 0.5::DOUBLE) END FROM r JOIN o ON o.extractor = r.extractor AND o.i = r.i + 1)
+  UNION ALL SELECT r.extractor, o.i, CASE WHEN o.kind = 'correct' THEN least(w * 1.05::DOUBLE, 1.5::DOUBLE) ELSE greatest(w * 0.95::DOUBLE, 0.5::DOUBLE) END FROM r JOIN o ON o.extractor = r.extractor AND o.i = r.i + 1)
 SELECT extractor, max(i) AS n, round(arg_max(w, i), 6) AS weight FROM r GROUP BY extractor""")
 def feedback_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").selectExpr("CASE WHEN doc_id % 3 = 0 THEN 'kev' WHEN doc_id % 3 = 1 THEN 'bm25' ELSE 'ner' END AS extractor", "doc_id AS seq", "quality = 1 AND doc_id % 5 <> 0 AS correct")
-    return fusion.feedback_weights(rows)
+    return fusion.feedback_weights(table(spark, sf_dir, "labels").selectExpr(*_FEEDBACK))
 
 
 _CHUNKED = """k AS (SELECT doc_id, unnest(range(0, CASE WHEN length(text) > 25000 THEN greatest(length(text) - 500, 1) ELSE 1 END, 4500)) AS s, text FROM documents),
-d AS (SELECT doc_id * 1000 + s // 4500 AS doc_id, substr(text, s + 1, CASE WHEN length(text) > 25000 THEN 5000 ELSE length(text) END) AS text FROM k)"""
+d AS (SELECT doc_id, s // 4500 AS chunk_id, substr(text, s + 1, CASE WHEN length(text) > 25000 THEN 5000 ELSE length(text) END) AS text FROM k)"""
 
 
-@query(f"WITH {_CHUNKED}, {_V1}, o AS ({_V1_OUT.replace('array_to_string(list_sort(keywords), chr(44))', 'keywords')}), e AS (SELECT doc_id, technique_id, unnest(string_split(keywords, ',')) AS keyword, confidence FROM o) " + """SELECT doc_id // 1000 AS doc_id, technique_id, max(confidence) AS confidence, count(DISTINCT doc_id) AS n_chunks, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM e GROUP BY doc_id // 1000, technique_id""")
+@query(f"""WITH {_CHUNKED}, {_v1('doc_id, chunk_id')}, o AS ({_V1_OUT.replace('SELECT doc_id', 'SELECT doc_id, chunk_id', 1)}), e AS (SELECT doc_id, chunk_id, technique_id, unnest(string_split(keywords, ',')) AS keyword, confidence FROM o)
+SELECT doc_id, technique_id, max(confidence) AS confidence, count(DISTINCT chunk_id) AS n_chunks, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM e GROUP BY doc_id, technique_id""")
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunked = docs_of(spark, sf_dir).select("doc_id", F.explode(tx.chunks(F.col("text"))).alias("c"))
     keyed = chunked.select("doc_id", F.col("c.chunk_id").alias("chunk_id"), F.col("c.text").alias("text"))

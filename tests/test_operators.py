@@ -150,7 +150,7 @@ def test_ner_scores(spark):
         assert scorers.ner_match(mentions, pairs).first().confidence == pytest.approx(want)
     affinity = spark.createDataFrame(dims.AFFINITY, "entity_type string, technique_id string")
     mentions = spark.createDataFrame([(1, "e0", "MALWARE"), (1, "e1", "MALWARE")], "doc_id long, entity string, entity_type string")
-    assert scorers.ner_match(mentions, pairs, affinity).first().confidence == pytest.approx(0.6)
+    assert scorers.ner_match(mentions, pairs, affinity).first().confidence == pytest.approx(0.66)
 
 
 def test_sources(spark, tmp_path):
@@ -230,7 +230,7 @@ def test_vector_search_matches_brute_force(spark, sf_dir):
     rows = e.collect()
     m = np.array([r.embedding for r in rows], np.float64)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
-    got = scorers.vector_topk(e.where("vec_id % 50 = 0"), e, 3, block=4).collect()
+    got = scorers.vector_topk(e.where("vec_id % 50 = 0"), e, 3, query_block=4, base_block=100).collect()
     assert len(got) == 30
     for r in got:
         i, j = (next(k for k, x in enumerate(rows) if x.vec_id == v) for v in (r.query_id, r.vec_id))
