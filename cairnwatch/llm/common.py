@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -48,14 +50,27 @@ class Spans:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: spark.checkpoint.dir, or a fresh one where unset."""
+    """The folder driver and executors share: spark.checkpoint.dir; a fresh one where it is unset in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cairnwatch-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch: texts are long, and a batch stands in the JVM and in Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_ROWS rows in this session, unless it has a lower bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -84,12 +99,24 @@ def _plain(path: str) -> str:
     return path.replace("file:///", "/").replace("file:/", "/")
 
 
+def _roots(df: DataFrame) -> set[str]:
+    """The folders that a DataFrame reads, from its plan: no file is listed."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves().iterator(), set()
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths().iterator()
+            while paths.hasNext():
+                found.add(_plain(paths.next().toString()))
+    return found
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that cut() wrote and nothing reads any more."""
     spark = df.sparkSession
     root = _plain(shared_dir(spark))
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if _plain(folder).startswith(root):
+    for folder in _roots(df):
+        if folder.startswith(root):
             _delete(spark, folder)
 
 
@@ -99,13 +126,15 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @functools.wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
         _WRITTEN.append(set())
+        first = args[0] if args else next(iter(kwargs.values()))
+        small_batches(first if isinstance(first, SparkSession) else first.sparkSession)
         try:
             result = operator(*args, **kwargs)
         except BaseException:
             _WRITTEN.pop()
             raise
         written = _WRITTEN.pop()
-        read = {_plain(f.rsplit("/", 1)[0]) for f in result.inputFiles()}
+        read = _roots(result)
         kept = {path for path in written if _plain(path) in read}
         for path in written - kept:
             _delete(result.sparkSession, path)
@@ -136,6 +165,18 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, row) of each row of docs: its row_key, and all its columns in one, so that no name can clash."""
+    return docs.select(row_key(docs[id_col].cast("long"), docs[text_col]).alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
+def _give_back() -> None:
+    """Hands memory that Python no longer uses back to the system; a worker waits for its next task without it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of at most `most` bytes of `column`, one row at least."""
     for batch in batches:
@@ -149,6 +190,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    _give_back()
 
 
 def running_total(df: DataFrame, group: str, order: list[Column], tag: str, out: str, value: Column | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ on, and since each line has a word, the interval that a suffix shares its first
 words with is reached after log2(min_words) doublings; deeper ranks couldn't change it.
 Any window of such an interval is named by two overlapping ranks, so the shortest windows
 from every line forward and backward name all intervals; their union is the maximal runs.
-All occurrences but the first of each interval are deleted.
+All occurrences but the first of each interval are deleted; the first stays whole, also
+where a run overlaps itself.
 """
 
 from __future__ import annotations
@@ -96,6 +97,9 @@ def repeated(lines: DataFrame, min_words: int) -> DataFrame:
     place = F.struct("o", "x", "b")
     firsts = cut(named.groupBy("k", "n", "r1", "r2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k", "n", "r1", "r2", "first"), "lines-firsts")
     later = named.join(firsts, ["k", "n", "r1", "r2"]).where(place != F.col("first"))
+    # A run may overlap itself: the lines of its first occurrence stay.
+    own = (F.col("o") == F.col("first.o")) & (F.col("x") == F.col("first.x"))
+    later = later.withColumn("b", F.when(own, F.greatest("b", F.col("first.b") + F.col("n"))).otherwise(F.col("b"))).where("b <= e")
     return later.select("o", "x", F.explode(F.sequence("b", "e")).alias("idx")).distinct()
 
 
@@ -104,8 +108,9 @@ def deduplicate(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, n_lines, n_deleted, text) for each row of docs, text without the deleted lines.
 
     Lines end at \\n. A run of whole lines with min_words words or more that occurs before,
-    by ascending doc_id (null last) and line, is deleted; lines without words are kept and
-    don't part a run. Rows that repeat id and text are one document and all get its result;
+    by ascending doc_id (null last) and line, is deleted, but for lines that a first
+    occurrence shares with a later one that overlaps it: that of each run stays whole. Lines
+    without words are kept and don't part a run. Rows that repeat id and text are one document and all get its result;
     different texts of one id are ordered by hash. A null text stays null with 0 lines, an
     empty one has 1 line. An empty table gives an empty result; other columns aren't read.
     """

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnwatch.llm import decontaminate, linededup, minhash, mixing, packing, secrets, sharding, simhash, toxicity, warc
-from cairnwatch.llm.common import shared_path
+from cairnwatch.llm.common import shared_path, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,7 +83,42 @@ QUERIES = {
     "op10_line_suffix_array": op10_line_suffix_array,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words_sql(table: str, key: str) -> str:
+    return f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": f"""
+        WITH d AS ({_words_sql('documents', 'doc_id')}),
+             i AS ({_words_sql('benchmark', 'item_id')}),
+             s AS (SELECT item_id, w, least(len(w), 10) AS n FROM i WHERE len(w) > 0),
+             iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
+             dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw))),
+             h AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON iw.n = dw.n AND iw.win = dw.win),
+             p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
+             q AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
+    """,
+    "op10_line_suffix_array": """
+        WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+             a AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM t),
+             l AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM a),
+             x AS (SELECT doc_id, line, pos, w, row_number() OVER o AS idx, sum(w) OVER o AS c FROM l WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+             y AS (SELECT *, c - w AS a, c - 50 AS need, c - w + 50 AS upto FROM x),
+             win AS (SELECT y.doc_id, y.idx AS b, z.idx AS e FROM y ASOF JOIN x z ON y.doc_id = z.doc_id AND y.upto <= z.c
+                     UNION SELECT y.doc_id, z.idx, y.idx FROM y ASOF JOIN y z ON y.doc_id = z.doc_id AND y.need >= z.a),
+             k AS (SELECT win.doc_id, b, e, md5(string_agg(md5(line), '' ORDER BY idx)) AS content FROM win JOIN x ON x.doc_id = win.doc_id AND x.idx BETWEEN b AND e GROUP BY ALL),
+             f AS (SELECT content, min((doc_id, b)) AS first FROM k GROUP BY content),
+             g AS (SELECT doc_id, CASE WHEN first[1] = doc_id THEN greatest(b, first[2] + e - b + 1) ELSE b END AS b, e FROM k JOIN f USING (content) WHERE first <> (doc_id, b)),
+             gone AS (SELECT DISTINCT x.doc_id, x.pos FROM g JOIN x ON x.doc_id = g.doc_id AND x.idx BETWEEN g.b AND g.e),
+             kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM a ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT t.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(len(ls) - coalesce(n, 0), 0) AS n_deleted, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+        FROM t LEFT JOIN kept USING (doc_id)
+    """,
     "op5_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
              g AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
