@@ -81,14 +81,61 @@ def related_weaknesses(c: Column, fixed: bool = False) -> Column:
     return F.transform(ids, lambda i: F.concat(F.lit("CWE-"), i))
 
 
+def _parts(c: Column) -> Column:
+    """What stands between double colons, or the whole text if it has none; blanks dropped."""
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).when(c.contains("::"), parse_list(c)).otherwise(F.array(F.trim(c)))
+
+
 def parse_skills(c: Column) -> Column:
-    text, level = (F.regexp_extract_all(c, F.lit(r"SKILL:([^:]*):LEVEL:([^:]*)"), g) for g in (1, 2))
-    return F.transform(F.arrays_zip(text.alias("skill"), level.alias("level")), lambda z: F.struct(F.trim(z["skill"]).alias("skill"), F.when(z["level"] == "", "Unknown").otherwise(F.trim(z["level"])).alias("level")))
+    """(skill, level) of `::SKILL:a:LEVEL:b::`; else each part, or the text, with level Unknown."""
+    text, level = (F.regexp_extract_all(c, F.lit(r"::SKILL:([^:]+):LEVEL:([^:]+)::"), g) for g in (1, 2))
+    told = F.transform(F.arrays_zip(text.alias("skill"), level.alias("level")), lambda z: F.struct(F.trim(z["skill"]).alias("skill"), F.trim(z["level"]).alias("level")))
+    plain = F.transform(_parts(c), lambda p: F.struct(p.alias("skill"), F.lit("Unknown").alias("level")))
+    return F.when(F.size(text) > 0, told).otherwise(plain)
 
 
 def parse_consequences(c: Column) -> Column:
-    scope, impact = (F.regexp_extract_all(c, F.lit(r"SCOPE:([^:]+):TECHNICAL IMPACT:([^:]+)"), g) for g in (1, 2))
-    return F.arrays_zip(scope.alias("scope"), impact.alias("impact"))
+    """(text, scopes, impact, note) of `::SCOPE:a:SCOPE:b:TECHNICAL IMPACT:c:NOTE:d::`; else each part as text, impact Unknown."""
+    found = F.regexp_extract_all(c, F.lit(r"::(?:SCOPE:[^:]+:)*TECHNICAL IMPACT:[^:]+(?::NOTE:[^:]+)?::"), 0)
+    none = F.array().cast("array<string>")
+
+    def one(m: Column) -> Column:
+        scopes = F.transform(F.regexp_extract_all(m, F.lit(r"SCOPE:([^:]+):"), 1), lambda x: F.trim(x))
+        impact, note = F.regexp_extract(m, r"TECHNICAL IMPACT:([^:]+)", 1), F.regexp_extract(m, r":NOTE:([^:]+)::$", 1)
+        return F.struct(F.lit("").alias("text"), scopes.alias("scopes"), F.trim(impact).alias("impact"), F.trim(note).alias("note"))
+
+    plain = F.transform(_parts(c), lambda p: F.struct(p.alias("text"), none.alias("scopes"), F.lit("Unknown").alias("impact"), F.lit("").alias("note")))
+    return F.when(F.size(found) > 0, F.transform(found, one)).otherwise(plain)
+
+
+def parse_taxonomy(c: Column) -> Column:
+    """(taxonomy, entry_id, entry_name) of each entry between four colons that names a taxonomy."""
+    entries = F.filter(F.split(c, "::::"), lambda e: e.rlike(r"TAXONOMY NAME:[^:]+"))
+    field = lambda e, name: F.trim(F.regexp_extract(e, rf"{name}:([^:]+)", 1))
+    return F.transform(entries, lambda e: F.struct(field(e, "TAXONOMY NAME").alias("taxonomy"), field(e, "ENTRY ID").alias("entry_id"), field(e, "ENTRY NAME").alias("entry_name")))
+
+
+def json_text(fields: dict[str, Column]) -> Column:
+    """A JSON object of string and number columns, keys in order, spaced as `{"a": 1, "b": "x"}`; null is null."""
+    parts = []
+    for i, (name, c) in enumerate(sorted(fields.items())):
+        quoted = F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+        parts += [F.lit(("" if not i else ", ") + f'"{name}": '), F.when(c.isNull(), F.lit("null")).otherwise(quoted)]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+
+def key_hash(fields: dict[str, Column]) -> Column:
+    return F.md5(json_text(fields))
+
+
+def object_hash(fields: dict[str, Column]) -> Column:
+    return F.sha2(json_text(fields), 256)
+
+
+def keyword_list(c: Column) -> Column:
+    """Keywords given as a JSON array, or else parted by commas."""
+    listed = F.from_json(c, "array<string>")
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.array().cast("array<string>")).when(F.trim(c).startswith("["), listed).otherwise(F.transform(F.split(c, ","), lambda p: F.trim(p)))
 
 
 def parse_execution_flow(c: Column) -> Column:
@@ -103,9 +150,9 @@ def parse_related_patterns(c: Column) -> Column:
 
 
 def taxonomy_attack_ids(c: Column) -> Column:
-    """Technique ids among the entries of a taxonomy mapping that name ATTACK."""
-    entries = F.filter(F.split(c, "::::"), lambda e: e.contains("ATTACK"))
-    return F.filter(F.transform(entries, lambda e: F.concat(F.lit("T"), F.regexp_extract(e, r"ENTRY ID:([0-9.]+)", 1))), lambda t: t != "T")
+    """Technique ids among the entries of a taxonomy mapping whose taxonomy names ATTACK."""
+    entries = F.filter(parse_taxonomy(c), lambda e: F.upper(e["taxonomy"]).contains("ATTACK") & (e["entry_id"] != ""))
+    return F.transform(entries, lambda e: F.when(e["entry_id"].startswith("T"), e["entry_id"]).otherwise(F.concat(F.lit("T"), e["entry_id"])))
 
 
 def key_values(c: Column) -> Column:
@@ -197,20 +244,3 @@ def chunks(c: Column, size: int = 5000, overlap: int = 500, threshold: int = 25_
     starts = F.when(n > threshold, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array(F.lit(0)))
     wide = F.when(n > threshold, F.lit(size)).otherwise(n)
     return F.transform(starts, lambda s, i: F.struct(i.alias("chunk_id"), s.alias("start"), F.least(s + wide, n).alias("end"), F.substring(c, s + 1, wide).alias("text")))
-
-
-def segments(c: Column, most: int = 1000) -> Column:
-    """Paragraphs; those longer than `most` packed greedily from sentences while the sum stays below it."""
-    sentences = lambda p: F.split(p, r"(?<=[.!?])[ \t\n]+")
-
-    def pack(p: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-        def add(acc: Column, s: Column) -> Column:
-            fits = F.length(acc["cur"]) + F.length(s) < most
-            cur = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-            return F.when(fits, F.struct(acc["done"].alias("done"), cur.alias("cur"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), s.alias("cur")))
-
-        return F.aggregate(sentences(p), start, add, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["cur"])), lambda x: x != ""))
-
-    return F.flatten(F.transform(F.split(c, "\n\n"), lambda p: F.when(F.length(p) > most, pack(p)).otherwise(F.filter(F.array(F.trim(p)), lambda x: x != ""))))

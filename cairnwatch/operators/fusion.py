@@ -151,6 +151,20 @@ def feedback_weights(feedback: DataFrame, start: float = 1.0) -> DataFrame:
     return by.select("extractor", "n", F.round(weight, 6).alias("weight"))
 
 
+def oversampled(candidates: DataFrame, weights: dict[str, float], k: int, threshold: float = 0.2) -> DataFrame:
+    """The k best after combining, where each extractor was asked for 2 k: (doc_id, technique_id, method, confidence, rank)."""
+    own = F.row_number().over(W.partitionBy("doc_id", "extractor").orderBy(F.col("confidence").desc(), "technique_id", "n_keywords"))
+    fused = combine_weighted(candidates.withColumn("_r", own).where(F.col("_r") <= 2 * k), weights, threshold)
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("confidence").desc(), "technique_id"))
+    return fused.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def shift_positions(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (doc_id, chunk_id, position, ...) with the position in the whole text, by their chunk's start."""
+    starts = chunks.select("doc_id", "chunk_id", F.col("start").alias("_start"))
+    return hits.join(starts, ["doc_id", "chunk_id"]).withColumn("position", F.col("position") + F.col("_start")).drop("_start")
+
+
 def chunk_merge(chunked: DataFrame) -> DataFrame:
     """Per document and technique over its chunks: highest confidence, all keywords, number of chunks."""
     rows = chunked.select("doc_id", "technique_id", "chunk_id", "confidence", F.explode_outer("keywords").alias("keyword"))

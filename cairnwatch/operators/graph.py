@@ -78,3 +78,24 @@ def build_edges(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("id")
     kept = candidates.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return kept.select("src", "type", "dst").distinct()
+
+
+def paths(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, most: int = 3) -> DataFrame:
+    """(start, end, hops, path): paths of 1 to `most` edges of the types from each start (id), no edge twice."""
+    e = edges if types is None else edges.where(F.col("type").isin(types))
+    e = e.select(F.col("src").alias("at"), F.concat_ws("|", "src", "type", "dst").alias("eid"), F.col("dst").alias("to")).distinct()
+    now = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast("array<string>").alias("path"))
+    found = None
+    for hops in range(1, most + 1):
+        now = now.join(e, "at").where(~F.array_contains("path", F.col("eid"))).select("start", F.col("to").alias("at"), F.concat("path", F.array("eid")).alias("path"))
+        part = now.select("start", F.col("at").alias("end"), F.lit(hops).alias("hops"), "path")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def job_graph(jobs: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, label) of jobs (job_id, status) and results (result_id, job_id, technique_id), and PRODUCED edges (src, type, dst)."""
+    nodes = jobs.select(F.concat(F.lit("job:"), "job_id").alias("id"), F.lit("job").alias("kind"), F.col("status").alias("label"))
+    nodes = nodes.unionByName(results.select(F.concat(F.lit("result:"), "result_id").alias("id"), F.lit("result").alias("kind"), F.col("technique_id").alias("label")))
+    edges = results.join(jobs.select("job_id"), "job_id", "left_semi").select(F.concat(F.lit("job:"), "job_id").alias("src"), F.lit("PRODUCED").alias("type"), F.concat(F.lit("result:"), "result_id").alias("dst"))
+    return nodes, edges

@@ -32,8 +32,13 @@ def check_results(results: DataFrame, known: DataFrame, keys: list[str]) -> Data
     ])
 
 
-def check_schema(df: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
-    return _issues(df, keys, [(F.col(c).isNull() | (F.col(c).cast("string") == ""), f"missing {c}") for c in required])
+def check_schema(df: DataFrame, keys: list[str], required: list[str], types: dict[str, str] | None = None, patterns: dict[str, str] | None = None, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Issues of rows: required fields, values that aren't of a type (by cast), that don't match a pattern or leave a range."""
+    rules = [(F.col(c).isNull() | (F.col(c).cast("string") == ""), f"missing {c}") for c in required]
+    rules += [(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), f"{c} is no {t}") for c, t in (types or {}).items()]
+    rules += [(F.col(c).isNotNull() & ~F.col(c).cast("string").rlike(p), f"bad {c}") for c, p in (patterns or {}).items()]
+    rules += [(~F.col(c).try_cast("double").between(low, high), f"{c} out of range") for c, (low, high) in (ranges or {}).items()]
+    return _issues(df, keys, rules)
 
 
 #: Which kinds of ends a relationship allows.

@@ -192,6 +192,11 @@ def entity_pairs(entities: list[tuple[str, str]], keywords: list[tuple[str, str]
     return sorted({(e, k, t) for e, k in matching.overlaps([e for e, _ in entities], list(techniques)) for t in techniques[k]})
 
 
+def replace_keywords(keywords: DataFrame, new: DataFrame) -> DataFrame:
+    """The keyword table with the lists of the techniques in `new` replaced."""
+    return keywords.join(new.select("technique_id").distinct(), "technique_id", "left_anti").select("technique_id", "keyword").unionByName(new.select("technique_id", "keyword"))
+
+
 def ner_match(mentions: DataFrame, pairs: DataFrame, affinity: DataFrame | None = None) -> DataFrame:
     """Techniques by matching entities: 0.4 + 0.05 for each, 0.85 at most; with affinity the calibrated second form."""
     hits = mentions.join(pairs, "entity")

@@ -24,7 +24,7 @@ def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Upsert by key: rows of either side, the new side's values where they are given."""
+    """Upsert by key: rows of either side, the new side's values where they are given; a null there leaves the old value."""
     names = [c for c in old.columns if c != key]
     joined = old.alias("o").join(new.alias("n"), key, "full_outer")
     return joined.select(key, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in names])

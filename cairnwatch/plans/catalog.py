@@ -1,6 +1,6 @@
 """All registered queries of the engine's own operators, with their SQL."""
 
-from cairnwatch.plans import relational, scoring
+from cairnwatch.plans import records, relational, scoring
 
-QUERIES = {**scoring.QUERIES, **relational.QUERIES}
-ORACLE_SQL = {**scoring.ORACLE_SQL, **relational.ORACLE_SQL}
+QUERIES = {**scoring.QUERIES, **relational.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**scoring.ORACLE_SQL, **relational.ORACLE_SQL, **records.ORACLE_SQL}

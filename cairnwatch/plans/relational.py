@@ -106,13 +106,6 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg("size"), 4).alias("avg_size"), F.sum("size").alias("total"))
 
 
-@query(None)
-def segment_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy packing of sentences: tests hold it against brute force."""
-    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(tx.segments(F.col("text"))).alias("i", "segment"))
-    return rows.select("doc_id", "i", F.length("segment").alias("n"), "segment")
-
-
 #: Words that no keyword is made of.
 _KEYWORD_STOP = [
     "the", "and", "for", "with", "this", "that", "from", "their", "they", "have", "has", "been", "were", "when", "where", "will", "what", "who", "how",

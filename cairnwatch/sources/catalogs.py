@@ -46,8 +46,15 @@ def stix_edges(objects: DataFrame) -> DataFrame:
     return r.join(ids.select(F.col("id").alias("target_ref"), F.col("external_id").alias("dst")), "target_ref").select("src", "type", "dst").distinct()
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+def _csv(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """A CSV file; with `lines`, quoted fields may span lines, and a file is one task."""
+    return spark.read.csv(path, header=True, multiLine=lines, quote='"', escape='"')
+
+
+def _first_of(df: DataFrame, key: str) -> DataFrame:
+    """The first row of each key, as the file has them."""
+    columns = [c for c in df.columns if c != "_place"]
+    return df.groupBy(key).agg(F.min_by(F.struct(*columns), "_place").alias("r")).select("r.*")
 
 
 def _first(df: DataFrame, *names: str) -> Column:
@@ -83,22 +90,84 @@ def keyword_file(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("technique_id", F.posexplode("ks").alias("pos", "keyword"))
 
 
-def cve_feed(spark: SparkSession, path: str) -> DataFrame:
-    df = _csv(spark, path)
+def cve_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Vulnerabilities with scores, weaknesses and configurations; a feed of one line a row is read by many tasks."""
+    df = _csv(spark, path, lines)
     score = lambda *n: F.coalesce(_first(df, *n).try_cast("double"), F.lit(0.0))
     return df.select(_first(df, "id", "cve_id").alias("cve_id"), _first(df, "published").alias("published"), _first(df, "description_en", "description").alias("description"), score("cvss31_basescore", "cvss31").alias("cvss31"), score("cvss2_basescore", "cvss2").alias("cvss2"), tx.mentions(_first(df, "weaknesses"), "cwe").alias("cwes"), tx.key_values(_first(df, "configurations")).alias("configurations")).where("cve_id LIKE 'CVE-%'")
 
 
 def pattern_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Attack patterns, once an id, their packed columns parsed."""
-    df = _csv(spark, path)
+    """Attack patterns, the first row of each id, their packed columns parsed."""
+    df = _csv(spark, path).withColumn("_place", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     ident = F.regexp_extract(_first(df, "ID", "capec_id"), r"(\d+)", 1)
-    return df.select(
+    rows = df.select(
+        "_place",
         F.concat(F.lit("CAPEC-"), ident).alias("capec_id"), _first(df, "Name").alias("name"), _first(df, "Description").alias("description"),
+        _first(df, "Abstraction").alias("abstraction"), _first(df, "Status").alias("status"), _first(df, "Likelihood Of Attack").alias("likelihood"), _first(df, "Typical Severity").alias("severity"),
+        *[tx.parse_list(_first(df, name)).alias(c) for name, c in (("Resources Required", "resources"), ("Indicators", "indicators"), ("Mitigations", "mitigations"), ("Example Instances", "examples"), ("Alternate Terms", "alternate_terms"))],
         tx.parse_list(_first(df, "Prerequisites")).alias("prerequisites"), tx.parse_skills(_first(df, "Skills Required")).alias("skills"), tx.parse_consequences(_first(df, "Consequences")).alias("consequences"),
         tx.parse_execution_flow(_first(df, "Execution Flow")).alias("execution_flow"), tx.parse_related_patterns(_first(df, "Related Attack Patterns")).alias("related"),
-        tx.related_weaknesses(_first(df, "Related Weaknesses"), fixed=True).alias("weaknesses"), tx.taxonomy_attack_ids(_first(df, "Taxonomy Mappings")).alias("techniques"),
-    ).where("capec_id <> 'CAPEC-'").dropDuplicates(["capec_id"])
+        tx.related_weaknesses(_first(df, "Related Weaknesses"), fixed=True).alias("weaknesses"), tx.parse_taxonomy(_first(df, "Taxonomy Mappings")).alias("taxonomy"), tx.taxonomy_attack_ids(_first(df, "Taxonomy Mappings")).alias("techniques"),
+    )
+    return _first_of(rows.where("capec_id <> 'CAPEC-'"), "capec_id")
+
+
+def pattern_edges(patterns: DataFrame) -> DataFrame:
+    """Edges (src, type, dst) of pattern_catalogue's rows to other patterns, weaknesses and techniques."""
+    related = patterns.select(F.col("capec_id").alias("src"), F.explode("related").alias("r")).select("src", "r.type", F.col("r.capec_id").alias("dst"))
+    ends = lambda c, kind: patterns.select(F.col("capec_id").alias("src"), F.lit(kind).alias("type"), F.explode(c).alias("dst"))
+    return related.unionByName(ends("weaknesses", "EXPLOITS")).unionByName(ends("techniques", "MAPPED_TO")).distinct()
+
+
+def kev_edges(catalogue: DataFrame) -> DataFrame:
+    """(src, type, dst): known exploited vulnerabilities to their weaknesses."""
+    return catalogue.select(F.col("cve_id").alias("src"), F.lit("HAS_WEAKNESS").alias("type"), F.explode("cwes").alias("dst")).distinct()
+
+
+def enables_edges(mapping: DataFrame, vulnerabilities: DataFrame, techniques: DataFrame) -> DataFrame:
+    """(src, type, dst): vulnerabilities to the techniques that they enable, where both are known."""
+    edges = mapping.join(vulnerabilities.select("cve_id"), "cve_id", "left_semi").join(techniques.select("technique_id"), "technique_id", "left_semi")
+    return edges.select(F.col("cve_id").alias("src"), F.lit("ENABLES").alias("type"), F.col("technique_id").alias("dst")).distinct()
+
+
+def defence_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, kind, label) of defence techniques and digital artifacts, each once."""
+    df = _csv(spark, path)
+    node = lambda c, kind, label: df.select(tx.uri_tail(_first(df, c)).alias("id"), F.lit(kind).alias("kind"), _first(df, label).alias("label"))
+    return _labelled(node("def_tech", "defence", "def_tech_label").unionByName(node("def_artifact", "artifact", "def_artifact_label")))
+
+
+def _labelled(nodes: DataFrame) -> DataFrame:
+    return nodes.where("id <> ''").groupBy("id", "kind").agg(F.max("label").alias("label"))
+
+
+def artifact_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(src, type, dst): defence techniques to the artifacts that they work on, the relation as the type."""
+    df = _csv(spark, path)
+    kind = F.upper(F.regexp_replace(F.coalesce(F.nullif(tx.uri_tail(_first(df, "def_artifact_rel")), F.lit("")), F.lit("relates")), "-", "_"))
+    return df.select(tx.uri_tail(_first(df, "def_tech")).alias("src"), kind.alias("type"), tx.uri_tail(_first(df, "def_artifact")).alias("dst")).where("src <> '' AND dst <> ''").distinct()
+
+
+def engagement_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, kind, label) of engagement vulnerabilities and activities, each once."""
+    df = _csv(spark, path)
+    node = lambda c, kind, label: df.select(_first(df, c).alias("id"), F.lit(kind).alias("kind"), _first(df, label).alias("label"))
+    return _labelled(node("eav_id", "weakness", "eav").unionByName(node("eac_id", "activity", "eac")))
+
+
+def abbreviations(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(abbreviation, expansion) pairs of a CSV file in the order of its `pos` column: a list of hundreds, for expand_abbreviations."""
+    return [(r.abbreviation, r.expansion) for r in _csv(spark, path).selectExpr("CAST(pos AS INT) AS pos", "abbreviation", "expansion").orderBy("pos").collect()]
+
+
+def relational_query(spark: SparkSession, url: str, sql: str, options: dict[str, str] | None = None, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+    """Rows of a query on a relational store (needs its JDBC driver); split = (column, low, high, tasks) reads by many tasks."""
+    reader = spark.read.format("jdbc").option("url", url).options(**(options or {}))
+    if split is None:
+        return reader.option("query", sql).load()
+    column, low, high, n = split
+    return reader.option("dbtable", f"({sql}) q").option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", n).load()
 
 
 def defence_edges(spark: SparkSession, path: str) -> DataFrame:

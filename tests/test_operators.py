@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cairnwatch.functions import segments
 from cairnwatch.functions import text as tx
-from cairnwatch.operators import fusion, metrics, quality, scorers, snapshot, windows
+from cairnwatch.operators import classifier, fusion, metrics, quality, scorers, snapshot, windows
 from cairnwatch.plans import dims, relational, scoring
 from cairnwatch.sources import catalogs, sinks
 from cairnwatch.streaming import requests
@@ -92,9 +93,11 @@ def test_text_worked_values(spark):
     assert one(spark, tx.related_weaknesses(F.col("t"), True), t="::276::285::434::693::") == ["CWE-276", "CWE-285", "CWE-434", "CWE-693"]
     assert one(spark, tx.key_values(F.col("t")), t="a=1;b=2||c=3") == [{"a": "1", "b": "2"}, {"c": "3"}] and one(spark, tx.key_values(F.col("t")), t="a=1") == []
     assert one(spark, tx.taxonomy_attack_ids(F.col("t")), t="TAXONOMY NAME:ATTACK:ENTRY ID:1574.010:ENTRY NAME:x::::TAXONOMY NAME:WASC:ENTRY ID:3") == ["T1574.010"]
-    assert [s.level for s in one(spark, tx.parse_skills(F.col("t")), t="::SKILL:know:LEVEL:High::SKILL:other:LEVEL:::")] == ["High", "Unknown"]
+    assert [tuple(s) for s in one(spark, tx.parse_skills(F.col("t")), t="::SKILL:know:LEVEL:High::SKILL:other:LEVEL:::")] == [("know", "High")]
+    assert [tuple(s) for s in one(spark, tx.parse_skills(F.col("t")), t="::basic:: ::more::")] == [("basic", "Unknown"), ("more", "Unknown")]
     assert [r.type for r in one(spark, tx.parse_related_patterns(F.col("t")), t="::NATURE:ChildOf:CAPEC ID:1::NATURE:Odd:CAPEC ID:2::")] == ["CHILD_OF", "RELATED_TO"]
-    assert [c.impact for c in one(spark, tx.parse_consequences(F.col("t")), t="::SCOPE:Integrity:TECHNICAL IMPACT:Modify Data::")] == ["Modify Data"]
+    assert [(c.scopes, c.impact, c.note) for c in one(spark, tx.parse_consequences(F.col("t")), t="::SCOPE:Integrity:SCOPE:Access:TECHNICAL IMPACT:Modify Data:NOTE:n::")] == [(["Integrity", "Access"], "Modify Data", "n")]
+    assert [(c.text, c.impact) for c in one(spark, tx.parse_consequences(F.col("t")), t="plain")] == [("plain", "Unknown")]
     assert [s.step for s in one(spark, tx.parse_execution_flow(F.col("t")), t="::STEP:1:PHASE:Explore:DESCRIPTION:d:TECHNIQUE:t::")] == ["1"]
     assert one(spark, tx.truncate(F.col("t"), 3), t="abcd") == "abc..." and one(spark, tx.percent(F.col("t")), t=0.125) == "12%"
     assert one(spark, tx.keyword_preview(F.array(*[F.lit(str(i)) for i in range(6)])), t=1) == "0, 1, 2, 3, 4..."
@@ -102,26 +105,95 @@ def test_text_worked_values(spark):
 
 
 def test_segments_pack_sentences(spark):
-    import re
-
-    def brute(text, most=100):
-        out = []
-        for p in text.split("\n\n"):
-            if len(p) <= most:
-                out += [p.strip(" ")] if p.strip(" ") else []
-                continue
-            cur, done = "", []
-            for s in re.split(r"(?<=[.!?])[ \t\n]+", p):
-                if len(cur) + len(s) < most:
-                    cur = f"{cur} {s}" if cur else s
-                else:
-                    done.append(cur)
-                    cur = s
-            out += [x for x in [*done, cur] if x]
-        return out
-
-    text = "Short one.\n\n" + " ".join(f"Sentence number {i} is here!" for i in range(12)) + "\n\n" + "x" * 150 + ". End."
-    assert one(spark, tx.segments(F.col("t"), 100), t=text) == brute(text)
+    text = "Short one.\n\n  \n\n" + " ".join(f"Sentence number {i} is here!" for i in range(12)) + "\n\n" + "x" * 150 + ". End."
+    got = one(spark, segments.paragraph_segments(F.col("t"), 100), t=text)
+    assert got == segments.by_paragraph(text, 100)
+    assert got[0] == "Short one." and all(len(s) < 100 for s in got[1:-3]) and got[-2:] == ["x" * 150 + ".", "End."]
+    assert " ".join(s for s in got[1:] if s) == " ".join(text.split("\n\n")[2:])
+    assert segments.by_paragraph(None) == [] and segments.by_line("") == [] and segments.by_line("a\n\n b \n" + "c. " * 10, 12) == ["a b", "c. c. c. c.", "c. c. c. c.", "c. c."]
+    assert segments.page_text("<p>a&amp;b</p>\n<script>x</script> c  d <!-- no -->") == "a&b\nc\nd"
+
+
+def test_chunks_end_at_boundaries(spark):
+    text = ("word " * 50 + "end. ") * 200
+    spans = segments.chunk_spans(text)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(b[0] == a[1] - 500 for a, b in zip(spans, spans[1:]))
+    assert all(text[e - 2 : e] == ". " for _, e in spans[:-2]) and segments.chunk_spans("short") == [(0, 5)] and segments.chunk_spans(None) == [(0, 0)]
+    long = "x" * 30_000  # no boundary: chunks of full size
+    assert segments.chunk_spans(long)[:2] == [(0, 5000), (4500, 9500)]
+
+
+def test_matcher_takes_whole_words_of_any_alphabet(spark):
+    docs = spark.createDataFrame([(1, "Naïve na na-na vers la ñana c++ C2c c2"), (2, None), (3, "")], "doc_id long, text string")
+    got = {(r.technique_id): (r.match_count, r.keywords) for r in scorers.rule_v1(docs, [("A", "na"), ("A", "na-na"), ("B", "c2")]).collect()}
+    assert got == {"A": (2, ["na", "na-na"]), "B": (1, ["c2"])}  # the longest of those that begin together
+    many = [(f"T{i % 800}", f"kw{i}") for i in range(10_000)]
+    few = scorers.rule_v2(docs, many)
+    assert len(few._jdf.queryExecution().optimizedPlan().toString()) < 5_000 and few.count() == 0
+
+
+def test_zero_vectors_are_unlike(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0], 1), (2, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert df.select(tx.cosine(F.col("embedding"), F.col("embedding"))).collect() == [(0.0,), (1.0,)]
+    assert [r.score for r in scorers.vector_topk(df, df, 1).orderBy("query_id").collect()] == [0.0, 1.0]
+
+
+def test_inverted_lists_recall(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0")
+    exact = {(r.query_id, r.vec_id) for r in scorers.vector_topk(q, e, 5, "l2").collect()}
+    found = {(r.query_id, r.vec_id) for r in scorers.vector_lists(q, e, 5, lists=16, probes=12, block=20).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_feedback_folds_in_parts(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), i, rng.choice(["correct", "incorrect", "unsure"]), rng.choice([None, "T1"])) for i in range(400)]
+    want, n = {}, {}
+    for e, _, kind, suggested in rows:
+        if kind == "correct" or kind == "incorrect" and suggested:
+            w = want.get(e, 1.0)
+            want[e] = min(w * 1.05, 1.5) if kind == "correct" else max(w * 0.95, 0.5)
+            n[e] = n.get(e, 0) + 1
+    rng.shuffle(rows)
+    got = fusion.feedback_weights(spark.createDataFrame(rows, "extractor string, seq int, kind string, suggested string").repartition(7))
+    assert {r.extractor: (r.n, r.weight) for r in got.collect()} == {e: (n[e], pytest.approx(w, abs=1e-6)) for e, w in want.items()}
+
+
+@pytest.mark.parametrize("jobs, workers, want", [(2, 10, 2), (100, 5, 6), (7, 2, 3), (8, 2, 3), (0, 0, 1), (5, 0, 1), (1, 3, 2), (9, 10, 5), (35, 10, 10)])
+def test_autoscale(spark, jobs, workers, want):
+    df = spark.createDataFrame([("q", jobs, workers)], "queue string, jobs long, workers long")
+    assert windows.autoscale(df).first().target == want
+
+
+def test_trend_counts_checks_with_issues(spark):
+    rows = [("a", i, 5 if i < 3 else 0) for i in range(20)] + [("b", i, 1 if i > 15 else 0) for i in range(20)] + [("c", i, 9) for i in range(20)] + [("d", 1, 1)]
+    got = {r.key: (r.recent, r.previous, r.trend) for r in quality.trend(spark.createDataFrame(rows, "key string, seq int, issues int")).collect()}
+    assert got == {"a": (0, 3, "improving"), "b": (4, 0, "worsening"), "c": (10, 10, "stable"), "d": (1, 0, "insufficient_data")}
+
+
+def test_classifier_learns(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    held = e.where("vec_id % 5 = 0")
+    best = classifier.classify(classifier.train(e.where("vec_id % 5 <> 0")), held, threshold=0.0, k=1).join(held.select("vec_id", F.col("label").alias("truth")), "vec_id")
+    n, labels = held.count(), e.select("label").distinct().count()
+    assert best.count() == n and all(0 <= r.confidence <= 1 for r in best.collect())
+    separable = spark.createDataFrame([(i, [float(i % 2), float(1 - i % 2)], i % 2) for i in range(40)], "vec_id long, embedding array<float>, label int")
+    model = classifier.train(separable)
+    assert {(r.vec_id % 2, r.label) for r in classifier.classify(model, separable, 0.5, 1).collect()} == {(0, 0), (1, 1)} and labels > 1
+    assert {(r.vec_id % 2, r.label) for r in classifier.by_similarity(separable, separable, 0.5, 1).collect()} == {(0, 0), (1, 1)}
+
+
+def test_metric_families(spark, tmp_path):
+    assert len(sinks.METRIC_FAMILIES) == 14
+    rows = spark.createDataFrame([(7, "T1", 0.5, "x")], "job_id long, technique_id string, raw_score double, other string")
+    sinks.write_metrics("bm25_scores", rows, str(tmp_path))
+    got = spark.read.parquet(f"{tmp_path}/bm25_scores").first()
+    assert (got.job_id, got.technique_id, got.raw_score, got.matched_terms) == ("7", "T1", 0.5, None)
+    for family in sinks.METRIC_FAMILIES:
+        assert sinks.metric_rows(family, rows).columns[:2] == ["id", "job_id"]
 
 
 def test_chunks_cover_texts(spark):
@@ -139,6 +211,8 @@ def test_snapshots_properties(spark):
 def test_quality_worked_values(spark):
     ops = spark.createDataFrame([("e", "delete", 1, 1, 1), ("e", "update", 2, 3, 2)], "entity_id string, operation string, ts long, version int, seq long")
     assert quality.temporal_coherence(ops).count() == 2
+    bare = spark.createDataFrame([("e", None, 1, 1, 1), ("", "update", 2, 1, 2), ("f", "update", None, 1, 3), ("f", "update", 4, 1, 4)], "entity_id string, operation string, ts long, version int, seq long")
+    assert [(r.seq, r.issue) for r in quality.temporal_coherence(bare).orderBy("seq").collect()] == [(i, "missing fields") for i in (1, 2, 3)]
     assert [r.parent for r in quality.orphans(spark.createDataFrame([("T1059.001",), ("T1",)], "technique_id string")).collect()] == ["T1059"]
     assert quality.check_schema(spark.createDataFrame([(1, None, "x")], "k int, name string, d string"), ["k"], ["name", "d"]).first().issue == "missing name"
 
@@ -175,12 +249,21 @@ def test_sources(spark, tmp_path):
     assert catalogs.keyword_file(spark, str(tmp_path / "kw.json")).count() == 2
     (tmp_path / "c.csv").write_text("'ID,Name,Prerequisites,Related Weaknesses,Taxonomy Mappings\n1,N,::a::b::,::276::285::,TAXONOMY NAME:ATTACK:ENTRY ID:1574:ENTRY NAME:x\n1,N,,,\n")
     c = catalogs.pattern_catalogue(spark, str(tmp_path / "c.csv")).collect()
-    assert len(c) == 1 and c[0].capec_id == "CAPEC-1"
+    assert len(c) == 1 and c[0].capec_id == "CAPEC-1" and c[0].weaknesses == ["CWE-276", "CWE-285"]  # the first row's
+    assert {tuple(r) for r in catalogs.pattern_edges(catalogs.pattern_catalogue(spark, str(tmp_path / "c.csv"))).collect()} == {("CAPEC-1", "EXPLOITS", "CWE-276"), ("CAPEC-1", "EXPLOITS", "CWE-285"), ("CAPEC-1", "MAPPED_TO", "T1574")}
+    assert {tuple(r) for r in catalogs.kev_edges(catalogs.kev_catalogue(spark, str(tmp_path / "k.csv"))).collect()} >= {("CVE-2020-2", "HAS_WEAKNESS", "CWE-22")}
+    known = spark.createDataFrame([("CVE-2021-1", "T1059")], "cve_id string, technique_id string")
+    assert catalogs.enables_edges(catalogs.cve_technique_map(spark, str(tmp_path / "m.csv")), known, known).first().type == "ENABLES"
+    (tmp_path / "ab.csv").write_text("pos,abbreviation,expansion\n2,b,bee\n1,a,ay\n")
+    assert catalogs.abbreviations(spark, str(tmp_path / "ab.csv")) == [("a", "ay"), ("b", "bee")]
     (tmp_path / "f.csv").write_text("id,published,description_en,cvss31_baseScore,weaknesses,configurations\nCVE-1-1,2020,d,,CWE-79,a=1||b=2\nX,,,,,\n")
     f = catalogs.cve_feed(spark, str(tmp_path / "f.csv")).collect()
     assert len(f) == 1 and f[0].cvss31 == 0.0 and f[0].cwes == ["CWE-79"] and len(f[0].configurations) == 2
     (tmp_path / "d.csv").write_text("def_tech,off_tech_id\nhttp://x#D3-A,http://x/T1059\n")
     assert tuple(catalogs.defence_edges(spark, str(tmp_path / "d.csv")).first()) == ("D3-A", "COUNTERS", "T1059")
+    (tmp_path / "d2.csv").write_text("def_tech,def_tech_label,def_artifact,def_artifact_label,def_artifact_rel\nhttp://x#D3-A,A,http://x#File,File,http://x#analyzes\nhttp://x#D3-A,A,http://x#File,File,\n")
+    assert {tuple(r) for r in catalogs.defence_nodes(spark, str(tmp_path / "d2.csv")).collect()} == {("D3-A", "defence", "A"), ("File", "artifact", "File")}
+    assert {r.type for r in catalogs.artifact_edges(spark, str(tmp_path / "d2.csv")).collect()} == {"ANALYZES", "RELATES"}
     (tmp_path / "e.csv").write_text("eav_id,attack_id,version\nEAV1,T1,\n")
     assert catalogs.engagement_edges(spark, str(tmp_path / "e.csv")).first().version == 0
     (tmp_path / "p.html").write_text("<p>Hi <b>you</b></p><script>x</script>")
@@ -195,6 +278,9 @@ def test_sinks(spark, tmp_path):
     sinks.upsert(spark, f"{tmp_path}/nodes", a, "id", "v1")
     after = sinks.upsert(spark, f"{tmp_path}/nodes", spark.createDataFrame([(2, "z"), (3, "w")], a.schema), "id", "v2")
     assert sorted(after.collect()) == [(1, "x"), (2, "z"), (3, "w")]
+    sinks.upsert(spark, f"{tmp_path}/nodes", spark.createDataFrame([(4, "q")], a.schema), "id", "v10")
+    (tmp_path / "nodes" / "_temporary").mkdir()
+    assert sinks.upsert(spark, f"{tmp_path}/nodes", spark.createDataFrame([(5, "r")], a.schema), "id", "v11").count() == 5
     nodes = spark.createDataFrame([("A",), ("B",)], "id string")
     edges = spark.createDataFrame([("A", "R", "B"), ("A", "R", "C")], "src string, type string, dst string")
     assert sinks.merge_edges(edges.limit(0), edges, nodes).count() == 1
