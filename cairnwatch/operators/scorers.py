@@ -6,6 +6,8 @@ Spark prunes before it shuffles (WindowGroupLimit).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,17 +144,34 @@ def normalised(scores: DataFrame, raw: str = "raw", threshold: float = 0.1, by:
 
 #: Words that the tokenizer drops, and patterns it keeps whole.
 STOPWORDS = ["the", "and", "or", "a", "an", "is", "it", "this", "that", "these", "those", "be", "to", "of", "in", "for", "with", "by", "at", "on", "from"]
-PROTECTED = r"cve-[0-9]{4}-[0-9]{1,7}|cwe-[0-9]+|t[0-9]{4}(?:\.[0-9]{3})?"
+PROTECTED = r"cve-[0-9]{4}-[0-9]{1,7}|cwe-[0-9]+|t[0-9]{4}(?:\.[0-9]{3})?|\b(?:xss|csrf|rce|sqli|ssrf|xxe|idor|mitm|dos|ddos|apt|c2|ttp)\b"
 #: Single-word synonyms and their canonical term.
 SYNONYMS = {"adversary": "attacker", "hacker": "attacker", "virus": "malware", "trojan": "malware", "steal": "exfiltrate", "extract": "exfiltrate", "leak": "exfiltrate", "transfer": "exfiltrate", "upload": "exfiltrate", "weakness": "vulnerability", "exploit": "vulnerability", "bug": "vulnerability", "pivoting": "lateral movement", "autostart": "persistence", "startup": "persistence", "privesc": "privilege escalation"}
 
 
+def tokenize(text: str | None) -> list[str]:
+    """Tokens of a text: ids and short names whole, other words without stopwords, single-word synonyms made canonical.
+
+    What is kept whole stands as one mark among the words; a mark that touches a word is part
+    of it, and its own value then comes at the end, once.
+    """
+    kept: list[str] = []
+
+    def mark(m: re.Match) -> str:
+        kept.append(m[0])
+        return f"__PRESERVED_{len(kept) - 1}__"
+
+    marked = _PROTECTED.sub(mark, (text or "").lower())
+    place = {f"__PRESERVED_{i}__": v for i, v in enumerate(kept)}
+    found = [place.get(t := SYNONYMS.get(w, w), t) for w in _WORD.findall(marked) if w not in _STOP]
+    return found + [v for v in dict.fromkeys(kept) if v not in set(found)] if kept else found
+
+
+_PROTECTED, _WORD, _STOP = re.compile(PROTECTED), re.compile(r"\w+"), frozenset(STOPWORDS)
+
+
 def security_tokens(c: Column) -> Column:
-    """Tokens of a text: ids whole, other words without stopwords, single-word synonyms made canonical."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(f"{PROTECTED}|[a-z0-9_]+"), 0)
-    kept = F.filter(found, lambda w: ~w.isin(STOPWORDS))
-    table = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
-    return F.transform(kept, lambda w: F.when(w.rlike(f"^(?:{PROTECTED})$"), F.upper(w)).otherwise(F.coalesce(table[w], w)))
+    return F.pandas_udf(lambda texts: texts.map(tokenize), "array<string>")(c)
 
 
 def kev(docs: DataFrame, cve_technique: DataFrame, threshold: float = 0.5) -> DataFrame:

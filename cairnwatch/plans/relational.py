@@ -9,7 +9,7 @@ from cairnwatch.functions import text as tx
 from cairnwatch.operators import graph, metrics, quality, snapshot, windows
 from cairnwatch.plans import dims
 from cairnwatch.plans.dims import dim, values
-from cairnwatch.plans.scoring import _IDS, TOLD, docs_of, table, told
+from cairnwatch.plans.scoring import _IDS, TOLD, docs_of, replaced, table, told
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,17 +41,9 @@ def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(told2(spark, sf_dir), tx.normalize_ws(F.col("text")))
 
 
-#: \\b knows ASCII letters only in SQL: accented ones are written as letters that occur nowhere else, and back.
-_ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-
-
 def _masked(c: str, inside) -> str:
-    for i, a in enumerate(_ACCENTED):
-        c = f"replace({c}, '{a}', 'QZ{i:02d}ZQ')"
-    c = inside(c)
-    for i, a in enumerate(_ACCENTED):
-        c = f"replace({c}, 'QZ{i:02d}ZQ', '{a}')"
-    return c
+    """An SQL expression on a text in which accented letters count as letters at the edge of a word."""
+    return replaced(inside(replaced(c, False)), True)
 
 
 def _abbr(c: str) -> str:

@@ -256,10 +256,27 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STOP = ", ".join(f"'{w}'" for w in scorers.STOPWORDS)
 _SYN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in scorers.SYNONYMS.items()) + "}"
+#: \\b knows ASCII letters only in SQL: accented ones are written as letters that occur nowhere else, and back.
+_ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(text), '{scorers.PROTECTED}|[a-z0-9_]+'), lambda w: w NOT IN ({_STOP})),
-    lambda w: CASE WHEN regexp_full_match(w, '{scorers.PROTECTED}') THEN upper(w) ELSE coalesce({_SYN}[w], w) END) AS tokens FROM ({TOLD}))
+def _marked(c: str) -> str:
+    """The text with the ids replaced by numbered marks."""
+    pieces = f"string_split_regex({c}, '{scorers.PROTECTED}')"
+    return f"array_to_string(list_transform({pieces}, lambda p, i: p || CASE WHEN i < len({pieces}) THEN '__PRESERVED_' || (i - 1) || '__' ELSE '' END), '')"
+
+
+def replaced(c: str, back: bool) -> str:
+    for i, a in enumerate(_ACCENTED):
+        c = f"replace({c}, 'QZ{i:02d}ZQ', '{a}')" if back else f"replace({c}, '{a}', 'QZ{i:02d}ZQ')"
+    return c
+
+
+@query(f"""WITH l AS MATERIALIZED (SELECT doc_id, {replaced('lower(text)', False)} AS low FROM ({TOLD})),
+m AS MATERIALIZED (SELECT doc_id, regexp_extract_all(low, '{scorers.PROTECTED}') AS kept, {_marked('low')} AS marked FROM l),
+w AS MATERIALIZED (SELECT doc_id, kept, list_filter(regexp_extract_all({replaced('marked', True)}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({_STOP})) AS ws FROM m),
+f AS MATERIALIZED (SELECT doc_id, kept, list_transform(ws, lambda w: CASE WHEN regexp_full_match(w, '__PRESERVED_[0-9]+__') THEN kept[CAST(regexp_extract(w, '[0-9]+') AS INTEGER) + 1] ELSE coalesce({_SYN}[w], w) END) AS found FROM w),
+t AS (SELECT doc_id, list_concat(found, list_filter(kept, lambda v, i: NOT list_contains(found, v) AND list_position(kept, v) = i)) AS tokens FROM f)
 SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct, md5(array_to_string(tokens, ' ')) AS digest FROM t""")
 def tokenize_security(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = told(spark, sf_dir).select("doc_id", scorers.security_tokens(F.col("text")).alias("t"))
