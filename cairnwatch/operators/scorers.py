@@ -7,9 +7,12 @@ Spark prunes before it shuffles (WindowGroupLimit).
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,10 +50,34 @@ def _terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), tx.SPACES), lambda w: w != "")
 
 
-def query_terms(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, term, qtf) of the documents' words that occur in the vocabulary."""
-    words = docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
-    return words.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+#: Terms of a vocabulary that go to every task at most; a larger one is joined.
+MOST_TERMS = 1_000_000
+
+
+def query_terms(docs: DataFrame, vocabulary: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """(doc_id, term, qtf) of the documents' words that occur in the vocabulary (term), a dimension.
+
+    Words are counted where the text is read, so that neither they nor texts are shuffled.
+    """
+    listed = vocabulary.select("term").distinct().limit(most + 1).collect()
+    if len(listed) > most:
+        words = docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
+        return words.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    known = frozenset(r.term for r in listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, terms, counts = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                words = Counter((text or "").lower().split())
+                for term in words.keys() & known:
+                    at.append(i)
+                    terms.append(term)
+                    counts.append(words[term])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "term", "qtf"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, term string, qtf long")
 
 
 def postings(corpus: DataFrame) -> DataFrame:

@@ -60,6 +60,13 @@ def test_bm25_worked_values(spark):
     assert raw["A"] == pytest.approx(8.886161, abs=1e-5) and raw["B"] == pytest.approx(4.334535, abs=1e-5)
 
 
+def test_large_vocabularies_are_joined(spark):
+    docs = spark.createDataFrame([(1, "A b\u00a0b\tc"), (2, None), (3, "")], "doc_id long, text string")
+    words = spark.createDataFrame([("a",), ("b",), ("x",)], "term string")
+    here, joined = (sorted(map(tuple, scorers.query_terms(docs, words, most).collect())) for most in (10, 1))
+    assert here == joined == [(1, "a", 1), (1, "b", 2)]
+
+
 CANDIDATE = "doc_id long, technique_id string, extractor string, confidence double, has_cve boolean, n_keywords int"
 
 
