@@ -220,19 +220,16 @@ def running_total(df: DataFrame, group: str, order: list[Column], tag: str, out:
 def connected_components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of `edges` (a, b long): label is the smallest node reachable.
 
-    Alternates large-star and small-star passes (Kiveris et al. 2014) until nothing
-    changes. Minima are pre-aggregated by Spark's partial aggregation; the joins back
-    read written tables, so that AQE can split the partition of a hub. Fails rather
-    than returning unfinished labels.
+    Alternates large-star and small-star passes (Kiveris et al. 2014) until only stars are
+    left: nodes below their component's smallest. Minima are pre-aggregated by Spark's
+    partial aggregation; the joins back read written tables, so that AQE can split the
+    partition of a hub. Fails rather than returning unfinished labels.
     """
     current = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.select(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    seen = digest(current)
     for _ in range(most_rounds):
-        if not seen[0]:
+        ends = current.select(F.col("a").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(current.select(F.col("b").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        unfinished = ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where(F.col("below") + F.col("above") > 1)
+        if unfinished.isEmpty():
             break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), tag)
@@ -242,14 +239,10 @@ def connected_components(edges: DataFrame, tag: str = "cc", most_rounds: int = 6
         joined = large.join(low, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
         after = cut(small.where(F.col("a") != F.col("b")).distinct(), tag)
-        now = digest(after)
         for old in (current, least, large, low):
             discard(old)
         current = after
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("connected components did not settle")
-    return cut(current.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").unionByName(
-        current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()).groupBy("node").agg(F.min("label").alias("label")), tag)
+    top = current.select(F.col("b").alias("node")).distinct()
+    return cut(current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(top.select("node", F.col("node").alias("label"))), tag)

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import cut, row_key, slices, tidy
+from cairnwatch.llm.common import cut, keyed_rows, row_key, slices, tidy
 
 #: ASCII bytes outside a word; A-Z become a-z, all bytes of other code points stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 #: Bytes of text in a segment, about, and bytes of test items in a block.
-SEGMENT_BYTES, BLOCK_BYTES = 2_000_000, 4_000_000
+SEGMENT_BYTES, BLOCK_BYTES = 1_000_000, 4_000_000
 #: Segments longer than this would overflow the packed 32-bit positions.
 _MOST_POSITIONS = 2**31 - 1
 
@@ -155,7 +155,9 @@ def _lookup(items: list[tuple[int, list[bytes]]], size: int, span: int | None):
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row)
-                known = np.array([seg.codes.get(w, -1) for w in vocabulary], np.int64)
+                known = np.full(len(vocabulary), -1, np.int64)
+                for w in vocabulary.keys() & seg.codes.keys():
+                    known[vocabulary[w]] = seg.codes[w]
                 alive = np.flatnonzero(np.minimum.reduceat(known[flat], begins) >= 0) if len(flat) else ()
                 hits: dict[int, list[tuple[int, int]]] = {}
                 found: dict[int, set[int]] = {}
@@ -215,8 +217,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, near_span: int
     consecutive words of an item (a shorter item is one window); items: ids of the items
     that have such windows; near_items: with near_span, items of which all words of one
     window lie within that many words of its rarest. Null and empty texts have no words
-    and no hits; items without text, words or id are left out; repeated items and rows
-    count each; an empty table of either kind gives no hits. Columns beyond ids and texts
+    and no hits; items without text, words or id are left out; an item that repeats counts
+    once, a row that repeats has its own row; an empty table of either kind gives no hits. Columns beyond ids and texts
     are not read.
 
     Items are looked up in blocks of BLOCK_BYTES, each a pass over the written index, and
@@ -261,7 +263,10 @@ def digest(items: list[int] | np.ndarray) -> str:
 
 @tidy
 def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """docs without those that hold a window of an item; all columns are kept, null texts stay."""
-    hit = matches(docs, items, window).where(F.size("spans") > 0).select(F.col("key").alias("_row_key")).distinct()
-    keyed = docs.withColumn("_row_key", row_key(docs["doc_id"].cast("long"), docs["text"]))
-    return keyed.join(cut(hit, "contaminated"), "_row_key", "left_anti").drop("_row_key")
+    """docs without those that hold a window of an item; all columns are kept, whatever their names.
+
+    Null and empty texts stay; rows that repeat go or stay alike; texts of any length are
+    searched whole; an empty table of either kind leaves docs as they are.
+    """
+    hit = matches(docs, items, window).where(F.size("spans") > 0).select("key").distinct()
+    return keyed_rows(docs).join(cut(hit, "contaminated"), "key", "left_anti").select("row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import cut, discard, row_key, tidy
+from cairnwatch.llm.common import cut, discard, keyed_rows, row_key, tidy
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows that one rounding group holds, about.
@@ -97,26 +97,32 @@ def solve(hist: DataFrame, sources: DataFrame, cap: float = 3.0, tolerance: floa
     raise RuntimeError("entropy balancing did not settle")
 
 
-def _closed(words: np.ndarray, copies: np.ndarray, left: float, cap: int, pairs_of: int = 300) -> np.ndarray:
-    """Takes one copy more or less of the documents that bring the words left over closest to none.
+def _closed(words: np.ndarray, copies: np.ndarray, left: float, cap: int) -> np.ndarray:
+    """Takes one copy more or less of one or two documents at a time that bring the words left over closest to none.
 
-    Moves single documents, then in groups of up to pairs_of (where rounding weighs most) two at a time.
+    Two moves are found by sorting: for each move the nearest partner of what it leaves.
     """
+    n = len(words)
     while True:
-        up, down = np.where(copies < cap, words, 0), np.where(copies > 0, -words, 0)
-        moves = np.concatenate([up, down])
+        moves = np.concatenate([np.where(copies < cap, words, 0), np.where(copies > 0, -words, 0)])
+        order = np.argsort(moves, kind="stable")
+        ranked = moves[order]
+        gap, chosen = abs(left) - 1e-6, []
         best = int(np.argmin(np.abs(left - moves)))
-        chosen = [best] if abs(left - moves[best]) < abs(left) - 1e-6 else []
-        if not chosen and len(words) <= pairs_of:
-            sums = moves[:, None] + moves[None, :]
-            i, j = np.unravel_index(int(np.argmin(np.abs(left - sums))), sums.shape)
-            if abs(left - sums[i, j]) < abs(left) - 1e-6 and i % len(words) != j % len(words):
-                chosen = [int(i), int(j)]
+        if abs(left - moves[best]) < gap:
+            gap, chosen = abs(left - moves[best]), [best]
+        at = np.searchsorted(ranked, left - moves)
+        for near in (at - 1, at):
+            near = np.clip(near, 0, 2 * n - 1)
+            rest = np.where(order[near] % n == np.arange(2 * n) % n, np.inf, np.abs(left - moves - ranked[near]))
+            i = int(np.argmin(rest))
+            if rest[i] < gap - 1e-6:
+                gap, chosen = rest[i], [i, int(order[near[i]])]
         if not chosen:
             return copies
         for m in chosen:
             left -= moves[m]
-            copies[m % len(words)] += 1 if m < len(words) else -1
+            copies[m % n] += 1 if m < n else -1
 
 
 def _diffused(cap: int):
@@ -162,8 +168,13 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3)
 
 @tidy
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """docs with each row repeated as often as the plan says; all columns are kept."""
-    copies = plan(docs, weights, cap).where("copies > 0").select(F.col("key").alias("_row_key"), F.col("source_key").alias("_source_key"), F.col("copies").alias("_copies")).distinct()
-    keyed = docs.withColumn("_row_key", row_key(docs["doc_id"].cast("long"), docs["text"])).withColumn("_source_key", source_key(docs["source"]))
-    joined = keyed.join(cut(copies, "mix-taken"), ["_row_key", "_source_key"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[joined[c] for c in docs.columns])
+    """docs with each row repeated as often as the plan says; all columns are kept, whatever their names.
+
+    Null sources, null and empty texts, ties and repeated rows are taken as in plan(); a
+    document without words keeps one copy, or its source's capped number; an empty table
+    stays empty.
+    """
+    copies = plan(docs, weights, cap).where("copies > 0").select("key", "source_key", "copies").distinct()
+    keyed = keyed_rows(docs).withColumn("source_key", source_key(F.col("row.source")))
+    joined = keyed.join(cut(copies, "mix-taken"), ["key", "source_key"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -15,8 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizers(spark: SparkSession) -> str:
+    """The folder of the public tokenizers' files, the same on every executor: spark.cairnwatch.tokenizers."""
+    return spark.conf.get("spark.cairnwatch.tokenizers", packing.TOKENIZERS)
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), vocabulary=f"{tokenizers(spark)}/byte_bpe_50k.tiktoken")
 
 
 def op2_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +36,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed rows as read back from the binary files written for them; spark.cairnwatch.tokenizers names the rank files' folder."""
-    folder = spark.conf.get("spark.cairnwatch.tokenizers", packing.TOKENIZERS)
-    return packing.written(table(spark, sf_dir, "documents"), shared_path(spark, "packs"), seq_len=2048, folder=folder)
+    """Packed rows as read back from the binary files written for them."""
+    return packing.written(table(spark, sf_dir, "documents"), shared_path(spark, "packs"), seq_len=2048, folder=tokenizers(spark))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

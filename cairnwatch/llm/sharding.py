@@ -6,13 +6,18 @@ without room for a group drop out of its next vote. Documents without links cost
 wherever they lie, so they fill the shards up to sizes that differ by one row at most.
 Groups of over a quarter of a shard, few by their size, are placed first, largest first;
 only what fits no shard whole is split, and then fills shards one after another.
+
+Then single rows move: in each round every row that has links in several shards counts its
+neighbours by shard and asks to go where most of them are; requests are admitted in pairs
+of opposite direction, or against rows without links, so that no count changes, and rounds
+go on until the cut stops falling. Any table of links will do: a row may have many hubs.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnwatch.llm.common import cut, discard, running_total, text_key, tidy
@@ -87,15 +92,117 @@ def propagate(links: DataFrame, room: list[int]) -> tuple[DataFrame | None, Data
         waiting, turn = left, turn + 1
 
 
+def cut_links(state: DataFrame, links: DataFrame) -> float:
+    """Pairs of rows that share a hub but not a shard, of (uid, shard) and (uid, hub), counted for each hub."""
+    votes = links.join(state, "uid").groupBy("hub", "shard").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    by = votes.groupBy("hub").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("s"))
+    return by.agg(F.sum((F.col("t") * F.col("t") - F.col("s")) / 2)).first()[0] or 0.0
+
+
+def _wishes(state: DataFrame, links: DataFrame, turn: int) -> tuple[float, DataFrame]:
+    """The cut, and (uid, shard, to) of half of the rows that have more neighbours elsewhere, another half each turn."""
+    here = cut(links.join(state, "uid"), "shard-here")
+    votes = here.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+    by = votes.groupBy("hub").agg(F.sum(F.col("n").cast("double")).alias("t"), F.sum(F.col("n").cast("double") * F.col("n")).alias("s"), F.collect_list(F.struct("shard", "n")).alias("votes"))
+    by = cut(by.where("t * t > s"), "shard-open")  # a hub has a vote a shard at most
+    total = by.agg(F.sum((F.col("t") * F.col("t") - F.col("s")) / 2)).first()[0] or 0.0
+    if not total:
+        return total, state.limit(0).withColumn("to", F.col("shard"))
+    # A row's hubs that lie in one shard hold it there; a row without open hubs doesn't ask.
+    asking = here.join(by.select("hub"), "hub", "left_semi").select("uid").distinct()
+    mine = here.join(asking, "uid", "left_semi").join(by.select("hub", "votes"), "hub", "left")
+    whole = votes.groupBy("hub").agg(F.max("n").alias("n"))
+    mine = mine.join(whole, "hub").withColumn("votes", F.coalesce("votes", F.array(F.struct("shard", "n"))))
+    scores = mine.select("uid", "shard", F.explode("votes").alias("v")).groupBy("uid", "shard", F.col("v.shard").alias("to")).agg(F.sum(F.col("v.n") - (F.col("v.shard") == F.col("shard")).cast("long")).alias("score"))
+    best = scores.groupBy("uid", "shard").agg(F.max(F.struct("score", F.xxhash64("to", F.lit(turn)).alias("tie"), "to")).alias("b"), F.max(F.when(F.col("to") == F.col("shard"), F.col("score"))).alias("own"))
+    wishes = best.where(F.col("b.score") > F.coalesce("own", F.lit(0))).where(F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(2)) == 0)
+    return total, wishes.select("uid", "shard", F.col("b.to").alias("to"))
+
+
+def admitted(asked: dict[tuple[int, int], int], free: list[int]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
+    """How many requests (from, to) are granted, and how many rows without links go (from, to) in return; changes `free`."""
+    granted = {(i, j): min(n, asked.get((j, i), 0)) for (i, j), n in asked.items()}
+    returned: dict[tuple[int, int], int] = {}
+    for (i, j), n in sorted(asked.items(), key=lambda x: (-x[1], x[0])):
+        more = min(n - granted[i, j], free[j])
+        if more:
+            granted[i, j] += more
+            returned[j, i] = returned.get((j, i), 0) + more
+            free[j] -= more  # a row moves once a round
+    return {k: n for k, n in granted.items() if n}, returned
+
+
+def _moved(rows: DataFrame, spans: dict[int, list[tuple[int, int]]], tag: str) -> DataFrame:
+    """(uid, to): of rows (uid, grp), numbered within grp, those that the (count, to) spans of grp reach."""
+    if not spans:
+        return rows.select("uid", F.lit(0).alias("to")).limit(0)
+    table, at = [], 0
+    for g, parts in spans.items():
+        ends, at = [], 0
+        for n, _ in parts:
+            at += n
+            ends.append(at)
+        table.append((g, ends, [to for _, to in parts]))
+    table = F.broadcast(rows.sparkSession.createDataFrame(table, "grp int, ends array<long>, to array<int>"))  # a row a pair of shards at most
+    numbered = running_total(rows.join(table, "grp"), "grp", [F.col("uid")], tag, "_at")
+    place = F.size(F.filter("ends", lambda e: e <= F.col("_at"))) + 1
+    return numbered.where(F.col("_at") < F.element_at("ends", -1)).select("uid", F.element_at("to", place).alias("to"))
+
+
+def refine(state: DataFrame, links: DataFrame, shards: int, patience: int = 3) -> DataFrame:
+    """(uid, shard) with fewer pairs cut than in `state`, or as many; every shard keeps its count of rows.
+
+    links: (uid, hub), any number of hubs a row and rows a hub. Ends when no request can be
+    granted, or when the cut hasn't fallen for `patience` rounds; the best state is returned.
+    """
+    links = cut(links.select("uid", "hub").distinct(), "shard-edges")
+    linked = links.select("uid").distinct()
+    state = cut(state.select("uid", "shard"), "shard-state")
+    best, least, stale, turn = state, None, 0, 0
+    while stale < patience:
+        total, wishes = _wishes(state, links, turn)
+        if least is None or total < least:
+            best, least, stale = state, total, 0
+        else:
+            stale += 1
+        if not total:
+            break
+        turn += 1
+        wishes = cut(wishes.withColumn("grp", F.col("shard") * shards + F.col("to")), "shard-wishes")
+        asked = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pair of shards
+        loose = state.join(linked, "uid", "left_anti")
+        counts = {r["shard"]: r["n"] for r in loose.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a shard
+        granted, returned = admitted(asked, [counts.get(s, 0) for s in range(shards)])
+        if not granted:
+            stale += 1
+            if not asked:
+                break
+            continue
+        moves = _moved(wishes.select("uid", "grp"), {i * shards + j: [(n, j)] for (i, j), n in granted.items()}, "shard-granted")
+        back: dict[int, list[tuple[int, int]]] = {}
+        for (i, j), n in returned.items():
+            back.setdefault(i, []).append((n, j))
+        moves = cut(moves.unionByName(_moved(loose.select("uid", F.col("shard").alias("grp")), back, "shard-returned")), "shard-moves")
+        state = cut(state.join(moves, "uid", "left").select("uid", F.coalesce("to", "shard").alias("shard")), "shard-state")
+    return best
+
+
 @tidy
-def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, grp) for each row of docs, law `rows`.
+def assign_links(docs: DataFrame, links: DataFrame, shards: int = 24) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, grp) for rows of docs linked by (doc_id, hub).
 
-    Rows of equal texts form a group and share a shard as far as the capacity allows; the
-    shards' counts differ by one at most; slots run from 0 without gaps. A null text is
-    empty (size 8) and grouped with the empty ones; null and repeated doc_ids are rows like
-    any other. An empty table gives an empty result; columns beyond id and text are not read.
+    As assign(), but rows are linked by any hubs (hosts, topics, citations): rows start in
+    hashed order, counts one apart, and move by refine(). Rows of a doc_id that no hub names,
+    or without one, are free; a hub of one row links nothing; null hubs are left out.
     """
+    rows = _rows(docs)
+    quota = _quota(rows.count(), shards)
+    numbered = running_total(rows.select("uid", F.lit(0).alias("_all")), "_all", [F.xxhash64("uid")], "shard-fill", "_at")
+    edges = rows.join(links.select("doc_id", F.xxhash64(F.col("hub").cast("string")).alias("hub")).where(links["hub"].isNotNull()), "doc_id").select("uid", "hub")
+    return _slots(rows, refine(numbered.select("uid", _fill(quota, F.col("_at")).alias("shard")), edges, shards))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
     text = docs["text"].cast("string")
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
@@ -103,9 +210,39 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         text_key(text).alias("grp"),
     )
-    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "shard-rows")
+    return cut(rows.withColumn("uid", F.monotonically_increasing_id()), "shard-rows")
+
+
+def _quota(total: int, shards: int) -> list[int]:
+    return [total // shards + (s < total % shards) for s in range(shards)]
+
+
+def _fill(room: list[int], at: Column) -> Column:
+    """The shard of the row numbered `at` if shards are filled one after another."""
+    ends, upto = [], 0
+    for free in room:
+        upto += free
+        ends.append(upto)
+    return F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= at)).cast("int")
+
+
+def _slots(rows: DataFrame, state: DataFrame) -> DataFrame:
+    numbered = running_total(rows.join(state, "uid"), "shard", [F.col("uid")], "shard-slots", "slot")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "grp")
+
+
+@tidy
+def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, grp) for each row of docs, law `rows`.
+
+    Rows of equal texts form a group and share a shard as far as the capacity allows; the
+    shards' counts differ by one at most; slots run from 0 without gaps. A null text is
+    empty (size 8) and grouped with the empty ones; null and repeated doc_ids are rows like
+    any other. An empty table gives an empty result; columns beyond id and text are not read.
+    """
+    rows = _rows(docs)
     total = rows.count()
-    quota = [total // shards + (s < total % shards) for s in range(shards)]
+    quota = _quota(total, shards)
     room = list(quota)
     counts = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-groups")
     bound = total // (4 * shards)
@@ -123,13 +260,8 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     inside = running_total(rest.select("uid", "hub"), "hub", [F.col("uid")], "shard-rest", "_in")
     laid = cut(inside.join(hubs, "hub").select("uid", (F.col("_first") + F.col("_in")).alias("_at")), "shard-rest")
     over = laid.count()
-    ends, at = [], 0
-    for free in room:
-        at += free
-        ends.append(at)
     single = rows.join(placed.select("uid").unionByName(laid.select("uid")), "uid", "left_anti").select("uid", F.lit(0).alias("_all"))
     numbered = running_total(single, "_all", [F.col("uid")], "shard-fill", "_at").select("uid", (F.col("_at") + over).alias("_at")).unionByName(laid)
-    fill = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("_at")))
-    every = cut(placed.select("uid", "shard").unionByName(numbered.select("uid", fill.cast("int").alias("shard"))), "shard-labels")
-    numbered = running_total(rows.join(every, "uid"), "shard", [F.col("uid")], "shard-slots", "slot")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "grp")
+    every = placed.select("uid", "shard").unionByName(numbered.select("uid", _fill(room, F.col("_at")).alias("shard")))
+    every = refine(every, rows.join(counts, "grp").select("uid", F.xxhash64("grp").alias("hub")), shards)
+    return _slots(rows, every)

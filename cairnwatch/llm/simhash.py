@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnwatch.llm.common import connected_components, cut, id_text, mix, row_key, slices, text_key, tidy
+from cairnwatch.llm.common import SLICE_BYTES, connected_components, cut, id_text, keyed_rows, mix, row_key, slices, text_key, tidy
 from cairnwatch.llm.minhash import shingle_hashes
 
 #: Variants that one block lays out at most, about; it bounds a task's memory.
@@ -95,8 +95,8 @@ def _forest(first: np.ndarray, other: np.ndarray) -> list[int]:
     return kept
 
 
-def collisions(fps: np.ndarray, used: np.ndarray, low_bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """(group, owner) of variants that more than one member of a block has, sorted; owners index fps.
+def collisions(fps: np.ndarray, used: np.ndarray, low_bits: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, owner, variants) where more than one member of a block has a variant, sorted; groups index the variants, owners fps.
 
     used: flips already spent on the block's leading bits; the lowest low_bits are varied.
     """
@@ -110,18 +110,18 @@ def collisions(fps: np.ndarray, used: np.ndarray, low_bits: int, half: int) -> t
             variants.append(((fps[own] & low)[:, None] ^ masks[None, :]).ravel())
             owners.append(np.repeat(own.astype(np.int32), len(masks)))
     if not variants:
-        return none, none
+        return none, none, none
     variant, owner = np.concatenate(variants), np.concatenate(owners)
     ordered = np.sort(variant)
     shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     del ordered
     if not len(shared):
-        return none, none
+        return none, none, none
     at = np.minimum(np.searchsorted(shared, variant), len(shared) - 1)
     hit = shared[at] == variant
     at, owner = at[hit], owner[hit]
     order = np.lexsort((owner, at))
-    return at[order], owner[order]
+    return at[order], owner[order], shared
 
 
 def _heads(group: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -130,9 +130,20 @@ def _heads(group: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.repeat(owner[begins], np.diff(np.r_[begins, len(group)]))
 
 
-def meetings(fps: np.ndarray, used: np.ndarray, low_bits: int, half: int) -> list[tuple[int, int]]:
-    """A forest of links among the distinct fingerprints (unsigned) of a block."""
-    group, owner = collisions(fps, used, low_bits, half)
+def meetings(fps: np.ndarray, used: np.ndarray, low_bits: int, radius: int) -> list[tuple[int, int]]:
+    """A forest of links, within `radius` bits each, among the distinct fingerprints (unsigned) of a block.
+
+    A star to a member within radius // 2 flips of the variant: all others are within the
+    rest of the radius. Two fingerprints that near each other have a variant like that.
+    """
+    group, owner, variants = collisions(fps, used, low_bits, -(-radius // 2))
+    if radius % 2 and len(group):
+        low = np.uint64((1 << low_bits) - 1)
+        near = used[owner] + np.bitwise_count((fps[owner] & low) ^ variants[group]) <= radius // 2
+        order = np.lexsort((owner, ~near, group))
+        group, owner, near = group[order], owner[order], near[order]
+        has = _heads(group, near)
+        group, owner = group[has], owner[has]
     if not len(group):
         return []
     head = _heads(group, owner)
@@ -140,10 +151,10 @@ def meetings(fps: np.ndarray, used: np.ndarray, low_bits: int, half: int) -> lis
     return [tuple(pairs[i].tolist()) for i in _forest(pairs[:, 0], pairs[:, 1])]
 
 
-def _block(half: int):
+def _block(radius: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        links = meetings(fps, pdf["used"].to_numpy(), 64 - int(pdf["depth"].iloc[0]), half)
+        links = meetings(fps, pdf["used"].to_numpy(), 64 - int(pdf["depth"].iloc[0]), radius)
         signed = fps.view(np.int64)
         return pd.DataFrame({"a": [signed[i] for i, _ in links], "b": [signed[j] for _, j in links]}).astype("int64")
 
@@ -168,8 +179,8 @@ def _routed(df: DataFrame, more: int, half: int, width: int = 64) -> DataFrame:
 def links(nodes: DataFrame, radius: int = 4, block_variants: int = BLOCK_VARIANTS) -> DataFrame:
     """(a, b) of distinct fingerprints `nodes.fp` whose components equal those of all pairs within `radius`.
 
-    radius: even or odd; variants lie within ceil(radius / 2) flips, and links that lie
-    further apart than `radius` (possible for an odd one) fall to the bit count.
+    radius: even or odd; variants lie within ceil(radius / 2) flips, and one end of a link
+    within floor(radius / 2) of a common one.
     """
     half = -(-radius // 2)
     n, ball = nodes.count(), len(_masks(64, half))
@@ -191,7 +202,7 @@ def links(nodes: DataFrame, radius: int = 4, block_variants: int = BLOCK_VARIANT
         done.append(rows)
     found = None
     for part in done:
-        got = part.groupBy("depth", "block").applyInPandas(_block(half), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+        got = part.groupBy("depth", "block").applyInPandas(_block(radius), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
         found = got if found is None else found.unionByName(got)
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
@@ -220,12 +231,14 @@ BANDS, BAND_BITS, BAND_RADIUS = 24, 40, 4
 BAND_OF = np.array([np.random.default_rng(7 + b).choice(256, BAND_BITS, replace=False) for b in range(BANDS)])
 #: Texts of similarity 0.8 differ in 39 of 256 bits on average (standard deviation 6; 48 between four and five shingles).
 MOST_DIFFERING = 72
-#: Fingerprints of 40 bytes that one block of a band holds at most, about, and variants laid out at a time; both bound a task's memory.
-BLOCK_ROWS, PART_VARIANTS = 4_000_000, 1_000_000
+#: Fingerprints that one block of a band holds at most (about 70 bytes each), and variants laid out at a time; both bound a task's memory.
+BLOCK_ROWS, PART_VARIANTS = 1_000_000, 1_000_000
+#: Bits of a band that deal fingerprints into blocks. Of radius + 1 such chunks two similar bands share one.
+CHUNK_BITS = BAND_BITS // (BAND_RADIUS + 1)
 #: Disjoint spanning forests of a band's pairs that are verified first.
 FORESTS = 3
 #: Pivots of a variant that one later round pairs with all other members: so many, then so many times as many.
-PIVOTS = 16
+PIVOTS = 64
 WORDS = ["f0", "f1", "f2", "f3"]
 
 
@@ -268,21 +281,50 @@ def band(four: np.ndarray, b: int) -> np.ndarray:
     return out
 
 
-def _to_blocks(depth: int, half: int):
-    """Sends each fingerprint, for each band, to all blocks that hold variants of it."""
+def _to_blocks(chunked: bool):
+    """Sends each fingerprint, for each band, to the blocks where it can meet others within BAND_RADIUS.
+
+    One block a band, or, for many fingerprints, a block for each chunk's bits: fingerprints
+    that differ in BAND_RADIUS bits at most are equal in one of BAND_RADIUS + 1 chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             four = np.stack([batch.column(c).to_numpy() for c in WORDS], 1)
             for b in range(BANDS):
-                lead = band(four, b) >> np.uint64(BAND_BITS - depth)
-                for m in _masks(depth, half):
-                    to = [pa.array(np.full(len(four), b, np.int32)), pa.array((lead ^ m).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(to + [batch.column(c) for c in ("id", "label", *WORDS)], ["band", "block", "id", "label", *WORDS])
+                fps = band(four, b)
+                for c in range(BAND_BITS // CHUNK_BITS) if chunked else (-1,):
+                    bits = (fps >> np.uint64(c * CHUNK_BITS)) & np.uint64((1 << CHUNK_BITS) - 1) if c >= 0 else np.zeros(len(fps), np.uint64)
+                    to = [pa.array(np.full(len(four), b, np.int32)), pa.array(np.full(len(four), c, np.int32)), pa.array(bits.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(to + [batch.column(x) for x in ("id", "label", *WORDS)], ["band", "chunk", "block", "id", "label", *WORDS])
 
     return run
 
 
+_PLACED = "band int, chunk int, block int, id long, label long, f0 long, f1 long, f2 long, f3 long"
+_BLOCK = ["band", "chunk", "block"]
+
+
+def _crowded(placed: DataFrame, most: int) -> DataFrame:
+    """(band, chunk, block, parts) of blocks with more than `most` fingerprints, and in how many parts they go."""
+    full = placed.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return cut(full.select(*_BLOCK, F.ceil(F.col("n") / (most / 2)).cast("int").alias("parts")), "similar-full")
+
+
+def _parted(placed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows with (p, q): a crowded block's rows are dealt into parts, and each two parts meet in a task.
+
+    Copies of one text's kin can't be told apart by bits, so a block that they fill is split by
+    id; two parts hold half of `most` each, and every pair of rows is together in some task.
+    """
+    rows = placed.join(crowded.hint("broadcast"), _BLOCK, "left")  # a row for each million fingerprints and band at most
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != part)
+    meets = F.transform(others, lambda o: F.struct(F.least(part, o).alias("p"), F.greatest(part, o).alias("q")))
+    alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
+    return rows.withColumn("_m", F.explode(F.coalesce(meets, alone))).select(*placed.columns, "_m.p", "_m.q")
+
+
 def _apart(four: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Differing bits of each pair, few pairs at a time."""
     out = np.zeros(len(pairs), np.int16)
@@ -336,7 +378,7 @@ def _central_first(four: np.ndarray, group: np.ndarray, owner: np.ndarray, sampl
     return group, owner[order], np.arange(len(group)) - np.repeat(begins, size)
 
 
-def _band_pairs(depth: int, half: int, part_variants: int, begin: int = 0, end: int = 0):
+def _band_pairs(half: int, part_variants: int, begin: int = 0, end: int = 0):
     """Pairs (a, b) to verify of one band's block, and (a, -1) for members of which pairs are left for a later round.
 
     With end = 0, the first round: each variant's first with each, each with the next three,
@@ -345,13 +387,18 @@ def _band_pairs(depth: int, half: int, part_variants: int, begin: int = 0, end:
     The variants are laid out part by part so that memory stays bounded.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")  # so that pivots have the same numbers in every round
-        four, ids, label = pdf[WORDS].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(), pdf["label"].to_numpy()
-        total = len(ids)
-        fps = band(four, int(pdf["band"].iloc[0]))
-        used = np.bitwise_count((fps >> np.uint64(BAND_BITS - depth)) ^ np.uint64(pdf["block"].iloc[0]))
-        low = BAND_BITS - depth
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids)  # so that pivots have the same numbers in every round
+        ids, label = ids[order], table.column("label").to_numpy()[order]
+        four = np.stack([table.column(c).to_numpy() for c in WORDS], 1)[order].view(np.uint64)
+        del table, order
+        total, low = len(ids), BAND_BITS
+        fps = band(four, key[0].as_py())
+        if (chunk := key[1].as_py()) >= 0:  # all have the same bits there
+            at, low = np.uint64(chunk * CHUNK_BITS), BAND_BITS - CHUNK_BITS
+            fps = (fps >> (at + np.uint64(CHUNK_BITS))) << at | fps & ((np.uint64(1) << at) - np.uint64(1))
+        used = np.zeros(total, np.uint8)
         more = min(low, max(0, math.ceil(math.log2(max(1, len(fps) * len(_masks(low, half)) / part_variants)))))
         lead = (fps >> np.uint64(low - more)) & np.uint64((1 << more) - 1)
         kept = np.zeros(0, np.int64)
@@ -359,7 +406,7 @@ def _band_pairs(depth: int, half: int, part_variants: int, begin: int = 0, end:
         for part in range(1 << more):
             spent = used + np.bitwise_count(lead ^ np.uint64(part))
             own = np.flatnonzero(spent <= half)
-            group, owner = collisions(fps[own], spent[own], low - more, half)
+            group, owner, _ = collisions(fps[own], spent[own], low - more, half)
             if not len(group):
                 continue
             owner = own[owner].astype(np.int64)
@@ -406,28 +453,32 @@ def _band_pairs(depth: int, half: int, part_variants: int, begin: int = 0, end:
             kept = np.unique(np.concatenate(found))
         a, b = (ids[x] for x in np.divmod(kept, total))
         rest = ids[left]
-        return pd.DataFrame({"a": np.r_[np.maximum(a, b), rest], "b": np.r_[np.minimum(a, b), np.full(len(rest), -1)]})
+        return pa.table({"a": np.r_[np.maximum(a, b), rest], "b": np.r_[np.minimum(a, b), np.full(len(rest), -1)]})
 
     return run
 
 
 def _similar(shingle: int, least: float):
-    def shingles(text: str | None) -> set:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    """The pairs whose texts' sets of word shingles (64-bit hashes) have a Jaccard similarity of `least` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, left = [], None, set()
-            for at in range(0, batch.num_rows, 128):  # few texts at a time as Python objects
-                some = batch.slice(at, 128)
-                for x, y in zip(some.column("text_a").to_pylist(), some.column("text_b").to_pylist()):
-                    if x != last:
-                        last, left = x, shingles(x)
-                    right = shingles(y)
-                    both = len(left & right)
-                    keep.append(both >= least * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+        for batch in (part for half in slices(batches, "text_a", SLICE_BYTES // 2) for part in slices(iter([half]), "text_b", SLICE_BYTES // 2)):
+            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            # A run of pairs often has the same left text: each text is hashed once in a row.
+            known = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}
+            at, h = shingle_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in known], shingle)
+            order = np.lexsort((h, at))
+            at, h = at[order], h[order]
+            if len(h):
+                new = np.r_[True, (at[1:] != at[:-1]) | (h[1:] != h[:-1])]
+                at, h = at[new], h[new]
+            begins = np.searchsorted(at, np.arange(len(known) + 1))
+            keep = []
+            for x, y in zip(left, right):
+                x, y = (h[begins[known[t]] : begins[known[t] + 1]] for t in (x, y))
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) and len(y) else 0
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     return run
 
@@ -435,19 +486,17 @@ def _similar(shingle: int, least: float):
 @tidy
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose texts are similar."""
-    for side in "ab":
-        pairs = cut(pairs, "similar-pairs").join(nodes.select(F.col("id").alias(side), F.col("first_key").alias(f"key_{side}")), side)
-    pairs = cut(pairs, "similar-near")
-    wanted = cut(pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct(), "similar-wanted")
-    texts = id_text(docs).select("text", row_key(F.col("doc_id"), F.col("text")).alias("key")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    texts = cut(texts, "similar-texts")
-    joined = cut(pairs.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a"), "similar-joined")
-    joined = joined.join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = cut(nodes.join(ends, "id").select("id", F.col("first_key").alias("key")), "similar-wanted")
+    texts = id_text(docs).select("text", row_key(F.col("doc_id"), F.col("text")).alias("key")).join(wanted, "key")
+    texts = cut(texts.dropDuplicates(["id"]).select("id", "text"), "similar-texts")
+    joined = cut(pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"), "similar-joined")
+    joined = joined.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long"), "similar-edges")
 
 
 @tidy
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part_variants: int = PART_VARIANTS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part_variants: int = PART_VARIANTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, key, label) for each row of docs: rows of one label are linked by similar or equal texts.
 
     Texts are similar whose sets of word shingles have a Jaccard similarity of `similarity`
@@ -467,20 +516,24 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, p
     rows = cut(rows.mapInArrow(_wide(shingle), "doc_id long, key binary, text_key binary, f0 long, f1 long, f2 long, f3 long"), "similar-rows")
     nodes = rows.groupBy("text_key").agg(F.min("key").alias("first_key"), *[F.first(c).alias(c) for c in WORDS])
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "similar-nodes")
-    # A block's task lays its variants out part by part, so only its fingerprints must fit; each further bit costs copies.
-    depth = max(0, math.ceil(math.log2(max(1, nodes.count() / BLOCK_ROWS))))
+    # A block's task lays its variants out part by part, so only its fingerprints must fit.
+    chunked = nodes.count() > block_rows
     open_, begin, end = nodes.select("id", F.col("id").alias("label"), *WORDS), 0, 0
-    tried = edges = labels = None
+    tried = edges = labels = crowded = None
     while True:
-        placed = open_.mapInArrow(_to_blocks(depth, half), "band int, block long, id long, label long, f0 long, f1 long, f2 long, f3 long")
-        found = cut(placed.groupBy("band", "block").applyInPandas(_band_pairs(depth, half, part_variants, begin, end), "a long, b long"), "similar-found")
+        placed = open_.mapInArrow(_to_blocks(chunked), _PLACED)
+        # The first round's parts stay, so that a variant's members meet in the same tasks in every round.
+        crowded = _crowded(placed, block_rows) if chunked and crowded is None else crowded
+        parted = _parted(placed, crowded) if chunked else placed.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"))
+        found = cut(parted.groupBy(*_BLOCK, "p", "q").applyInArrow(_band_pairs(half, part_variants, begin, end), "a long, b long"), "similar-found")
         pairs = found.where("b >= 0").distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-tried")
         if not pairs.isEmpty():
             tried = pairs if tried is None else tried.unionByName(pairs)
             more = _verified(docs, nodes, pairs, shingle, similarity)
-            edges = more if edges is None else edges.unionByName(more)
-            labels = connected_components(edges, "similar-cc")
+            if not more.isEmpty():
+                edges = more if edges is None else edges.unionByName(more)
+                labels = connected_components(edges, "similar-cc")
         begin, end = end, PIVOTS if not end else PIVOTS * end
         left = cut(found.where("b < 0").select(F.col("a").alias("id")).distinct(), "similar-left")
         if left.isEmpty():
@@ -497,10 +550,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     """docs without near-duplicates: of each group of similar texts the row with the smallest doc_id stays.
 
     A group whose rows all lack a doc_id keeps one row too; of rows that repeat both id and
-    text one stays. All columns of docs are kept as they are.
+    text the one with the smallest hash of all its columns stays. Null and empty texts are
+    alike, so one row of them stays; texts of any length are compared whole. All columns of
+    docs are kept as they are, whatever their names; an empty table gives an empty result.
     """
     found = similar_groups(docs, shingle, similarity)
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("best"))
-    chosen = cut(best.select(F.col("best.key").alias("_row_key")), "simhash-chosen")
-    keyed = docs.withColumn("_row_key", row_key(docs["doc_id"].cast("long"), docs["text"]))
-    return keyed.join(chosen, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    chosen = cut(best.select(F.col("best.key").alias("key")), "simhash-chosen")
+    kept = keyed_rows(docs).join(chosen, "key", "left_semi")
+    # Whole rows move only where a key repeats.
+    first = kept.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return first.select("row.*")

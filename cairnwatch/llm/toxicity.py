@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import Spans, slices
+from cairnwatch.llm.common import Spans, slices, small_batches
 
-#: At most so many toxic and so many other labelled texts are fitted on, those with the smallest hash.
-FIT_TOXIC, FIT_OTHER = 1000, 3000
+#: At most so many toxic and so many other labelled texts are fitted on, those with the smallest hash, and so many bytes of either.
+FIT_TOXIC, FIT_OTHER, FIT_BYTES = 1000, 3000, 20_000_000
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 18, 8, 8, (3, 6)
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -190,9 +190,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_other: int = FIT_OTHER) -> Model:
     """Fits on a bounded sample of the labelled rows that aren't held out.
 
-    Rows without id, text or label are left out; of repeated labels the highest counts. The
-    sample is the rows of smallest id hash, at most fit_toxic and fit_other of each label,
-    weighted back to the labels' shares.
+    Rows without id, text or label are left out; of repeated labels the highest counts, of
+    repeated ids the text of least hash. The sample is the rows of smallest id hash, at most
+    fit_toxic and fit_other of each label and FIT_BYTES of their texts (a text that alone is
+    longer is left out), weighted back to the labels' shares. An empty table, or labels of one
+    kind, give a model that scores all texts alike.
     """
     marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     marked = marked.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -204,15 +206,30 @@ def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_ot
         part = marked.where(F.col("toxic") == label).orderBy(*order).limit(most)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
-    rows = sorted((r.doc_id, r.toxic, r.text) for r in texts.join(sample, "doc_id").collect())
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("t"))
+    held = {0: 0, 1: 0}
+    kept = []
+    for r in sorted(found.select("doc_id", "toxic", "t.*", F.xxhash64("doc_id").alias("o")).collect(), key=lambda r: (r.o, r.doc_id)):  # fit_toxic + fit_other rows at most
+        if held[r.toxic] + r.n <= FIT_BYTES:
+            held[r.toxic] += r.n
+            kept.append((r.doc_id, r.toxic, r.h))
+    listed = docs.sparkSession.createDataFrame(kept, "doc_id long, toxic int, h long")
+    whole = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(listed), ["doc_id", "h"]).dropDuplicates(["doc_id"])
+    rows = sorted((r.doc_id, r.toxic, r.text) for r in whole.select("doc_id", "toxic", "text").collect())
     toxic = [r[1] for r in rows]
     share = {label: totals.get(label, 0) / max(1, toxic.count(label)) for label in (0, 1)}
     return fit([r[2] for r in rows], toxic, [share[t] for t in toxic])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row, nulls and empty texts included (they score as one empty word)."""
+    """(doc_id, score) for each row, nulls and empty texts included (they score as one empty word).
+
+    A text of any length is scored whole, by its strongest window; repeated rows and null ids
+    are rows like any other; columns beyond id and text are not read; an empty table gives an
+    empty result.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +242,12 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs that score below the threshold, with all their columns; null and empty texts are scored too."""
+    """docs that score below the threshold, with all their columns, whatever their names.
+
+    Null and empty texts score as one empty word and very long ones whole; rows that repeat
+    go or stay alike; an empty table stays empty.
+    """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(docs.columns)
 

@@ -27,6 +27,8 @@ from pyspark.sql.types import StructType
 from cairnwatch.llm.common import cut, shared_path
 
 PART_BYTES = 8_000_000
+#: Partitions that a read is planned in at most, about; beyond, each takes several parts.
+MOST_PARTS = 50_000
 #: Column of the source and the header it comes from.
 HEADERS = {
     "warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date",
@@ -149,6 +151,18 @@ class Span(InputPartition):
         self.name, self.start, self.end = name, start, end
 
 
+def spans(files: dict[str, list[int]], most: int = MOST_PARTS) -> list[Span]:
+    """Parts of the files between their offsets, joined with those behind them where there are too many."""
+    least, out = sum(o[-1] for o in files.values()) // most, []
+    for name, offsets in files.items():
+        begin = offsets[0]
+        for end in offsets[1:]:
+            if end - begin >= least or end == offsets[-1]:
+                out.append(Span(name, begin, end))
+                begin = end
+    return out
+
+
 class Reader(DataSourceReader):
     def __init__(self, path: str, payload: bool) -> None:
         self.path, self.payload, self.tests = path, payload, []
@@ -176,7 +190,7 @@ class Reader(DataSourceReader):
         if fs.get_file_info(f"{root}/_manifest.json").is_file:
             with fs.open_input_file(f"{root}/_manifest.json") as f:
                 files = json.loads(f.read())
-            return [Span(n, a, b) for n, o in files.items() for a, b in zip(o, o[1:])] or [Span("", 0, 0)]
+            return spans(files) or [Span("", 0, 0)]
         found = fs.get_file_info(pfs.FileSelector(root, recursive=True))
         return [Span(f.path.removeprefix(f"{root}/"), 0, f.size) for f in found if f.path.endswith(".warc.gz")] or [Span("", 0, 0)]
 
@@ -248,7 +262,10 @@ def to_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives in the shared folder, reads them back: a row for each page.
 
-    Responses are decoded and digested anew; revisits are read by their headers alone.
+    Responses are decoded and digested anew; revisits are read by their headers alone. Null
+    and empty payloads are responses of no bytes, long ones are written whole, rows that
+    repeat each have their record, a null page_id stays null; an empty table gives an empty
+    result, and columns beyond page_id, url and html are not read.
     """
     spark = pages.sparkSession
     register(spark)

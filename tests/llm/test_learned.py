@@ -98,6 +98,25 @@ def test_pipeline_stages_match_brute_force(spark, sf_dir):
     assert sum(counts.values()) == mixed.count() and max(counts.values()) - min(counts.values()) <= 1
 
 
+def test_pipeline_run(spark, sf_dir, tmp_path):
+    """run() gives what its stages give one after another, and leaves behind only the table that it reads."""
+    shared = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        got = corpus_pipeline.run(spark, sf_dir)
+        rows = got.collect()
+        assert [p.name.startswith("pipeline-sharding") for p in tmp_path.iterdir() if p.is_dir()] == [True]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", shared)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot"] and len(rows) > 50
+    counts = Counter(r.shard for r in rows)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len({(r.shard, r.slot) for r in rows}) == len(rows)
+    texts = {}
+    for r in rows:
+        texts.setdefault(r.text_crc32, set()).add(r.doc_id)
+    assert all(len(ids) == 1 for ids in texts.values())  # one document of each group of copies
+
+
 def test_pipeline_odd_and_empty_tables(spark, odd, none, tmp_path):
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "quick brown fox jumps")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -111,3 +130,15 @@ def test_pipeline_odd_and_empty_tables(spark, odd, none, tmp_path):
 def test_fit_needs_both_labels(text):
     assert toxicity.score(toxicity.fit([text], [1]), [text])[0] > 0.9
     assert toxicity.score(toxicity.fit([], []), [text])[0] < 0.1
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids count once, and texts beyond the bound on bytes are left out."""
+    docs = [(i, ("vile scum " if i % 2 else "kind words ") * 20 + str(i)) for i in range(1, 41)] + [(3, "again"), (3, "again"), (7, "x" * 5000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 2000)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, weights: seen.append((texts, toxic)) or toxicity.Model(np.zeros(4), 0.0))
+    toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    texts, toxic = seen[0]
+    assert set(toxic) == {0, 1} and all(0 < sum(len(t) for t, y in zip(texts, toxic) if y == k) <= 2000 for k in (0, 1))

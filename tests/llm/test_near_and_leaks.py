@@ -5,10 +5,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from cairnwatch.llm import decontaminate, mixing, queries, sharding, simhash
+from cairnwatch.llm.common import connected_components
+from tests.llm.conftest import rows
 
 
 def brute_fingerprint(text, k=4):
@@ -176,7 +180,7 @@ def test_every_colliding_pair_is_verified_or_in_one_group(seed):
     bits = np.array([base ^ (rng.random(256) < 0.08) for _ in range(120)]).astype(np.uint8)
     four = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
     fps = simhash.band(four.view(np.uint64), 3)
-    group, owner = simhash.collisions(fps, np.zeros(120, np.int64), simhash.BAND_BITS, 2)
+    group, owner, _ = simhash.collisions(fps, np.zeros(120, np.int64), simhash.BAND_BITS, 2)
     want = set()
     for g in np.unique(group):
         own = sorted(set(owner[group == g].tolist()))
@@ -184,13 +188,118 @@ def test_every_colliding_pair_is_verified_or_in_one_group(seed):
     pdf = pd.DataFrame({"band": 3, "block": 0, "id": np.arange(120), "label": np.arange(120)} | {w: four[:, j] for j, w in enumerate(simhash.WORDS)})
     seen, begin, end = set(), 0, 0
     while len(pdf):
-        out = simhash._band_pairs(0, 2, 20_000, begin, end)(pdf)
+        out = simhash._band_pairs(2, 20_000, begin, end)((pa.scalar(3), pa.scalar(-1)), pa.Table.from_pandas(pdf)).to_pandas()
         seen |= set(zip(out["a"][out["b"] >= 0].tolist(), out["b"][out["b"] >= 0].tolist()))
         pdf = pdf[pdf["id"].isin(out["a"][out["b"] < 0])]
         begin, end = end, simhash.PIVOTS if not end else end * simhash.PIVOTS
     assert seen == want and len(want) > 500
 
 
+def test_components_of_any_graph(spark):
+    """Chains, cycles, stars and loops against union-find."""
+    import random
+
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(i, 300) for i in range(301, 340)] + [(400, 400)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(150)] + [(-5, 7), (7, -9)]
+    label = {}
+
+    def root(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.node, r.label) for r in got} == {(x, root(x)) for x in label} and len(got) == len(label)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def edited_families(rng, families, shares, words=150):
+    """Texts in families of one base, with so many shares of their words changed."""
+    vocabulary = ["w%d" % i for i in range(4000)]
+    texts = []
+    for _ in range(families):
+        base = rng.choices(vocabulary, k=words)
+        texts.append(" ".join(base))
+        for share in shares:
+            changed = list(base)
+            for i in rng.sample(range(words), max(1, int(share * words))):
+                changed[i] = rng.choice(vocabulary)
+            texts.append(" ".join(changed))
+    return texts
+
+
+def labels(found):
+    least = {}
+    for r in found:
+        least[r.label] = min(r.doc_id, least.get(r.label, r.doc_id))
+    return {r.doc_id: least[r.label] for r in found}
+
+
+def test_split_blocks_give_the_same_groups(make_docs):
+    """Blocks by chunk, and crowded ones in parts, change where fingerprints meet, not which."""
+    import random
+
+    texts = edited_families(random.Random(3), 12, [0.007] * 9 + [0.02] * 3)
+    docs = make_docs(rows(*texts, "", None))
+    assert labels(simhash.similar_groups(docs, block_rows=20).collect()) == labels(simhash.similar_groups(docs).collect())
+
+
+def test_recall_by_similarity(make_docs):
+    """Of the pairs that are alike, nine of ten and more end in one group, in each bin of similarity; none below does."""
+    import random
+
+    texts = edited_families(random.Random(8), 150, [0.0201, 0.0201, 0.0134])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    found = labels(simhash.similar_groups(make_docs(rows(*texts))).collect())
+    bins = defaultdict(list)
+    for k in range(0, len(texts), 4):
+        for i in range(k, k + 4):
+            for j in range(i + 1, k + 4):
+                like = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if like >= 0.8:
+                    bins["0.80" if like < 0.85 else "0.85" if like < 0.9 else "0.90"].append(found[i] == found[j])
+    assert set(bins) >= {"0.80", "0.85"}, {b: len(x) for b, x in bins.items()}
+    assert all(sum(x) >= 0.9 * len(x) for x in bins.values()), {b: (sum(x), len(x)) for b, x in bins.items()}
+    want = brute_similar(list(enumerate(texts)))
+    assert all(want[found[d]] == want[d] for d in want)
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 5])
+def test_links_of_any_radius_equal_all_pairs(spark, radius):
+    rng = np.random.default_rng(radius)
+    centres = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    fps = np.unique(np.array([int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, radius + 1), replace=False)) for c in centres for _ in range(8)], np.uint64))
+    made = simhash.meetings(fps, np.zeros(len(fps), np.int64), 64, radius) if radius < 5 else simhash.meetings(fps, np.zeros(len(fps), np.int64), 64, 5)
+    assert all(int(fps[a] ^ fps[b]).bit_count() <= radius for a, b in made)
+
+    def components(pairs):
+        label = list(range(len(fps)))
+        for _ in range(len(fps)):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    every = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= radius]
+    assert components(made) == components(every)
+
+
+def test_rows_that_tie_and_columns_that_clash(spark):
+    """Any column name passes through; of rows equal in id and text the same one stays, however they lie."""
+    data = [(1, "a b c d e f", "x", "s", 3), (1, "a b c d e f", "y", "s", 4), (2, "p q r s t u", "z", None, 5)]
+    names = "doc_id long, text string, _row_key string, source string, key int"
+    kept = [simhash.keep_one(spark.createDataFrame(d, names)).collect() for d in (data, data[::-1])]
+    assert sorted(kept[0]) == sorted(kept[1]) and len(kept[0]) == 2 and set(kept[0][0].asDict()) == {"doc_id", "text", "_row_key", "source", "key"}
+    items = spark.createDataFrame([(9, "p q r s t u")], "item_id long, text string")
+    left = decontaminate.clean(spark.createDataFrame(data, names), items).collect()
+    assert sorted(r["_row_key"] for r in left) == ["x", "y"]
+    copies = mixing.mixed(spark.createDataFrame(data, names.replace("_row_key", "_source_key"))).collect()
+    assert {r["_source_key"] for r in copies} <= {"x", "y", "z"} and copies
+
+
 def brute_hits(docs, items, window=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -285,6 +394,22 @@ def test_mixing_odd_rows(odd, none):
     assert mixing.plan(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_rounding_closes_the_gap_in_groups_of_any_size():
+    """The words left over are as few as any one or two moves make them, by brute force."""
+    for n, seed in ((5, 1), (60, 2), (700, 3)):
+        rng = np.random.default_rng(seed)
+        words, copies = rng.integers(1, 3000, n), rng.integers(0, 4, n)
+        left = float(rng.integers(-4000, 4000)) + 0.25
+        closed = mixing._closed(words.copy(), copies.copy(), left, 3)
+        gap = left - ((closed - copies) * words).sum()
+        assert closed.min() >= 0 and closed.max() <= 3 and abs(gap) <= abs(left)
+        moves = np.concatenate([np.where(closed < 3, words, 0), np.where(closed > 0, -words, 0)])
+        pairs = moves[:, None] + moves[None, :]
+        same = np.arange(2 * n)[:, None] % n == np.arange(2 * n)[None, :] % n
+        least = min(np.abs(gap - moves).min(), np.abs(gap - pairs[~same]).min())
+        assert abs(gap) <= least + 1e-5, (n, gap, least)
+
+
 def test_small_source_is_capped(make_docs):
     from tests.llm.conftest import rows
 
@@ -339,8 +464,50 @@ def test_sharding_lays_small_groups_out_when_all_rows_are_linked(make_docs):
     assert len({(r.doc_id // 3, r.shard) for r in got}) <= 100 + 7
 
 
+def pairs_cut(where, hubs):
+    """Brute force: pairs of rows that share a hub but not a shard, for each hub."""
+    return sum(where[a] != where[b] for members in hubs.values() for i, a in enumerate(members) for b in members[:i])
+
+
+def test_propagation_lowers_the_cut_of_any_graph(spark, make_docs):
+    """Ten communities whose rows have several hubs each, with some links between communities."""
+    import random
+
+    rng = random.Random(2)
+    hubs = defaultdict(set)
+    for d in range(240):
+        for h in range(3):
+            hubs[f"{d // 24}-{rng.randrange(4)}"].add(d)
+        if d % 9 == 0:
+            hubs[f"x{d // 18}"].update((d, rng.randrange(240)))
+    docs = make_docs(rows(*[f"text {i}" for i in range(300)]))
+    links = spark.createDataFrame([(d, h) for h, ds in hubs.items() for d in ds] + [(1, None), (999, "gone")], "doc_id long, hub string")
+    got = sharding.assign_links(docs, links, shards=5).collect()
+    where = {r.doc_id: r.shard for r in got}
+    assert len(got) == 300 and set(Counter(where.values()).values()) == {60}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(60)) for s in range(5))
+    state = spark.createDataFrame(list(where.items()), "uid long, shard int")
+    edges = spark.createDataFrame([(d, i) for i, ds in enumerate(hubs.values()) for d in ds], "uid long, hub long")
+    after = pairs_cut(where, {h: sorted(ds) for h, ds in hubs.items()})
+    assert sharding.cut_links(state, edges) == after
+    every = sum(len(ds) * (len(ds) - 1) // 2 for ds in hubs.values())
+    assert after < 0.6 * every * 0.8  # random shards cut four fifths
+
+
+def test_requests_are_granted_without_changing_counts():
+    free = [3, 0, 1]
+    granted, returned = sharding.admitted({(0, 1): 5, (1, 0): 2, (2, 0): 4, (1, 2): 7}, free)
+    net = Counter()
+    for moves in (granted, returned):
+        for (i, j), n in moves.items():
+            net[i] -= n
+            net[j] += n
+    assert not any(net.values()) and granted == {(0, 1): 2, (1, 0): 2, (2, 0): 3, (1, 2): 1} and free == [0, 0, 0]
+
+
 def test_sharding_odd_rows(odd, none):
     got = sharding.assign(odd, shards=4).collect()
     counts = Counter(r.shard for r in got)
     assert len(got) == odd.count() and max(counts.values()) - min(counts.values()) <= 1
     assert sharding.assign(none).count() == 0
+    assert sharding.assign_links(odd, odd.selectExpr("doc_id", "source AS hub"), shards=4).count() == odd.count()

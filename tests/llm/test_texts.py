@@ -227,6 +227,12 @@ def test_warc_pushdown_and_odd_pages(spark, tmp_path):
     assert {r.payload for r in df.collect()} == {None} and df.count() == 2
 
 
+def test_warc_parts_are_joined_where_there_are_many():
+    files = {"a": [0, 10, 20, 30, 35], "b": [0, 10]}
+    assert [(s.name, s.start, s.end) for s in warc.spans(files)] == [("a", 0, 10), ("a", 10, 20), ("a", 20, 30), ("a", 30, 35), ("b", 0, 10)]
+    assert [(s.name, s.start, s.end) for s in warc.spans(files, most=2)] == [("a", 0, 30), ("a", 30, 35), ("b", 0, 10)]
+
+
 def test_warc_members_without_lengths_are_read():
     import gzip
     import io
