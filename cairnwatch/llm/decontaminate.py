@@ -10,6 +10,7 @@ each segment the windows' lists are intersected, offset-adjusted, from the rares
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,8 +144,8 @@ def _windows(items: list[tuple[int, list[bytes]]], size: int) -> list[tuple[tupl
     return list(owners.items())
 
 
-def _lookup(items: list[tuple[int, list[bytes]]], size: int, span: int | None):
-    """Rows (doc_id, key, n_words, hit positions, items) of every document of each segment."""
+def _lookup(items: list[tuple[int, list[bytes]]], size: int, span: int | None, all_rows: bool = True):
+    """Rows (doc_id, key, n_words, hit positions, items) of every document of each segment, or of those with hits alone."""
     windows = _windows(items, size)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws, _ in windows for w in ws))}
     lengths = np.array([len(ws) for ws, _ in windows], np.int64)
@@ -184,7 +185,10 @@ def _lookup(items: list[tuple[int, list[bytes]]], size: int, span: int | None):
                     out["spans"].append([{"s": s, "e": e} for s, e in merged])
                     out["items"].append(sorted(found.get(d, ())))
                     out["near_items"].append(sorted(close.get(d, ())))
-                yield pa.RecordBatch.from_pydict(out, schema=_MATCH_SCHEMA)
+                found_in = pa.RecordBatch.from_pydict(out, schema=_MATCH_SCHEMA)
+                if not all_rows:
+                    found_in = found_in.take(pa.array([d for d in range(len(seg.keys)) if d in hits or d in close], pa.int64()))
+                yield found_in
 
     return run
 
@@ -221,23 +225,28 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, near_span: int
     once, a row that repeats has its own row; an empty table of either kind gives no hits. Columns beyond ids and texts
     are not read.
 
-    Items are looked up in blocks of BLOCK_BYTES, each a pass over the written index, and
-    a document's blocks are merged; one block, the usual case, needs no shuffle.
+    Items are looked up in blocks of BLOCK_BYTES, each a pass over the written index; one
+    block, the usual case, needs no shuffle. Of several, only documents with hits move, are
+    merged by key and joined to the others.
     """
     if max(window, near_span or 0) >= gap:
         raise ValueError("gap must exceed the window and the span")
     index = build_index(docs, gap=gap)
-    passes = [index.mapInArrow(_lookup(block, window, near_span), _MATCH) for block in _blocks(items, item_col, "text", BLOCK_BYTES)]
-    if len(passes) == 1:
-        return passes[0]
-    return _merged(passes)
-
-
-def _merged(passes: list[DataFrame]) -> DataFrame:
-    """Unites the hits of several blocks for each document."""
-    every, n_passes = passes[0], len(passes)
-    for p in passes[1:]:
-        every = every.unionByName(p)
+    blocks = _blocks(items, item_col, "text", BLOCK_BYTES)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return index.mapInArrow(_lookup(first, window, near_span), _MATCH)
+    found = None
+    for block in itertools.chain((first, second), blocks):
+        got = cut(index.mapInArrow(_lookup(block, window, near_span, False), _MATCH), "block-hits")
+        found = got if found is None else found.unionByName(got)
+    every = index.mapInArrow(_lookup([], window, None), _MATCH).select("doc_id", "key", "n_words")
+    none = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items", "near_items")]
+    return every.join(cut(_merged(found), "block-merged"), "key", "left").select("doc_id", "key", "n_words", *none)
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """(key, spans, items, near_items): the hits of several blocks united, a row a key."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         spans: list[list[int]] = []
@@ -246,14 +255,10 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
                 spans[-1][1] = max(spans[-1][1], e)
             else:
                 spans.append([s, e])
-        one = pdf.iloc[[0]].copy()
-        one["spans"] = [[{"s": s, "e": e} for s, e in spans]]
-        for c in ("items", "near_items"):
-            one[c] = [sorted({i for xs in pdf[c] for i in xs})]
-        times = max(1, len(pdf) // n_passes)
-        return pd.concat([one] * times)
-
-    return every.groupBy("key").applyInPandas(merge, _MATCH)
+        one = {c: [sorted({i for xs in pdf[c] for i in xs})] for c in ("items", "near_items")}
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "spans": [[{"s": s, "e": e} for s, e in spans]], **one})
+
+    return hits.dropDuplicates().groupBy("key").applyInPandas(merge, "key binary, spans array<struct<s: long, e: long>>, items array<long>, near_items array<long>")
 
 
 def digest(items: list[int] | np.ndarray) -> str:
