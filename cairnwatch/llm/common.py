@@ -49,14 +49,18 @@ class Spans:
         return mix((self.sums[ends] - self.sums[starts]) * Spans.down[starts])
 
 
+#: The folder of each application that names none, in local mode.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share: spark.checkpoint.dir; a fresh one where it is unset in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="cairnwatch-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        own = spark.sparkContext.applicationId
+        path = _OWN[own] = _OWN.get(own) or "file://" + tempfile.mkdtemp(prefix="cairnwatch-")
     return path.rstrip("/")
 
 
