@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnwatch.llm import decontaminate, linededup, minhash, mixing, packing, secrets, sharding, simhash, toxicity, warc
+from cairnwatch.llm import decontaminate, linededup, minhash, mixing, negatives, oddsketch, packing, periodic, secrets, sharding, simhash, toxicity, warc
 from cairnwatch.llm.common import shared_path, small_batches
 
 
@@ -74,6 +74,44 @@ def op10_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicate(table(spark, sf_dir, "documents"), min_words=50)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the ids divisible by 50; the labels of ids divisible by 7 are moved on by one."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), anchor=vec_id % 50 == 0, label=moved, positives=5, negatives=3, low=50, high=95)
+
+
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of 5-word shingle sets that are 85 % alike; a null id is kept where its whole component has no other."""
+    rows = oddsketch.similar_sets(table(spark, sf_dir, "documents"), shingle=5, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """documents in which the words of every tenth text (by the id's checksum) repeat from some word on; a null id changes nothing."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    rows = rows.withColumns({"n": n, "a": F.when(n > 0, a).cast("int"), "p": F.when(n > 0, p).cast("int")})
+    at = F.sequence(F.lit(0), F.col("n") - 1)
+    changed = F.transform(at, lambda i: F.col("w")[F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))])
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the texts, a tenth of which are given periodic tails first; the longest run and digests."""
+    rows = periodic.periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, start, period = F.col("best.length"), -F.col("best.s"), -F.col("best.p")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_one_permutation_minhash": op2_one_permutation_minhash,
@@ -85,6 +123,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_entropy_balancing": op9_entropy_balancing,
     "op10_line_suffix_array": op10_line_suffix_array,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_odd_sketches": op12_odd_sketches,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,6 +164,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT t.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(len(ls) - coalesce(n, 0), 0) AS n_deleted, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
         FROM t LEFT JOIN kept USING (doc_id)
     """,
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])) AS BIGINT) AS score
+                   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+             p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER r AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY row_number() OVER r <= 3 WINDOW r AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+    """,
     "op5_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
              g AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
