@@ -17,7 +17,7 @@ where they meet, by a search from text to text that passes over what it has reac
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnwatch.llm.common import connected_components, cut, id_text, mix, row_key, slices, tidy
-from cairnwatch.llm.minhash import shingle_hashes
+from cairnwatch.llm.groups import by_group, confirmed, many, meeting, numbers, searched, shingle_sets, starred, texts_of
 
 #: MinHash samples, bands of so many of them, and bits of an odd sketch.
 SAMPLES, BANDS, PER_BAND, SKETCH_BITS = 256, 24, 5, 512
@@ -39,17 +39,6 @@ _TIMES = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np
 _PLUS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 
 
-def shingle_sets(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(begins, hashes): the distinct shingles of text i, sorted, are hashes[begins[i]:begins[i + 1]]; A-Z are lower-cased."""
-    at, h = shingle_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], shingle)
-    order = np.lexsort((h, at))
-    at, h = at[order], h[order]
-    if len(h):
-        new = np.r_[True, (at[1:] != at[:-1]) | (h[1:] != h[:-1])]
-        at, h = at[new], h[new]
-    return np.searchsorted(at, np.arange(len(texts) + 1)), h
-
-
 def samples(begins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """MinHash values, a column for each set, a row for each sample; no set may be empty."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -100,11 +89,6 @@ def most_differing(percent: int) -> int:
     return int(np.ceil(odd + MARGIN * (flips**2 / n / 4) ** 0.5))
 
 
-def alike(both: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Whether 100 * intersection >= percent * union, in whole numbers."""
-    return 100 * both >= percent * (left + right - both)
-
-
 _SIGNED = f"doc_id long, key binary, n long, set_key binary, bands array<long>, {', '.join(f'{w} long' for w in WORDS)}"
 
 
@@ -129,132 +113,23 @@ def _signed(shingle: int):
     return run
 
 
-def _grouped(keys: list[str], work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]):
-    """Hands the rows of each group to `work`, a group at a time, from partitions sorted by `keys`; gives its links (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of, found, size = [], None, [], 0
-
-        def links() -> pa.RecordBatch:
-            a, b = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            columns = [np.asarray(batch.column(k)) for k in keys]
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            for s, e in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
-                if s == e:
-                    continue
-                own = tuple(c[s] for c in columns)
-                if held and own != of:
-                    found.append(work(pa.Table.from_batches(held)))
-                    size, held = size + len(found[-1][0]), []
-                    if size > 10_000 or len(found) > 1_000:
-                        yield links()
-                        found, size = [], 0
-                held.append(batch.slice(s, e - s))
-                of = own
-        if held:
-            found.append(work(pa.Table.from_batches(held)))
-        yield links()
-
-    return run
-
-
-def _numbers(table: pa.Table, name: str) -> np.ndarray:
-    return np.asarray(table.column(name), np.int64)
-
-
 def _near_forest(percent: int, most: int):
     """A spanning forest of the pairs of a bucket that lie in two components and are near by sketch and size."""
 
     def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, labels, n = (_numbers(table, c) for c in ("id", "label", "n"))
-        sketch = np.stack([_numbers(table, w) for w in WORDS], 1).view(np.uint64)
+        ids, labels, n = (numbers(table, c) for c in ("id", "label", "n"))
+        sketch = np.stack([numbers(table, w) for w in WORDS], 1).view(np.uint64)
 
         def reached(p: int, rest: np.ndarray) -> np.ndarray:
             rest = rest[(labels[rest] != labels[p]) & (100 * np.minimum(n[rest], n[p]) >= percent * np.maximum(n[rest], n[p]))]
             return rest[np.bitwise_count(sketch[rest] ^ sketch[p]).sum(1) <= most]
 
-        a, b = _searched(len(ids), reached)
+        a, b = searched(len(ids), reached)
         return ids[a], ids[b]
 
     return work
 
 
-def _searched(n: int, reached: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tree edges of a breadth-first search over 0..n-1; reached(p, rest) gives those of `rest` next to p."""
-    rest, heads, tails = np.arange(n), [], []
-    while len(rest):
-        turn, rest = [int(rest[0])], rest[1:]
-        for p in turn:  # grows on the way
-            if not len(rest):
-                break
-            found = reached(p, rest)
-            if len(found):
-                heads.append(np.full(len(found), p))
-                tails.append(found)
-                rest = np.setdiff1d(rest, found, assume_unique=True)
-                turn.extend(found.tolist())
-    return (np.concatenate(heads), np.concatenate(tails)) if heads else (np.zeros(0, np.int64),) * 2
-
-
-def _confirmed_forest(percent: int, shingle: int):
-    """A spanning forest of the pairs of a group that lie in two components and are similar by their full sets."""
-
-    def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, first = np.unique(_numbers(table, "id"), return_index=True)
-        order = np.argsort(_numbers(table, "turn")[first], kind="stable")
-        ids, first = ids[order], first[order]
-        labels = _numbers(table, "label")[first]
-        begins, h = shingle_sets(table.column("text").take(pa.array(first)).to_pylist(), shingle)
-        n = np.diff(begins)
-        tokens = np.unique(h, return_inverse=True)[1]
-        marks = np.zeros(int(tokens.max()) + 1 if len(tokens) else 0, bool)
-        laid = [np.arange(len(ids)), begins, tokens]  # of the texts that are still to be reached
-
-        def reached(p: int, rest: np.ndarray) -> np.ndarray:
-            if 2 * len(rest) < len(laid[0]):
-                sizes = n[rest]
-                ends = np.cumsum(sizes)
-                laid[2] = tokens[np.repeat(begins[:-1][rest] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-                laid[0], laid[1] = rest, np.r_[0, ends]
-            own = tokens[begins[p] : begins[p + 1]]
-            marks[own] = True
-            hits = np.r_[0, np.cumsum(marks[laid[2]])]
-            marks[own] = False
-            both = hits[laid[1][1:]] - hits[laid[1][:-1]]
-            near = laid[0][alike(both, n[laid[0]], n[p], percent) & (labels[laid[0]] != labels[p])]
-            return np.intersect1d(near, rest, assume_unique=True)
-
-        a, b = _searched(len(ids), reached)
-        return ids[a], ids[b]
-
-    return work
-
-
-def _meeting(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
-    """Rows with (p, q): those of the keys of `parts` (key, parts) are dealt into parts, each two of which meet; others have (0, 0)."""
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != part)
-    meets = F.transform(others, lambda o: F.struct(F.least(part, o).alias("p"), F.greatest(part, o).alias("q")))
-    alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
-    dealt = rows.join(parts, key, "left").withColumn("_m", F.explode(F.when(F.col("parts") > 1, meets).otherwise(alone)))
-    return dealt.select(*rows.columns, "_m.p", "_m.q")
-
-
-def _many(rows: DataFrame, key: str, weight, most: int) -> DataFrame:
-    """(key, parts) of the keys whose rows weigh more than `most`, in parts of half of that."""
-    heavy = rows.groupBy(key).agg(F.sum(weight).alias("w")).where(F.col("w") > most)
-    return heavy.select(key, F.ceil(F.col("w") / (most / 2)).cast("int").alias("parts"))
-
-
-def _confirmed(groups: DataFrame, texts: DataFrame, percent: int, shingle: int, tag: str) -> DataFrame:
-    """Links (a, b) among the rows (g, p, q, turn, id, label, key) of each group (g, p, q), confirmed on the texts (key, text)."""
-    rows = groups.join(texts, "key").repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
-    return cut(rows.select("g", "p", "q", "turn", "id", "label", "text").mapInArrow(_grouped(["g", "p", "q"], _confirmed_forest(percent, shingle)), "a long, b long"), tag)
-
-
 @tidy
 def similar_sets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, bucket_rows: int = BUCKET_ROWS, group_shingles: int = GROUP_SHINGLES
@@ -292,14 +167,8 @@ def similar_sets(
     stars = near.groupBy("id").agg(F.min(F.struct("d", "head")).alias("best"), F.first("n").alias("n")).select("id", "n", F.col("best.head").alias("g"))
     stars = cut(stars, "sets-stars")
     wanted = cut(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "key"), "sets-wanted")
-    texts = source.select("key", "text").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = cut(texts, "sets-texts")
-    # A star's members go in parts, to each of which its head is sent as well.
-    parts = _many(stars, "g", F.col("n"), group_shingles)
-    members = stars.join(parts, "g", "left").select("g", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("p"), "id", F.lit(1).alias("turn"))
-    whole = members.unionByName(members.select("g", "p").distinct().select("g", "p", F.col("g").alias("id"), F.lit(0).alias("turn")))
-    groups = whole.join(wanted, "id").select("g", "p", F.lit(0).alias("q"), "turn", "id", F.col("id").alias("label"), "key")
-    links = _confirmed(cut(groups, "sets-groups"), texts, percent, shingle, "sets-links")
+    texts = texts_of(source, wanted, "sets-texts")
+    links = confirmed(cut(starred(stars, wanted, group_shingles), "sets-groups"), texts, percent, shingle, "sets-links")
     labels = connected_components(links, "sets-cc")
 
     # Buckets that hold several components: what may link them, near by sketch, then confirmed.
@@ -312,13 +181,13 @@ def similar_sets(
     mixed = cut(mixed.groupBy("c", "x1", "x2").agg(F.min("h").alias("h")).select("h", "c"), "sets-mixed")
     open_ = cut(known.join(mixed.select("h"), "h").select("h", "id", "label"), "sets-open")
     crowded = mixed.where(F.col("c") > bucket_rows).select("h", F.ceil(F.col("c") / (bucket_rows / 2)).cast("int").alias("parts"))
-    met = _meeting(open_.join(sketches, "id"), "h", crowded).repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "id")
-    maybe = cut(met.select("h", "p", "q", "id", "label", "n", *WORDS).mapInArrow(_grouped(["h", "p", "q"], _near_forest(percent, most)), "a long, b long"), "sets-maybe")
+    met = meeting(open_.join(sketches, "id"), "h", crowded).repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "id")
+    maybe = cut(met.select("h", "p", "q", "id", "label", "n", *WORDS).mapInArrow(by_group(["h", "p", "q"], _near_forest(percent, most)), "a long, b long"), "sets-maybe")
     if not maybe.isEmpty():
         active = connected_components(maybe, "sets-active").select(F.col("node").alias("id"), F.col("label").alias("g"))
         active = cut(active.join(labelled, "id").join(nodes.select("id", "n"), "id").select("g", "id", "label", "key", "n"), "sets-joined")
-        groups = _meeting(active, "g", _many(active, "g", F.col("n"), group_shingles)).withColumn("turn", F.lit(0))
-        more = _confirmed(groups, texts, percent, shingle, "sets-more")
+        groups = meeting(active, "g", many(active, "g", F.col("n"), group_shingles)).withColumn("turn", F.lit(0))
+        more = confirmed(groups, texts, percent, shingle, "sets-more")
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more), "sets-cc")
 

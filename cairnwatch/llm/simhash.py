@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnwatch.llm.common import SLICE_BYTES, connected_components, cut, id_text, keyed_rows, mix, row_key, slices, text_key, tidy
-from cairnwatch.llm.minhash import shingle_hashes
+from cairnwatch.llm.common import connected_components, cut, id_text, keyed_rows, mix, row_key, slices, text_key, tidy
+from cairnwatch.llm.groups import confirmed, many, meeting, searched, shingle_sets, starred, texts_of
 
 #: Variants that one block lays out at most, about; it bounds a task's memory.
 BLOCK_VARIANTS = 2_500_000
@@ -233,24 +233,17 @@ BAND_OF = np.array([np.random.default_rng(7 + b).choice(256, BAND_BITS, replace=
 MOST_DIFFERING = 72
 #: Fingerprints that one block of a band holds at most (about 70 bytes each), and variants laid out at a time; both bound a task's memory.
 BLOCK_ROWS, PART_VARIANTS = 1_000_000, 1_000_000
-#: Bits of a band that deal fingerprints into blocks. Of radius + 1 such chunks two similar bands share one.
-CHUNK_BITS = BAND_BITS // (BAND_RADIUS + 1)
-#: Disjoint spanning forests of a band's pairs that are verified first.
-FORESTS = 3
-#: Pivots of a variant that one later round pairs with all other members: so many, then so many times as many.
-PIVOTS = 64
+#: Shingles of a group that one task compares at most; larger groups go in parts.
+GROUP_SHINGLES = 1_000_000
+#: Members of a variant up to which their pairs are laid out at once.
+FEW = 6
 WORDS = ["f0", "f1", "f2", "f3"]
 
 
-def wide_bits(texts: list[str | None], shingle: int) -> np.ndarray:
-    """256 SimHash bits of each text's distinct word shingles, a row a text; all 0 without words."""
-    at, h = shingle_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], shingle)
-    order = np.lexsort((h, at))
-    at, h = at[order], h[order]
-    new = np.r_[True, (at[1:] != at[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-    at, h = at[new], h[new]
+def wide_bits(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, n): 256 SimHash bits of each text's distinct word shingles, a row a text, all 0 without words; and their number."""
+    begins, h = shingle_sets(texts, shingle)
     bits = np.zeros((len(texts), 256), np.uint8)
-    begins = np.searchsorted(at, np.arange(len(texts) + 1))
     for i in range(len(texts)):
         own = h[begins[i] : begins[i + 1]]
         counts = np.zeros(256, np.int64)
@@ -258,14 +251,16 @@ def wide_bits(texts: list[str | None], shingle: int) -> np.ndarray:
             four = np.stack([mix(own[s : s + (1 << 14)] ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))) for j in range(4)], 1)
             counts += np.unpackbits(four.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
         bits[i] = 2 * counts > len(own)
-    return bits
+    return bits, np.diff(begins)
 
 
 def _wide(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            four = np.packbits(wide_bits(part.column("text").to_pylist(), shingle), axis=1, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "key", "text_key")] + [pa.array(four[:, j]) for j in range(4)], ["doc_id", "key", "text_key", *WORDS])
+            bits, n = wide_bits(part.column("text").to_pylist(), shingle)
+            four = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            columns = [part.column(c) for c in ("doc_id", "key", "text_key")] + [pa.array(n, pa.int64())] + [pa.array(four[:, j]) for j in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "text_key", "n", *WORDS])
 
     return run
 
@@ -281,222 +276,153 @@ def band(four: np.ndarray, b: int) -> np.ndarray:
     return out
 
 
-def _to_blocks(chunked: bool):
-    """Sends each fingerprint, for each band, to the blocks where it can meet others within BAND_RADIUS.
+Chunk = tuple[int, int]
 
-    One block a band, or, for many fingerprints, a block for each chunk's bits: fingerprints
-    that differ in BAND_RADIUS bits at most are equal in one of BAND_RADIUS + 1 chunks.
+
+def chunked(agree: int) -> list[tuple[tuple[Chunk, ...], tuple[Chunk, ...]]]:
+    """Ways to choose `agree` of BAND_RADIUS + agree chunks (first bit, bits) of a band: (those chosen, the others).
+
+    Two bands within BAND_RADIUS bits are equal in `agree` chunks at least, so they meet in some
+    way's block. More chunks give smaller blocks for more ways: 1, 5, 15, 35 and 70 of 0, 8, 13,
+    17 and 20 bits.
     """
+    edges = np.linspace(0, BAND_BITS, BAND_RADIUS + agree + 1).round().astype(int).tolist()
+    chunks = [(a, b - a) for a, b in zip(edges, edges[1:])]
+    return [(own, tuple(c for c in chunks if c not in own)) for own in combinations(chunks, agree)]
+
+
+def _bits_of(fps: np.ndarray, chunks: tuple[Chunk, ...]) -> tuple[np.ndarray, int]:
+    """The bits of some chunks side by side, and how many they are."""
+    out, n = np.zeros(len(fps), np.uint64), 0
+    for at, wide in chunks:
+        out |= ((fps >> np.uint64(at)) & np.uint64((1 << wide) - 1)) << np.uint64(n)
+        n += wide
+    return out, n
+
+
+def _agreeing(texts: int, block_rows: int) -> int:
+    """Chunks that must agree so that an even block of so many texts holds half of block_rows at most; four at most."""
+    if texts <= block_rows:
+        return 0
+    fitting = (m for m in range(1, 4) if texts / (1 << min(sum(b for _, b in own) for own, _ in chunked(m))) <= block_rows / 2)
+    return next(fitting, 4)
+
+
+def _to_blocks(agree: int):
+    """Sends each fingerprint, for each band, to the blocks where it can meet others within BAND_RADIUS."""
+    ways = chunked(agree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             four = np.stack([batch.column(c).to_numpy() for c in WORDS], 1)
             for b in range(BANDS):
                 fps = band(four, b)
-                for c in range(BAND_BITS // CHUNK_BITS) if chunked else (-1,):
-                    bits = (fps >> np.uint64(c * CHUNK_BITS)) & np.uint64((1 << CHUNK_BITS) - 1) if c >= 0 else np.zeros(len(fps), np.uint64)
-                    to = [pa.array(np.full(len(four), b, np.int32)), pa.array(np.full(len(four), c, np.int32)), pa.array(bits.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(to + [batch.column(x) for x in ("id", "label", *WORDS)], ["band", "chunk", "block", "id", "label", *WORDS])
+                for w, (own, _) in enumerate(ways):
+                    to = [pa.array(np.full(len(four), b, np.int32)), pa.array(np.full(len(four), w, np.int32)), pa.array(_bits_of(fps, own)[0].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(to + [batch.column(x) for x in ("id", "label", *WORDS)], ["band", "way", "block", "id", "label", *WORDS])
 
     return run
 
 
-_PLACED = "band int, chunk int, block int, id long, label long, f0 long, f1 long, f2 long, f3 long"
-_BLOCK = ["band", "chunk", "block"]
-
+_PLACED = "band int, way int, block long, id long, label long, f0 long, f1 long, f2 long, f3 long"
+_BLOCK = ["band", "way", "block"]
 
-def _crowded(placed: DataFrame, most: int) -> DataFrame:
-    """(band, chunk, block, parts) of blocks with more than `most` fingerprints, and in how many parts they go."""
-    full = placed.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    return cut(full.select(*_BLOCK, F.ceil(F.col("n") / (most / 2)).cast("int").alias("parts")), "similar-full")
 
-
-def _parted(placed: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Rows with (p, q): a crowded block's rows are dealt into parts, and each two parts meet in a task.
-
-    Copies of one text's kin can't be told apart by bits, so a block that they fill is split by
-    id; two parts hold half of `most` each, and every pair of rows is together in some task.
-    """
-    rows = placed.join(crowded.hint("broadcast"), _BLOCK, "left")  # a row for each million fingerprints and band at most
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != part)
-    meets = F.transform(others, lambda o: F.struct(F.least(part, o).alias("p"), F.greatest(part, o).alias("q")))
-    alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
-    return rows.withColumn("_m", F.explode(F.coalesce(meets, alone))).select(*placed.columns, "_m.p", "_m.q")
-
-
-def _apart(four: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def _apart(four: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Differing bits of each pair, few pairs at a time."""
-    out = np.zeros(len(pairs), np.int16)
-    for at in range(0, len(pairs), 1 << 16):
-        some = pairs[at : at + (1 << 16)]
-        out[at : at + (1 << 16)] = np.bitwise_count(four[some[:, 0]] ^ four[some[:, 1]]).sum(1)
+    out = np.zeros(len(left), np.int16)
+    for at in range(0, len(left), 1 << 16):
+        out[at : at + (1 << 16)] = np.bitwise_count(four[left[at : at + (1 << 16)]] ^ four[right[at : at + (1 << 16)]]).sum(1)
     return out
 
 
-def _near(four: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """The pairs within MOST_DIFFERING bits."""
-    return pairs[_apart(four, pairs) <= MOST_DIFFERING]
-
-
-def _nearest_forests(four: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Flags of those of FORESTS disjoint spanning forests of the pairs, by least differing bits.
-
-    They are verified first, as a large group then passes on few pairs a member; what they
-    leave out is left to the later rounds.
-    """
-    order = np.lexsort((pairs[:, 1], pairs[:, 0], _apart(four, pairs)))
-    kept = np.zeros(len(pairs), bool)
-    for _ in range(FORESTS):
-        rest = order[~kept[order]]
-        kept[rest[_forest(pairs[rest, 0], pairs[rest, 1])]] = True
-    return kept
-
-
-def _central_first(four: np.ndarray, group: np.ndarray, owner: np.ndarray, sample: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, owner, rank): members of a group of over four by their distance from its usual bits, others as they are.
+def _near_edges(four: np.ndarray, label: np.ndarray, group: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(child, head, differing bits): edges that join what the pairs of a variant's members join, each pair of two labels and near.
 
-    The text that many others are edited from is then its group's first pivot. The usual bits are
-    those of most of the group's first few members; they decide the order only.
+    group, owner: members of each variant, sorted. Of variants with the same members one is
+    enough. The pairs of a few members are laid out; of many, a search from member to member
+    gives the edges that reach new ones, so that they are fewer than the members.
     """
-    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    size = np.diff(np.r_[begins, len(group)])
-    apart = np.zeros(len(group), np.int64)
-    crowded = np.flatnonzero(size > 4)
-    for at in range(0, len(crowded), 1 << 10):
-        some = crowded[at : at + (1 << 10)]
-        n = np.minimum(size[some], sample)
-        first = np.cumsum(n) - n
-        rows = np.repeat(begins[some] - first, n) + np.arange(n.sum())
-        bits = np.unpackbits(np.ascontiguousarray(four[owner[rows]]).view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
-        usual = np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.uint16) > n[:, None], axis=1, bitorder="little").view(np.uint64)
-        for lo in range(0, len(some), 256):
-            part = some[lo : lo + 256]
-            rows = np.repeat(begins[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())
-            apart[rows] = np.bitwise_count(four[owner[rows]] ^ np.repeat(usual[lo : lo + 256], size[part], axis=0)).sum(1)
-    order = np.lexsort((owner, apart, group))
-    return group, owner[order], np.arange(len(group)) - np.repeat(begins, size)
-
-
-def _band_pairs(half: int, part_variants: int, begin: int = 0, end: int = 0):
-    """Pairs (a, b) to verify of one band's block, and (a, -1) for members of which pairs are left for a later round.
-
-    With end = 0, the first round: each variant's first with each, each with the next three,
-    and of these pairs the nearest forests. Otherwise pivots number `begin` to `end` of each
-    variant with all members behind them, where the labels differ; nothing is thinned out.
-    The variants are laid out part by part so that memory stays bounded.
+    none = np.zeros(0, np.int64)
+    if not len(group):
+        return none, none, none
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[starts, len(group)])
+    marks = np.add.reduceat(mix(owner.astype(np.uint64) + np.uint64(1)), starts)
+    differ = np.minimum.reduceat(label[owner], starts) != np.maximum.reduceat(label[owner], starts)
+    _, first = np.unique(np.stack([marks, size.astype(np.uint64)], 1), axis=0, return_index=True)
+    chosen = np.zeros(len(starts), bool)
+    chosen[first] = True
+    chosen &= differ
+    keep = np.repeat(chosen & (size <= FEW), size)
+    g, o = group[keep], owner[keep]
+    codes, total = [], len(label)
+    for k in range(1, FEW):
+        together = g[:-k] == g[k:]
+        codes.append(np.unique(o[k:][together] * total + o[:-k][together]))
+    child, head = np.divmod(np.unique(np.concatenate(codes)), total)
+    apart = _apart(four, child, head)
+    near = (apart <= MOST_DIFFERING) & (label[child] != label[head])
+    found = [(child[near], head[near], apart[near])]
+    for i in np.flatnonzero(chosen & (size > FEW)).tolist():
+        own = owner[starts[i] : starts[i] + size[i]]
+
+        def reached(p: int, rest: np.ndarray) -> np.ndarray:
+            rest = rest[label[own[rest]] != label[own[p]]]
+            return rest[np.bitwise_count(four[own[rest]] ^ four[own[p]]).sum(1) <= MOST_DIFFERING]
+
+        a, b = searched(len(own), reached)
+        found.append((own[b], own[a], _apart(four, own[b], own[a])))
+    return tuple(np.concatenate(side) for side in zip(*found))
+
+
+def _block_forest(agree: int, part_variants: int):
+    """A spanning forest (a, b, d) of a block's colliding pairs of two labels that differ in d <= MOST_DIFFERING bits, by least d.
+
+    The variants are laid out part by part and each part's edges thinned to a forest with those
+    before, so that memory stays bounded.
     """
+    ways, half = chunked(agree), BAND_RADIUS // 2
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        order = np.argsort(ids)  # so that pivots have the same numbers in every round
-        ids, label = ids[order], table.column("label").to_numpy()[order]
+        order = np.argsort(ids)
+        ids, label = ids[order], np.unique(table.column("label").to_numpy()[order], return_inverse=True)[1]
         four = np.stack([table.column(c).to_numpy() for c in WORDS], 1)[order].view(np.uint64)
         del table, order
-        total, low = len(ids), BAND_BITS
-        fps = band(four, key[0].as_py())
-        if (chunk := key[1].as_py()) >= 0:  # all have the same bits there
-            at, low = np.uint64(chunk * CHUNK_BITS), BAND_BITS - CHUNK_BITS
-            fps = (fps >> (at + np.uint64(CHUNK_BITS))) << at | fps & ((np.uint64(1) << at) - np.uint64(1))
-        used = np.zeros(total, np.uint8)
+        fps, low = _bits_of(band(four, key[0].as_py()), ways[key[1].as_py()][1])
         more = min(low, max(0, math.ceil(math.log2(max(1, len(fps) * len(_masks(low, half)) / part_variants)))))
         lead = (fps >> np.uint64(low - more)) & np.uint64((1 << more) - 1)
-        kept = np.zeros(0, np.int64)
-        left = np.zeros(total, bool)
+        kept = (np.zeros(0, np.int64),) * 3
         for part in range(1 << more):
-            spent = used + np.bitwise_count(lead ^ np.uint64(part))
+            spent = np.bitwise_count(lead ^ np.uint64(part))
             own = np.flatnonzero(spent <= half)
             group, owner, _ = collisions(fps[own], spent[own], low - more, half)
-            if not len(group):
-                continue
-            owner = own[owner].astype(np.int64)
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            size = np.diff(np.r_[starts, len(group)])
-            mixed = np.repeat(np.minimum.reduceat(label[owner], starts) != np.maximum.reduceat(label[owner], starts), size)
-            mixed &= np.repeat(size > begin + 1, size)
-            group, owner = group[mixed], owner[mixed]
-            if not len(group):
-                continue
-            group, owner, rank = _central_first(four, group, owner)
-            starts = np.flatnonzero(rank == 0)
-            behind = np.repeat(np.diff(np.r_[starts, len(group)]), np.diff(np.r_[starts, len(group)])) - rank - 1
-            found = [kept]
-            if not end:
-                head = np.repeat(owner[starts], np.diff(np.r_[starts, len(group)]))
-                found.append(np.unique(np.minimum(head, owner) * total + np.maximum(head, owner)))
-                for k in (1, 2, 3):
-                    together = group[:-k] == group[k:]
-                    x, y = owner[:-k][together], owner[k:][together]
-                    found.append(np.unique(np.minimum(x, y) * total + np.maximum(x, y)))
-                left[owner[(rank + behind) >= 4]] = True
-                pairs = np.stack(np.divmod(np.unique(np.concatenate(found)), total), 1)
-                pairs = _near(four, pairs[pairs[:, 0] != pairs[:, 1]])
-                keep = _nearest_forests(four, pairs)
-                left[pairs[~keep].ravel()] = True
-                kept = pairs[keep, 0] * total + pairs[keep, 1]
-                continue
-            left[owner[(rank + behind) > end]] = True
-            pivots = np.flatnonzero((rank >= begin) & (rank < end) & (behind > 0))
-            at = 0
-            while at < len(pivots):  # so many pivots at a time that their pairs are bounded
-                upto = at + max(1, int(np.searchsorted(np.cumsum(behind[pivots[at : at + (1 << 15)]]), 1 << 17)))
-                some = pivots[at:upto]
-                n = behind[some]
-                first = np.repeat(some, n)
-                x, y = owner[first], owner[first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)]
-                differ = label[x] != label[y]
-                x, y = x[differ], y[differ]
-                codes = np.unique(np.minimum(x, y) * total + np.maximum(x, y))
-                near = _near(four, np.stack(np.divmod(codes, total), 1))
-                found.append(near[:, 0] * total + near[:, 1])
-                at = upto
-            kept = np.unique(np.concatenate(found))
-        a, b = (ids[x] for x in np.divmod(kept, total))
-        rest = ids[left]
-        return pa.table({"a": np.r_[np.maximum(a, b), rest], "b": np.r_[np.minimum(a, b), np.full(len(rest), -1)]})
+            found = _near_edges(four, label, group, own[owner].astype(np.int64))
+            if len(found[0]):
+                child, head, apart = (np.concatenate(pair) for pair in zip(kept, found))
+                order = np.lexsort((head, child, apart))
+                tree = order[_forest(child[order], head[order])]
+                kept = child[tree], head[tree], apart[tree]
+        return pa.table({"a": pa.array(ids[kept[0]], pa.int64()), "b": pa.array(ids[kept[1]], pa.int64()), "d": pa.array(kept[2].astype(np.int64))})
 
     return run
 
 
-def _similar(shingle: int, least: float):
-    """The pairs whose texts' sets of word shingles (64-bit hashes) have a Jaccard similarity of `least` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for half in slices(batches, "text_a", SLICE_BYTES // 2) for part in slices(iter([half]), "text_b", SLICE_BYTES // 2)):
-            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            # A run of pairs often has the same left text: each text is hashed once in a row.
-            known = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}
-            at, h = shingle_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in known], shingle)
-            order = np.lexsort((h, at))
-            at, h = at[order], h[order]
-            if len(h):
-                new = np.r_[True, (at[1:] != at[:-1]) | (h[1:] != h[:-1])]
-                at, h = at[new], h[new]
-            begins = np.searchsorted(at, np.arange(len(known) + 1))
-            keep = []
-            for x, y in zip(left, right):
-                x, y = (h[begins[known[t]] : begins[known[t] + 1]] for t in (x, y))
-                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) and len(y) else 0
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    return run
-
-
-@tidy
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts are similar."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = cut(nodes.join(ends, "id").select("id", F.col("first_key").alias("key")), "similar-wanted")
-    texts = id_text(docs).select("text", row_key(F.col("doc_id"), F.col("text")).alias("key")).join(wanted, "key")
-    texts = cut(texts.dropDuplicates(["id"]).select("id", "text"), "similar-texts")
-    joined = cut(pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"), "similar-joined")
-    joined = joined.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long"), "similar-edges")
+def _near_forest(nodes: DataFrame, agree: int, part_variants: int, block_rows: int, tag: str) -> DataFrame:
+    """(a, b, d) from all blocks of nodes (id, label, *WORDS); a block with more than block_rows goes in parts."""
+    placed = nodes.mapInArrow(_to_blocks(agree), _PLACED)
+    if agree:
+        placed = meeting(placed, _BLOCK, cut(many(placed, _BLOCK, F.lit(1), block_rows), tag))
+    else:
+        placed = placed.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"))
+    return cut(placed.groupBy(*_BLOCK, "p", "q").applyInArrow(_block_forest(agree, part_variants), "a long, b long, d long"), tag)
 
 
 @tidy
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part_variants: int = PART_VARIANTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part_variants: int = PART_VARIANTS, block_rows: int = BLOCK_ROWS, group_shingles: int = GROUP_SHINGLES
+) -> DataFrame:
     """(doc_id, key, label) for each row of docs: rows of one label are linked by similar or equal texts.
 
     Texts are similar whose sets of word shingles have a Jaccard similarity of `similarity`
@@ -504,60 +430,82 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, p
     variants; so 256 bits are taken in BANDS overlapping sub-fingerprints, each ball-hashed
     by itself, and colliding pairs are verified: by all 256 bits where they meet, then by
     the shingles themselves. At exactly 0.8 about nineteen of twenty pairs meet, at 0.85
-    nearly all. A first round verifies few pairs a member: on a variant each with the most
-    central one and its next three, of these the nearest forests. Later rounds take the
-    members with pairs left over and compare the variant's pivots, ever more of them, with
-    all members of other groups, until every colliding pair is verified or in one group; a
-    group of copies is then done at once, and only texts that collide without being similar
-    cost pairs by the square. Null and empty texts are alike.
+    nearly all.
+
+    A block hands on a spanning forest of its near pairs, and the forests' components are the
+    groups whose texts are compared, each in one task, where every pair of two components is
+    verified or skipped as already linked. Of a group too large for a task each text is first
+    compared with its nearest one only, which makes a group of copies one component; where
+    several are left, a second pass over the bits finds the texts near other components, and
+    these go in parts, each two of which meet. So every colliding pair is verified or in one
+    group at any size; texts of one task that are similar without colliding are linked as well.
+    Null and empty texts are alike.
     """
-    half = BAND_RADIUS // 2
-    rows = id_text(docs).select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"), text_key(F.col("text")).alias("text_key"))
-    rows = cut(rows.mapInArrow(_wide(shingle), "doc_id long, key binary, text_key binary, f0 long, f1 long, f2 long, f3 long"), "similar-rows")
-    nodes = rows.groupBy("text_key").agg(F.min("key").alias("first_key"), *[F.first(c).alias(c) for c in WORDS])
+    percent = round(100 * similarity)
+    source = id_text(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    rows = source.withColumn("text_key", text_key(F.col("text")))
+    rows = cut(rows.mapInArrow(_wide(shingle), "doc_id long, key binary, text_key binary, n long, f0 long, f1 long, f2 long, f3 long"), "similar-rows")
+    nodes = rows.groupBy("text_key").agg(F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in WORDS])
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "similar-nodes")
-    # A block's task lays its variants out part by part, so only its fingerprints must fit.
-    chunked = nodes.count() > block_rows
-    open_, begin, end = nodes.select("id", F.col("id").alias("label"), *WORDS), 0, 0
-    tried = edges = labels = crowded = None
-    while True:
-        placed = open_.mapInArrow(_to_blocks(chunked), _PLACED)
-        # The first round's parts stay, so that a variant's members meet in the same tasks in every round.
-        crowded = _crowded(placed, block_rows) if chunked and crowded is None else crowded
-        parted = _parted(placed, crowded) if chunked else placed.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"))
-        found = cut(parted.groupBy(*_BLOCK, "p", "q").applyInArrow(_band_pairs(half, part_variants, begin, end), "a long, b long"), "similar-found")
-        pairs = found.where("b >= 0").distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-tried")
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            more = _verified(docs, nodes, pairs, shingle, similarity)
-            if not more.isEmpty():
-                edges = more if edges is None else edges.unionByName(more)
-                labels = connected_components(edges, "similar-cc")
-        begin, end = end, PIVOTS if not end else PIVOTS * end
-        left = cut(found.where("b < 0").select(F.col("a").alias("id")).distinct(), "similar-left")
-        if left.isEmpty():
-            break
-        open_ = nodes.select("id", *WORDS).join(left, "id", "left_semi")
-        open_ = open_.withColumn("label", F.col("id")) if labels is None else open_.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = cut(open_.select("id", "label", *WORDS), "similar-open")
-    labelled = nodes.select("text_key", F.col("id").alias("label")) if labels is None else nodes.join(labels, nodes["id"] == labels["node"], "left").select("text_key", F.coalesce("label", "id").alias("label"))
+    agree = _agreeing(nodes.count(), block_rows)
+
+    forest = _near_forest(nodes.select("id", F.col("id").alias("label"), *WORDS), agree, part_variants, block_rows, "similar-forest")
+    placed = connected_components(forest.select("a", "b"), "similar-groups").select(F.col("node").alias("id"), F.col("label").alias("g"))
+    members = cut(placed.join(nodes.select("id", "key", "n"), "id"), "similar-members")
+    texts = texts_of(source, members, "similar-texts")
+    large = cut(many(members, "g", F.col("n"), group_shingles), "similar-large")
+    whole = members.join(large, "g", "left_anti").select("g", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("turn"), "id", F.col("id").alias("label"), "key")
+    links = confirmed(whole, texts, percent, shingle, "similar-links")
+    if not large.isEmpty():
+        links = links.unionByName(_large_groups(nodes, forest, members.join(large, "g", "left_semi"), texts, percent, shingle, agree, part_variants, block_rows, group_shingles))
+    labels = connected_components(links, "similar-cc")
+    labelled = nodes.join(labels, nodes["id"] == labels["node"], "left").select("text_key", F.coalesce("label", "id").alias("label"))
     return rows.select("doc_id", "key", "text_key").join(cut(labelled, "similar-labels"), "text_key").select("doc_id", "key", "label")
 
 
+@tidy
+def _large_groups(
+    nodes: DataFrame, forest: DataFrame, members: DataFrame, texts: DataFrame, percent: int, shingle: int, agree: int, part_variants: int, block_rows: int, group_shingles: int
+) -> DataFrame:
+    """Links (a, b) within groups (g, id, key, n) that no task holds: with the nearest text, then between what is left apart."""
+    nearest = forest.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select(F.col("a").alias("id"), F.col("best.b").alias("head"))
+    stars = cut(members.join(nearest, "id").select("id", "n", F.col("head").alias("g")), "similar-stars")
+    links = confirmed(starred(stars, members.select("id", "key"), group_shingles), texts, percent, shingle, "similar-links")
+    labels = connected_components(links, "similar-cc").withColumnRenamed("node", "id")
+    labelled = cut(members.join(labels, "id", "left").select("g", "id", "key", "n", F.coalesce("label", "id").alias("label")), "similar-labelled")
+    apart = labelled.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    open_ = cut(labelled.join(apart.select("g"), "g", "left_semi").select("id", "label", "key", "n"), "similar-open")
+    if open_.isEmpty():
+        return links
+    bits = open_.select("id", "label").join(nodes.select("id", *WORDS), "id")
+    maybe = _near_forest(bits, agree, part_variants, block_rows, "similar-maybe").select("a", "b")
+    if maybe.isEmpty():
+        return links
+    active = connected_components(maybe, "similar-active").select(F.col("node").alias("id"), F.col("label").alias("g"))
+    active = cut(active.join(open_, "id"), "similar-joined")
+    groups = meeting(active, "g", many(active, "g", F.col("n"), group_shingles)).withColumn("turn", F.lit(0))
+    return links.unionByName(confirmed(groups, texts, percent, shingle, "similar-links"))
+
+
 @tidy
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group of similar texts the row with the smallest doc_id stays.
 
     A group whose rows all lack a doc_id keeps one row too; of rows that repeat both id and
-    text the one with the smallest hash of all its columns stays. Null and empty texts are
-    alike, so one row of them stays; texts of any length are compared whole. All columns of
-    docs are kept as they are, whatever their names; an empty table gives an empty result.
+    text the one with the smallest hash of all its columns, as JSON, stays. Null and empty
+    texts are alike, so one row of them stays; texts of any length are compared whole. All
+    columns of docs are kept as they are, whatever their names and types; an empty table gives
+    an empty result.
     """
     found = similar_groups(docs, shingle, similarity)
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("best"))
-    chosen = cut(best.select(F.col("best.key").alias("key")), "simhash-chosen")
-    kept = keyed_rows(docs).join(chosen, "key", "left_semi")
-    # Whole rows move only where a key repeats.
-    first = kept.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return first.select("row.*")
+    chosen = best.select(F.col("best.key").alias("key"))
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    chosen = cut(chosen.join(counts, "key"), "simhash-chosen")
+    rows = keyed_rows(docs)
+    kept = rows.join(chosen.where("n = 1"), "key", "left_semi")
+    repeated = chosen.where("n > 1").select("key")
+    if not repeated.isEmpty():
+        again = rows.join(repeated, "key").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = kept.unionByName(again)
+    return kept.select("row.*")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cairnwatch.llm import decontaminate, mixing, queries, sharding, simhash
 from cairnwatch.llm.common import connected_components
@@ -171,7 +172,7 @@ def test_similar_groups_find_the_base_of_a_star_family(make_docs):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_every_colliding_pair_is_verified_or_in_one_group(seed):
+def test_a_blocks_forest_joins_what_its_colliding_pairs_join(seed):
     import numpy as np
     import pandas as pd
 
@@ -185,14 +186,34 @@ def test_every_colliding_pair_is_verified_or_in_one_group(seed):
     for g in np.unique(group):
         own = sorted(set(owner[group == g].tolist()))
         want |= {(b, a) for i, a in enumerate(own) for b in own[i + 1 :] if np.bitwise_count(four[a].view(np.uint64) ^ four[b].view(np.uint64)).sum() <= simhash.MOST_DIFFERING}
-    pdf = pd.DataFrame({"band": 3, "block": 0, "id": np.arange(120), "label": np.arange(120)} | {w: four[:, j] for j, w in enumerate(simhash.WORDS)})
-    seen, begin, end = set(), 0, 0
-    while len(pdf):
-        out = simhash._band_pairs(2, 20_000, begin, end)((pa.scalar(3), pa.scalar(-1)), pa.Table.from_pandas(pdf)).to_pandas()
-        seen |= set(zip(out["a"][out["b"] >= 0].tolist(), out["b"][out["b"] >= 0].tolist()))
-        pdf = pdf[pdf["id"].isin(out["a"][out["b"] < 0])]
-        begin, end = end, simhash.PIVOTS if not end else end * simhash.PIVOTS
-    assert seen == want and len(want) > 500
+
+    def components(pairs, label):
+        for _ in range(120):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    for labels_ in (list(range(120)), [i % 7 for i in range(120)]):
+        apart = {(a, b) for a, b in want if labels_[a] != labels_[b]}
+        pdf = pd.DataFrame({"id": np.arange(120), "label": labels_} | {w: four[:, j] for j, w in enumerate(simhash.WORDS)})
+        out = simhash._block_forest(0, 20_000)((pa.scalar(3), pa.scalar(0)), pa.Table.from_pandas(pdf)).to_pandas()
+        made = {(max(a, b), min(a, b)) for a, b in zip(out["a"], out["b"])}
+        assert made <= apart and len(made) == len(out) and len(apart) > 400
+        assert components(made, list(range(120))) == components(apart, list(range(120)))
+
+
+def test_chunks_leave_no_near_pair_out():
+    """Bands within the radius agree in the chosen chunks of some way, however many must agree."""
+    rng = np.random.default_rng(2)
+    for agree in range(5):
+        ways = simhash.chunked(agree)
+        assert all(sum(n for _, n in own + rest) == simhash.BAND_BITS for own, rest in ways)
+        for _ in range(300):
+            x = int(rng.integers(0, 1 << simhash.BAND_BITS))
+            y = x ^ sum(1 << int(b) for b in rng.choice(simhash.BAND_BITS, simhash.BAND_RADIUS, replace=False))
+            two = np.array([x, y], np.uint64)
+            assert any(len(set(simhash._bits_of(two, own)[0].tolist())) == 1 for own, _ in ways)
+    assert [simhash._agreeing(n, 1000) for n in (1000, 1001, 10**5, 10**6, 10**9)] == [0, 1, 1, 2, 4]
 
 
 def test_components_of_any_graph(spark):
@@ -245,7 +266,37 @@ def test_split_blocks_give_the_same_groups(make_docs):
 
     texts = edited_families(random.Random(3), 12, [0.007] * 9 + [0.02] * 3)
     docs = make_docs(rows(*texts, "", None))
-    assert labels(simhash.similar_groups(docs, block_rows=20).collect()) == labels(simhash.similar_groups(docs).collect())
+    want = labels(simhash.similar_groups(docs).collect())
+    assert labels(simhash.similar_groups(docs, block_rows=20).collect()) == want
+    # A whole group finds similar texts that share no variant too; in parts only colliding ones are sure.
+    parts = labels(simhash.similar_groups(docs, group_shingles=400).collect())
+    assert all(want[parts[d]] == want[d] for d in want) and sum(parts[d] != want[d] for d in want) <= 3
+
+
+def test_templated_texts_cost_no_pairs(make_docs):
+    """Texts that collide without being similar: no group, and no more edges than texts a block."""
+    import random
+
+    rng = random.Random(9)
+    form = ["t%d" % i for i in range(120)]
+    texts = []
+    for n in range(400):
+        changed = list(form)
+        for i in rng.sample(range(120), 7):
+            changed[i] = f"v{n}x{i}"
+        texts.append(" ".join(changed))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = [(i, j) for i in range(400) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for small in (simhash.GROUP_SHINGLES, 5000):
+        found = labels(simhash.similar_groups(make_docs(rows(*texts)), group_shingles=small).collect())
+        assert sum(found[d] != d for d in found) == len({i for i, _ in alike})
+
+
+def test_keep_one_takes_maps_and_moves_repeated_rows_alone(spark):
+    data = [(1, "a b c d e f", {"x": 1}), (1, "a b c d e f", {"y": 2}), (2, "p q r s t u", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, props map<string,int>")
+    kept = [sorted(map(str, simhash.keep_one(d).collect())) for d in (docs, docs.orderBy(F.desc("doc_id")))]
+    assert kept[0] == kept[1] and len(kept[0]) == 2
 
 
 def test_recall_by_similarity(make_docs):
