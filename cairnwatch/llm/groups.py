@@ -157,6 +157,9 @@ def starred(stars: DataFrame, keys: DataFrame, most: int) -> DataFrame:
 
 
 def texts_of(source: DataFrame, keys: DataFrame, tag: str) -> DataFrame:
-    """(key, text) of `keys` (key), each once, from all rows (key, text)."""
-    found = source.select("key", "text").join(keys.select("key"), "key", "left_semi")
+    """(key, text) of `keys` (key), each once, from all rows (key, text).
+
+    Keys grow with the rows and are never broadcast, so that the plan is one at every size.
+    """
+    found = source.select("key", "text").join(keys.select("key").hint("merge"), "key", "left_semi")
     return cut(found.groupBy("key").agg(F.first("text").alias("text")), tag)
