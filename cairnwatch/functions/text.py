@@ -115,23 +115,6 @@ def parse_taxonomy(c: Column) -> Column:
     return F.transform(entries, lambda e: F.struct(field(e, "TAXONOMY NAME").alias("taxonomy"), field(e, "ENTRY ID").alias("entry_id"), field(e, "ENTRY NAME").alias("entry_name")))
 
 
-def json_text(fields: dict[str, Column]) -> Column:
-    """A JSON object of string and number columns, keys in order, spaced as `{"a": 1, "b": "x"}`; null is null."""
-    parts = []
-    for i, (name, c) in enumerate(sorted(fields.items())):
-        quoted = F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
-        parts += [F.lit(("" if not i else ", ") + f'"{name}": '), F.when(c.isNull(), F.lit("null")).otherwise(quoted)]
-    return F.concat(F.lit("{"), *parts, F.lit("}"))
-
-
-def key_hash(fields: dict[str, Column]) -> Column:
-    return F.md5(json_text(fields))
-
-
-def object_hash(fields: dict[str, Column]) -> Column:
-    return F.sha2(json_text(fields), 256)
-
-
 def keyword_list(c: Column) -> Column:
     """Keywords given as a JSON array, or else parted by commas."""
     listed = F.from_json(c, "array<string>")
@@ -234,6 +217,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(scale == 0, F.lit(0.0)).otherwise(dot / F.when(scale == 0, F.lit(1.0)).otherwise(scale))
 
 
+def cosine_clamped(a: Column, b: Column) -> Column:
+    """Cosine similarity held within 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b)))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
 

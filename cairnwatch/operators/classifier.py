@@ -30,5 +30,5 @@ def by_similarity(labelled: DataFrame, vectors: DataFrame, threshold: float = 0.
     """The k labels whose mean vectors are nearest by cosine, from the threshold on."""
     parts = labelled.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     means = parts.groupBy(F.col("label").cast("long").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    near = scorers.vector_topk(vectors, means, k)
-    return near.where(F.col("score") >= threshold).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("label"), F.col("score").alias("confidence"), "rank")
+    near = scorers.vector_topk(vectors, means, k, threshold=threshold)
+    return near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("label"), F.col("score").alias("confidence"), "rank")

@@ -176,25 +176,39 @@ PROTECTED = r"cve-[0-9]{4}-[0-9]{1,7}|cwe-[0-9]+|t[0-9]{4}(?:\.[0-9]{3})?|\b(?:x
 SYNONYMS = {"adversary": "attacker", "hacker": "attacker", "virus": "malware", "trojan": "malware", "steal": "exfiltrate", "extract": "exfiltrate", "leak": "exfiltrate", "transfer": "exfiltrate", "upload": "exfiltrate", "weakness": "vulnerability", "exploit": "vulnerability", "bug": "vulnerability", "pivoting": "lateral movement", "autostart": "persistence", "startup": "persistence", "privesc": "privilege escalation"}
 
 
+_PROTECTED, _WORD, _STOP = re.compile(PROTECTED), re.compile(r"\w+"), frozenset(STOPWORDS)
+#: What stands between other characters: ids, short names and letters that touch.
+_STRETCH = re.compile(rf"(?:{PROTECTED}|\w)+")
+
+
 def tokenize(text: str | None) -> list[str]:
     """Tokens of a text: ids and short names whole, other words without stopwords, single-word synonyms made canonical.
 
-    What is kept whole stands as one mark among the words; a mark that touches a word is part
-    of it, and its own value then comes at the end, once.
+    An id that touches letters is no token: in the token of its stretch the number of the id
+    within the text stands for it, and the id itself comes at the end, once, unless it stands
+    alone elsewhere.
     """
-    kept: list[str] = []
-
-    def mark(m: re.Match) -> str:
-        kept.append(m[0])
-        return f"__PRESERVED_{len(kept) - 1}__"
-
-    marked = _PROTECTED.sub(mark, (text or "").lower())
-    place = {f"__PRESERVED_{i}__": v for i, v in enumerate(kept)}
-    found = [place.get(t := SYNONYMS.get(w, w), t) for w in _WORD.findall(marked) if w not in _STOP]
-    return found + [v for v in dict.fromkeys(kept) if v not in set(found)] if kept else found
-
-
-_PROTECTED, _WORD, _STOP = re.compile(PROTECTED), re.compile(r"\w+"), frozenset(STOPWORDS)
+    low = (text or "").lower()
+    if not _PROTECTED.search(low):
+        return [SYNONYMS.get(w, w) for w in _WORD.findall(low) if w not in _STOP]
+    tokens, touching, seen = [], [], 0
+    for stretch in _STRETCH.finditer(low):
+        word = stretch[0]
+        ids = list(_PROTECTED.finditer(low, *stretch.span()))
+        if not ids:
+            if word not in _STOP:
+                tokens.append(SYNONYMS.get(word, word))
+        elif ids[0].span() == stretch.span():
+            tokens.append(word)
+        else:
+            cuts = [stretch.start(), *(at for m in ids for at in m.span()), stretch.end()]
+            between = [low[b:e] for b, e in zip(cuts[::2], cuts[1::2])]
+            numbered = [f"__PRESERVED_{seen + k}__" for k in range(len(ids))]
+            tokens.append("".join(x for pair in zip(between, [*numbered, ""]) for x in pair))
+            touching += [m[0] for m in ids]
+        seen += len(ids)
+    alone = set(tokens)
+    return tokens + [v for v in dict.fromkeys(touching) if v not in alone]
 
 
 def security_tokens(c: Column) -> Column:
@@ -259,19 +273,19 @@ def ner_match(mentions: DataFrame, pairs: DataFrame, affinity: DataFrame | None
     return best.select("doc_id", "technique_id", "n_entities", "match_count", "boost", F.round(F.least((F.lit(0.3) + F.lit(0.5) * base) * F.col("boost"), F.lit(0.9)), 6).alias("confidence"))
 
 
-def vector_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_block: int = 1024, base_block: int = 16_384) -> DataFrame:
+def vector_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_block: int = 1024, base_block: int = 16_384, threshold: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best base vectors of each query, exactly; ties by vec_id.
 
     Both sides are dealt into blocks of about so many vectors and each pair of blocks is one
     bounded matrix product, which hands on only its own k best a query; nothing goes through
     the driver. metric: cosine (zero norms score 0) or l2 (1 / (1 + squared distance)).
-    Vectors rank by the full score; it is given to four digits.
+    Vectors rank, and are held against the threshold, by the full score; it is given to four digits.
     """
     deal = lambda df, n, name: df.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name))
     nq, nb = _blocks(queries, query_block), _blocks(base, base_block)
     left = deal(queries, nq, "qb").select("*", _every(nb, "bb"))
     right = deal(base, nb, "bb").select("*", _every(nq, "qb"))
-    return _best(left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(_against(k, metric), "query_id long, vec_id long, score double"), k)
+    return _best(left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(_against(k, metric), "query_id long, vec_id long, score double"), k, threshold)
 
 
 def vector_group_best(vectors: DataFrame, queries: DataFrame, query_block: int = 1024, base_block: int = 16_384) -> DataFrame:
@@ -303,8 +317,9 @@ def _every(n: int, name: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
+def _best(found: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = found if threshold is None else found.where(F.col("score") >= threshold)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
 
 

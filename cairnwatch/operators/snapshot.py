@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns that don't count as a change.
-VOLATILE = ("created_at", "updated_at", "hash", "raw")
+from cairnwatch.functions import canonical
+
+#: Columns that don't count as a change.
+VOLATILE = ("created_at", "updated_at", "entity_hash", "raw_data")
 
 
 def entity_hash(df: DataFrame) -> Column:
-    """md5 of the columns in alphabetical order as k=v pairs, the volatile ones left out; null is the empty string."""
-    names = sorted(c for c in df.columns if c not in VOLATILE)
-    return F.md5(F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(df[c].cast("string"), F.lit(""))) for c in names]))
+    """md5 of the columns as canonical JSON, the volatile ones left out."""
+    return canonical.key_hash(df, [c for c in df.columns if c not in VOLATILE])
 
 
 def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

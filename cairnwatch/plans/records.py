@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnwatch.functions import canonical
 from cairnwatch.functions import segments as sg
 from cairnwatch.functions import text as tx
 from cairnwatch.operators import fusion, graph, metrics, quality, scorers
@@ -202,13 +203,24 @@ def truncate_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.truncate(F.col("html")).alias("short"), tx.content_type(path).alias("content_type"))
 
 
-_JSON = """'{"c_acctbal": ' || CAST(c_custkey AS VARCHAR) || ', "c_name": ' || CASE WHEN c_custkey % 9 = 0 THEN 'null' ELSE '"' || c_name || '"' END || ', "c_nationkey": ' || c_nationkey || '}'"""
+def json_string(c: str) -> str:
+    """A string as canonical JSON, character by character."""
+    code = "unicode(ch)"
+    short = " ".join(f"WHEN ch = chr({ord(k)}) THEN '{v}'" for k, v in canonical.SHORT.items())
+    return f"""'"' || array_to_string(list_transform(regexp_extract_all({c}, '(?s).'), lambda ch: CASE {short} WHEN {code} BETWEEN 32 AND 126 THEN ch
+  WHEN {code} > 65535 THEN printf('\\u%04x\\u%04x', 55296 + (({code} - 65536) >> 10), 56320 + (({code} - 65536) & 1023)) ELSE printf('\\u%04x', {code}) END), '') || '"'"""
 
 
-@query(f"SELECT c_custkey, md5({_JSON}) AS key_hash, sha256({_JSON}) AS object_hash FROM customer")
+#: Names with an accent, a pair of surrogates, quotes, a line break and a control character, and null ones.
+_ODD_NAME = "CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN c_name || ' \u00e9' WHEN 2 THEN c_name || '\U0001F600\"x' WHEN 3 THEN c_name || chr(10) || '/' || chr(1) WHEN 4 THEN '' ELSE c_name END"
+_JSON = f"""'{{"c_acctbal": ' || CAST(c_acctbal AS VARCHAR) || ', "c_custkey": ' || c_custkey || ', "c_name": ' || CASE WHEN n IS NULL THEN 'null' ELSE {json_string('n')} END || '}}'"""
+
+
+@query(f"WITH x AS (SELECT *, {_ODD_NAME} AS n FROM customer) SELECT c_custkey, {_JSON} AS json, md5({_JSON}) AS key_hash, sha256({_JSON}) AS object_hash FROM x")
 def json_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = {"c_name": F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")), "c_nationkey": F.col("c_nationkey"), "c_acctbal": F.col("c_custkey")}
-    return table(spark, sf_dir, "customer").select("c_custkey", tx.key_hash(fields).alias("key_hash"), tx.object_hash(fields).alias("object_hash"))
+    rows = table(spark, sf_dir, "customer").withColumn("c_name", F.expr(_ODD_NAME.replace("chr(", "char(")))
+    names = ["c_name", "c_custkey", "c_acctbal"]
+    return rows.select("c_custkey", canonical.json_text(rows, names).alias("json"), canonical.key_hash(rows, names).alias("key_hash"), canonical.object_hash(rows, names).alias("object_hash"))
 
 
 @query(f"""WITH r AS (SELECT doc_id, technique_id, max(confidence) AS c FROM ({_RESULTS}) WHERE technique_id IS NOT NULL AND confidence IS NOT NULL GROUP BY ALL),
@@ -393,7 +405,7 @@ _CENTRES = """p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_sub
 
 
 @query(f"""WITH {_CENTRES}, s AS (SELECT vec_id, c.label, round(list_dot_product(embedding::DOUBLE[], c) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(c, c))), 12) AS s FROM embeddings, c WHERE vec_id % 5 = 0)
-SELECT vec_id, CAST(label AS BIGINT) AS label, round(s, 4) AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS rank FROM s) WHERE rank <= 3 AND round(s, 4) >= 0.2""")
+SELECT vec_id, CAST(label AS BIGINT) AS label, round(s, 4) AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS rank FROM s WHERE s >= 0.2) WHERE rank <= 3""")
 def classifier_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity to each class's mean, where no classifier is trained."""
     from cairnwatch.operators import classifier

@@ -330,10 +330,12 @@ def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.merge(*_snapshots(spark, sf_dir), "c_custkey")
 
 
-@query("SELECT c_custkey, md5('c_custkey=' || c_custkey || '|c_mktsegment=' || coalesce(c_mktsegment, '') || '|c_name=' || coalesce(c_name, '') || '|c_nationkey=' || coalesce(c_nationkey::VARCHAR, '')) AS hash FROM customer")
+@query("""SELECT c_custkey, md5('{"c_custkey": ' || c_custkey || ', "c_mktsegment": ' || CASE WHEN c_custkey % 13 = 0 THEN 'null' ELSE '"' || c_mktsegment || '\\u00e9"' END || ', "c_nationkey": ' || c_nationkey || '}') AS hash FROM customer""")
 def entity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    return c.select("c_custkey", snapshot.entity_hash(c).alias("hash"))
+    """Hashes by which changes are told; a stored hash, raw data and times don't count."""
+    c = table(spark, sf_dir, "customer")
+    rows = c.select("c_custkey", F.when(F.col("c_custkey") % 13 != 0, F.concat("c_mktsegment", F.lit("\u00e9"))).alias("c_mktsegment"), "c_nationkey", F.md5("c_name").alias("entity_hash"), F.col("c_name").alias("raw_data"), F.current_timestamp().alias("updated_at"))
+    return rows.select("c_custkey", snapshot.entity_hash(rows).alias("hash"))
 
 
 def _rate(seconds: int, limit: int) -> str:

@@ -320,12 +320,12 @@ def techniques_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cves.join(dim(spark, "cve_technique"), "cve_id").groupBy("doc_id", "technique_id", "cve_id", "confidence").agg(F.count(F.lit(1)).alias("mentions"))
 
 
-def _vectors(metric: str) -> str:
+def _vectors(metric: str, where: str = "") -> str:
     dot = "list_dot_product(a.e, b.e)"
     score = f"CASE WHEN a.n > 0 AND b.n > 0 THEN {dot} / (a.n * b.n) ELSE 0 END" if metric == "cosine" else f"1 / (1 + greatest(a.n * a.n + b.n * b.n - 2 * {dot}, 0))"
     return f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
     s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({score}, 12) AS score FROM e a, e b WHERE a.vec_id % 50 = 0)
-    SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+    SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s{where}) WHERE rank <= 5"""
 
 
 @query(_vectors("cosine"))
@@ -334,10 +334,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorers.vector_topk(e.where("vec_id % 50 = 0"), e, 5)
 
 
-@query(_vectors("cosine") + " AND score >= 0.5")
+@query(_vectors("cosine", " WHERE score >= 0.5"))
 def semantic_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours from the threshold on that the semantic scorer takes."""
-    return cosine_topk(spark, sf_dir).where("score >= 0.5")
+    """Neighbours that the semantic scorer takes: from the threshold on, before scores are rounded."""
+    e = table(spark, sf_dir, "embeddings")
+    return scorers.vector_topk(e.where("vec_id % 50 = 0"), e, 5, threshold=0.5)
 
 
 @query(_vectors("l2"))
