@@ -312,12 +312,6 @@ def fetch_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where("o_orderdate > TIMESTAMP '1997-06-01' OR o_custkey > 140 OR (o_orderstatus = 'F' AND o_orderdate > TIMESTAMP '1995-01-01')").select(F.col("o_orderkey").alias("job_id"))
 
 
-@query("SELECT 'customer' AS entity_type, count(*) AS entity_count, 'success' AS status FROM customer UNION ALL SELECT 'orders', count(*), 'success' FROM orders UNION ALL SELECT 'supplier', count(*), 'success' FROM supplier")
-def sync_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [table(spark, sf_dir, t).agg(F.lit(t).alias("entity_type"), F.count(F.lit(1)).alias("entity_count"), F.lit("success").alias("status")) for t in ("customer", "orders", "supplier")]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
-
-
 @query("""WITH j AS (SELECT o_orderkey AS job_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT l_orderkey AS job_id, l_orderkey * 10 + l_linenumber AS result_id, l_returnflag AS technique_id FROM lineitem)
 SELECT 'job:' || job_id AS a, 'job' AS b, status AS c FROM j UNION ALL SELECT 'result:' || result_id, 'result', technique_id FROM r UNION ALL SELECT 'job:' || job_id, 'PRODUCED', 'result:' || result_id FROM r WHERE job_id IN (SELECT job_id FROM j)""")
 def job_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnwatch.functions import text as tx
+from cairnwatch.functions.dates import flexible_date
 
 _REF = T.ArrayType(T.StructType([T.StructField("source_name", T.StringType()), T.StructField("external_id", T.StringType()), T.StructField("url", T.StringType())]))
 _PHASE = T.ArrayType(T.StructType([T.StructField("kill_chain_name", T.StringType()), T.StructField("phase_name", T.StringType())]))
@@ -24,7 +25,10 @@ STIX = T.StructType([T.StructField("objects", T.ArrayType(T.StructType([
 
 def stix_objects(spark: SparkSession, path: str) -> DataFrame:
     """One row an object of a STIX bundle, with the id it has in the taxonomy."""
-    rows = spark.read.schema(STIX).json(path, multiLine=True).select(F.explode("objects").alias("o")).select("o.*")
+    return with_external(spark.read.schema(STIX).json(path, multiLine=True).select(F.explode("objects").alias("o")).select("o.*"))
+
+
+def with_external(rows: DataFrame) -> DataFrame:
     own = F.filter("external_references", lambda r: r["source_name"] == "mitre-attack")
     return rows.withColumn("external_id", F.get(own, 0)["external_id"]).withColumn("url", F.get(own, 0)["url"])
 
@@ -57,7 +61,7 @@ def _first_of(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*columns), "_place").alias("r")).select("r.*")
 
 
-def _first(df: DataFrame, *names: str) -> Column:
+def first(df: DataFrame, *names: str) -> Column:
     """The first of these columns that is there and given; '' without any."""
     have = {c.strip().strip("'").lower(): c for c in df.columns}
     found = [df[f"`{have[n.lower()]}`"] for n in names if n.lower() in have]
@@ -66,22 +70,28 @@ def _first(df: DataFrame, *names: str) -> Column:
 
 def kev_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Known exploited vulnerabilities, with their weaknesses as an array and dates as ISO text."""
-    df = _csv(spark, path)
-    cve = F.upper(F.trim(_first(df, "cveID", "cve_id", "cve")))
-    listed = tx.mentions(_first(df, "cwes", "cwe", "cwe_id"), "cwe")
-    bare = F.transform(F.filter(F.split(_first(df, "cwes", "cwe", "cwe_id"), ","), lambda p: F.trim(p).rlike(r"^\d+$")), lambda p: F.concat(F.lit("CWE-"), F.trim(p)))
+    return kev_rows(_csv(spark, path))
+
+
+def kev_rows(df: DataFrame) -> DataFrame:
+    cve = F.upper(F.trim(first(df, "cveID", "cve_id", "cve")))
+    listed = tx.mentions(first(df, "cwes", "cwe", "cwe_id"), "cwe")
+    bare = F.transform(F.filter(F.split(first(df, "cwes", "cwe", "cwe_id"), ","), lambda p: F.trim(p).rlike(r"^\d+$")), lambda p: F.concat(F.lit("CWE-"), F.trim(p)))
     return df.select(
-        F.when(cve.startswith("CVE-"), cve).otherwise(F.concat(F.lit("CVE-"), cve)).alias("cve_id"), _first(df, "vendorProject", "vendor").alias("vendor"), _first(df, "product").alias("product"),
-        _first(df, "vulnerabilityName", "name").alias("name"), tx.date_normalise(_first(df, "dateAdded", "date_added")).alias("date_added"), tx.date_normalise(_first(df, "dueDate", "due_date")).alias("due_date"),
-        (_first(df, "knownRansomwareCampaignUse") == "Known").alias("known_ransomware"), F.when(F.size(listed) > 0, listed).otherwise(bare).alias("cwes"),
+        F.when(cve.startswith("CVE-"), cve).otherwise(F.concat(F.lit("CVE-"), cve)).alias("cve_id"), first(df, "vendorProject", "vendor").alias("vendor"), first(df, "product").alias("product"),
+        first(df, "vulnerabilityName", "name").alias("name"), flexible_date(first(df, "dateAdded", "date_added")).alias("date_added"), flexible_date(first(df, "dueDate", "due_date")).alias("due_date"),
+        (first(df, "knownRansomwareCampaignUse") == "Known").alias("known_ransomware"), F.when(F.size(listed) > 0, listed).otherwise(bare).alias("cwes"),
     ).where("cve_id <> 'CVE-'")
 
 
 def cve_technique_map(spark: SparkSession, path: str, confidence: float = 0.9) -> DataFrame:
     """(cve_id, technique_id, confidence), each pair once."""
-    df = _csv(spark, path)
-    cve = F.regexp_extract(_first(df, "capability_id", "cve_id", "cve"), r"(CVE-\d+-\d+)", 1)
-    return df.select(cve.alias("cve_id"), F.trim(_first(df, "attack_object_id", "technique_id")).alias("technique_id")).where("cve_id <> '' AND technique_id <> ''").distinct().withColumn("confidence", F.lit(confidence))
+    return mapping_rows(_csv(spark, path), confidence)
+
+
+def mapping_rows(df: DataFrame, confidence: float = 0.9) -> DataFrame:
+    cve = F.regexp_extract(first(df, "capability_id", "cve_id", "cve"), r"(CVE-\d+-\d+)", 1)
+    return df.select(cve.alias("cve_id"), F.trim(first(df, "attack_object_id", "technique_id")).alias("technique_id")).where("cve_id <> '' AND technique_id <> ''").distinct().withColumn("confidence", F.lit(confidence))
 
 
 def keyword_file(spark: SparkSession, path: str) -> DataFrame:
@@ -92,23 +102,30 @@ def keyword_file(spark: SparkSession, path: str) -> DataFrame:
 
 def cve_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Vulnerabilities with scores, weaknesses and configurations; a feed of one line a row is read by many tasks."""
-    df = _csv(spark, path, lines)
-    score = lambda *n: F.coalesce(_first(df, *n).try_cast("double"), F.lit(0.0))
-    return df.select(_first(df, "id", "cve_id").alias("cve_id"), _first(df, "published").alias("published"), _first(df, "description_en", "description").alias("description"), score("cvss31_basescore", "cvss31").alias("cvss31"), score("cvss2_basescore", "cvss2").alias("cvss2"), tx.mentions(_first(df, "weaknesses"), "cwe").alias("cwes"), tx.key_values(_first(df, "configurations")).alias("configurations")).where("cve_id LIKE 'CVE-%'")
+    return feed_rows(_csv(spark, path, lines))
+
+
+def feed_rows(df: DataFrame) -> DataFrame:
+    score = lambda *n: F.coalesce(first(df, *n).try_cast("double"), F.lit(0.0))
+    return df.select(first(df, "id", "cve_id").alias("cve_id"), first(df, "published").alias("published"), first(df, "description_en", "description").alias("description"), score("cvss31_basescore", "cvss31").alias("cvss31"), score("cvss2_basescore", "cvss2").alias("cvss2"), tx.mentions(first(df, "weaknesses"), "cwe").alias("cwes"), tx.key_values(first(df, "configurations")).alias("configurations")).where("cve_id LIKE 'CVE-%'")
 
 
 def pattern_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Attack patterns, the first row of each id, their packed columns parsed."""
-    df = _csv(spark, path).withColumn("_place", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    ident = F.regexp_extract(_first(df, "ID", "capec_id"), r"(\d+)", 1)
+    return pattern_rows(_csv(spark, path))
+
+
+def pattern_rows(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_place", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    ident = F.regexp_extract(first(df, "ID", "capec_id"), r"(\d+)", 1)
     rows = df.select(
         "_place",
-        F.concat(F.lit("CAPEC-"), ident).alias("capec_id"), _first(df, "Name").alias("name"), _first(df, "Description").alias("description"),
-        _first(df, "Abstraction").alias("abstraction"), _first(df, "Status").alias("status"), _first(df, "Likelihood Of Attack").alias("likelihood"), _first(df, "Typical Severity").alias("severity"),
-        *[tx.parse_list(_first(df, name)).alias(c) for name, c in (("Resources Required", "resources"), ("Indicators", "indicators"), ("Mitigations", "mitigations"), ("Example Instances", "examples"), ("Alternate Terms", "alternate_terms"))],
-        tx.parse_list(_first(df, "Prerequisites")).alias("prerequisites"), tx.parse_skills(_first(df, "Skills Required")).alias("skills"), tx.parse_consequences(_first(df, "Consequences")).alias("consequences"),
-        tx.parse_execution_flow(_first(df, "Execution Flow")).alias("execution_flow"), tx.parse_related_patterns(_first(df, "Related Attack Patterns")).alias("related"),
-        tx.related_weaknesses(_first(df, "Related Weaknesses"), fixed=True).alias("weaknesses"), tx.parse_taxonomy(_first(df, "Taxonomy Mappings")).alias("taxonomy"), tx.taxonomy_attack_ids(_first(df, "Taxonomy Mappings")).alias("techniques"),
+        F.concat(F.lit("CAPEC-"), ident).alias("capec_id"), first(df, "Name").alias("name"), first(df, "Description").alias("description"),
+        first(df, "Abstraction").alias("abstraction"), first(df, "Status").alias("status"), first(df, "Likelihood Of Attack").alias("likelihood"), first(df, "Typical Severity").alias("severity"),
+        *[tx.parse_list(first(df, name)).alias(c) for name, c in (("Resources Required", "resources"), ("Indicators", "indicators"), ("Mitigations", "mitigations"), ("Example Instances", "examples"), ("Alternate Terms", "alternate_terms"))],
+        tx.parse_list(first(df, "Prerequisites")).alias("prerequisites"), tx.parse_skills(first(df, "Skills Required")).alias("skills"), tx.parse_consequences(first(df, "Consequences")).alias("consequences"),
+        tx.parse_execution_flow(first(df, "Execution Flow")).alias("execution_flow"), tx.parse_related_patterns(first(df, "Related Attack Patterns")).alias("related"),
+        tx.related_weaknesses(first(df, "Related Weaknesses"), fixed=True).alias("weaknesses"), tx.parse_taxonomy(first(df, "Taxonomy Mappings")).alias("taxonomy"), tx.taxonomy_attack_ids(first(df, "Taxonomy Mappings")).alias("techniques"),
     )
     return _first_of(rows.where("capec_id <> 'CAPEC-'"), "capec_id")
 
@@ -134,7 +151,7 @@ def enables_edges(mapping: DataFrame, vulnerabilities: DataFrame, techniques: Da
 def defence_nodes(spark: SparkSession, path: str) -> DataFrame:
     """(id, kind, label) of defence techniques and digital artifacts, each once."""
     df = _csv(spark, path)
-    node = lambda c, kind, label: df.select(tx.uri_tail(_first(df, c)).alias("id"), F.lit(kind).alias("kind"), _first(df, label).alias("label"))
+    node = lambda c, kind, label: df.select(tx.uri_tail(first(df, c)).alias("id"), F.lit(kind).alias("kind"), first(df, label).alias("label"))
     return _labelled(node("def_tech", "defence", "def_tech_label").unionByName(node("def_artifact", "artifact", "def_artifact_label")))
 
 
@@ -145,14 +162,14 @@ def _labelled(nodes: DataFrame) -> DataFrame:
 def artifact_edges(spark: SparkSession, path: str) -> DataFrame:
     """(src, type, dst): defence techniques to the artifacts that they work on, the relation as the type."""
     df = _csv(spark, path)
-    kind = F.upper(F.regexp_replace(F.coalesce(F.nullif(tx.uri_tail(_first(df, "def_artifact_rel")), F.lit("")), F.lit("relates")), "-", "_"))
-    return df.select(tx.uri_tail(_first(df, "def_tech")).alias("src"), kind.alias("type"), tx.uri_tail(_first(df, "def_artifact")).alias("dst")).where("src <> '' AND dst <> ''").distinct()
+    kind = F.upper(F.regexp_replace(F.coalesce(F.nullif(tx.uri_tail(first(df, "def_artifact_rel")), F.lit("")), F.lit("relates")), "-", "_"))
+    return df.select(tx.uri_tail(first(df, "def_tech")).alias("src"), kind.alias("type"), tx.uri_tail(first(df, "def_artifact")).alias("dst")).where("src <> '' AND dst <> ''").distinct()
 
 
 def engagement_nodes(spark: SparkSession, path: str) -> DataFrame:
     """(id, kind, label) of engagement vulnerabilities and activities, each once."""
     df = _csv(spark, path)
-    node = lambda c, kind, label: df.select(_first(df, c).alias("id"), F.lit(kind).alias("kind"), _first(df, label).alias("label"))
+    node = lambda c, kind, label: df.select(first(df, c).alias("id"), F.lit(kind).alias("kind"), first(df, label).alias("label"))
     return _labelled(node("eav_id", "weakness", "eav").unionByName(node("eac_id", "activity", "eac")))
 
 
@@ -171,13 +188,19 @@ def relational_query(spark: SparkSession, url: str, sql: str, options: dict[str,
 
 
 def defence_edges(spark: SparkSession, path: str) -> DataFrame:
-    df = _csv(spark, path)
-    return df.select(tx.uri_tail(_first(df, "def_tech")).alias("src"), F.lit("COUNTERS").alias("type"), tx.uri_tail(_first(df, "off_tech_id", "off_tech")).alias("dst")).where("src <> '' AND dst <> ''").distinct()
+    return defence_rows(_csv(spark, path))
+
+
+def defence_rows(df: DataFrame) -> DataFrame:
+    return df.select(tx.uri_tail(first(df, "def_tech")).alias("src"), F.lit("COUNTERS").alias("type"), tx.uri_tail(first(df, "off_tech_id", "off_tech")).alias("dst")).where("src <> '' AND dst <> ''").distinct()
 
 
 def engagement_edges(spark: SparkSession, path: str) -> DataFrame:
-    df = _csv(spark, path)
-    return df.select(_first(df, "eav_id", "eac_id").alias("src"), F.lit("ADDRESSES").alias("type"), _first(df, "attack_id").alias("dst"), F.coalesce(_first(df, "version").try_cast("int"), F.lit(0)).alias("version")).where("src <> '' AND dst <> ''").distinct()
+    return engagement_rows(_csv(spark, path))
+
+
+def engagement_rows(df: DataFrame) -> DataFrame:
+    return df.select(first(df, "eav_id", "eac_id").alias("src"), F.lit("ADDRESSES").alias("type"), first(df, "attack_id").alias("dst"), F.coalesce(first(df, "version").try_cast("int"), F.lit(0)).alias("version")).where("src <> '' AND dst <> ''").distinct()
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:

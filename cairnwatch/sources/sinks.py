@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwatch.operators import graph, snapshot
@@ -40,6 +41,46 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def once(path: str, entity: str) -> Callable[[DataFrame, int], None]:
+    """A writer of micro-batches (rows, batch id) that a replayed batch leaves as it is.
+
+    Each batch has a folder of its own, which it overwrites, and a row in the log beside it
+    (entity_type, batch_id, entity_count, status, error_message, synced_at), written last: a
+    batch counts once it is logged as a success. A failed one is logged as such and raised.
+    """
+
+    def logged(spark: SparkSession, batch_id: int, count: int, status: str, error: str | None) -> None:
+        row = spark.createDataFrame([(entity, count, status, error)], "entity_type string, entity_count long, status string, error_message string")
+        row.withColumn("synced_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{path}/log/entity={entity}/batch_id={batch_id}")
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        counted = Observation()
+        try:
+            rows.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/rows/entity={entity}/batch_id={batch_id}")
+        except Exception as e:
+            logged(rows.sparkSession, batch_id, 0, "failed", str(e).split("\n")[0][:1000])
+            raise
+        logged(rows.sparkSession, batch_id, counted.get["n"], "success", None)
+
+    return write
+
+
+def sync_log(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_type, batch_id, entity_count, status, error_message, synced_at) of the batches written below `path`."""
+    return spark.read.parquet(f"{path}/log").select("entity_type", "batch_id", "entity_count", "status", "error_message", "synced_at")
+
+
+def committed(spark: SparkSession, path: str, entity: str) -> DataFrame:
+    """The rows of an entity's batches that are logged as a success."""
+    done = sync_log(spark, path).where((F.col("entity_type") == entity) & (F.col("status") == "success")).select("batch_id")
+    return spark.read.parquet(f"{path}/rows/entity={entity}").join(done, "batch_id", "left_semi").drop("batch_id")
+
+
+def last_sync(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_type, synced_at) of each entity's last success."""
+    return sync_log(spark, path).where("status = 'success'").groupBy("entity_type").agg(F.max("synced_at").alias("synced_at"))
+
+
 #: The metric tables of a job and their columns beside id and job_id.
 METRIC_FAMILIES = {
     "analysis_text_segments": "segment_text string, segment_index int, segment_embedding binary",
