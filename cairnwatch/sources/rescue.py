@@ -29,7 +29,8 @@ def csv_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     options = {"header": True, "multiLine": lines, "quote": '"', "escape": '"'}
     names = spark.read.csv(path, **options).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
-    return spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, **options).withColumn("_file", F.input_file_name())
+    # With columns pruned, the reader wouldn't count a row's fields.
+    return spark.read.schema(schema).option("columnPruning", False).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, **options).withColumn("_file", F.input_file_name())
 
 
 def parted(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
