@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnwatch.sources.shared import cut
+
 OUT, IN, BOTH = "out", "in", "both"
 
 
@@ -56,11 +58,13 @@ def reached(starts: DataFrame, edges: DataFrame, hop: Hop) -> DataFrame:
     frontier = starts.distinct().join(steps, F.col("_at") == F.col("_from")).select("_at", F.col("_to").alias("_end"))
     if hop.most == 1:
         return frontier.distinct()
-    frontier = frontier.where("_at <> _end").distinct()
-    found = frontier
+    # Written after each relation: each frontier is read several times.
+    found = frontier = cut(frontier.where("_at <> _end").distinct(), "frontier")
     for _ in range(1, hop.most):
         further = frontier.join(steps, F.col("_end") == F.col("_from")).select("_at", F.col("_to").alias("_end")).where("_at <> _end").distinct()
-        frontier = further.join(found, ["_at", "_end"], "left_anti")
+        frontier = cut(further.join(found, ["_at", "_end"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found
 

@@ -96,11 +96,10 @@ def catalogue(spark: SparkSession, path: str, kind: str, lines: bool = False) ->
 
 
 def stix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(objects, rejected): a bundle's objects, without those that lack a type or id; a file that is no JSON is one rejected row."""
-    schema = T.StructType([*catalogs.STIX.fields, T.StructField(CORRUPT, T.StringType())])
-    bundles = spark.read.schema(schema).json(path, multiLine=True, columnNameOfCorruptRecord=CORRUPT).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    whole = bundles.where(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("row"), F.array(F.lit("malformed file")).alias("reasons"))
-    objects = bundles.where(F.col(CORRUPT).isNull()).select("_file", F.explode("objects").alias("o"))
+    """(objects, rejected): a bundle's objects, without those that lack a type or id; a file that is no JSON, or has no objects, is one rejected row."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"), "value", F.from_json("value", catalogs.STIX)["objects"].alias("objects"))
+    whole = files.where("objects IS NULL").select(F.col("_file").alias("file"), F.col("value").alias("row"), F.array(F.lit("malformed file")).alias("reasons"))
+    objects = files.where("objects IS NOT NULL").select("_file", F.explode("objects").alias("o"))
     ok = (F.coalesce("o.type", F.lit("")) != "") & (F.coalesce("o.id", F.lit("")) != "")
     lacking = objects.where(~ok).select(F.col("_file").alias("file"), F.to_json("o").alias("row"), F.array(F.lit("no type or id")).alias("reasons"))
     return catalogs.with_external(objects.where(ok).select("o.*")), whole.unionByName(lacking)

@@ -72,6 +72,12 @@ def rate_verdicts(events: DataFrame, seconds: int, limit: int, late: str = "1 ho
 class Progress(StatefulProcessor):
     """A job's last state and number of events; its state goes a time to live after its last event."""
 
+    fresh = ("", 0, 1 << 62, -(1 << 62), -1, 0)
+
+    @staticmethod
+    def row(key: tuple, state: str, n: int, first: int, last: int, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [int(key[0])], "state": [state], "n_events": [n], "first_us": [first], "last_us": [last], "expired": [expired]})
+
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
@@ -80,7 +86,11 @@ class Progress(StatefulProcessor):
         self.job = handle.getValueState("job", "state string, n long, first_us long, last_us long, last_event long, timer long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, n, first, last, event, timer = self.job.get() if self.job.exists() else ("", 0, 1 << 62, -(1 << 62), -1, 0)
+        state, n, first, last, event, timer = self.job.get() if self.job.exists() else self.fresh
+        if timer and timer <= timerValues.getCurrentWatermarkInMs():  # its time is over, though the timer comes after the rows
+            yield self.row(key, state, n, first, last, True)
+            self.handle.deleteTimer(timer)
+            state, n, first, last, event, timer = self.fresh
         for pdf in rows:
             n, first = n + len(pdf), min(first, int(pdf["ts_us"].min()))
             newest = pdf.sort_values(["ts_us", "event_id"]).iloc[-1]
@@ -92,12 +102,12 @@ class Progress(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
         self.job.update((state, n, first, last, event, due))
-        yield pd.DataFrame({"job_id": [int(key[0])], "state": [state], "n_events": [n], "first_us": [first], "last_us": [last], "expired": [False]})
+        yield self.row(key, state, n, first, last, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state, n, first, last, _, _ = self.job.get()
         self.job.clear()
-        yield pd.DataFrame({"job_id": [int(key[0])], "state": [state], "n_events": [n], "first_us": [first], "last_us": [last], "expired": [True]})
+        yield self.row(key, state, n, first, last, True)
 
     def close(self) -> None:
         pass
