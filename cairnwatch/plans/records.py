@@ -10,6 +10,7 @@ from cairnwatch.functions import segments as sg
 from cairnwatch.functions import text as tx
 from cairnwatch.operators import fusion, graph, metrics, quality, scorers
 from cairnwatch.plans import dims
+from cairnwatch.plans.derived import derived, derived_sql
 from cairnwatch.plans.dims import dim, values
 from cairnwatch.plans.relational import _CVE, _RESULTS, _TOLD2, _abbr, _masked, results, told2
 from cairnwatch.plans.scoring import _NAMES, _candidates_sql, candidates, docs_of, table
@@ -249,9 +250,9 @@ def valid_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).join(dim(spark, "technique"), "technique_id", "left_semi").select("doc_id", "line", "technique_id")
 
 
-@query(f"WITH {values('technique')} SELECT technique_id, name, platforms FROM technique WHERE technique_id = 'T1566.001'")
+@query(f"WITH {derived_sql('technique')} SELECT technique_id, name, platforms FROM technique WHERE technique_id = 'T1566.001'")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dim(spark, "technique").where("technique_id = 'T1566.001'").select("technique_id", "name", "platforms")
+    return derived(spark, sf_dir, "technique").where("technique_id = 'T1566.001'").select("technique_id", "name", "platforms")
 
 
 @query("SELECT o_orderkey AS job_id, c.c_custkey AS caller FROM orders JOIN customer c ON (o_custkey = c.c_custkey OR c.c_mktsegment = 'MACHINERY') WHERE c.c_custkey <= 40")
@@ -290,10 +291,10 @@ def result_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("doc_id", "line", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in given.items()])
 
 
-@query(f"WITH {values('technique_keyword')} SELECT technique_id, keyword FROM technique_keyword WHERE technique_id <> 'T1566' UNION ALL SELECT 'T1566', unnest(['phish', 'lure'])")
+@query(f"WITH {derived_sql('technique_keyword')} SELECT technique_id, keyword FROM technique_keyword WHERE technique_id <> 'T1566' UNION ALL SELECT 'T1566', unnest(['phish', 'lure'])")
 def update_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = spark.createDataFrame([("T1566", "phish"), ("T1566", "lure")], "technique_id string, keyword string")
-    return scorers.replace_keywords(dim(spark, "technique_keyword"), new)
+    return scorers.replace_keywords(derived(spark, sf_dir, "technique_keyword"), new)
 
 
 @query("""WITH q AS (SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS progress FROM events GROUP BY user_id)
@@ -321,12 +322,12 @@ def job_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.toDF("a", "b", "c").unionByName(edges.toDF("a", "b", "c"))
 
 
-@query(f"""WITH RECURSIVE {values('edge')}, e AS (SELECT DISTINCT src, type, dst, src || '|' || type || '|' || dst AS eid FROM edge),
+@query(f"""WITH RECURSIVE {derived_sql('edge')}, e AS (SELECT DISTINCT src, type, dst, src || '|' || type || '|' || dst AS eid FROM edge),
 p AS (SELECT src AS start, dst AS end_, 1 AS hops, [eid] AS path FROM e WHERE src LIKE 'CAPEC-10%' UNION ALL SELECT start, dst, hops + 1, list_append(path, eid) FROM p JOIN e ON src = end_ WHERE hops < 3 AND NOT list_contains(path, eid))
 SELECT start, end_, hops, array_to_string(path, '>') AS path FROM p""")
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = dim(spark, "edge").where("src LIKE 'CAPEC-10%'").select(F.col("src").alias("id")).distinct()
-    return graph.paths(dim(spark, "edge"), starts).select("start", F.col("end").alias("end_"), "hops", F.array_join("path", ">").alias("path"))
+    starts = derived(spark, sf_dir, "edge").where("src LIKE 'CAPEC-10%'").select(F.col("src").alias("id")).distinct()
+    return graph.paths(derived(spark, sf_dir, "edge"), starts).select("start", F.col("end").alias("end_"), "hops", F.array_join("path", ">").alias("path"))
 
 
 @query(f"""WITH r AS (SELECT doc_id, line, technique_id, CASE WHEN line = 3 THEN 'high' ELSE CAST(confidence AS VARCHAR) END AS confidence, method FROM ({_RESULTS}))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnwatch.functions import text as tx
 from cairnwatch.operators import graph, metrics, quality, snapshot, windows
 from cairnwatch.plans import dims
+from cairnwatch.plans.derived import derived, derived_sql
 from cairnwatch.plans.dims import dim, values
 from cairnwatch.plans.scoring import _IDS, TOLD, docs_of, replaced, table, told
 
@@ -105,7 +106,7 @@ _KEYWORD_STOP = [
 ]
 
 
-@query(f"""WITH {values('technique')}, s(w) AS (SELECT unnest([{', '.join(f"'{w}'" for w in _KEYWORD_STOP)}])),
+@query(f"""WITH {derived_sql('technique')}, s(w) AS (SELECT unnest([{', '.join(f"'{w}'" for w in _KEYWORD_STOP)}])),
 w AS (SELECT technique_id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS x FROM technique UNION ALL SELECT technique_id, unnest(regexp_extract_all(lower(string_split(description, '.')[1]), '[a-z0-9]+')) FROM technique),
 p AS (SELECT technique_id, lower(name) AS k FROM technique
   UNION SELECT technique_id, trim(x) FROM (SELECT technique_id, unnest(string_split_regex(lower(name), '[/()\\[\\]{{}}:]')) AS x FROM technique) WHERE contains(trim(x), ' ')
@@ -115,7 +116,7 @@ def keyword_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, first = F.lower("name"), F.lower(F.concat("name", F.lit(" "), tx.first_sentences(F.col("description"))))
     parts = F.filter(F.transform(F.split(name, r"[/()\[\]{}:]"), lambda p: F.trim(p)), lambda p: p.contains(" "))
     words = F.filter(F.regexp_extract_all(first, F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) > 3) & ~w.isin(_KEYWORD_STOP))
-    return dim(spark, "technique").select("technique_id", F.explode(F.array_distinct(F.concat(F.array(name), parts, words))).alias("keyword"))
+    return derived(spark, sf_dir, "technique").select("technique_id", F.explode(F.array_distinct(F.concat(F.array(name), parts, words))).alias("keyword"))
 
 
 @query("SELECT doc_id, substr(text, greatest(instr(text, 'with') - 50, 1), instr(text, 'with') + 4 + 50 - greatest(instr(text, 'with') - 50, 1)) AS snippet FROM documents WHERE contains(text, 'with')")
@@ -156,27 +157,27 @@ def uri_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.uri_tail(F.expr(_URI)).alias("tail"))
 
 
-@query(f"""WITH {values('edge')}, u AS (SELECT src AS a, dst AS b FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO') UNION SELECT dst, src FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO'))
+@query(f"""WITH {derived_sql('edge')}, u AS (SELECT src AS a, dst AS b FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO') UNION SELECT dst, src FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO'))
 SELECT DISTINCT a, b, 0.6::DOUBLE AS confidence FROM u WHERE a <> b""")
 def related_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.related_1hop(dim(spark, "edge"), ["RELATED_TO", "SIMILAR_TO"])
+    return graph.related_1hop(derived(spark, sf_dir, "edge"), ["RELATED_TO", "SIMILAR_TO"])
 
 
 _TYPES = ["RELATED_TO", "SIMILAR_TO", "MAPPED_TO", "USES"]
 
 
-@query(f"""WITH {values('edge')}, e AS (SELECT DISTINCT src || '|' || type || '|' || dst AS eid, src, dst FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO', 'MAPPED_TO', 'USES')),
+@query(f"""WITH {derived_sql('edge')}, e AS (SELECT DISTINCT src || '|' || type || '|' || dst AS eid, src, dst FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO', 'MAPPED_TO', 'USES')),
 u AS (SELECT eid, src AS a, dst AS b FROM e UNION SELECT eid, dst, src FROM e)
 SELECT a, b FROM u WHERE a <> b UNION SELECT x.a, y.b FROM u x JOIN u y ON x.b = y.a AND x.eid <> y.eid WHERE x.a <> y.b""")
 def related_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.related_2hop(dim(spark, "edge"), _TYPES)
+    return graph.related_2hop(derived(spark, sf_dir, "edge"), _TYPES)
 
 
-@query(f"""WITH {values('technique', 'technique_tactic', 'edge')}
+@query(f"""WITH {derived_sql('technique', 'technique_tactic', 'edge')}
 SELECT t.technique_id, t.name, coalesce((SELECT string_agg(DISTINCT tactic, ',' ORDER BY tactic) FROM technique_tactic x WHERE x.technique_id = t.technique_id), '') AS tactics,
 coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM edge e WHERE e.src = t.technique_id AND type = 'MITIGATED_BY'), '') AS mitigations FROM technique t""")
 def enrich_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.enrich(dim(spark, "technique"), dim(spark, "technique_tactic"), dim(spark, "edge"))
+    return graph.enrich(derived(spark, sf_dir, "technique"), derived(spark, sf_dir, "technique_tactic"), derived(spark, sf_dir, "edge"))
 
 
 @query(f"""WITH {values('technique')}, r AS (SELECT p_partkey, ({_IDS})[p_partkey % 24 + 1] AS technique_id, CASE WHEN p_size > 25 THEN p_name END AS name, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS description FROM part)
@@ -190,18 +191,18 @@ def projection_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = "CASE WHEN regexp_matches({0}, '^T[0-9]+') THEN 'technique' WHEN {0} LIKE 'CVE-%' THEN 'cve' WHEN {0} LIKE 'CWE-%' THEN 'cwe' WHEN {0} LIKE 'CAPEC-%' THEN 'capec' WHEN {0} LIKE 'S%' THEN 'software' WHEN {0} LIKE 'G%' THEN 'group' WHEN {0} LIKE 'M%' THEN 'mitigation' ELSE 'unknown' END"
 
 
-@query(f"""WITH {values('edge')}, u AS (SELECT src AS technique_id, dst AS other, type FROM edge UNION SELECT dst, src, type FROM edge),
+@query(f"""WITH {derived_sql('edge')}, u AS (SELECT src AS technique_id, dst AS other, type FROM edge UNION SELECT dst, src, type FROM edge),
 k AS (SELECT DISTINCT technique_id, type, other, {_KIND.format('other')} AS other_kind FROM u WHERE regexp_matches(technique_id, '^T[0-9]'))
 SELECT technique_id, other, type, other_kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY technique_id ORDER BY other_kind, other, type) AS rank FROM k WHERE other_kind IN ('technique', 'capec', 'cve', 'software')) WHERE rank <= 15""")
 def relationships_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.relationships(dim(spark, "edge"))
+    return graph.relationships(derived(spark, sf_dir, "edge"))
 
 
-@query(f"""WITH {values('technique', 'edge')}, u AS (SELECT src AS a, dst AS b FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO') UNION SELECT dst, src FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO')),
+@query(f"""WITH {derived_sql('technique', 'edge')}, u AS (SELECT src AS a, dst AS b FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO') UNION SELECT dst, src FROM edge WHERE type IN ('RELATED_TO', 'SIMILAR_TO')),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS r FROM (SELECT DISTINCT a, b FROM u WHERE a <> b AND regexp_matches(b, '^T[0-9]')))
 SELECT technique_id, coalesce((SELECT string_agg(b, ',' ORDER BY b) FROM r WHERE a = technique_id AND r <= 5), '') AS similar, (SELECT count(DISTINCT dst) FROM edge WHERE src = technique_id AND type = 'MITIGATED_BY') AS n_mitigations FROM technique""")
 def context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.context(dim(spark, "technique"), dim(spark, "edge"))
+    return graph.context(derived(spark, sf_dir, "technique"), derived(spark, sf_dir, "edge"))
 
 
 @query(f"""WITH {values('edge')}, m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'CAPEC-[0-9]+'))) AS src FROM ({TOLD}))
@@ -210,24 +211,24 @@ def capec_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.capec_mentions(told(spark, sf_dir), dim(spark, "edge"))
 
 
-@query(f"""WITH {values('technique', 'capec')}, a AS (SELECT DISTINCT capec_id AS a, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM capec), b AS (SELECT DISTINCT technique_id AS b, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM technique)
+@query(f"""WITH {derived_sql('technique', 'capec')}, a AS (SELECT DISTINCT capec_id AS a, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM capec), b AS (SELECT DISTINCT technique_id AS b, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM technique)
 SELECT a, b, count(*) AS n_common FROM a JOIN b USING (w) GROUP BY a, b HAVING count(*) >= 2""")
 def capec_name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = dim(spark, "capec").withColumnRenamed("capec_id", "id"), dim(spark, "technique").select(F.col("technique_id").alias("id"), "name")
+    left, right = derived(spark, sf_dir, "capec").withColumnRenamed("capec_id", "id"), derived(spark, sf_dir, "technique").select(F.col("technique_id").alias("id"), "name")
     return graph.name_similarity(left, right)
 
 
-@query(f"""WITH {values('technique', 'capec', 'edge')}, n AS (SELECT technique_id AS id FROM technique UNION SELECT capec_id FROM capec)
+@query(f"""WITH {derived_sql('technique', 'capec', 'edge')}, n AS (SELECT technique_id AS id FROM technique UNION SELECT capec_id FROM capec)
 SELECT DISTINCT src, type, dst FROM edge WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dim(spark, "technique").select(F.col("technique_id").alias("id")).unionByName(dim(spark, "capec").select(F.col("capec_id").alias("id")))
-    return graph.build_edges(dim(spark, "edge"), nodes)
+    nodes = derived(spark, sf_dir, "technique").select(F.col("technique_id").alias("id")).unionByName(derived(spark, sf_dir, "capec").select(F.col("capec_id").alias("id")))
+    return graph.build_edges(derived(spark, sf_dir, "edge"), nodes)
 
 
-@query(f"""WITH {values('technique_tactic')}, p(phase) AS (VALUES ('execution'), ('initial-access'), ('Impact'))
+@query(f"""WITH {derived_sql('technique_tactic')}, p(phase) AS (VALUES ('execution'), ('initial-access'), ('Impact'))
 SELECT technique_id, tactic, shortname = phase AS by_shortname FROM technique_tactic JOIN p ON phase = shortname OR phase = tactic""")
 def tactic_by_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, p = dim(spark, "technique_tactic"), spark.createDataFrame([("execution",), ("initial-access",), ("Impact",)], "phase string")
+    t, p = derived(spark, sf_dir, "technique_tactic"), spark.createDataFrame([("execution",), ("initial-access",), ("Impact",)], "phase string")
     by = lambda c: t.join(p, t[c] == p["phase"])
     return by("shortname").select("technique_id", "tactic", F.lit(True).alias("by_shortname")).unionByName(by("tactic").where("phase <> shortname").select("technique_id", "tactic", F.lit(False).alias("by_shortname")))
 
@@ -292,10 +293,10 @@ def orphan_subtechniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.orphans(results(spark, sf_dir), ["doc_id"])
 
 
-@query(f"""WITH {values('edge')}, k AS (SELECT src, type, dst, {_KIND.format('src')} AS src_kind, {_KIND.format('dst')} AS dst_kind FROM edge), ok(type, a, b) AS (VALUES {', '.join(map(str, quality.ALLOWED))})
+@query(f"""WITH {derived_sql('edge')}, k AS (SELECT src, type, dst, {_KIND.format('src')} AS src_kind, {_KIND.format('dst')} AS dst_kind FROM edge), ok(type, a, b) AS (VALUES {', '.join(map(str, quality.ALLOWED))})
 SELECT src, type, dst, src_kind, dst_kind FROM k WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.type = k.type AND a = src_kind AND b = dst_kind)""")
 def relationship_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.check_relationships(dim(spark, "edge"), spark.createDataFrame(quality.ALLOWED, "type string, src_kind string, dst_kind string"))
+    return quality.check_relationships(derived(spark, sf_dir, "edge"), spark.createDataFrame(quality.ALLOWED, "type string, src_kind string, dst_kind string"))
 
 
 _OPS = "SELECT user_id AS entity_id, CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'delete' WHEN 2 THEN NULL ELSE 'update' END AS operation, ts, CAST(event_id % 7 AS INTEGER) AS version, event_id AS seq FROM events"
@@ -445,10 +446,10 @@ def top_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("technique_id", "name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.max("confidence").alias("best")).orderBy(F.col("n").desc(), "technique_id").limit(10)
 
 
-@query(f"WITH {values('technique', 'technique_tactic')} SELECT DISTINCT technique_id, name FROM technique JOIN technique_tactic USING (technique_id) WHERE lower(tactic) = 'persistence' OR lower(shortname) = 'persistence'")
+@query(f"WITH {derived_sql('technique', 'technique_tactic')} SELECT DISTINCT technique_id, name FROM technique JOIN technique_tactic USING (technique_id) WHERE lower(tactic) = 'persistence' OR lower(shortname) = 'persistence'")
 def tactic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = dim(spark, "technique_tactic").where((F.lower("tactic") == "persistence") | (F.lower("shortname") == "persistence"))
-    return dim(spark, "technique").join(t, "technique_id", "left_semi").select("technique_id", "name")
+    t = derived(spark, sf_dir, "technique_tactic").where((F.lower("tactic") == "persistence") | (F.lower("shortname") == "persistence"))
+    return derived(spark, sf_dir, "technique").join(t, "technique_id", "left_semi").select("technique_id", "name")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.8 THEN '#ff6666' WHEN l_discount * 10 >= 0.5 THEN '#ffb366' WHEN l_discount * 10 >= 0.3 THEN '#ffff99' ELSE '#ffffdd' END AS color FROM lineitem")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnwatch.functions import text as tx
 from cairnwatch.operators import fusion, scorers
 from cairnwatch.plans import dims
+from cairnwatch.plans.derived import derived, derived_sql
 from cairnwatch.plans.dims import dim, values
 
 QUERIES: dict = {}
@@ -292,25 +293,25 @@ def kev_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorers.kev(told(spark, sf_dir), dim(spark, "cve_technique")).withColumn("cve_ids", F.array_join("cve_ids", ","))
 
 
-@query(f"""WITH {values('cve_technique', 'cve_cwe', 'cwe_technique')}, c AS (SELECT DISTINCT cve_id FROM cve_cwe)
+@query(f"""WITH {derived_sql('cve_technique', 'cve_cwe', 'cwe_technique')}, c AS (SELECT DISTINCT cve_id FROM cve_cwe)
 SELECT DISTINCT cve_id, technique_id, confidence, 'direct' AS source FROM c JOIN cve_technique USING (cve_id)
 UNION ALL SELECT c.cve_id, w.technique_id, 0.6::DOUBLE, 'cwe_derived:' || x.cwe_id FROM c JOIN cve_cwe x USING (cve_id) JOIN cwe_technique w USING (cwe_id)
 WHERE NOT EXISTS (SELECT 1 FROM cve_technique t WHERE t.cve_id = c.cve_id AND t.technique_id = w.technique_id)""")
 def kev_with_cwe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cwe = dim(spark, "cve_cwe")
-    return scorers.cve_to_techniques(cwe.select("cve_id").distinct(), dim(spark, "cve_technique"), cwe, dim(spark, "cwe_technique"))
+    cwe = derived(spark, sf_dir, "cve_cwe")
+    return scorers.cve_to_techniques(cwe.select("cve_id").distinct(), derived(spark, sf_dir, "cve_technique"), cwe, derived(spark, sf_dir, "cwe_technique"))
 
 
-@query(f"""WITH {values('cve_technique', 'cve_cwe')}
+@query(f"""WITH {derived_sql('cve_technique', 'cve_cwe')}
 SELECT cwe_id, technique_id, count(DISTINCT cve_id) AS cve_count, 0.7::DOUBLE AS confidence FROM cve_cwe JOIN cve_technique USING (cve_id) GROUP BY cwe_id, technique_id""")
 def cwe_to_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorers.cwe_to_techniques(dim(spark, "cve_cwe"), dim(spark, "cve_technique"))
+    return scorers.cwe_to_techniques(derived(spark, sf_dir, "cve_cwe"), derived(spark, sf_dir, "cve_technique"))
 
 
-@query(f"""WITH {values('technique', 'cwe_technique', 'cwe_rule')}
+@query(f"""WITH {derived_sql('technique', 'cwe_technique', 'cwe_rule')}
 SELECT cwe_id, technique_id FROM cwe_technique UNION SELECT cwe_id, technique_id FROM technique JOIN cwe_rule ON contains(lower(description), word_a) AND contains(lower(description), word_b)""")
 def cwe_map_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorers.cwe_map(dim(spark, "technique"), dim(spark, "cwe_technique"), dim(spark, "cwe_rule"))
+    return scorers.cwe_map(derived(spark, sf_dir, "technique"), derived(spark, sf_dir, "cwe_technique"), derived(spark, sf_dir, "cwe_rule"))
 
 
 @query(f"""WITH {values('cve_technique')}, d AS ({TOLD}), m AS ({_CVES.replace('list_distinct(', '(')})
