@@ -109,23 +109,40 @@ def bm25_v1(docs: DataFrame, corpus: DataFrame, variant: str = "plus", k1: float
         df = df.withColumn("idf", F.log((F.col("n_rows") + 1) / F.col("df")))
     else:
         idf = F.log(F.col("n_rows") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        df = df.withColumn("i", idf).withColumn("mean", F.avg("i").over(W.partitionBy("n_rows")))
+        df = df.withColumn("i", idf)
+        df = df.crossJoin(df.agg(F.avg("i").alias("mean")))  # one row
         df = df.withColumn("idf", F.when(F.col("i") < 0, 0.25 * F.col("mean")).otherwise(F.col("i")))
-    terms = query_terms(docs, df.select("term")).join(df.select("term", "idf", "avgdl"), "term")
-    hits = terms.join(post, "term")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("doc_id", "row_id").agg(F.sum(F.col("qtf") * F.col("idf") * weight).alias("part"))
+    known = df.select("term", "idf", "avgdl")
+    worth = post.join(known, "term").select("term", "row_id", (F.col("idf") * weight).alias("worth"))
     if variant != "plus":
+        scored = query_terms(docs, known.select("term")).join(worth, "term").groupBy("doc_id", "row_id").agg(F.sum(F.col("qtf") * F.col("worth")).alias("part"))
         return scored.select("doc_id", "row_id", F.col("part").alias("raw"))
-    base = terms.groupBy("doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * delta).alias("base"))
+    scored = _with_base(docs, worth, known.select("term", (F.col("idf") * delta).alias("worth")))
     ids = corpus.agg(F.array_sort(F.collect_list("row_id")).alias("ids"))  # one row, the taxonomy's ids
-    by_doc = scored.groupBy("doc_id").agg(F.collect_list(F.struct("row_id", "part")).alias("hits")).join(base, "doc_id").crossJoin(ids)
+    by_doc = scored.crossJoin(ids)
     others = F.array_except(F.slice("ids", 1, F.size("hits") + most), F.transform("hits", lambda h: h["row_id"]))
     rest = F.transform(F.slice(others, 1, most), lambda i: F.struct(i.alias("row_id"), F.lit(0.0).alias("part")))
     every = by_doc.select("doc_id", "base", F.explode(F.concat("hits", rest)).alias("h"))
     return every.select("doc_id", "h.row_id", (F.col("base") + F.col("h.part")).alias("raw"))
 
 
+def _with_base(docs: DataFrame, worth: DataFrame, each: DataFrame, repeated: bool = True) -> DataFrame:
+    """(doc_id, base, hits): of each document with a known word the rows that hold one, with their sums of worth, and its base.
+
+    worth: (term, row_id, worth) of the rows; each: (term, worth), what a term adds to the base.
+    The base is summed as one more row, without an id, so that texts are read and counted
+    once. repeated: whether a document's word counts as often as it stands there.
+    """
+    empty = F.lit(None).cast(worth.schema["row_id"].dataType).alias("row_id")
+    every = worth.unionByName(each.select("term", empty, "worth"))
+    times = F.col("qtf") if repeated else F.lit(1)
+    parts = query_terms(docs, each.select("term")).join(every, "term").groupBy("doc_id", "row_id").agg(F.sum(times * F.col("worth")).alias("part"))
+    base = F.max(F.when(F.col("row_id").isNull(), F.col("part"))).alias("base")
+    hits = F.collect_list(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "part"))).alias("hits")
+    return parts.groupBy("doc_id").agg(base, hits)
+
+
 def bm25_v2(docs: DataFrame, fields: DataFrame, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 1.0, most: int = 10) -> DataFrame:
     """(doc_id, technique_id, field, raw): best weighted field of each technique.
 
@@ -140,27 +157,31 @@ def bm25_v2(docs: DataFrame, fields: DataFrame, variant: str = "plus", k1: float
     n, d = F.col("n_rows"), F.col("df")
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5)) if variant == "plus" else F.log((n - d + 0.5) / (d + 0.5) + 1e-10)
     df = df.crossJoin(totals).withColumn("idf", idf)
-    terms = query_terms(docs, df.select("term")).select("doc_id", "term").join(df.select("term", "idf", "avgdl"), "term")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = terms.join(post, "term").groupBy("doc_id", "row_id").agg(F.sum(F.col("idf") * weight).alias("part"))
+    known = df.select("term", "idf", "avgdl")
+    worth = post.join(known, "term").select("term", "row_id", (F.col("idf") * weight).alias("worth"))
     rows = fields.select("row_id", "technique_id", "field", "weight")
     best = lambda of: F.min(F.struct((-F.col(of)).alias("m"), "row_id", "field"))
     if variant != "plus":
+        scored = query_terms(docs, known.select("term")).join(worth, "term").groupBy("doc_id", "row_id").agg(F.sum("worth").alias("part"))
         raw = scored.join(rows, "row_id").withColumn("raw", F.round(F.col("part") * F.col("weight"), 6)).where("part * weight <> 0")
         return raw.groupBy("doc_id", "technique_id").agg(best("raw").alias("b")).select("doc_id", "technique_id", "b.field", (-F.col("b.m")).alias("raw"))
-    known = terms.groupBy("doc_id").agg((F.count(F.lit(1)) * delta).alias("base"))
-    raw = scored.join(rows, "row_id").join(known, "doc_id").withColumn("raw", F.round((F.col("base") + F.col("part")) * F.col("weight"), 6))
-    hit = raw.groupBy("doc_id", "technique_id").agg(best("raw").alias("b"))
-    heaviest = rows.groupBy("technique_id").agg(best("weight").alias("b"))
-    table = heaviest.agg(F.array_sort(F.collect_list(F.struct("b.m", "technique_id", "b.row_id", "b.field"))).alias("heaviest"))  # one row, the taxonomy's techniques
-    by_doc = hit.groupBy("doc_id").agg(F.collect_list(F.struct("technique_id", "b.m", "b.row_id", "b.field")).alias("hits")).join(known, "doc_id").crossJoin(table)
+    scored = _with_base(docs, worth, known.select("term", F.lit(float(delta)).alias("worth")), repeated=False)
+    hits = scored.select("doc_id", "base", F.explode("hits").alias("h")).select("doc_id", "base", "h.*")
+    raw = hits.join(rows, "row_id").withColumn("raw", F.round((F.col("base") + F.col("part")) * F.col("weight"), 6))
+    heaviest = rows.groupBy("technique_id").agg(best("weight").alias("w"))
+    share = lambda w, base: F.struct((-F.round(-w["m"] * base, 6)).alias("m"), w["row_id"].alias("row_id"), w["field"].alias("field"))
     # Without a hit in its heaviest field, that field's share of the base may still be a technique's best.
-    given = F.transform("heaviest", lambda h: F.struct(h["technique_id"].alias("technique_id"), (-F.round(-h["m"] * F.col("base"), 6)).alias("m"), h["row_id"].alias("row_id"), h["field"].alias("field")))
+    hit = raw.groupBy("doc_id", "technique_id").agg(best("raw").alias("b"), F.first("base").alias("base")).join(heaviest, "technique_id")
+    hit = hit.select("doc_id", "technique_id", "base", F.least("b", share(F.col("w"), F.col("base"))).alias("b"))
+    order = heaviest.agg(F.array_sort(F.collect_list(F.struct("w.m", "technique_id", "w.row_id", "w.field"))).alias("order"))  # one row, the taxonomy's techniques
+    by_doc = hit.groupBy("doc_id").agg(F.first("base").alias("base"), F.collect_list(F.struct("technique_id", "b")).alias("hits")).crossJoin(order)
     mine = F.transform("hits", lambda h: h["technique_id"])
-    rest = F.slice(F.filter(F.slice("given", 1, F.size("hits") + most), lambda g: ~F.array_contains(mine, g["technique_id"])), 1, most)
-    own = F.filter("given", lambda g: F.array_contains(mine, g["technique_id"]))
-    every = by_doc.withColumn("given", given).select("doc_id", F.explode(F.concat("hits", own, rest)).alias("h")).select("doc_id", "h.*")
-    return every.groupBy("doc_id", "technique_id").agg(F.min(F.struct("m", "row_id", "field")).alias("b")).select("doc_id", "technique_id", "b.field", (-F.col("b.m")).alias("raw"))
+    # Only so many of the order's first as can be missing from the hits are looked at.
+    rest = F.slice(F.filter(F.slice("order", 1, F.size("hits") + most), lambda w: ~F.array_contains(mine, w["technique_id"])), 1, most)
+    rest = F.transform(rest, lambda w: F.struct(w["technique_id"].alias("technique_id"), share(w, F.col("base")).alias("b")))
+    every = by_doc.select("doc_id", F.explode(F.concat("hits", rest)).alias("h"))
+    return every.select("doc_id", "h.technique_id", "h.b.field", (-F.col("h.b.m")).alias("raw"))
 
 
 def normalised(scores: DataFrame, raw: str = "raw", threshold: float = 0.1, by: str = "doc_id") -> DataFrame:
