@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairnwatch.functions import segments
+from cairnwatch.functions import text as tx
+
 _WORD = re.compile(r"\w+")
 
 
@@ -79,3 +82,10 @@ def expand(c: Column, pairs: list[tuple[str, str]]) -> Column:
         return texts.map(held[0], na_action="ignore")
 
     return run(c)
+
+
+def preprocess(text: Column, content_type: Column, pairs: list[tuple[str, str]]) -> Column:
+    """A text cleaned by its type (html, markdown, else as it is), white space made even, abbreviations expanded, vulnerability ids in one form."""
+    page = segments.clean_page(F.when(content_type == "html", text))
+    plain = F.when(content_type == "html", page).when(content_type == "markdown", tx.clean_markdown(text)).otherwise(text)
+    return tx.strip(tx.normalize_cve(expand(tx.normalize_ws(plain), pairs)))

@@ -169,3 +169,43 @@ def chunk_merge(chunked: DataFrame) -> DataFrame:
     """Per document and technique over its chunks: highest confidence, all keywords, number of chunks."""
     rows = chunked.select("doc_id", "technique_id", "chunk_id", "confidence", F.explode_outer("keywords").alias("keyword"))
     return rows.groupBy("doc_id", "technique_id").agg(F.max("confidence").alias("confidence"), F.countDistinct("chunk_id").alias("n_chunks"), F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("keywords"))
+
+
+def merge_chunks(results: DataFrame) -> DataFrame:
+    """(doc_id, technique_id, confidence, n_chunks, keywords, entities, component_scores) over the chunks of each document.
+
+    results: (doc_id, chunk_id, technique_id, confidence, keywords array<string>, entities
+    array<struct<text, type>>, component_scores map<string, double>), any of the last three
+    null. The highest confidence counts, and of each component the highest score; keywords
+    and entities are told apart by their text, an entity's type is that of its first chunk.
+    Rows without a technique are left out. What a document's chunks repeat is merged before it
+    is collected, so that a row holds distinct names only.
+    """
+    rows = results.where("technique_id IS NOT NULL")
+    keys = ("doc_id", "technique_id")
+    part = lambda kind, item, name, of, score: rows.select(*keys, F.lit(kind).alias("kind"), "chunk_id", F.explode(item).alias(*name)).select(*keys, "kind", "chunk_id", *of, score)
+    no_type, no_score = F.lit(None).cast("string").alias("type"), F.lit(None).cast("double").alias("score")
+    named = part("k", "keywords", ("name",), ("name", no_type), no_score)
+    named = named.unionByName(part("e", "entities", ("x",), (F.col("x.text").alias("name"), F.col("x.type").alias("type")), no_score))
+    named = named.unionByName(part("s", "component_scores", ("name", "score"), ("name", no_type), F.col("score").cast("double").alias("score")))
+    merged = named.groupBy(*keys, "kind", "name").agg(F.min_by("type", F.struct("chunk_id", "type")).alias("type"), F.max("score").alias("score"))
+    of = lambda kind, c: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, c)))
+    sides = merged.groupBy(*keys).agg(of("k", F.col("name")).alias("keywords"), of("e", F.struct(F.col("name").alias("text"), "type")).alias("entities"), F.map_from_entries(of("s", F.struct("name", "score"))).alias("component_scores"))
+    whole = rows.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.countDistinct("chunk_id").alias("n_chunks"))
+    empty = {"keywords": F.array().cast("array<string>"), "entities": F.array().cast("array<struct<text: string, type: string>>"), "component_scores": F.create_map().cast("map<string, double>")}
+    return whole.join(sides, list(keys), "left").select(*keys, "confidence", "n_chunks", *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
+
+
+def chunk_statistics(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """Per document: its chunks, their sizes and times, and the techniques found in each and in all.
+
+    chunks: (doc_id, chunk_id, size, ms), ms being how long a chunk took, null where that was
+    not measured; results: (doc_id, chunk_id, technique_id). Chunks without a technique count.
+    """
+    found = results.where("technique_id IS NOT NULL")
+    each = found.groupBy("doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    own = found.groupBy("doc_id").agg(F.countDistinct("technique_id").alias("total_techniques"))
+    rows = chunks.join(each, ["doc_id", "chunk_id"], "left").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg("size"), 4).alias("avg_chunk_size"), F.round(F.avg("ms"), 4).alias("avg_ms"), F.sum("ms").alias("total_ms"), F.round(F.avg(F.coalesce("n", F.lit(0))), 4).alias("avg_techniques"), F.max(F.coalesce("n", F.lit(0))).alias("most_techniques"),
+    )
+    return rows.join(own, "doc_id", "left").withColumn("total_techniques", F.coalesce("total_techniques", F.lit(0)))

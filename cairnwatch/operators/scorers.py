@@ -294,19 +294,32 @@ def ner_match(mentions: DataFrame, pairs: DataFrame, affinity: DataFrame | None
     return best.select("doc_id", "technique_id", "n_entities", "match_count", "boost", F.round(F.least((F.lit(0.3) + F.lit(0.5) * base) * F.col("boost"), F.lit(0.9)), 6).alias("confidence"))
 
 
-def vector_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_block: int = 1024, base_block: int = 16_384, threshold: float | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_block: int = 1024, base_block: int = 16_384, threshold: float | None = None, digits: int | None = 4) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best base vectors of each query, exactly; ties by vec_id.
 
     Both sides are dealt into blocks of about so many vectors and each pair of blocks is one
     bounded matrix product, which hands on only its own k best a query; nothing goes through
     the driver. metric: cosine (zero norms score 0) or l2 (1 / (1 + squared distance)).
-    Vectors rank, and are held against the threshold, by the full score; it is given to four digits.
+    Vectors rank, and are held against the threshold, by the full score; it is given to `digits` digits (all if None).
     """
     deal = lambda df, n, name: df.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name))
     nq, nb = _blocks(queries, query_block), _blocks(base, base_block)
     left = deal(queries, nq, "qb").select("*", _every(nb, "bb"))
     right = deal(base, nb, "bb").select("*", _every(nq, "qb"))
-    return _best(left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(_against(k, metric), "query_id long, vec_id long, score double"), k, threshold)
+    return _best(left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(_against(k, metric), "query_id long, vec_id long, score double"), k, threshold, digits)
+
+
+def by_segments(segments: DataFrame, techniques: DataFrame, k: int = 10, threshold: float = 0.5, metric: str = "cosine") -> DataFrame:
+    """(doc_id, technique_id, confidence, n_segments, rank): the k techniques nearest to any segment of a document, from the threshold on.
+
+    segments: (vec_id, doc_id, embedding), a row a segment; techniques: (vec_id, embedding).
+    A technique scores as its nearest segment does; n_segments says how many of the
+    document's have it among their own k best. A document's k best are among those of its
+    segments, so that each segment hands on k techniques only.
+    """
+    best = vector_topk(segments, techniques, k, metric, digits=None).join(segments.select(F.col("vec_id").alias("query_id"), "doc_id"), "query_id")
+    merged = best.groupBy("doc_id", F.col("vec_id").alias("technique_id")).agg(F.max("score").alias("confidence"), F.count(F.lit(1)).alias("n_segments"))
+    return top_k(merged.where(F.col("confidence") >= threshold), k).withColumn("confidence", F.round("confidence", 4))
 
 
 def vector_group_best(vectors: DataFrame, queries: DataFrame, query_block: int = 1024, base_block: int = 16_384) -> DataFrame:
@@ -338,10 +351,11 @@ def _every(n: int, name: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
 
-def _best(found: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+def _best(found: DataFrame, k: int, threshold: float | None = None, digits: int | None = 4) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     found = found if threshold is None else found.where(F.col("score") >= threshold)
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found if digits is None else found.withColumn("score", F.round("score", digits))
 
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnwatch.functions import canonical
+from cairnwatch.functions import canonical, expansion
 from cairnwatch.functions import segments as sg
 from cairnwatch.functions import text as tx
 from cairnwatch.operators import fusion, graph, metrics, quality, scorers
 from cairnwatch.plans import dims
 from cairnwatch.plans.derived import derived, derived_sql
 from cairnwatch.plans.dims import dim, values
-from cairnwatch.plans.relational import _CVE, _RESULTS, _TOLD2, _abbr, _masked, results, told2
+from cairnwatch.plans.relational import _CVE, _MD, _RESULTS, _TOLD2, _abbr, _masked, results, told2
 from cairnwatch.plans.scoring import _NAMES, _candidates_sql, candidates, docs_of, table
 from cairnwatch.sources import sinks
 
@@ -95,6 +95,53 @@ def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
+_PLAIN = f"list_filter(flatten(list_transform(string_split({_PAGE}, chr(10)), lambda l: list_transform(string_split({_stripped('l')}, '  '), lambda p: {_stripped('p')}))), lambda p: p <> '')"
+
+
+@query(f"""WITH x AS (SELECT 'html' AS kind, page_id AS id, array_to_string({_PLAIN}, chr(10)) AS t FROM pages UNION ALL SELECT 'markdown', doc_id, {_MD} FROM ({_TOLD2}) WHERE doc_id % 2 = 0 UNION ALL SELECT 'text', doc_id, text FROM ({_TOLD2}) WHERE doc_id % 2 = 1),
+y AS (SELECT kind, id, {_stripped(_masked(f'lower({_normal("t")})', lambda c: _CVE(_abbr(c))))} AS t FROM x) SELECT kind, id, length(t) AS n, md5(t) AS digest FROM y""")
+def preprocess_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, markdown and plain texts through the chain that their type asks for."""
+    pages = table(spark, sf_dir, "pages").select(F.lit("html").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = told2(spark, sf_dir).select(F.when(F.col("doc_id") % 2 == 0, "markdown").otherwise("text").alias("kind"), F.col("doc_id").alias("id"), "text")
+    t = expansion.preprocess(F.col("text"), F.col("kind"), dims.ABBREVIATION)
+    return pages.unionByName(docs).select("kind", "id", t.alias("t")).select("kind", "id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+#: Results of chunks: orders as documents, line items as chunks' findings.
+_FOUND = [
+    "l_orderkey AS doc_id", "l_linenumber % 4 AS chunk_id", "CASE WHEN l_partkey % 23 = 5 THEN NULL ELSE 'T' || (1000 + l_partkey % 3) END AS technique_id", "l_discount * 10 AS confidence", "'k' || (l_suppkey % 5) AS k1", "'k' || (l_suppkey % 3) AS k2",
+    "'e' || (l_partkey % 4) AS entity", "l_returnflag AS entity_type", "'c' || (l_linenumber % 2) AS component", "l_tax AS score",
+]
+
+
+@query(f"""WITH f AS (SELECT {', '.join(_FOUND)} FROM lineitem WHERE l_partkey % 23 <> 5), k AS (SELECT doc_id, technique_id, k1 AS k FROM f UNION SELECT doc_id, technique_id, k2 FROM f),
+e AS (SELECT doc_id, technique_id, entity, min((chunk_id, entity_type)) AS first FROM f GROUP BY ALL), s AS (SELECT doc_id, technique_id, component, max(score) AS score FROM f GROUP BY ALL)
+SELECT doc_id, technique_id, max(confidence) AS confidence, count(DISTINCT chunk_id) AS n_chunks, (SELECT string_agg(k, ',' ORDER BY k) FROM k WHERE k.doc_id = f.doc_id AND k.technique_id = f.technique_id) AS keywords,
+(SELECT string_agg(entity || ':' || first[2], ',' ORDER BY entity) FROM e WHERE e.doc_id = f.doc_id AND e.technique_id = f.technique_id) AS entities,
+(SELECT string_agg(component || '=' || CAST(round(score * 1000) AS INTEGER), ',' ORDER BY component) FROM s WHERE s.doc_id = f.doc_id AND s.technique_id = f.technique_id) AS scores FROM f GROUP BY doc_id, technique_id""")
+def chunk_merge_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of chunks merged with their keywords, entities and component scores."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*_FOUND)
+    rows = rows.select("doc_id", "chunk_id", "technique_id", "confidence", F.array("k1", "k2").alias("keywords"), F.array(F.struct(F.col("entity").alias("text"), F.col("entity_type").alias("type"))).alias("entities"), F.create_map("component", "score").alias("component_scores"))
+    merged = fusion.merge_chunks(rows)
+    entities = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["text"], e["type"])), ",")
+    scores = F.array_join(F.transform(F.map_entries("component_scores"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 1000).cast("int"))), ",")
+    return merged.select("doc_id", "technique_id", "confidence", "n_chunks", F.array_join("keywords", ",").alias("keywords"), entities.alias("entities"), scores.alias("scores"))
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber % 4 AS chunk_id, sum(CAST(l_quantity AS BIGINT)) AS size, sum(l_linenumber) AS ms FROM lineitem GROUP BY ALL), f AS (SELECT {', '.join(_FOUND)} FROM lineitem WHERE l_partkey % 23 <> 5),
+n AS (SELECT doc_id, chunk_id, count(*) AS n FROM f GROUP BY ALL), t AS (SELECT doc_id, count(DISTINCT technique_id) AS total FROM f GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_chunks, round(avg(size), 4) AS avg_chunk_size, round(avg(ms), 4) AS avg_ms, CAST(sum(ms) AS BIGINT) AS total_ms, round(avg(coalesce(n, 0)), 4) AS avg_techniques, max(coalesce(n, 0)) AS most_techniques, coalesce(max(total), 0) AS total_techniques
+FROM c LEFT JOIN n USING (doc_id, chunk_id) LEFT JOIN t USING (doc_id) GROUP BY doc_id""")
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, times and techniques of each document's chunks."""
+    rows = table(spark, sf_dir, "lineitem")
+    chunks = rows.groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 4).alias("chunk_id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("size"), F.sum("l_linenumber").alias("ms"))
+    return fusion.chunk_statistics(chunks, rows.selectExpr(*_FOUND))
+
+
+
 _REGION = "substr(text, e0 - 500 + 1, 500)"
 _MARKS = [("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'. '", 2), ("'! '", 2), ("'? '", 2), ("'; '", 2), ("':'", 1), ("' - '", 3), ("'--'", 2)]
 

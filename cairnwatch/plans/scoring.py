@@ -342,6 +342,28 @@ def semantic_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorers.vector_topk(e.where("vec_id % 50 = 0"), e, 5, threshold=0.5)
 
 
+def _segments(metric: str, least: float) -> str:
+    dot = "list_dot_product(a.e, b.e)"
+    score = f"{dot} / (a.n * b.n)" if metric == "cosine" else f"1 / (1 + greatest(a.n * a.n + b.n * b.n - 2 * {dot}, 0))"
+    return f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+s AS (SELECT CAST(floor(a.vec_id / 5) AS BIGINT) AS doc_id, a.vec_id AS seg, b.vec_id AS technique_id, round({score}, 12) AS s FROM e a, e b WHERE b.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY s DESC, technique_id) AS r FROM s), m AS (SELECT doc_id, technique_id, max(s) AS s, count(*) FILTER (r <= 4) AS n_segments FROM k GROUP BY ALL)
+SELECT doc_id, technique_id, round(s, 4) AS confidence, n_segments, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, technique_id) AS rank FROM m WHERE s >= {least}) WHERE rank <= 4"""
+
+
+@query(_segments("cosine", 0.2))
+def semantic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of five segments each against techniques: a technique scores as its nearest segment does."""
+    e = table(spark, sf_dir, "embeddings")
+    return scorers.by_segments(e.withColumn("doc_id", F.floor(F.col("vec_id") / 5)), e.where("vec_id % 20 = 0"), k=4, threshold=0.2)
+
+
+@query(_segments("l2", 0.35))
+def semantic_segments_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return scorers.by_segments(e.withColumn("doc_id", F.floor(F.col("vec_id") / 5)), e.where("vec_id % 20 = 0"), k=4, threshold=0.35, metric="l2")
+
+
 @query(_vectors("l2"))
 def l2_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted lists, all of them probed, so that the answer is exact; tests measure recall with fewer probes."""
