@@ -145,14 +145,14 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     n = 2 * shuffle_width(spark)
     marks = rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
-    cuts = sorted({int(m) for m in marks})
+    cuts = sorted({min(int(m), (1 << 63) - 1) for m in marks})  # quantiles are doubles
     # The range is the number of cuts below the id, found by bisection in a literal array.
     above = F.lit(0)
     if cuts:
         above = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(0))
     rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(above).cast("int"))
     keyed = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    firsts = keyed.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), (-F.col("doc_id")).alias("minus"), "key")).alias("f"))
+    firsts = keyed.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.bitwise_not("doc_id").alias("falling"), "key")).alias("f"))
     found = sorted(((r["range"], bytes(r["f"]["key"])) for r in firsts.select("range", "f").collect()), reverse=True)  # a row a range
     if not found:
         return spark.createDataFrame([], SCHEMA)

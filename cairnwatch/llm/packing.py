@@ -54,6 +54,8 @@ class Tokenizer:
 
         with open(f"{folder}/{name}", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("packed ids have 16 bits; this vocabulary has more")
         self.encoding = tiktoken.Encoding("rank-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int32)
         self.bytes_of[list(ranks.values())] = [len(r) for r in ranks]

@@ -117,6 +117,8 @@ def test_minhash_short_texts_and_odd_rows(odd, none, make_docs):
     assert minhash.likeness(marks[0], marks[2]) < 0.1 and minhash.likeness(b"", b"") == 1.0 and minhash.likeness(b"", marks[0]) == 0.0
     got = minhash.neighbour_fingerprints(odd).collect()
     assert len(got) == odd.count() and minhash.neighbour_fingerprints(none).count() == 0
+    ends = [(-(1 << 63), "a b c d e f", *[None] * 9), ((1 << 63) - 1, "g h i j k l", *[None] * 9), (0, "m n o p q r", *[None] * 9)]
+    assert {r.doc_id: r.n_chars for r in minhash.neighbour_fingerprints(make_docs(ends)).collect()} == {d: 11 for d, *_ in ends}
     one = minhash.neighbour_fingerprints(make_docs(rows("just one text"))).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
