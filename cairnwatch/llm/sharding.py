@@ -20,7 +20,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnwatch.llm.common import cut, discard, running_total, text_key, tidy
+from cairnwatch.llm.common import connected_components, cut, discard, running_total, text_key, tidy
 
 
 def pieces(sizes: dict[bytes, int], room: list[int]) -> dict[bytes, list[tuple[int, int]]]:
@@ -173,8 +173,7 @@ def refine(state: DataFrame, links: DataFrame, shards: int, patience: int = 3) -
         loose = state.join(linked, "uid", "left_anti")
         counts = {r["shard"]: r["n"] for r in loose.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a shard
         granted, returned = admitted(asked, [counts.get(s, 0) for s in range(shards)])
-        if not granted:
-            stale += 1
+        if not granted:  # the other half of the rows asks in the next round
             if not asked:
                 break
             continue
@@ -191,15 +190,18 @@ def refine(state: DataFrame, links: DataFrame, shards: int, patience: int = 3) -
 def assign_links(docs: DataFrame, links: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, grp) for rows of docs linked by (doc_id, hub).
 
-    As assign(), but rows are linked by any hubs (hosts, topics, citations): rows start in
-    hashed order, counts one apart, and move by refine(). Rows of a doc_id that no hub names,
+    As assign(), but rows are linked by any hubs (hosts, topics, citations): what hubs connect
+    is placed whole where any shard holds it, and laid out in sequence where none does; rows
+    then move by refine(). Rows of a doc_id that no hub names,
     or without one, are free; a hub of one row links nothing; null hubs are left out.
     """
     rows = _rows(docs)
-    quota = _quota(rows.count(), shards)
-    numbered = running_total(rows.select("uid", F.lit(0).alias("_all")), "_all", [F.xxhash64("uid")], "shard-fill", "_at")
     edges = rows.join(links.select("doc_id", F.xxhash64(F.col("hub").cast("string")).alias("hub")).where(links["hub"].isNotNull()), "doc_id").select("uid", "hub")
-    return _slots(rows, refine(numbered.select("uid", _fill(quota, F.col("_at")).alias("shard")), edges, shards))
+    edges = cut(edges.distinct(), "shard-links")
+    # Rows have numbers from 0 on, hubs negative ones.
+    joined = connected_components(edges.select(F.col("uid").alias("a"), F.col("hub").bitwiseOR(F.lit(-(1 << 63))).alias("b")), "shard-cc")
+    whole = rows.select("uid").join(joined.withColumnRenamed("node", "uid"), "uid", "left").select("uid", text_key(F.coalesce("label", "uid").cast("string")).alias("grp"))
+    return _slots(rows, refine(_placed(cut(whole, "shard-whole"), shards), edges, shards))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -241,6 +243,13 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     any other. An empty table gives an empty result; columns beyond id and text are not read.
     """
     rows = _rows(docs)
+    grouped = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = rows.join(cut(grouped.select("grp"), "shard-groups"), "grp").select("uid", F.xxhash64("grp").alias("hub"))
+    return _slots(rows, refine(_placed(rows, shards), links, shards))
+
+
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    """(uid, shard) of rows (uid, grp): counts one apart, rows of a group together where any shard holds them."""
     total = rows.count()
     quota = _quota(total, shards)
     room = list(quota)
@@ -262,6 +271,4 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     over = laid.count()
     single = rows.join(placed.select("uid").unionByName(laid.select("uid")), "uid", "left_anti").select("uid", F.lit(0).alias("_all"))
     numbered = running_total(single, "_all", [F.col("uid")], "shard-fill", "_at").select("uid", (F.col("_at") + over).alias("_at")).unionByName(laid)
-    every = placed.select("uid", "shard").unionByName(numbered.select("uid", _fill(room, F.col("_at")).alias("shard")))
-    every = refine(every, rows.join(counts, "grp").select("uid", F.xxhash64("grp").alias("hub")), shards)
-    return _slots(rows, every)
+    return placed.select("uid", "shard").unionByName(numbered.select("uid", _fill(room, F.col("_at")).alias("shard")))

@@ -545,6 +545,21 @@ def test_propagation_lowers_the_cut_of_any_graph(spark, make_docs):
     assert after < 0.6 * every * 0.8  # random shards cut four fifths
 
 
+def test_groups_that_need_no_cut_get_none(spark, make_docs):
+    """Twenty cliques of ten over four shards of fifty, their rows dealt at random: the optimum cuts nothing."""
+    import random
+    import time
+
+    order = list(range(200))
+    random.Random(4).shuffle(order)
+    docs = make_docs(rows(*[f"text {i}" for i in range(200)]))
+    links = spark.createDataFrame([(d, f"h{i // 10}") for i, d in enumerate(order)], "doc_id long, hub string")
+    began = time.time()
+    where = {r.doc_id: r.shard for r in sharding.assign_links(docs, links, shards=4).collect()}
+    assert time.time() - began < 60 and set(Counter(where.values()).values()) == {50}
+    assert all(len({where[d] for d in order[k : k + 10]}) == 1 for k in range(0, 200, 10))
+
+
 def test_requests_are_granted_without_changing_counts():
     free = [3, 0, 1]
     granted, returned = sharding.admitted({(0, 1): 5, (1, 0): 2, (2, 0): 4, (1, 2): 7}, free)
