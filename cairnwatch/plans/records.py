@@ -435,7 +435,7 @@ def metric_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def classifier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multinomial logistic regression on embeddings, learnt from four of five vectors; tests measure it on the fifth."""
+    """Multinomial logistic regression on embeddings, learnt from four of five vectors, over the fifth: a linear form beside the forest."""
     from cairnwatch.operators import classifier
 
     e = table(spark, sf_dir, "embeddings")
