@@ -21,14 +21,17 @@ def tokenizers(spark: SparkSession) -> str:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text; null and empty texts have none, repeated rows each give a row."""
     return secrets.scan(table(spark, sf_dir, "documents"), vocabulary=f"{tokenizers(spark)}/byte_bpe_50k.tiktoken")
 
 
 def op2_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited form; null texts are empty, and a text without words has the fingerprint ''."""
     return minhash.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text by a model learnt outside the held-out fold; null and empty texts score as one empty word."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     rows = toxicity.scored(docs, model)
@@ -41,21 +44,25 @@ def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as records and read back; a null page is an empty payload."""
     rows = warc.round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", "target_uri")
 
 
 def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in 24 shards of equal counts, equal texts together; a null text is empty."""
     rows = sharding.assign(table(spark, sf_dir, "documents"), shards=24)
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and their components within four bits; texts without words have fingerprint zero."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text inside windows of benchmark items; a null text has no words."""
     rows = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -66,11 +73,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every row; a null source is one of its own, a null text has size 0."""
     rows = mixing.plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
 def op10_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without later copies of runs of lines of 50 words or more; a null text stays null."""
     return linededup.deduplicate(table(spark, sf_dir, "documents"), min_words=50)
 
 
