@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,34 +24,28 @@ class Verdicts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # The serial number keeps requests apart that repeat time and id.
-        self.held = handle.getMapState("held", "bucket long, ts_us long, event_id long, serial long", "held boolean")
-        self.counts = handle.getMapState("counts", "bucket long", "n long")
+        self.held = handle.getListState("held", "bucket long, ts_us long, event_id long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        counts: dict[int, int] = {}
-        for pdf in rows:
-            for bucket, ts, event in zip(pdf["bucket"].tolist(), pdf["ts_us"].tolist(), pdf["event_id"].tolist()):
-                if bucket not in counts:
-                    known = self.counts.containsKey((bucket,))
-                    counts[bucket] = self.counts.getValue((bucket,))[0] if known else 0
-                    if not known:
-                        self.handle.registerTimer((bucket + 1) * self.seconds * 1000)
-                self.held.updateValue((bucket, ts, event, counts[bucket]), (True,))
-                counts[bucket] += 1
-        for bucket, n in counts.items():
-            self.counts.updateValue((bucket,), (n,))
+        new = [at for pdf in rows for at in zip(pdf["bucket"].tolist(), pdf["ts_us"].tolist(), pdf["event_id"].tolist())]
+        self.held.appendList(new)  # one call a user and batch, however many requests
+        for bucket in {at[0] for at in new}:
+            self.handle.registerTimer((bucket + 1) * self.seconds * 1000)
         yield pd.DataFrame({"event_id": [], "user_id": [], "bucket": [], "place": [], "allowed": []})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        bucket = expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.seconds - 1
-        own = sorted(tuple(at)[1:] for at, _ in self.held.iterator() if at[0] == bucket)
-        events = [event for _, event, _ in own]
-        for at in own:
-            self.held.removeKey((bucket, *at))
-        self.counts.removeKey((bucket,))
-        places = range(1, len(events) + 1)
-        yield pd.DataFrame({"event_id": events, "user_id": int(key[0]), "bucket": bucket, "place": list(places), "allowed": [p <= self.limit for p in places]})
+        # The first timer of several takes all windows that are over, so that state is read and written once.
+        over = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // 1000 // self.seconds
+        held = sorted(tuple(at) for at in self.held.get()) if self.held.exists() else []
+        due = [at for at in held if at[0] < over]
+        if due:
+            if len(due) < len(held):
+                self.held.put(held[len(due) :])
+            else:
+                self.held.clear()
+        buckets = [bucket for bucket, _, _ in due]
+        places = [i + 1 - bisect_left(buckets, bucket) for i, bucket in enumerate(buckets)]
+        yield pd.DataFrame({"event_id": [event for _, _, event in due], "user_id": int(key[0]), "bucket": buckets, "place": places, "allowed": [p <= self.limit for p in places]})
 
     def close(self) -> None:
         pass
@@ -61,7 +56,7 @@ def rate_verdicts(events: DataFrame, seconds: int, limit: int, late: str = "1 ho
 
     Requests may come in any order up to `late` behind the newest one; those that come later
     are dropped by the watermark. Rows without a user or time are dropped as well, a null id counts as -1. A window's
-    requests are state until it is over, and then go.
+    requests are state until it is over, and then go; those of one user and window are sorted in one task.
     """
     rows = events.where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     bucket = F.floor(F.unix_timestamp("ts") / seconds).cast("long")
