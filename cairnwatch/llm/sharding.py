@@ -173,7 +173,8 @@ def refine(state: DataFrame, links: DataFrame, shards: int, patience: int = 3) -
         loose = state.join(linked, "uid", "left_anti")
         counts = {r["shard"]: r["n"] for r in loose.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a shard
         granted, returned = admitted(asked, [counts.get(s, 0) for s in range(shards)])
-        if not granted:  # the other half of the rows asks in the next round
+        if not granted:
+            stale += 1
             if not asked:
                 break
             continue
