@@ -13,7 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnwatch.sources.shared import cut
+from cairnwatch.sources.shared import cut, parts_for
+
+#: Ends in a list of steps, about.
+PACK = 256
 
 OUT, IN, BOTH = "out", "in", "both"
 
@@ -48,25 +51,41 @@ def _steps(edges: DataFrame, hop: Hop) -> DataFrame:
     return {OUT: out, IN: back, BOTH: out.unionByName(back)}[hop.direction].distinct()
 
 
+def _packed(steps: DataFrame) -> DataFrame:
+    """(_from, _ends): the steps from a node in lists of about PACK ends, so that a hop moves lists instead of rows; a hub has many lists."""
+    hubs = steps.groupBy("_from").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_n")).where("_n > 1")
+    rows = steps.join(hubs, "_from", "left").withColumn("_n", F.pmod(F.xxhash64("_to"), F.coalesce("_n", F.lit(1))))
+    return rows.groupBy("_from", "_n").agg(F.collect_list("_to").alias("_ends")).drop("_n")
+
+
 def reached(starts: DataFrame, edges: DataFrame, hop: Hop) -> DataFrame:
     """(_at, _end): nodes within 1 to hop.most relations of each start (_at), the start itself left out if more than one is allowed.
 
     Nodes come to the frontier when they are first reached and are not gone through again, so
-    cycles end and a hub's paths are not listed. With a single relation, loops count.
+    cycles end and a hub's paths are not listed. With a single relation, loops count. Rows are
+    distinct. Of several relations each moves what it finds once, in lists, to where its start's
+    earlier ends are: partitions are as many as the rows ask for.
     """
     steps = _steps(edges, hop)
-    frontier = starts.distinct().join(steps, F.col("_at") == F.col("_from")).select("_at", F.col("_to").alias("_end"))
     if hop.most == 1:
-        return frontier.distinct()
-    # Written after each relation: each frontier is read several times.
-    found = frontier = cut(frontier.where("_at <> _end").distinct(), "frontier")
-    for _ in range(1, hop.most):
-        further = frontier.join(steps, F.col("_end") == F.col("_from")).select("_at", F.col("_to").alias("_end")).where("_at <> _end").distinct()
-        frontier = cut(further.join(found, ["_at", "_end"], "left_anti"), "frontier")
+        return starts.distinct().join(steps, F.col("_at") == F.col("_from")).select("_at", F.col("_to").alias("_end")).distinct()
+    # Written: every relation reads them, and their counts say how far a hop is dealt out.
+    steps = cut(steps, "steps")
+    packed = cut(_packed(steps), "packed")
+    spread = steps.count() / max(1, packed.count())
+    frontier, found = starts.distinct().select("_at", F.col("_at").alias("_end")), None
+    for k in range(hop.most):
+        n = parts_for(starts.sparkSession, frontier.count() * spread)
+        further = frontier.join(packed, F.col("_end") == F.col("_from")).select("_at", "_ends", F.lit(False).alias("_old"))
+        if found is not None:
+            further = further.unionByName(found.select("_at", F.array("_end").alias("_ends"), F.lit(True).alias("_old")))
+        rows = further.repartition(n, "_at").select("_at", F.explode("_ends").alias("_end"), "_old").where("_at <> _end")
+        if k == hop.most - 1:
+            return rows.select("_at", "_end").distinct()
+        frontier = cut(rows.groupBy("_at", "_end").agg(F.max("_old").alias("_old")).where("NOT _old").select("_at", "_end"), "frontier")
+        found = frontier if found is None else found.unionByName(frontier)
         if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+            return found
 
 
 def match(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
@@ -85,9 +104,12 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
     state, named, at = state.withColumn("_now", F.col(pattern.start)), [pattern.start], "_now"
     for hop in pattern.hops:
         pairs = labelled(reached(state.select(F.col(at).alias("_at")), edges, hop), "_end", hop.label)
-        state = state.join(pairs, F.col(at) == F.col("_at"))
+        first = hop is pattern.hops[0]  # its pairs already are the rows: each start by itself
+        state = pairs.withColumn(pattern.start, F.col("_at")) if first else state.join(pairs, F.col(at) == F.col("_at"))
         if hop.name:
             named.append(hop.name)
             state = state.withColumn(hop.name, F.col("_end"))
-        state = state.select(*named, F.col("_end").alias("_now")).distinct()
-    return state.select(*named).distinct()
+        state = state.select(*named, F.col("_end").alias("_now"))
+        state = state if first else state.distinct()
+    # With the last node named, rows are distinct as they are.
+    return state.drop("_now") if pattern.hops and pattern.hops[-1].name else state.select(*named).distinct()

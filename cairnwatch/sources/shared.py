@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -24,6 +25,19 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows that a task of a wide shuffle gets, about.
+TASK_ROWS = 1_000_000
+
+
+def parts_for(spark: SparkSession, rows: float, each: int = TASK_ROWS) -> int:
+    """Partitions for so many rows; never fewer than the session deals out by itself.
+
+    A number that is named keeps AQE from merging partitions by their compressed bytes, which
+    say little where few bytes become many rows.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
+
+
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """df as a written table of the shared folder: its plan ends there, and lost executors don't matter to it."""
     path = shared_folder(df.sparkSession, tag)

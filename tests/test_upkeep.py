@@ -269,6 +269,29 @@ def test_patterns_end_in_cycles_and_list_no_paths(spark):
     assert ("a0", "hub") in run(Hop((), patterns.BOTH, label="other", name="e"), label="ring")
 
 
+def test_a_reach_moves_what_it_finds_once(spark):
+    edges = spark.createDataFrame([(f"a{i}", "R", f"a{(i * 7 + k) % 90}") for i in range(90) for k in range(5)], "src string, type string, dst string")
+    nodes = edges.select(F.col("src").alias("id"), F.lit("a").alias("label"))
+    found = patterns.match(nodes, edges, Pattern("s", "a", (Hop(("R",), most=3, name="e"),)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("Join ") == 1
+    to, want = {}, set()
+    for e in edges.collect():
+        to.setdefault(e.src, set()).add(e.dst)
+    for s in to:
+        one = to[s]
+        two = {c for b in one for c in to[b]}
+        want |= {(s, e) for e in one | two | {c for b in two for c in to[b]} if e != s}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_a_hub_is_packed_in_many_lists(spark):
+    steps = spark.range(2000).select(F.lit("hub").alias("_from"), F.concat(F.lit("x"), "id").alias("_to"))
+    lists = [r["_ends"] for r in patterns._packed(steps).collect()]
+    assert len(lists) > 1 and max(map(len, lists)) < 3 * patterns.PACK and len({e for x in lists for e in x}) == sum(map(len, lists)) == 2000
+
+
 def test_rejected_rows_keep_their_reason(spark, tmp_path):
     (tmp_path / "k.csv").write_text('cveID,product,dateAdded\nCVE-2020-1234,"a, b",3/7/2021\nCVE-2020-1235,a,b,c\nx,y,z\n\nCVE-2020-1236,q\n')
     rows, bad = rescue.catalogue(spark, str(tmp_path / "k.csv"), "kev")
