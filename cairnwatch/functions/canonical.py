@@ -8,6 +8,8 @@ below 1e-4.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,25 +38,38 @@ def string(c: Column) -> Column:
     return F.concat(F.lit('"'), F.when(c.rlike(r'[^ -~]|["\\]'), whole).otherwise(c), F.lit('"'))
 
 
+def _let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), where c is worked out once however often `then` names it."""
+    return F.transform(F.array(c), then)[0]
+
+
+def _fewest(c: Column, choices: tuple[int, ...] = (14, 15, 16)) -> Column:
+    """The first of these numbers of digits that reads back as the same number."""
+    if not choices:
+        return F.format_string("%.16e", c)
+    return _let(F.format_string(f"%.{choices[0]}e", c), lambda t: F.when(t.cast("double") == c, t).otherwise(_fewest(c, choices[1:])))
+
+
 def number(c: Column) -> Column:
     """A double by its fewest digits, and with a decimal point or an exponent."""
-    text = F.lit(None).cast("string")
-    for digits in (16, 15, 14):  # the last that reads back as the same number is the shortest
-        shown = F.format_string(f"%.{digits}e", c)
-        text = F.when(shown.cast("double") == c, shown).otherwise(text)
-    text = F.coalesce(text, F.format_string("%.16e", c))
     sign = F.when(c < 0, "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)e", 1), r"\.", ""), r"0+$", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
-    n = F.length(digits)
-    after = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""))
-    wide = F.concat(after, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    padded = F.rpad(digits, F.greatest(n, power + 1), F.lit("0"))
-    rest = F.substring(padded, power + 2, F.length(padded))
-    fixed = F.concat(F.substring(padded, F.lit(1), power + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest))
-    finite = F.when(c == 0, F.when(F.format_string("%.1f", c).startswith("-"), "-0.0").otherwise("0.0")).when((power < -4) | (power >= 16), F.concat(sign, wide)).when(power < 0, F.concat(sign, small)).otherwise(F.concat(sign, fixed))
+
+    def parts(text: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)e", 1), r"\.", ""), r"0+$", "")
+        return F.struct(digits.alias("digits"), F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int").alias("power"))
+
+    def shown(p: Column) -> Column:
+        digits, power = F.when(p["digits"] == "", "0").otherwise(p["digits"]), p["power"]
+        n = F.length(digits)
+        after = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""))
+        wide = F.concat(after, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        padded = F.rpad(digits, F.greatest(n, power + 1), F.lit("0"))
+        rest = F.substring(padded, power + 2, F.length(padded))
+        fixed = F.concat(F.substring(padded, F.lit(1), power + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest))
+        return F.when((power < -4) | (power >= 16), F.concat(sign, wide)).when(power < 0, F.concat(sign, small)).otherwise(F.concat(sign, fixed))
+
+    finite = F.when(c == 0, F.when(F.format_string("%.1f", c).startswith("-"), "-0.0").otherwise("0.0")).otherwise(_let(_fewest(c), lambda t: _let(parts(t), shown)))
     return F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity").otherwise(finite)
 
 
@@ -92,3 +107,8 @@ def key_hash(df: DataFrame, names: list[str] | None = None) -> Column:
 
 def object_hash(df: DataFrame, names: list[str] | None = None) -> Column:
     return F.sha2(json_text(df, names), 256)
+
+
+def with_hashes(df: DataFrame, json: str = "json") -> DataFrame:
+    """df with key_hash and object_hash of its canonical JSON, which is written once for both."""
+    return df.select("*", F.md5(json).alias("key_hash"), F.sha2(json, 256).alias("object_hash"))
