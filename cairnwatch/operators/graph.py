@@ -7,6 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwatch.functions import text as tx
+from cairnwatch.sources.shared import parts_for
+
+
+#: Names whose pairs of words make a task.
+TASK_NAMES = 20_000
+#: Edges that make a task.
+TASK_EDGES = 250_000
 
 
 def undirected(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -67,16 +74,31 @@ def capec_mentions(docs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def name_similarity(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of (id, name) tables that share `least` words: an equi-join on words, never all pairs."""
-    words = lambda d, i: d.select(F.col("id").alias(i), F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), r"[^a-z0-9]+"), lambda w: w != ""))).alias("word"))
-    pairs = words(left, "a").join(words(right, "b"), "word").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_common"))
-    return pairs.where(F.col("n_common") >= least)
+    """Pairs of (id, name) tables that share `least` words, 2 or more: an equi-join on pairs of words, never all pairs.
+
+    Names that share n words share n * (n - 1) / 2 pairs of words, and none if they share one
+    only: a frequent word alone brings nothing together.
+    """
+
+    def pairs(d: DataFrame, i: str) -> DataFrame:
+        words = F.filter(F.split(F.lower("name"), r"[^a-z0-9]+"), lambda w: w != "")
+        names = d.groupBy(F.col("id").alias(i)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("ws"))
+        two = F.flatten(F.transform("ws", lambda w, k: F.transform(F.slice("ws", k + 2, F.size("ws")), lambda v: F.concat_ws(" ", w, v))))
+        return names.select(i, F.explode(two).alias("two")).repartition(n, "two")
+
+    if least < 2:
+        raise ValueError("names are compared by two words at least")
+    n = parts_for(left.sparkSession, left.count() + right.count(), TASK_NAMES)
+    shared = pairs(left, "a").join(pairs(right, "b"), "two").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    common = F.round((1 + F.sqrt(8 * F.col("n") + 1)) / 2).cast("long")
+    return shared.select("a", "b", common.alias("n_common")).where(F.col("n_common") >= least)
 
 
 def build_edges(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends both exist, once each; nodes first and edges after, so no order of loading loses any."""
-    ids = nodes.select("id")
-    kept = candidates.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    n = parts_for(candidates.sparkSession, candidates.count(), TASK_EDGES)
+    ids = lambda end: nodes.select(F.col("id").alias(end)).repartition(n, end)
+    kept = candidates.repartition(n, "src").join(ids("src"), "src", "left_semi").repartition(n, "dst").join(ids("dst"), "dst", "left_semi")
     return kept.select("src", "type", "dst").distinct()
 
 
