@@ -17,6 +17,8 @@ from cairnwatch.sources.shared import cut, parts_for
 
 #: Ends in a list of steps, about.
 PACK = 256
+#: Relations that a task gets in a hop of one relation: few, as each may go on from many rows.
+STEP_ROWS = 250_000
 
 OUT, IN, BOTH = "out", "in", "both"
 
@@ -44,11 +46,12 @@ class Pattern:
     hops: tuple[Hop, ...] = field(default=())
 
 
-def _steps(edges: DataFrame, hop: Hop) -> DataFrame:
-    """(_from, _to) of each relation that a hop may take, once."""
+def _steps(edges: DataFrame, hop: Hop, n: int | None = None) -> DataFrame:
+    """(_from, _to) of each relation that a hop may take, once; dealt by _from over n partitions."""
     rows = edges.where(F.col("type").isin(*hop.types)) if hop.types else edges
     out, back = rows.select(F.col("src").alias("_from"), F.col("dst").alias("_to")), rows.select(F.col("dst").alias("_from"), F.col("src").alias("_to"))
-    return {OUT: out, IN: back, BOTH: out.unionByName(back)}[hop.direction].distinct()
+    steps = {OUT: out, IN: back, BOTH: out.unionByName(back)}[hop.direction]
+    return (steps.repartition(n, "_from") if n else steps).distinct()
 
 
 def _packed(steps: DataFrame) -> DataFrame:
@@ -102,10 +105,17 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
 
     state = labelled(nodes.where("id IS NOT NULL").select(F.col("id").alias(pattern.start)).distinct(), pattern.start, pattern.label)
     state, named, at = state.withColumn("_now", F.col(pattern.start)), [pattern.start], "_now"
-    for hop in pattern.hops:
-        pairs = labelled(reached(state.select(F.col(at).alias("_at")), edges, hop), "_end", hop.label)
-        first = hop is pattern.hops[0]  # its pairs already are the rows: each start by itself
-        state = pairs.withColumn(pattern.start, F.col("_at")) if first else state.join(pairs, F.col(at) == F.col("_at"))
+    single = [h for h in pattern.hops if h.most == 1]
+    n = parts_for(edges.sparkSession, edges.count(), STEP_ROWS) if single else 0
+    for k, hop in enumerate(pattern.hops):
+        first = k == 0 and hop.most > 1  # its pairs already are the rows: each start by itself
+        if hop.most == 1:
+            # Steps are dealt once for both: those without repeats, and the join.
+            steps = _steps(edges, hop, n).withColumnRenamed("_to", "_end")
+            state = state.repartition(n, at).join(labelled(steps, "_end", hop.label), F.col(at) == F.col("_from"))
+        else:
+            pairs = labelled(reached(state.select(F.col(at).alias("_at")), edges, hop), "_end", hop.label)
+            state = pairs.withColumn(pattern.start, F.col("_at")) if first else state.join(pairs, F.col(at) == F.col("_at"))
         if hop.name:
             named.append(hop.name)
             state = state.withColumn(hop.name, F.col("_end"))
