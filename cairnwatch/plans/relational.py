@@ -10,7 +10,7 @@ from cairnwatch.operators import graph, metrics, quality, snapshot, windows
 from cairnwatch.plans import dims
 from cairnwatch.plans.derived import derived, derived_sql
 from cairnwatch.plans.dims import dim, values
-from cairnwatch.plans.scoring import _IDS, TOLD, docs_of, replaced, table, told
+from cairnwatch.plans.scoring import _IDS, TOLD, dealt, docs_of, replaced, table, told
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -442,7 +442,7 @@ def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {values('technique')}, r AS ({_RESULTS}) SELECT technique_id, name, count(*) AS n, count(DISTINCT doc_id) AS n_docs, max(confidence) AS best FROM r JOIN technique USING (technique_id) GROUP BY ALL ORDER BY n DESC, technique_id LIMIT 10""")
 def top_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir).join(dim(spark, "technique").select("technique_id", "name"), "technique_id")
+    rows = dealt(results(spark, sf_dir).select("doc_id", "technique_id", "confidence"), "doc_id").join(dim(spark, "technique").select("technique_id", "name"), "technique_id")
     return rows.groupBy("technique_id", "name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.max("confidence").alias("best")).orderBy(F.col("n").desc(), "technique_id").limit(10)
 
 

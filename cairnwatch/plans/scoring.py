@@ -10,6 +10,7 @@ from cairnwatch.operators import fusion, scorers
 from cairnwatch.plans import dims
 from cairnwatch.plans.derived import derived, derived_sql
 from cairnwatch.plans.dims import dim, values
+from cairnwatch.sources.shared import parts_for, small_batches
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,7 +39,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
+#: Rows of a table that a task gets where each row becomes a group of its own, or several.
+DEALT_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A table's rows dealt by the keys of the groups that follow, over as many partitions as its rows ask for: what a task holds doesn't grow."""
+    return df.repartition(parts_for(df.sparkSession, df.count(), DEALT_ROWS), *keys)
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -429,10 +440,11 @@ def _candidates_sql(names: list[str]) -> str:
 
 def candidates(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
-    return table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), pick(_IDS, F.col("l_partkey") % 6).alias("technique_id"), pick(names, F.col("l_linenumber") % 6).alias("extractor"),
         (F.col("l_discount") * 10).alias("confidence"), (F.col("l_returnflag") == "R").alias("has_cve"), (F.col("l_quantity").cast("int") % 7).alias("n_keywords"),
     )
+    return dealt(rows, "doc_id")
 
 
 @query(f"""WITH {values('combine_weight')}, {_candidates_sql(_NAMES)},

@@ -25,6 +25,17 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: texts are long, and a batch stands in Python with all that is made of it.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_ROWS rows in this session, unless it has a lower bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Rows that a task of a wide shuffle gets, about.
 TASK_ROWS = 1_000_000
 

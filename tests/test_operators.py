@@ -1,13 +1,15 @@
 """Worked values, sources, sinks and streaming."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairnwatch.functions import segments
 from cairnwatch.functions import text as tx
-from cairnwatch.operators import classifier, fusion, metrics, quality, scorers, snapshot, windows
+from cairnwatch.operators import classifier, fusion, graph, metrics, patterns, quality, scorers, snapshot, windows
+from cairnwatch.operators.patterns import Hop, Pattern
 from cairnwatch.plans import dims, relational, scoring
 from cairnwatch.sources import catalogs, sinks
 from cairnwatch.streaming import requests
@@ -346,3 +348,49 @@ def test_entities_without_their_semicolon():
     page = "<h1>Rea&amp</h1><p>&lt;b&amp;&amp;&amp; c&amp"
     (want,) = duckdb.sql(f"SELECT array_to_string({records._PLAIN}, chr(10)) AS t FROM (SELECT '{page}' AS html)").fetchall()[0]
     assert segments.page_text(page, closed=True) == want
+
+
+def test_batches_of_texts_are_small(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a scan").alias("text"))
+    batch = F.pandas_udf(lambda s: s.map(lambda _: len(s)), "long")
+    spark.conf.unset(name)
+    for start in (lambda: scoring.docs_of(spark, "/root/testdata/sf0.001"), lambda: scorers.rule_v2(docs, [("T1", "scan")]), lambda: scorers.query_terms(docs, docs.select(F.lit("scan").alias("term")))):
+        start()
+        assert docs.select(F.max(batch("text"))).first()[0] <= 500
+        spark.conf.set(name, "100")
+        start()
+        assert spark.conf.get(name) == "100"
+        spark.conf.unset(name)
+
+
+def _widths(df):
+    """Partitions of the exchanges that a plan names a number for."""
+    return [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())]
+
+
+def test_names_meet_by_pairs_of_words(spark):
+    names = [(f"n{i}", f"pattern a{i // 3} b{i // 5}, x") for i in range(60)]
+    left = spark.createDataFrame([*names, ("n0", "x"), ("e", ""), ("z", None)], "id string, name string")
+    right = spark.createDataFrame([(f"m{i}", f"a{i // 2} of B{i // 5} x") for i in range(60)], "id string, name string")
+    words = lambda rows: {r.id: set(re.findall("[a-z0-9]+", (r["name"] or "").lower())) for r in rows if r["name"]}
+    ours, theirs = words(spark.createDataFrame(names, "id string, name string").collect()), words(right.collect())
+    want = {(a, b): len(x & y) for a, x in ours.items() for b, y in theirs.items() if len(x & y) >= 2}
+    assert {(r.a, r.b): r.n_common for r in graph.name_similarity(left, right).collect()} == want
+    assert {(r.a, r.b) for r in graph.name_similarity(left, right, 3).collect()} == {k for k, n in want.items() if n >= 3}
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "DEALT_ROWS", 100)
+    monkeypatch.setattr(graph, "TASK_NAMES", 50)
+    sf = "/root/testdata/sf0.001"
+    most = lambda df: max(_widths(df), default=0)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert most(scoring.QUERIES["advanced_ensemble"](spark, sf)) == most(scoring.QUERIES["ensemble_related_boost"](spark, sf)) == most(relational.QUERIES["top_techniques"](spark, sf)) == -(-rows // 100)
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert most(relational.QUERIES["capec_name_similarity"](spark, sf)) == -(-2 * parts // 50)
+    monkeypatch.setattr(patterns, "STEP_ROWS", 100)
+    steps = spark.range(1000).select(F.concat(F.lit("a"), "id").alias("src"), F.lit("R").alias("type"), F.lit("b").alias("dst"))
+    assert most(patterns.match(steps.select(F.col("src").alias("id"), F.lit("a").alias("label")), steps, Pattern("s", None, (Hop(("R",), name="e"),)))) == 10
+    monkeypatch.setattr(graph, "TASK_EDGES", 100)
+    assert most(graph.build_edges(steps, steps.select(F.col("src").alias("id")))) == 10
