@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnwatch.functions import text as tx
+from cairnwatch.sources.shared import small_batches
 
 #: Fixed value: how much a signal or a contextual pattern adds to a technique's count.
 SIGNAL_COUNT = 2
@@ -62,6 +63,7 @@ def leftmost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _hits(rows: DataFrame, keys: tuple[str, ...], schema: str, start: Callable[[], Callable], columns: tuple[str, ...]) -> DataFrame:
     """Rows (keys, schema) that a matcher gives for each text; it is made once a task by `start`."""
+    small_batches(rows.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
 

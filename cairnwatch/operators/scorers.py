@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from cairnwatch.functions import text as tx
 from cairnwatch.operators import matching
 from cairnwatch.operators.matching import grouped
+from cairnwatch.sources.shared import small_batches
 
 #: Keywords that a signal of the technique adds.
 SIGNAL_KEYWORDS = {"T1190": ["web exploit"], "T1133": ["vpn", "remote service"], "T1566": ["phishing"], "T1059": ["script", "command interpreter"], "T1027": ["obfuscated", "encoded"]}
@@ -64,6 +65,7 @@ def query_terms(docs: DataFrame, vocabulary: DataFrame, most: int = MOST_TERMS)
         words = docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
         return words.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     known = frozenset(r.term for r in listed)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
