@@ -245,16 +245,29 @@ def kev(docs: DataFrame, cve_technique: DataFrame, threshold: float = 0.5) -> Da
     return hits.groupBy("doc_id", "technique_id").agg(F.max("confidence").alias("confidence"), F.min(F.struct(-F.col("confidence"), "cve_id"))["cve_id"].alias("cve_id"), F.array_sort(F.collect_set("cve_id")).alias("cve_ids"))
 
 
-def cve_to_techniques(cves: DataFrame, cve_technique: DataFrame, cve_cwe: DataFrame, cwe_technique: DataFrame) -> DataFrame:
-    """Direct mappings, and those through a weakness for techniques that the CVE has no direct one for (0.6)."""
-    direct = cves.join(cve_technique, "cve_id").select("cve_id", "technique_id", "confidence", F.lit("direct").alias("source"))
+def cve_to_techniques(cves: DataFrame, cve_technique: DataFrame, cve_cwe: DataFrame, cwe_technique: DataFrame, parts: int | None = None) -> DataFrame:
+    """Direct mappings, and those through a weakness for techniques that the CVE has no direct one for (0.6).
+
+    parts: partitions that the direct mappings are dealt over, so that a task's share doesn't grow
+    with them; without it Spark merges them by their compressed bytes. They may hold repeats.
+    """
+    known = cve_technique.repartition(parts, "cve_id") if parts else cve_technique
+    direct = cves.join(known, "cve_id").select("cve_id", "technique_id", "confidence", F.lit("direct").alias("source"))
     via = cves.join(cve_cwe, "cve_id").join(cwe_technique, "cwe_id")
-    via = via.join(cve_technique.select("cve_id", "technique_id"), ["cve_id", "technique_id"], "left_anti")
+    pairs = cve_technique.select("cve_id", "technique_id")
+    via = via.join(pairs.repartition(parts, "cve_id", "technique_id") if parts else pairs, ["cve_id", "technique_id"], "left_anti")
     return direct.distinct().unionByName(via.select("cve_id", "technique_id", F.lit(0.6).alias("confidence"), F.concat(F.lit("cwe_derived:"), "cwe_id").alias("source")))
 
 
-def cwe_to_techniques(cve_cwe: DataFrame, cve_technique: DataFrame) -> DataFrame:
-    return cve_cwe.join(cve_technique, "cve_id").groupBy("cwe_id", "technique_id").agg(F.countDistinct("cve_id").alias("cve_count")).withColumn("confidence", F.lit(0.7))
+def cwe_to_techniques(cve_cwe: DataFrame, cve_technique: DataFrame, parts: int | None = None) -> DataFrame:
+    """How many CVEs tie a weakness to a technique. parts: see cve_to_techniques.
+
+    Each CVE's pairs are made distinct where it lies, so that what goes on are counts.
+    """
+    pairs = cve_technique.select("cve_id", "technique_id")
+    known = (pairs.repartition(parts, "cve_id") if parts else pairs).distinct()
+    tied = cve_cwe.select("cve_id", "cwe_id").distinct().join(known, "cve_id")
+    return tied.groupBy("cwe_id", "technique_id").agg(F.count(F.lit(1)).alias("cve_count")).withColumn("confidence", F.lit(0.7))
 
 
 def cwe_map(techniques: DataFrame, fixed: DataFrame, rules: DataFrame) -> DataFrame:

@@ -35,9 +35,11 @@ TABLES = {
 }
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, name: str, repeats: bool = False) -> DataFrame:
+    """Such a table. repeats: rows as they come, for callers that deal them out before they make them distinct."""
     sources = set(re.findall(r"\{(\w+)\}", TABLES[name]))
-    return spark.sql(TABLES[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sources})
+    text = TABLES[name].replace("SELECT DISTINCT", "SELECT") if repeats else TABLES[name]
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sources})
 
 
 def derived_sql(*names: str) -> str:

@@ -309,14 +309,15 @@ SELECT DISTINCT cve_id, technique_id, confidence, 'direct' AS source FROM c JOIN
 UNION ALL SELECT c.cve_id, w.technique_id, 0.6::DOUBLE, 'cwe_derived:' || x.cwe_id FROM c JOIN cve_cwe x USING (cve_id) JOIN cwe_technique w USING (cwe_id)
 WHERE NOT EXISTS (SELECT 1 FROM cve_technique t WHERE t.cve_id = c.cve_id AND t.technique_id = w.technique_id)""")
 def kev_with_cwe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cwe = derived(spark, sf_dir, "cve_cwe")
-    return scorers.cve_to_techniques(cwe.select("cve_id").distinct(), derived(spark, sf_dir, "cve_technique"), cwe, derived(spark, sf_dir, "cwe_technique"))
+    cwe, direct = derived(spark, sf_dir, "cve_cwe"), derived(spark, sf_dir, "cve_technique", repeats=True)
+    return scorers.cve_to_techniques(cwe.select("cve_id").distinct(), direct, cwe, derived(spark, sf_dir, "cwe_technique"), parts_for(spark, direct.count(), DEALT_ROWS))
 
 
 @query(f"""WITH {derived_sql('cve_technique', 'cve_cwe')}
 SELECT cwe_id, technique_id, count(DISTINCT cve_id) AS cve_count, 0.7::DOUBLE AS confidence FROM cve_cwe JOIN cve_technique USING (cve_id) GROUP BY cwe_id, technique_id""")
 def cwe_to_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorers.cwe_to_techniques(derived(spark, sf_dir, "cve_cwe"), derived(spark, sf_dir, "cve_technique"))
+    direct = derived(spark, sf_dir, "cve_technique", repeats=True)
+    return scorers.cwe_to_techniques(derived(spark, sf_dir, "cve_cwe"), direct, parts_for(spark, direct.count(), DEALT_ROWS))
 
 
 @query(f"""WITH {derived_sql('technique', 'cwe_technique', 'cwe_rule')}
