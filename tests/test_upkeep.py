@@ -82,6 +82,27 @@ def test_expansion_of_any_table():
         assert expansion.Expander(list(table.items()))(text) == _ordered(text, list(table.items()))
 
 
+def test_expansion_word_by_word_equals_ordered_replacement():
+    rng = random.Random(6)
+    words = ["ab", "cd", "ef", "gh", "ip", "tcp", "a", "é", "of"]
+    joined = 0
+    for _ in range(3000):
+        keys = [*words, "ab cd", "cd ab", "tcp/ip", "ab ab", "a of a", "gh-ip of", "x"]
+        table = {rng.choice(keys): rng.choice([*words, "ab cd", "cd of a", "gh-ip", "tcp/ip x", "AB", "a  b", "é ip"]) for _ in range(rng.randint(1, 12))}
+        text = "".join(rng.choice([*words, "AB", "x", "y"]) + rng.choice([" ", " ", " ", "-", "/", ". ", "\n"]) for _ in range(rng.randint(0, 30)))
+        expand = expansion.Expander(list(table.items()))
+        assert expand.apart and expand(text) == _ordered(text, list(table.items()))
+        joined += any(" " in k for k in table)
+    assert joined > 1000
+
+
+def test_each_word_is_worked_out_once():
+    expand = expansion.Expander([("ab", "cd of x"), ("cd ef", "gh"), ("ip", "the ip"), ("gh", "gh-gh")])
+    text = "ab ef, ip zz ab! cd ef gh. " * 500
+    assert expand(text) == _ordered(text, expand.pairs)
+    assert expand.outcome.cache_info().misses == 5  # "ab ef", "ip", "ab", "cd ef" and "gh"
+
+
 def test_dates_are_read_as_by_a_flexible_parser(spark):
     parser = pytest.importorskip("dateutil.parser")
 
