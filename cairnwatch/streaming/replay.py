@@ -25,7 +25,7 @@ def staged(rows: DataFrame, order: Column, batches: int, tag: str = "staged", en
     dealt = rows.withColumn("_batch", at)
     parts = [dealt.where(F.col("_batch") == b).drop("_batch") for b in range(batches)] + ([end] if end is not None else [])
     for part in parts:  # one file each, one after the other, as a stream takes files by their time
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(1).write.mode("append").parquet(path)  # rows are read and told apart by many tasks, written by one
     return path
 
 

@@ -254,6 +254,20 @@ def test_stream_verdicts_wait_for_the_window_and_drop_the_late(spark, tmp_path):
     assert sum(r[4] for r in rows if r[1] == 1 and r[2] == min(x[2] for x in rows)) == 3
 
 
+def test_verdicts_need_no_python_call_a_user(spark, tmp_path):
+    batches = [[_event(2, 1, 5), _event(1, 1, 5)], [_event(3, 1, 4)], [_event(0, 9, 6000)]]
+    plans = []
+
+    def build(stream):
+        got = verdicts.rate_verdicts(stream, 3600, 2, "30 minutes")
+        plans.append(got._jdf.queryExecution().analyzed().toString())
+        return got
+
+    got = _played(spark, tmp_path, batches, build).where("user_id = 1")
+    assert sorted((r.event_id, r.place, r.allowed) for r in got.collect()) == [(1, 2, True), (2, 3, False), (3, 1, True)]
+    assert "Aggregate" in plans[0] and "Pandas" not in plans[0] and "Python" not in plans[0]
+
+
 def test_job_states_expire_and_begin_anew(spark, tmp_path):
     day = 24 * 60
     batches = [[_event(1, 1, 0, "queued"), _event(2, 1, 5, "started"), _event(3, 2, 3, "queued")], [_event(4, 1, 4, "lost"), _event(5, 2, 20, "done")], [_event(6, 3, 3 * day, "queued")], [_event(7, 1, 3 * day + 5, "queued")], [_event(8, 9, 9 * day, "end")]]
