@@ -1,17 +1,19 @@
-"""Per-request verdicts and job progress in streams, with state and timers of Spark's transformWithState."""
+"""Per-request verdicts by windows of a stream, and job progress with states and timers of groups of jobs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The state store that transformWithState needs.
+#: The state store of streams: on disk, so that states need not fit a task's memory.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROGRESS = "job_id long, state string, n_events long, first_us long, last_us long, expired boolean"
+JOBS = "job_id array<long>, state array<string>, n array<long>, first_us array<long>, last_us array<long>, last_event array<long>"
 
 
 def rate_verdicts(events: DataFrame, seconds: int, limit: int, late: str = "1 hour") -> DataFrame:
@@ -32,57 +34,53 @@ def rate_verdicts(events: DataFrame, seconds: int, limit: int, late: str = "1 ho
     return each.select(F.col("request.event_id").cast("long").alias("event_id"), "user_id", "bucket", place.alias("place"), (place <= limit).alias("allowed"))
 
 
-class Progress(StatefulProcessor):
-    """A job's last state and number of events; its state goes a time to live after its last event."""
-
-    fresh = ("", 0, 1 << 62, -(1 << 62), -1, 0)
-
-    @staticmethod
-    def row(key: tuple, state: str, n: int, first: int, last: int, expired: bool) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [int(key[0])], "state": [state], "n_events": [n], "first_us": [first], "last_us": [last], "expired": [expired]})
-
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", "state string, n long, first_us long, last_us long, last_event long, timer long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, n, first, last, event, timer = self.job.get() if self.job.exists() else self.fresh
-        if timer and timer <= timerValues.getCurrentWatermarkInMs():  # its time is over, though the timer comes after the rows
-            yield self.row(key, state, n, first, last, True)
-            self.handle.deleteTimer(timer)
-            state, n, first, last, event, timer = self.fresh
-        for pdf in rows:
-            n, first = n + len(pdf), min(first, int(pdf["ts_us"].min()))
-            newest = pdf.sort_values(["ts_us", "event_id"]).iloc[-1]
-            if (int(newest["ts_us"]), int(newest["event_id"])) > (last, event):
-                last, event, state = int(newest["ts_us"]), int(newest["event_id"]), newest["event_type"]
-        due = last // 1000 + self.ttl_ms
-        if due != timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        self.job.update((state, n, first, last, event, due))
-        yield self.row(key, state, n, first, last, False)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, n, first, last, _, _ = self.job.get()
-        self.job.clear()
-        yield self.row(key, state, n, first, last, True)
-
-    def close(self) -> None:
-        pass
-
-
-def job_progress(events: DataFrame, ttl: str = "24 hours", late: str = "1 hour") -> DataFrame:
+#: Groups that jobs are dealt to, each with one state and one timer: a call for each job would cost more than its rows.
+GROUPS = 256
+
+
+def _advance(ttl_ms: int, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    """Adds new events to the jobs of a group; a job's state goes a time to live after its last event."""
+
+    def rows(found: dict[int, tuple], expired: bool) -> pd.DataFrame:
+        out = pd.DataFrame([(job, state, n, first, last) for job, (state, n, first, last, _) in found.items()], columns=["job_id", "state", "n_events", "first_us", "last_us"])
+        return out.assign(expired=expired)
+
+    jobs = {job: tuple(of) for job, *of in zip(*held.get)} if held.exists else {}
+    watermark = held.getCurrentWatermarkMs()
+    over = {job: of for job, of in jobs.items() if of[3] // 1000 + ttl_ms <= watermark}  # before the new rows: these begin anew
+    for job in over:
+        del jobs[job]
+    if over:
+        yield rows(over, True)
+    changed = set()
+    for pdf in () if held.hasTimedOut else batches:
+        by = pdf.sort_values(["user_id", "ts_us", "event_id"]).groupby("user_id", sort=False)
+        new = by.agg(state=("event_type", "last"), n=("ts_us", "size"), first=("ts_us", "first"), last=("ts_us", "last"), event=("event_id", "last"))
+        for job, state, n, first, last, event in zip(new.index.tolist(), *(new[c].tolist() for c in new)):
+            if job in jobs:
+                state0, n0, first0, last0, event0 = jobs[job]
+                n, first = n + n0, min(first, first0)
+                if (last0, event0) >= (last, event):
+                    state, last, event = state0, last0, event0
+            jobs[job] = (state, n, first, last, event)
+            changed.add(job)
+    if changed:
+        yield rows({job: jobs[job] for job in changed}, False)
+    if not jobs:
+        held.remove()
+        return
+    held.update((list(jobs), *map(list, zip(*jobs.values()))))
+    held.setTimeoutTimestamp(max(min(of[3] for of in jobs.values()) // 1000 + ttl_ms, watermark + 1))
+
+
+def job_progress(events: DataFrame, ttl: str = "24 hours", late: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """(job_id, state, n_events, first_us, last_us, expired): a row each time a job changes, and a last one when its state expires.
 
     events: (user_id as the job, event_id, event_type, ts). A job that comes back after it has
-    expired begins anew.
+    expired begins anew. Jobs are dealt to `groups`, each of which holds its jobs' states.
     """
-    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    advance = partial(_advance, int(pd.Timedelta(ttl).total_seconds() * 1000))
     rows = events.where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     rows = rows.select("user_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.coalesce("event_type", F.lit("")).alias("event_type"), "ts", F.unix_micros("ts").alias("ts_us"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Progress(ttl_ms), PROGRESS, "update", "EventTime")
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("user_id"), F.lit(groups)))
+    return dealt.groupBy("group").applyInPandasWithState(lambda _, batches, held: advance(batches, held), PROGRESS, JOBS, "update", GroupStateTimeout.EventTimeTimeout)

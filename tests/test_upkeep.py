@@ -268,6 +268,15 @@ def test_verdicts_need_no_python_call_a_user(spark, tmp_path):
     assert "Aggregate" in plans[0] and "Pandas" not in plans[0] and "Python" not in plans[0]
 
 
+def test_jobs_of_one_group_keep_their_own_states_and_times(spark, tmp_path):
+    day = 24 * 60
+    batches = [[_event(i, i, i * 60, "a") for i in range(20)], [_event(50, 3, 30 * 60, "b"), _event(49, 3, 30 * 60, "c")], [_event(99, 77, 9 * day, "end")]]
+    rows = _played(spark, tmp_path, batches, lambda s: verdicts.job_progress(s, "24 hours", "1 hour", groups=1), "update")
+    ended = sorted((r.job_id, r.state, r.n_events) for r in rows.where("expired").collect())
+    assert ended == [(i, "b" if i == 3 else "a", 3 if i == 3 else 1) for i in range(20)]
+    assert rows.where("NOT expired").count() == 22
+
+
 def test_job_states_expire_and_begin_anew(spark, tmp_path):
     day = 24 * 60
     batches = [[_event(1, 1, 0, "queued"), _event(2, 1, 5, "started"), _event(3, 2, 3, "queued")], [_event(4, 1, 4, "lost"), _event(5, 2, 20, "done")], [_event(6, 3, 3 * day, "queued")], [_event(7, 1, 3 * day + 5, "queued")], [_event(8, 9, 9 * day, "end")]]
