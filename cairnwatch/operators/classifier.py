@@ -12,18 +12,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwatch.operators import scorers
+from cairnwatch.sources.shared import cut
 
 
 #: Trees, their depth and the seed of a forest.
 TREES, DEPTH, SEED = 100, 10, 42
-#: Letters of the pieces that a text is told by, and numbers that the pieces are hashed to.
-PIECE, FEATURES = 3, 512
+#: Numbers that the pieces which a text is told by are hashed to.
+FEATURES = 512
 
 
 def _pieces(column: str) -> str:
-    """SQL for the pieces of PIECE letters of a text's words, each word with an edge on both sides; a null text has none."""
-    words = f"filter(split(lower(coalesce({column}, '')), '[^\\\\p{{L}}]+'), w -> w != '')"
-    return f"flatten(transform({words}, w -> transform(sequence(1, length(w)), i -> substring(concat('_', w, '_'), i, {PIECE}))))"
+    """SQL for the pieces of three letters of a text's words, each word with an edge on both sides; a null text has none.
+
+    They are read off the text in one go: a piece has a letter in its middle, an edge has none.
+    """
+    edged = f"concat('_', regexp_replace(lower(coalesce({column}, '')), '[^\\\\p{{L}}]+', '_'), '_')"
+    return f"regexp_extract_all({edged}, '(?=([\\\\p{{L}}_]\\\\p{{L}}[\\\\p{{L}}_]))', 1)"
 
 
 def train_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, features: int = FEATURES) -> PipelineModel:
@@ -31,14 +35,18 @@ def train_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, se
 
     Texts become hashed counts of letter pieces, scaled to length one. Rows without a label
     take no part. Spark grows the trees level by level, each level one aggregation over the
-    rows, so that nothing but the splits' statistics leaves a task.
+    rows, so that nothing but the splits' statistics leaves a task. Texts become counts once,
+    in a written table that every pass reads.
     """
     pieces = SQLTransformer(statement=f"SELECT *, {_pieces('text')} AS _pieces FROM __THIS__")
     stages = [pieces, HashingTF(inputCol="_pieces", outputCol="_counts", numFeatures=features), Normalizer(inputCol="_counts", outputCol="features")]
     rows = labelled.where("label IS NOT NULL").select("text", F.col("label").cast("string").alias("label"))
     index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
     forest = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False)
-    return Pipeline(stages=[*stages, index, forest]).fit(rows)
+    ready = PipelineModel(stages)
+    counted = cut(ready.transform(rows).select("features", "label"), "forest-features")
+    learnt = Pipeline(stages=[index, forest]).fit(counted)
+    return PipelineModel([*stages, *learnt.stages])
 
 
 def save(model: PipelineModel, path: str) -> None:

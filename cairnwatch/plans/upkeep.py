@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairnwatch.functions import dates, expansion
 from cairnwatch.operators import classifier, scorers, stepwise
 from cairnwatch.plans.dims import dim
-from cairnwatch.plans.scoring import TOLD, docs_of, replaced, table, told
+from cairnwatch.plans.scoring import TOLD, docs_of, replaced, spread, table, told
 from cairnwatch.plans.scoring import ORACLE_SQL as SCORING
 from cairnwatch.sources import deltas, sinks
 from cairnwatch.sources.shared import shared_folder
@@ -135,7 +135,7 @@ def extraction_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def classifier_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each fifth document by a forest learnt from the others, saved and loaded; a test holds its accuracy."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label")))
     path = shared_folder(spark, "forest")
     classifier.save(classifier.train_forest(rows.where("doc_id % 5 <> 0"), trees=20, depth=8), path)
     return classifier.classify_texts(classifier.load(spark, path), rows.where("doc_id % 5 = 0"), threshold=0.2, k=3)

@@ -149,6 +149,23 @@ def test_the_forest_beats_the_majority_and_survives_saving(spark, sf_dir, tmp_pa
     assert classifier.classify_texts(model, odd, threshold=0.0, k=1).count() == 3
 
 
+def test_pieces_are_those_of_each_word(spark):
+    texts = ["", None, "a", "Ab, cde!", "__x__y9z", "ÉTÉ İst straße", "\U00010400\U00010401\U00010402 a\U00010400b", "中文字 \n no\tx", "😀ab😀", "don't"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = "filter(split(lower(coalesce(text, '')), '[^\\\\p{L}]+'), w -> w != '')"
+    each = f"flatten(transform({words}, w -> transform(sequence(1, length(w)), i -> substring(concat('_', w, '_'), i, 3))))"
+    for r in df.select(F.expr(classifier._pieces("text")).alias("got"), F.expr(each).alias("want")).collect():
+        assert r.got == r.want
+
+
+def test_texts_are_counted_once_for_all_passes(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(classifier, "cut", lambda df, tag: written.append(df.columns) or df.localCheckpoint())
+    docs = spark.createDataFrame([(i, "der hund bellt" if i % 2 else "the dog barks", "de" if i % 2 else "en") for i in range(20)], "doc_id long, text string, label string")
+    model = classifier.train_forest(docs, trees=3, depth=2)
+    assert written == [["features", "label"]] and classifier.classify_texts(model, docs, threshold=0.5).count() == 20
+
+
 # --- change logs and sinks
 
 
