@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwatch.sources.shared import cut, parts_for
@@ -19,6 +20,8 @@ from cairnwatch.sources.shared import cut, parts_for
 PACK = 256
 #: Relations that a task gets in a hop of one relation: few, as each may go on from many rows.
 STEP_ROWS = 250_000
+#: Starts that are carried as sets of bits at most; more are carried as rows.
+SET_STARTS = 4096
 
 OUT, IN, BOTH = "out", "in", "both"
 
@@ -91,6 +94,24 @@ def reached(starts: DataFrame, edges: DataFrame, hop: Hop) -> DataFrame:
             return found
 
 
+def _numbered(starts: DataFrame, column: str) -> DataFrame | None:
+    """(column, _number) of the starts, written; None where they are more than SET_STARTS."""
+    few = cut(starts.select(column).limit(SET_STARTS + 1).withColumn("_number", F.row_number().over(W.orderBy(column)) - 1), "starts")
+    return few if few.count() <= SET_STARTS else None
+
+
+def _sets(numbers: DataFrame, column: str) -> DataFrame:
+    """(_now, _word, _bits): each start by itself, as the set of 64 numbers' bits in which it is."""
+    return numbers.select(F.col(column).alias("_now"), F.floor(F.col("_number") / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, _number % 64)").alias("_bits"))
+
+
+def _members(sets: DataFrame, numbers: DataFrame, column: str) -> DataFrame:
+    """(column, _now): the starts of each node's set."""
+    one = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftrightunsigned", F.col("_bits"), i).bitwiseAND(1) == 1)
+    rows = sets.select("_now", "_word", F.explode(one).alias("_bit")).withColumn("_number", F.col("_word") * 64 + F.col("_bit"))
+    return rows.join(numbers, "_number").select(column, "_now")
+
+
 def match(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
     """Distinct rows of the pattern's named nodes. nodes: (id, label); edges: (src, type, dst).
 
@@ -105,10 +126,13 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
 
     state = labelled(nodes.where("id IS NOT NULL").select(F.col("id").alias(pattern.start)).distinct(), pattern.start, pattern.label)
     state, named, at = state.withColumn("_now", F.col(pattern.start)), [pattern.start], "_now"
+    # Until a node is named, few starts are carried as a set at each node reached: a hop makes a row a relation, not one for each start as well.
+    numbers = _numbered(state, pattern.start) if pattern.hops and not pattern.hops[0].name else None
+    state = state if numbers is None else _sets(numbers, pattern.start)
     single = [h for h in pattern.hops if h.most == 1]
     n = parts_for(edges.sparkSession, edges.count(), STEP_ROWS) if single else 0
     for k, hop in enumerate(pattern.hops):
-        first = k == 0 and hop.most > 1  # its pairs already are the rows: each start by itself
+        first = k == 0 and hop.most > 1 and numbers is None  # its pairs already are the rows: each start by itself
         if hop.most == 1:
             # Steps are dealt once for both: those without repeats, and the join.
             steps = _steps(edges, hop, n).withColumnRenamed("_to", "_end")
@@ -116,10 +140,16 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
         else:
             pairs = labelled(reached(state.select(F.col(at).alias("_at")), edges, hop), "_end", hop.label)
             state = pairs.withColumn(pattern.start, F.col("_at")) if first else state.join(pairs, F.col(at) == F.col("_at"))
+        state = state.withColumn(at, F.col("_end"))
+        if numbers is not None:
+            state = state.groupBy(at, "_word").agg(F.bit_or("_bits").alias("_bits"))
+            if hop.name or k == len(pattern.hops) - 1:
+                state, numbers = _members(state, numbers, pattern.start), None
+        elif not first:
+            state = state.select(*named, at).distinct()
         if hop.name:
             named.append(hop.name)
-            state = state.withColumn(hop.name, F.col("_end"))
-        state = state.select(*named, F.col("_end").alias("_now"))
-        state = state if first else state.distinct()
+            state = state.withColumn(hop.name, F.col(at))
+        state = state if numbers is not None else state.select(*named, at)
     # With the last node named, rows are distinct as they are.
     return state.drop("_now") if pattern.hops and pattern.hops[-1].name else state.select(*named).distinct()

@@ -330,6 +330,30 @@ def test_patterns_end_in_cycles_and_list_no_paths(spark):
     assert ("a0", "hub") in run(Hop((), patterns.BOTH, label="other", name="e"), label="ring")
 
 
+def test_few_starts_are_carried_as_sets(spark, monkeypatch):
+    links = {("R", f"s{i}", f"m{(i * 5 + k) % 40}") for i in range(150) for k in range(3)} | {("S", f"m{i}", f"e{(i * 3 + k) % 25}") for i in range(40) for k in range(4)}
+    edges = spark.createDataFrame([(a, t, b) for t, a, b in links] * 2, "src string, type string, dst string")
+    nodes = spark.createDataFrame([(n, n[0]) for n in sorted({x for _, a, b in links for x in (a, b)})], "id string, label string")
+    to = {}
+    for _, a, b in links:
+        to.setdefault(a, set()).add(b)
+    want = {(s, m, e) for s in to if s[0] == "s" for m in to[s] for e in to[m]}
+    found = {}
+    for most in (4096, 150, 149):
+        monkeypatch.setattr(patterns, "SET_STARTS", most)
+        ends = patterns.match(nodes, edges, Pattern("s", "s", (Hop(("R",)), Hop(("S",), label="e", name="e"))))
+        found[most] = ends._jdf.queryExecution().optimizedPlan().toString()
+        rows = [tuple(r) for r in ends.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == {(s, e) for s, _, e in want}
+        back = patterns.match(nodes, edges, Pattern("s", "s", (Hop(("R",)), Hop(("S",), name="e"), Hop(("S",), patterns.IN, name="m"))))
+        assert {tuple(r) for r in back.collect()} == {(s, e, m) for s, _, e in want for m in to if m[0] == "m" and e in to[m]}
+        assert sorted(r.s for r in patterns.match(nodes, edges, Pattern("s", "s", (Hop(("R",)), Hop(("S",))))).collect()) == sorted({s for s, _, _ in want})
+        near = patterns.match(nodes, edges, Pattern("s", "s", (Hop((), most=2), Hop(("S",), patterns.IN, name="m"))))
+        assert {tuple(r) for r in near.collect()} == {(s, m) for s, _, e in want for m in to if m[0] == "m" and e in to[m]}
+    assert found[4096].count("bit_or(") == found[150].count("bit_or(") == 2 and "Aggregate [s#" not in found[150]
+    assert "bit_or(" not in found[149] and "Aggregate [s#" in found[149]
+
+
 def test_a_reach_moves_what_it_finds_once(spark):
     edges = spark.createDataFrame([(f"a{i}", "R", f"a{(i * 7 + k) % 90}") for i in range(90) for k in range(5)], "src string, type string, dst string")
     nodes = edges.select(F.col("src").alias("id"), F.lit("a").alias("label"))
