@@ -2,22 +2,32 @@
 
 A pattern is a start and hops, as in (a:Label)-[:TYPE|OTHER*1..3]->(b:Label). Each hop is a join
 on the nodes reached so far; only named nodes are kept and equal rows are merged after each
-hop, so that what is carried grows with the answers, not with the paths to them. A hop of
-several relations advances a frontier of (from, to) pairs that leaves out pairs reached before.
+hop, so that what is carried grows with the answers, not with the paths to them. For a
+hop of several relations each task reads what it needs of the graph, and lists no paths.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnwatch.sources.shared import cut, parts_for
+from cairnwatch.operators.reach import walk
+from cairnwatch.sources.shared import TASK_ROWS, cut, parts_for
 
-#: Ends in a list of steps, about.
+#: Ends in a list of steps at most.
 PACK = 256
+#: Bytes of a row group of a table that tasks read parts of.
+GROUP_BYTES = 4 << 20
+#: Starts that walk together: as many as this, and fewer, but not below the second, while there are fewer groups than partitions.
+WALK_STARTS, LEAST_STARTS = 50_000, 2_000
 #: Relations that a task gets in a hop of one relation: few, as each may go on from many rows.
 STEP_ROWS = 250_000
 #: Starts that are carried as sets of bits at most; more are carried as rows.
@@ -49,19 +59,52 @@ class Pattern:
     hops: tuple[Hop, ...] = field(default=())
 
 
-def _steps(edges: DataFrame, hop: Hop, n: int | None = None) -> DataFrame:
-    """(_from, _to) of each relation that a hop may take, once; dealt by _from over n partitions."""
+def _steps(edges: DataFrame, hop: Hop) -> DataFrame:
+    """(_from, _to) of each relation that a hop may take."""
     rows = edges.where(F.col("type").isin(*hop.types)) if hop.types else edges
     out, back = rows.select(F.col("src").alias("_from"), F.col("dst").alias("_to")), rows.select(F.col("dst").alias("_from"), F.col("src").alias("_to"))
-    steps = {OUT: out, IN: back, BOTH: out.unionByName(back)}[hop.direction]
-    return (steps.repartition(n, "_from") if n else steps).distinct()
+    return {OUT: out, IN: back, BOTH: out.unionByName(back)}[hop.direction]
 
 
 def _packed(steps: DataFrame) -> DataFrame:
-    """(_from, _ends): the steps from a node in lists of about PACK ends, so that a hop moves lists instead of rows; a hub has many lists."""
-    hubs = steps.groupBy("_from").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_n")).where("_n > 1")
-    rows = steps.join(hubs, "_from", "left").withColumn("_n", F.pmod(F.xxhash64("_to"), F.coalesce("_n", F.lit(1))))
-    return rows.groupBy("_from", "_n").agg(F.collect_list("_to").alias("_ends")).drop("_n")
+    """(_from, _ends): the steps from a node, dealt by it, in lists of at most PACK ends, each end once; a hub has many lists."""
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            both = now if before is None else pa.concat_tables([before, now])
+            a, b = (both.column(c).combine_chunks() for c in ("_from", "_to"))
+            turn = pc.not_equal(a[1:], a[:-1]).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[True] if before is None else [], turn | pc.not_equal(b[1:], b[:-1]).to_numpy(zero_copy_only=False)]).astype(bool)
+            turn, before, now = np.concatenate([[True] if before is None else [], turn]).astype(bool)[new], now.slice(len(now) - 1), now.filter(pa.array(new))
+            if len(now):
+                turn[0] = True  # a list ends with its batch
+                runs = np.flatnonzero(turn)
+                at = np.arange(len(now)) - np.repeat(runs, np.diff(np.append(runs, len(now))))
+                begins = np.flatnonzero(at % PACK == 0)
+                froms, ends = (now.column(c).combine_chunks() for c in ("_from", "_to"))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(now)), pa.int32()), ends)
+                yield pa.RecordBatch.from_arrays([froms.take(pa.array(begins)), lists], names=["_from", "_ends"])
+
+    return steps.select("_from", "_to").sortWithinPartitions("_from", "_to").mapInArrow(run, f"_from {kinds['_from']}, _ends array<{kinds['_to']}>")
+
+
+def _names(steps: DataFrame) -> tuple[DataFrame, int]:
+    """(_number, _name) of all ends of the steps, in their order, so that ends of one kind mostly lie together; written. And how many they are."""
+    spark = steps.sparkSession
+    names = cut(steps.select(F.col("_from").alias("_name")).unionByName(steps.select(F.col("_to").alias("_name"))).where("_name IS NOT NULL").distinct(), "ids")
+    ranges = names.repartitionByRange(math.ceil(max(1, names.count()) / TASK_ROWS), "_name").sortWithinPartitions("_name")
+    # The id counts rows from each partition's 2 ** 33 times its number on; what the partitions before it have makes it dense.
+    placed = cut(ranges.withColumn("_id", F.monotonically_increasing_id()), "placed")
+    counts = {r["_p"]: r["n"] for r in placed.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    number = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), (F.shiftright("_id", 33) + 1).cast("int")) + F.col("_id") % (1 << 33)
+    return cut(placed.select(number.cast("int" if total < 1 << 31 else "long").alias("_number"), "_name"), "names", GROUP_BYTES), total
 
 
 def reached(starts: DataFrame, edges: DataFrame, hop: Hop) -> DataFrame:
@@ -69,29 +112,27 @@ def reached(starts: DataFrame, edges: DataFrame, hop: Hop) -> DataFrame:
 
     Nodes come to the frontier when they are first reached and are not gone through again, so
     cycles end and a hub's paths are not listed. With a single relation, loops count. Rows are
-    distinct. Of several relations each moves what it finds once, in lists, to where its start's
-    earlier ends are: partitions are as many as the rows ask for.
+    distinct. Several relations are gone through where the starts are: nodes are numbered, the
+    relations are written as lists of numbers, and tasks read from these what their starts need
+    (reach.walk), so that neither what is found on the way nor the rows themselves are moved or
+    written.
     """
     steps = _steps(edges, hop)
     if hop.most == 1:
-        return starts.distinct().join(steps, F.col("_at") == F.col("_from")).select("_at", F.col("_to").alias("_end")).distinct()
-    # Written: every relation reads them, and their counts say how far a hop is dealt out.
-    steps = cut(steps, "steps")
-    packed = cut(_packed(steps), "packed")
-    spread = steps.count() / max(1, packed.count())
-    frontier, found = starts.distinct().select("_at", F.col("_at").alias("_end")), None
-    for k in range(hop.most):
-        n = parts_for(starts.sparkSession, frontier.count() * spread)
-        further = frontier.join(packed, F.col("_end") == F.col("_from")).select("_at", "_ends", F.lit(False).alias("_old"))
-        if found is not None:
-            further = further.unionByName(found.select("_at", F.array("_end").alias("_ends"), F.lit(True).alias("_old")))
-        rows = further.repartition(n, "_at").select("_at", F.explode("_ends").alias("_end"), "_old").where("_at <> _end")
-        if k == hop.most - 1:
-            return rows.select("_at", "_end").distinct()
-        frontier = cut(rows.groupBy("_at", "_end").agg(F.max("_old").alias("_old")).where("NOT _old").select("_at", "_end"), "frontier")
-        found = frontier if found is None else found.unionByName(frontier)
-        if frontier.isEmpty():
-            return found
+        return starts.distinct().join(steps.distinct(), F.col("_at") == F.col("_from")).select("_at", F.col("_to").alias("_end")).distinct()
+    names, total = _names(steps)
+    n = math.ceil(max(1, steps.count()) / TASK_ROWS)
+    by = lambda end, number: names.select(F.col("_name").alias(end), F.col("_number").alias(number))
+    ends = steps.join(by("_to", "_t"), "_to").select("_from", "_t").repartition(n, "_from")
+    numbered = ends.join(by("_from", "_f").repartition(n, "_from"), "_from").select(F.col("_f").alias("_from"), F.col("_t").alias("_to"))
+    packed = cut(_packed(numbered), "packed", GROUP_BYTES)
+    starts = cut(starts.distinct(), "starts")
+    many = starts.count()
+    groups = max(math.ceil(many / WALK_STARTS), min(math.ceil(many / LEAST_STARTS), parts_for(starts.sparkSession, 0)), 1)
+    by_group = starts.join(by("_at", "_n"), "_at").groupBy(F.pmod(F.col("_n"), F.lit(groups)).alias("_group")).agg(F.sort_array(F.collect_list(F.struct("_n", "_at"))).alias("_starts"))
+    dealt = by_group.repartitionByRange(groups, "_group").select(F.col("_starts._n").alias("_numbers"), F.col("_starts._at").alias("_names"))
+    kinds = [f"_at {starts.schema['_at'].dataType.simpleString()}", f"_end {steps.schema['_to'].dataType.simpleString()}"]
+    return dealt.mapInArrow(walk(packed.inputFiles(), names.inputFiles(), total, hop.most), ", ".join(kinds))
 
 
 def _numbered(starts: DataFrame, column: str) -> DataFrame | None:
@@ -135,7 +176,7 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
         first = k == 0 and hop.most > 1 and numbers is None  # its pairs already are the rows: each start by itself
         if hop.most == 1:
             # Steps are dealt once for both: those without repeats, and the join.
-            steps = _steps(edges, hop, n).withColumnRenamed("_to", "_end")
+            steps = _steps(edges, hop).repartition(n, "_from").distinct().withColumnRenamed("_to", "_end")
             state = state.repartition(n, at).join(labelled(steps, "_end", hop.label), F.col(at) == F.col("_from"))
         else:
             pairs = labelled(reached(state.select(F.col(at).alias("_at")), edges, hop), "_end", hop.label)

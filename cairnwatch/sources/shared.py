@@ -49,8 +49,8 @@ def parts_for(spark: SparkSession, rows: float, each: int = TASK_ROWS) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
 
 
-def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
-    """df as a written table of the shared folder: its plan ends there, and lost executors don't matter to it."""
+def cut(df: DataFrame, tag: str = "cut", group_bytes: int | None = None) -> DataFrame:
+    """df as a written table of the shared folder: its plan ends there, and lost executors don't matter to it; row groups of so many bytes, if given."""
     path = shared_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

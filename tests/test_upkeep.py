@@ -7,12 +7,14 @@ import re
 import struct
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from cairnwatch.functions import canonical, dates, expansion
 from cairnwatch.functions import text as tx
-from cairnwatch.operators import classifier, patterns, scorers, snapshot, stepwise, windows
+from cairnwatch.operators import classifier, patterns, reach, scorers, snapshot, stepwise, windows
 from cairnwatch.operators.patterns import Hop, Pattern
 from cairnwatch.plans import upkeep
 from cairnwatch.sources import deltas, rescue, sinks
@@ -371,6 +373,59 @@ def test_a_reach_moves_what_it_finds_once(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_a_reach_neither_moves_nor_lists_its_rows(spark):
+    rng = random.Random(3)
+    links = {(f"a{rng.randrange(120)}", f"a{rng.randrange(120)}") for _ in range(200)} | {("hub", f"x{i}") for i in range(900)} | {("a1", "hub"), ("hub", "a2"), ("a3", "a3")}
+    edges = spark.createDataFrame([(a, "R", b) for a, b in links] * 2 + [("a4", "R", None), (None, "R", "a4"), ("a5", "S", "a6")], "src string, type string, dst string")
+    ids = sorted({x for ends in links for x in ends} | {"apart"})
+    nodes = spark.createDataFrame([(n, n[0]) for n in ids], "id string, label string")
+    to = {}
+    for a, b in links:
+        to.setdefault(a, set()).add(b)
+    for most in (2, 3, 7):
+        found = patterns.match(nodes, edges, Pattern("s", "a", (Hop(("R",), most=most, name="e"),)))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "explode(" not in plan and plan.rindex("Join ") > plan.index("MapInArrow")
+        want = set()
+        for s in (n for n in ids if n[0] == "a"):
+            seen, now = set(), {s}
+            for _ in range(most):
+                now = {b for a in now for b in to.get(a, ())} - seen
+                seen |= now
+            want |= {(s, e) for e in seen - {s}}
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert patterns.match(nodes, edges, Pattern("s", "a", (Hop(("none",), most=2, name="e"),))).collect() == []
+
+
+def test_a_walk_within_small_bounds_finds_all(tmp_path, monkeypatch):
+    rng = random.Random(5)
+    links = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(150)} | {(7, i) for i in range(60)})
+    for k in range(3):
+        mine = sorted(x for x in links if x[0] % 3 == k)
+        rows = pa.table({"_from": pa.array([a for a, _ in mine], pa.int32()), "_ends": pa.array([[b] for _, b in mine], pa.list_(pa.int32()))})
+        pq.write_table(rows, f"{tmp_path}/lists-{k}.parquet", row_group_size=20)
+    pq.write_table(pa.table({"_number": pa.array(range(60), pa.int32()), "_name": [f"n{i}" for i in range(60)]}), f"{tmp_path}/names.parquet", row_group_size=7)
+    files, named = [f"file://{tmp_path}/lists-{k}.parquet" for k in range(3)], [f"file://{tmp_path}/names.parquet"]
+    starts = pa.RecordBatch.from_pydict({"_numbers": [list(range(0, 60, 2)), [1]], "_names": [[f"n{i}" for i in range(0, 60, 2)], ["n1"]]})
+    to = {}
+    for a, b in links:
+        to.setdefault(a, set()).add(b)
+    for held, at_once, kept in ((10**6, 10**6, 10**6), (40, 10**6, 10**6), (61, 30, 200), (3, 3, 20)):
+        for name, value in (("HELD", held), ("AT_ONCE", at_once), ("KEPT", kept), ("OUT_ROWS", 11)):
+            monkeypatch.setattr(reach, name, value)
+        for most in (2, 3, 5):
+            rows = [tuple(r.values()) for b in reach.walk(files, named, 60, most)(iter([starts])) for r in b.to_pylist()]
+            want = set()
+            for s in [*range(0, 60, 2), 1]:
+                seen, now = set(), {s}
+                for _ in range(most):
+                    now = {b for a in now for b in to.get(a, ())}
+                    seen |= now
+                want |= {(f"n{s}", f"n{e}") for e in seen - {s}}
+            assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def test_a_hub_is_packed_in_many_lists(spark):
     steps = spark.range(2000).select(F.lit("hub").alias("_from"), F.concat(F.lit("x"), "id").alias("_to"))
     lists = [r["_ends"] for r in patterns._packed(steps).collect()]
