@@ -66,8 +66,11 @@ def _steps(edges: DataFrame, hop: Hop) -> DataFrame:
     return {OUT: out, IN: back, BOTH: out.unionByName(back)}[hop.direction]
 
 
-def _packed(steps: DataFrame) -> DataFrame:
-    """(_from, _ends): the steps from a node, dealt by it, in lists of at most PACK ends, each end once; a hub has many lists."""
+def _packed(steps: DataFrame, as_bytes: bool = False) -> DataFrame:
+    """(_from, _ends): the steps from a node, dealt by it, in lists of at most PACK ends, each end once; a hub has many lists.
+
+    as_bytes: a list is the bytes of its numbers, which are read much faster than a list of them.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +88,15 @@ def _packed(steps: DataFrame) -> DataFrame:
                 at = np.arange(len(now)) - np.repeat(runs, np.diff(np.append(runs, len(now))))
                 begins = np.flatnonzero(at % PACK == 0)
                 froms, ends = (now.column(c).combine_chunks() for c in ("_from", "_to"))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(now)), pa.int32()), ends)
+                bounds = np.append(begins, len(now)).astype(np.int32)
+                if as_bytes:
+                    ends = ends.to_numpy()
+                    lists = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds * ends.itemsize), pa.py_buffer(np.ascontiguousarray(ends))])
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(bounds), ends)
                 yield pa.RecordBatch.from_arrays([froms.take(pa.array(begins)), lists], names=["_from", "_ends"])
 
-    return steps.select("_from", "_to").sortWithinPartitions("_from", "_to").mapInArrow(run, f"_from {kinds['_from']}, _ends array<{kinds['_to']}>")
+    return steps.select("_from", "_to").sortWithinPartitions("_from", "_to").mapInArrow(run, f"_from {kinds['_from']}, _ends {'binary' if as_bytes else f'array<{kinds["_to"]}>'}")
 
 
 def _names(steps: DataFrame) -> tuple[DataFrame, int]:
@@ -123,9 +131,10 @@ def reached(starts: DataFrame, edges: DataFrame, hop: Hop) -> DataFrame:
     names, total = _names(steps)
     n = math.ceil(max(1, steps.count()) / TASK_ROWS)
     by = lambda end, number: names.select(F.col("_name").alias(end), F.col("_number").alias(number))
+    # Sorted to meet the names of their ends, steps take less room in the next shuffle; to meet those they come from, few a partition, they need not be.
     ends = steps.join(by("_to", "_t"), "_to").select("_from", "_t").repartition(n, "_from")
-    numbered = ends.join(by("_from", "_f").repartition(n, "_from"), "_from").select(F.col("_f").alias("_from"), F.col("_t").alias("_to"))
-    packed = cut(_packed(numbered), "packed", GROUP_BYTES)
+    numbered = ends.join(by("_from", "_f").repartition(n, "_from").hint("shuffle_hash"), "_from").select(F.col("_f").alias("_from"), F.col("_t").alias("_to"))
+    packed = cut(_packed(numbered, True), "packed", GROUP_BYTES)
     starts = cut(starts.distinct(), "starts")
     many = starts.count()
     groups = max(math.ceil(many / WALK_STARTS), min(math.ceil(many / LEAST_STARTS), parts_for(starts.sparkSession, 0)), 1)

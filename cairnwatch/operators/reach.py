@@ -1,6 +1,6 @@
 """Walks over a written graph of numbered nodes: each task reads it by itself, so that nothing it finds is moved.
 
-The graph is a table of lists of ends (_from, _ends) and one of names (_number, _name), both sorted by number within
+The graph is a table of lists of ends (_from, _ends: their numbers' bytes) and one of names (_number, _name), both sorted by number within
 each file, in small row groups. A task takes a group of starts. For each relation it reads those row groups that may
 have a node of its frontier, and keeps their lists only. What lies at the last relation is worked out and handed on
 start by start, never held.
@@ -64,10 +64,12 @@ class _Lists:
     def __init__(self, table: _Table, nodes: np.ndarray, most: float, parts: int = 1, rest: int = 0):
         froms, sizes, ends, held = [], [], [], 0
         for have, lists in table.rows(nodes):
-            n, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+            flat = np.frombuffer(lists.buffers()[2], have.dtype, (int(bounds[-1]) - int(bounds[0])) // have.itemsize, int(bounds[0]))
+            n = np.diff(bounds) // have.itemsize
             if parts > 1:
                 stay = flat % parts == rest
-                n = np.add.reduceat(stay, np.cumsum(n) - n, dtype=np.int64) if len(n) else n
+                n = np.add.reduceat(stay, np.cumsum(n) - n, dtype=np.int64)
                 flat = flat[stay]
             held += len(flat)
             if held > most:
@@ -133,7 +135,7 @@ def walk(files: list[str], named: list[str], n_nodes: int, most: int) -> Callabl
         own = np.arange(len(starts), dtype=np.int64) * n_nodes + starts
         found = frontier = own
         for _ in range(most - 1):
-            held = _Lists(lists, np.unique(frontier % n_nodes), np.inf if alone else HELD)
+            held = _Lists(lists, _unique(frontier % n_nodes), np.inf if alone else HELD)
             new, size = [], len(found)
             for _, keys in _onward(held, frontier // n_nodes, frontier % n_nodes, n_nodes):
                 at = np.searchsorted(found, keys)
@@ -154,7 +156,7 @@ def walk(files: list[str], named: list[str], n_nodes: int, most: int) -> Callabl
             yield from pairs(lists, table, starts[:half], names[:half])
             yield from pairs(lists, table, starts[half:], names[half:])
             return
-        reached, todo = np.unique(frontier % n_nodes), [(1, 0)]
+        reached, todo = _unique(frontier % n_nodes), [(1, 0)]
         while todo:
             parts, rest = todo.pop()
             try:
@@ -166,7 +168,7 @@ def walk(files: list[str], named: list[str], n_nodes: int, most: int) -> Callabl
 
     def last(table: _Table, held: _Lists, found: np.ndarray, frontier: np.ndarray, starts: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
         """Pairs of what was found before and of what the frontier's lists have."""
-        wanted = _unique(np.concatenate([np.unique(held.ends).astype(np.int64), np.unique(found % n_nodes)]))
+        wanted = _unique(np.concatenate([_unique(held.ends.copy()), _unique(found % n_nodes)]))
         numbers, words, kind = [], [], None
         for have, some in table.rows(wanted):
             kind = some.type

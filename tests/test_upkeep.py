@@ -403,7 +403,7 @@ def test_a_walk_within_small_bounds_finds_all(tmp_path, monkeypatch):
     links = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(150)} | {(7, i) for i in range(60)})
     for k in range(3):
         mine = sorted(x for x in links if x[0] % 3 == k)
-        rows = pa.table({"_from": pa.array([a for a, _ in mine], pa.int32()), "_ends": pa.array([[b] for _, b in mine], pa.list_(pa.int32()))})
+        rows = pa.table({"_from": pa.array([a for a, _ in mine], pa.int32()), "_ends": [struct.pack("<i", b) for _, b in mine]})
         pq.write_table(rows, f"{tmp_path}/lists-{k}.parquet", row_group_size=20)
     pq.write_table(pa.table({"_number": pa.array(range(60), pa.int32()), "_name": [f"n{i}" for i in range(60)]}), f"{tmp_path}/names.parquet", row_group_size=7)
     files, named = [f"file://{tmp_path}/lists-{k}.parquet" for k in range(3)], [f"file://{tmp_path}/names.parquet"]
